@@ -56,7 +56,7 @@ def snapshot_axis(events: DataFrame) -> DataFrame:
         "snap_ix", (F.row_number().over(Window.orderBy("slot_ix")) - 1).cast("bigint"))
 
 
-def _with_clock(slots: DataFrame) -> DataFrame:
+def snapshot_clock(slots: DataFrame) -> DataFrame:
     start = F.timestamp_seconds(F.col("slot_ix") * SLOT_SECONDS)
     return (slots.withColumn("snap_date", F.to_date(start))
             .withColumn("slot", F.when(F.col("slot_ix") % 2 == 0, "AM").otherwise("PM")))
@@ -106,7 +106,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
             channel_of(video).alias("channel_id"),
             short_of(video).alias("is_short"))
         .join(axis, "slot_ix"))
-    return _with_clock(out)
+    return snapshot_clock(out)
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
