@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import cut_lineage
+
 _ACCURACY = 10000
 
 
@@ -24,7 +26,7 @@ def order_values(df: DataFrame, keys: list[str], value: str,
     counted per bracket, and only the bracket that really holds the rank is sorted.
     The sketch decides how balanced the brackets are, never which value comes out.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
     fractions = sorted({min(1.0, max(0.0, p + d)) for p, _ in targets.values()
                         for d in (-2.0 / _ACCURACY, 2.0 / _ACCURACY)})
     sketch = rows.groupBy(*keys).agg(
@@ -33,26 +35,25 @@ def order_values(df: DataFrame, keys: list[str], value: str,
                   F.lit(0))
     binned = rows.join(sketch, keys).select(*keys, "_v", bracket.alias("_bin"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    whole = Window.partitionBy(*keys)
     totals = (binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_upto", F.sum("_c").over(by_bin))
-              .withColumn("n", F.sum("_c").over(whole)))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("bigint").alias("rank"))
+              .withColumn("_before", F.sum("_c").over(by_bin) - F.col("_c"))
+              .withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"),
+                               (rank(F.col("n")).cast("bigint") - F.col("_before")).alias("rank"))
                       for name, (_, rank) in targets.items()])
-    wanted = (totals.withColumn("_t", F.explode(ranks))
-              .where((F.col("_t.rank") <= F.col("_upto")) & (F.col("_t.rank") > F.col("_upto") - F.col("_c")))
-              .select(*keys, "_bin", "n", "_t.name",
-                      (F.col("_t.rank") - F.col("_upto") + F.col("_c")).alias("_rank")))
+    wanted = (totals.withColumn("_hits", F.filter(ranks, lambda r: (r["rank"] >= 1) & (r["rank"] <= F.col("_c"))))
+              .where(F.size("_hits") > 0).select(*keys, "_bin", "n", "_hits"))
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    sorted_values = (
-        binned.join(wanted.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi")
-        .groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ordered = (
+        binned.join(wanted, [*keys, "_bin"])
+        .groupBy(*keys, "_bin", "_v").agg(
+            F.count(F.lit(1)).alias("_c"), F.any_value("n").alias("n"), F.any_value("_hits").alias("_hits"))
         .withColumn("_upto", F.sum("_c").over(in_bin)))
-    hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c"))
-    picked = sorted_values.join(wanted, [*keys, "_bin"]).where(hit)
-    return picked.groupBy(*keys).agg(
+    found = (ordered.withColumn("_hit", F.explode("_hits"))
+             .where((F.col("_hit.rank") <= F.col("_upto")) & (F.col("_hit.rank") > F.col("_upto") - F.col("_c"))))
+    return found.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        *[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in targets])
+        *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in targets])
 
 
 def interpolated_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series"]
+AREAS = ["series", "counting"]
 
 
 def collect() -> tuple[dict, dict]:
