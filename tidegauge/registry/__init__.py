@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting"]
+AREAS = ["series", "counting", "campaigns"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -34,7 +34,7 @@ JOIN axis a ON a.slot_ix >= floor(epoch(v.published_at)/43200)"""),
     "readings": (["grid", "per_slot"], """
 SELECT video_id, published_at, slot_ix, captured_at, snap_ix, snap_date, slot,
        CAST(total // 100 AS BIGINT) AS views,
-       CASE WHEN video_id % 13 <> 0 THEN CAST(engaged // 400 AS BIGINT) END AS likes,
+       CASE WHEN video_id % 13 <> 0 THEN CAST((total + 2*engaged) // 1600 AS BIGINT) END AS likes,
        CAST(clicks // 2000 AS BIGINT) AS comments,
        'ch' || CAST(video_id % 5 AS VARCHAR) AS channel_id,
        video_id % 3 = 0 AS is_short
@@ -49,7 +49,7 @@ SELECT user_id AS video_id, 'ch' || CAST(user_id % 5 AS VARCHAR) AS channel_id,
        'Video ' || CAST(user_id AS VARCHAR) AS title, {PUBLISHED} AS published_at,
        CAST(CASE WHEN user_id % 3 = 0 THEN 30 + user_id % 150 ELSE 200 + (user_id*37) % 3600 END AS BIGINT) AS duration_sec,
        CAST(sum(cents) // 100 AS BIGINT) AS views,
-       CASE WHEN user_id % 13 <> 0 THEN CAST(sum(engaged) // 400 AS BIGINT) END AS likes,
+       CASE WHEN user_id % 13 <> 0 THEN CAST((sum(cents) + 2*sum(engaged)) // 1600 AS BIGINT) END AS likes,
        CAST(sum(clicks) // 2000 AS BIGINT) AS comments,
        user_id % 3 = 0 AS is_short, user_id % 17 = 0 AS unavailable, user_id % 23 = 0 AS unlisted
 FROM per_slot GROUP BY user_id"""),

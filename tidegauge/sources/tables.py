@@ -101,7 +101,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "video_id", "slot_ix", "published_at",
             units("total", 100).alias("views"),
-            F.when(video % 13 != 0, units("engaged_total", 400)).alias("likes"),
+            F.when(video % 13 != 0, units("(total + 2 * engaged_total)", 1600)).alias("likes"),
             units("click_total", 2000).alias("comments"),
             channel_of(video).alias("channel_id"),
             short_of(video).alias("is_short"))
@@ -127,7 +127,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         published_of(video).alias("published_at"),
         F.when(short_of(video), 30 + video % 150).otherwise(200 + (video * 37) % 3600).cast("bigint").alias("duration_sec"),
         F.expr("total div 100").alias("views"),
-        F.when(video % 13 != 0, F.expr("engaged_total div 400")).alias("likes"),
+        F.when(video % 13 != 0, F.expr("(total + 2 * engaged_total) div 1600")).alias("likes"),
         F.expr("click_total div 2000").alias("comments"),
         short_of(video).alias("is_short"),
         (video % 17 == 0).alias("unavailable"),
