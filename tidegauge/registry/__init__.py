@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting", "campaigns"]
+AREAS = ["series", "counting", "campaigns", "formats"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -88,7 +88,7 @@ SELECT conv_id AS video_id, turn AS pass_id,
 FROM conversations"""),
     "presence": ([], """
 SELECT user_id AS video_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS pass_id,
-       min(ts) AS observed_at, max(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) = 1 AS present
+       min(ts) AS observed_at, max(CASE WHEN event_type IN ('click','view','purchase') THEN 1 ELSE 0 END) = 1 AS present
 FROM events GROUP BY user_id, CAST(ts AS DATE)"""),
     "price_obs": ([], """
 SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS sku, CAST(date_trunc('week', l_shipdate) AS DATE) AS day,

@@ -202,7 +202,7 @@ def presence_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return (
         events.groupBy(F.col("user_id").alias("video_id"), F.to_date("ts").alias("day"))
-        .agg(F.max(F.when(F.col("event_type") != "error", 1).otherwise(0)).alias("answered"),
+        .agg(F.max(F.when(F.col("event_type").isin("click", "view", "purchase"), 1).otherwise(0)).alias("answered"),
              F.min("ts").cast("timestamp").alias("observed_at"))
         .select("video_id", F.datediff("day", F.lit("2024-01-01")).cast("bigint").alias("pass_id"),
                 "observed_at", (F.col("answered") == 1).alias("present")))
