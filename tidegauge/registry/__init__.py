@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting", "campaigns", "formats"]
+AREAS = ["series", "counting", "campaigns", "formats", "catalogue"]
 
 
 def collect() -> tuple[dict, dict]:
