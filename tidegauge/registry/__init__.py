@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting", "campaigns", "formats", "catalogue"]
+AREAS = ["series", "counting", "campaigns", "formats", "catalogue", "text"]
 
 
 def collect() -> tuple[dict, dict]:
