@@ -45,33 +45,38 @@ def term_spikes(postings: DataFrame, sizes: DataFrame, *, min_videos: int = 3, m
             .select("channel_id", "term", "recent", "base", "ratio"))
 
 
+def spiking_postings(postings: DataFrame, spikes: DataFrame) -> DataFrame:
+    """The few postings clustering needs: those of spiking terms."""
+    return postings.join(spikes.select("channel_id", "term"), ["channel_id", "term"], "left_semi")
+
+
 def cluster_terms(spikes: DataFrame, postings: DataFrame, *, overlap: float = 0.35, max_clusters: int = 6) -> DataFrame:
     """Greedy clusters: the strongest unused term of each channel takes the unused terms close to it.
 
     All channels advance together, one seed per round. A round only compares terms
     with the seed's own videos (an equi-join on channel and video), never all pairs.
-    Equal ratios go by term.
+    Equal ratios go by term. `postings` are those of `spiking_postings`.
     """
-    recent = cut_lineage(postings.where("is_recent").join(spikes.select("channel_id", "term"), ["channel_id", "term"], "left_semi")
-                         .select("channel_id", "term", "video_id"))
-    left = cut_lineage(spikes)
-    done = None
+    recent = postings.where("is_recent").select("channel_id", "term", "video_id")
+    state = spikes.select("channel_id", "term", "recent", "base", "ratio", F.lit(None).cast("bigint").alias("cluster"),
+                          F.lit(None).cast("string").alias("seed"))
     for round_no in range(1, max_clusters + 1):
-        seeds = left.groupBy("channel_id").agg(
-            F.min_by(F.struct(F.col("term").alias("seed"), F.col("recent").alias("seed_n")),
+        unused = state.where("cluster IS NULL")
+        seeds = unused.groupBy("channel_id").agg(
+            F.min_by(F.struct("term", F.col("recent").alias("seed_n")),
                      F.struct(-F.col("ratio"), F.col("term"))).alias("s")).select("channel_id", "s.*")
-        seed_videos = recent.join(seeds.withColumnRenamed("seed", "term"), ["channel_id", "term"]) \
-            .select("channel_id", "video_id", F.col("term").alias("seed"), "seed_n")
-        shared = (recent.join(left.select("channel_id", "term"), ["channel_id", "term"], "left_semi")
-                  .join(seed_videos, ["channel_id", "video_id"])
-                  .groupBy("channel_id", "term", "seed", "seed_n").agg(F.count(F.lit(1)).alias("both")))
-        taken = cut_lineage(
-            left.join(shared, ["channel_id", "term"])
-            .where(F.col("both") / (F.col("recent") + F.col("seed_n") - F.col("both")) >= overlap)
-            .select("channel_id", F.lit(round_no).cast("bigint").alias("cluster"), "seed", "term", "recent", "base", "ratio"))
-        left = cut_lineage(left.join(taken.select("channel_id", "term"), ["channel_id", "term"], "left_anti"))
-        done = taken if done is None else done.unionByName(taken)
-    return done
+        seed_videos = recent.join(seeds, ["channel_id", "term"]).select(
+            "channel_id", "video_id", F.col("term").alias("new_seed"), "seed_n")
+        shared = (recent.join(seed_videos, ["channel_id", "video_id"])
+                  .groupBy("channel_id", "term", "new_seed", "seed_n").agg(F.count(F.lit(1)).alias("both")))
+        close = F.col("both") / (F.col("recent") + F.col("seed_n") - F.col("both")) >= overlap
+        take = F.col("cluster").isNull() & F.coalesce(close, F.lit(False))
+        state = cut_lineage(
+            state.join(shared, ["channel_id", "term"], "left").select(
+                "channel_id", "term", "recent", "base", "ratio",
+                F.when(take, F.lit(round_no)).otherwise(F.col("cluster")).cast("bigint").alias("cluster"),
+                F.when(take, F.col("new_seed")).otherwise(F.col("seed")).alias("seed")))
+    return state.where("cluster IS NOT NULL")
 
 
 def cluster_videos(clusters: DataFrame, postings: DataFrame) -> DataFrame:
@@ -134,9 +139,12 @@ def keyword_saturation(keywords: DataFrame, postings: DataFrame, sizes: DataFram
     return matched.join(sizes, "channel_id").withColumn("saturation", F.col("recent") / F.col("recent_total"))
 
 
-def suppressed_clusters(clusters: DataFrame, keywords: DataFrame, postings: DataFrame, *, overlap: float = 0.5) -> DataFrame:
-    """Detector clusters whose recent videos mostly coincide with a hand-labelled tracker's."""
-    found = cluster_videos(clusters, postings).where("is_recent").select("channel_id", "cluster", "video_id")
+def suppressed_clusters(matched: DataFrame, keywords: DataFrame, postings: DataFrame, *, overlap: float = 0.5) -> DataFrame:
+    """Detector clusters whose recent videos mostly coincide with a hand-labelled tracker's.
+
+    `matched` is the output of `cluster_videos`; `postings` must hold the tracker's keywords.
+    """
+    found = matched.where("is_recent").select("channel_id", "cluster", "video_id")
     manual = (postings.where("is_recent").join(keywords.select("channel_id", "tracker", F.col("keyword").alias("term")), ["channel_id", "term"])
               .select("channel_id", "tracker", "video_id").distinct())
     both = found.join(manual, ["channel_id", "video_id"]).groupBy("channel_id", "cluster", "tracker").agg(F.count(F.lit(1)).alias("both"))

@@ -182,8 +182,9 @@ def contained_phrases(videos: DataFrame, phrases: DataFrame) -> DataFrame:
     keyed = phrases.withColumn("phrase", F.trim(phrase_key(F.col("name")))).where(F.length("phrase") > 0)
     longest = keyed.agg(F.max(F.size(F.split("phrase", " ")))).scalar()
     words = F.split(F.trim(phrase_key(F.col("title"))), " ")
-    titled = videos.select("video_id", words.alias("w")).withColumn("n", F.size("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.col("n"), longest)), lambda k: F.transform(
+    titled = (videos.select("video_id", words.alias("w")).withColumn("n", F.size("w"))
+              .withColumn("most", F.least(F.col("n"), longest)))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.col("most")), lambda k: F.transform(
         F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))))
     return titled.select("video_id", F.explode(F.array_distinct(runs)).alias("phrase")).join(keyed, "phrase")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting", "campaigns", "formats", "catalogue", "text"]
+AREAS = ["series", "counting", "campaigns", "formats", "catalogue", "text", "topics"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -8,6 +8,7 @@ from tidegauge.functions import text as X
 from tidegauge.plans import stories as ST
 from tidegauge.plans import topics as TP
 from tidegauge.registry.base import query, sql
+from tidegauge.session import cut_lineage
 from tidegauge.sources import tables as T
 
 QUERIES: dict = {}
@@ -317,8 +318,10 @@ ORACLE["dp21_term_spikes_whole_text"] = sql("SELECT * REPLACE (round(ratio, 6) A
 
 def _clusters(spark, sf):
     v, postings, sizes = _story(spark, sf, opener=None)
-    spikes = ST.term_spikes(postings, sizes)
-    return v, postings, sizes, ST.cluster_terms(spikes, postings)
+    # Texts are read twice: to count terms, and to fetch the postings of the few that spike.
+    spikes = cut_lineage(ST.term_spikes(postings, sizes))
+    mine = cut_lineage(ST.spiking_postings(postings, spikes))
+    return v, mine, sizes, ST.cluster_terms(spikes, mine)
 
 
 def _cluster_ctes() -> dict[str, str]:
@@ -445,8 +448,11 @@ FROM (SELECT channel_id, count(DISTINCT CASE WHEN is_recent THEN video_id END) A
 
 @query(QUERIES, "dp46_suppressed_clusters")
 def dp46_suppressed(spark, sf):
-    _, postings, _, clusters = _clusters(spark, sf)
-    return ST.suppressed_clusters(clusters, _manual_keywords(spark, sf), postings, overlap=0.2)
+    _, mine, _, clusters = _clusters(spark, sf)
+    postings = cut_lineage(_story(spark, sf, opener=None)[1].where("is_recent"))
+    manual = postings.where(F.length("term") == 4).select(
+        "channel_id", F.lit("short words").alias("tracker"), F.col("term").alias("keyword")).distinct()
+    return ST.suppressed_clusters(ST.cluster_videos(clusters, mine), manual, postings, overlap=0.2)
 
 
 ORACLE["dp46_suppressed_clusters"] = sql("""
@@ -460,12 +466,12 @@ SELECT channel_id, cluster, 'short words' AS tracker, round(b / (a + m - b), 4)
 @query(QUERIES, "jn13_term_overlap")
 def jn13(spark, sf):
     """Jaccard of each spiking term's recent videos with its channel's strongest term."""
-    _, postings, sizes, clusters = _clusters(spark, sf)
+    _, postings, _, clusters = _clusters(spark, sf)
     recent = postings.where("is_recent")
     first = clusters.where("cluster = 1").select("channel_id", "seed").distinct()
     seed = recent.join(first.withColumnRenamed("seed", "term"), ["channel_id", "term"]).select("channel_id", "video_id")
     size = seed.groupBy("channel_id").agg(F.count(F.lit(1)).alias("seed_n"))
-    spikes = ST.term_spikes(postings, sizes).select("channel_id", "term", "recent")
+    spikes = recent.groupBy("channel_id", "term").agg(F.count(F.lit(1)).alias("recent"))
     both = (recent.join(spikes, ["channel_id", "term"]).join(seed, ["channel_id", "video_id"])
             .groupBy("channel_id", "term", "recent").agg(F.count(F.lit(1)).alias("both")))
     return both.join(size, "channel_id").select(

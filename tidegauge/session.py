@@ -33,15 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate result; survives executor loss."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder once and go on from the table.
+
+    Unlike a checkpoint, which runs the plan a second time to save it, this computes
+    the rows once; readers prune columns, and losing an executor costs nothing.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
