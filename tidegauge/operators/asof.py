@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import days_between
+from tidegauge.session import calendar_sized
 
 
 def forward_asof(left: DataFrame, right: DataFrame, *, left_time: str, right_time: str, tolerance_hours: float,
@@ -40,7 +41,7 @@ def nearest_snapshot(targets: DataFrame, snaps: DataFrame, *, days: int = 1) ->
     near = targets.withColumn("snap_date", F.explode(F.sequence(
         F.date_sub(F.to_date("target"), days), F.date_add(F.to_date("target"), days))))
     gap = F.abs(F.unix_micros("captured_at") - F.unix_micros("target"))
-    return (near.join(snaps, "snap_date").withColumn("gap_us", gap)
+    return (near.join(calendar_sized(snaps), "snap_date").withColumn("gap_us", gap)
             .groupBy("label", "target")
             .agg(F.min_by(F.struct("snap_ix", "snap_date", "slot", "captured_at", "gap_us"),
                           F.struct("gap_us", "snap_date", "slot")).alias("m"))

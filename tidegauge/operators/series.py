@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import days_between
+from tidegauge.session import calendar_sized
 
 
 def snapshots(readings: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def daily_gains(readings: DataFrame, snaps: DataFrame) -> DataFrame:
     order = Window.partitionBy("video_id").orderBy("day_ix")
     dated = (
         readings.select("video_id", "snap_date", "slot", "views", "published_at", "channel_id", "is_short")
-        .join(axis, ["snap_date", "slot"])
+        .join(calendar_sized(axis), ["snap_date", "slot"])
         .withColumn("prev_ix", F.lag("day_ix").over(order))
         .withColumn("prev_views", F.lag("views").over(order)))
     known = F.col("prev_ix") == F.col("day_ix") - 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.calendar import final_week_start, local_day, local_month, month_of
 from tidegauge.operators.series import daily_gains
+from tidegauge.session import calendar_sized
 
 
 def classified_gains(readings: DataFrame, snaps: DataFrame, videos: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def historic_views(readings: DataFrame, snaps: DataFrame, videos: DataFrame, ads
     pairs = (
         readings.select("video_id", "snap_ix", "views", "published_at",
                         F.col("channel_id").alias("snap_channel"), F.col("is_short").alias("snap_short"))
-        .join(ends, "snap_ix")
+        .join(calendar_sized(ends), "snap_ix")
         .where(F.col("published_at") < F.to_date(F.concat("month", F.lit("-01"))))
         .groupBy("month", "video_id", "published_at", "in_progress", "partial", "window_from", "window_to")
         .agg(F.max(F.when(~F.col("is_last"), F.col("views"))).alias("a"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import exact_count, half_up, money
 from tidegauge.functions.text import tidy_label
+from tidegauge.session import calendar_sized
 
 
 def last_readings(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def parsed(obs: DataFrame) -> DataFrame:
     kept = last_readings(obs, ["sku"])
     axis = obs.select("day").distinct().withColumn(
         "day_ix", (F.row_number().over(Window.orderBy("day")) - 1).cast("bigint"))
-    return kept.join(axis, "day").select(
+    return kept.join(calendar_sized(axis), "day").select(
         "sku", "day", "day_ix", exact_count(F.col("available")).alias("stock"),
         money(F.col("price")).cast("double").alias("price"), F.trim("status").alias("status"),
         tidy_label(F.col("label")).alias("label"))
@@ -36,7 +37,7 @@ def dense_grid(readings: DataFrame) -> DataFrame:
     days = readings.select("day_ix", "day").distinct()
     last = days.agg(F.max("day_ix")).scalar()
     cells = readings.select("sku").distinct().withColumn("day_ix", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return cells.join(days, "day_ix").join(readings.select("sku", "day_ix", "stock", "price"), ["sku", "day_ix"], "left")
+    return cells.join(calendar_sized(days), "day_ix").join(readings.select("sku", "day_ix", "stock", "price"), ["sku", "day_ix"], "left")
 
 
 def modal_price(readings: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def clean_prices(readings: DataFrame, modal: DataFrame, bad: DataFrame, *, hi: f
                  tol: float = 0.08) -> DataFrame:
     """Null misreads: high ones always, low ones only on a bad-scan day, never a held price."""
     j = (with_held(readings, tol=tol).join(modal, "sku", "left")
-         .join(bad.select("day", F.lit(True).alias("bad_day")), "day", "left"))
+         .join(calendar_sized(bad.select("day", F.lit(True).alias("bad_day"))), "day", "left"))
     high = F.col("price") > F.lit(hi) * F.col("modal")
     low = (F.col("price") < F.lit(lo) * F.col("modal")) & F.coalesce("bad_day", F.lit(False))
     drop = F.coalesce((F.col("modal") > 0) & (high | low) & ~F.col("held"), F.lit(False))

@@ -301,6 +301,13 @@ def _event_stream(spark, sf):
     return J.read_stream(spark, sf, schema, files="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _logged(df, name):
+    """Observations kept as a table and read as a stream."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return J.read_stream(df.sparkSession, path, df.schema)
+
+
 def _drained(df, spark, name):
     path = scratch_path(spark, name)
     q = J.append_to(df, path, scratch_path(spark, f"{name}-progress"))
@@ -333,8 +340,7 @@ ORACLE["str2_half_day_slots"] = sql("SELECT DISTINCT user_id AS video_id, slot_i
 
 @query(QUERIES, "str3_availability_feed")
 def str3(spark, sf):
-    log = cut_lineage(T.presence_observations(spark, sf).select("video_id", "pass_id", "present"))
-    stream = J.read_stream(spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema)
+    stream = _logged(T.presence_observations(spark, sf).select("video_id", "pass_id", "present"), "presence")
     return _drained(J.availability_feed(stream), spark, "availability-stream")
 
 
@@ -343,8 +349,7 @@ ORACLE["str3_availability_feed"] = sql("SELECT video_id, pass_id, event FROM evs
 
 @query(QUERIES, "str4_title_feed")
 def str4(spark, sf):
-    log = cut_lineage(T.title_observations(spark, sf).select("video_id", "pass_id", "title", "via"))
-    stream = J.read_stream(spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema)
+    stream = _logged(T.title_observations(spark, sf).select("video_id", "pass_id", "title", "via"), "titles")
     return _drained(J.title_feed(stream), spark, "title-stream")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -33,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def calendar_sized(df: DataFrame) -> DataFrame:
+    """Mark a frame with at most a few rows per calendar day (snapshot axes, day lists) for broadcast.
+
+    Twenty years of half-days are 14,600 short rows, under a megabyte however large the
+    facts are; the planner cannot see that, since it sizes an aggregate by its input.
+    """
+    return F.broadcast(df)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"

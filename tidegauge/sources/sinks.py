@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def land_readings(readings: DataFrame, path: str) -> None:
     """Keep the archive as a table partitioned by snapshot date, so products prune by day."""
-    readings.write.mode("append").partitionBy("snap_date").parquet(path)
+    readings.hint("rebalance", "snap_date").write.mode("append").partitionBy("snap_date").parquet(path)
 
 
 def write_product(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
@@ -17,8 +17,8 @@ def write_product(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
 
 
 def write_months(df: DataFrame, path: str, *, month: str = "month") -> None:
-    """Replace only the months present in `df`; rows are gathered per month before writing."""
-    (df.repartition(month, F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("overwrite")
+    """Replace only the months present in `df`; adaptive rebalancing gathers small months and splits big ones."""
+    (df.hint("rebalance", month).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path))
 
 

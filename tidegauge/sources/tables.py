@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import calendar_sized
+
 SLOT_SECONDS = 43200  # half a day
 
 
@@ -105,7 +107,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
             units("click_total", 2000).alias("comments"),
             channel_of(video).alias("channel_id"),
             short_of(video).alias("is_short"))
-        .join(axis, "slot_ix"))
+        .join(calendar_sized(axis), "slot_ix"))
     return snapshot_clock(out)
 
 
