@@ -62,8 +62,8 @@ def bigrams(tokens: Column) -> Column:
                    lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def term_set(text: Column, *, opener_chars: int | None = 300) -> Column:
-    tokens = story_tokens(text, opener_chars=opener_chars)
+def term_set(tokens: Column) -> Column:
+    """Distinct words and pairs; pass a computed column, so the text is tokenised once."""
     return F.array_distinct(F.concat(tokens, bigrams(tokens)))
 
 

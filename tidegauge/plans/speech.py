@@ -26,7 +26,10 @@ def transcript_text(segments: Column) -> Column:
 
 
 def _pair_in(a: Column, b: Column, pairs: list[tuple[str, str]]) -> Column:
-    return F.coalesce(F.concat_ws(" ", a, b).isin([" ".join(p) for p in pairs]), F.lit(False))
+    hit = F.lit(False)
+    for first, second in pairs:
+        hit = hit | ((a == first) & (b == second))
+    return F.coalesce(hit, F.lit(False))
 
 
 def filler_tally(transcripts: DataFrame, *, hard: list[str] = HARD, hedge_uni: list[str] = HEDGE_UNI,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.text import term_set
+from tidegauge.functions.text import story_tokens, term_set
 from tidegauge.session import cut_lineage
 
 
@@ -13,8 +13,9 @@ def term_postings(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseli
                   opener_chars: int | None = 300) -> DataFrame:
     """One row per (video, term) of the pool, marked recent or baseline."""
     pool = story_pool(videos, as_of=as_of, recent_days=recent_days, baseline_days=baseline_days)
-    return pool.select("channel_id", "video_id", "is_recent",
-                       F.explode(term_set(F.col("description"), opener_chars=opener_chars)).alias("term"))
+    tokens = story_tokens(F.col("description"), opener_chars=opener_chars)
+    return (pool.select("channel_id", "video_id", "is_recent", tokens.alias("tokens"))
+            .select("channel_id", "video_id", "is_recent", F.explode(term_set(F.col("tokens"))).alias("term")))
 
 
 def story_pool(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseline_days: int = 60) -> DataFrame:

@@ -78,11 +78,11 @@ def survivors(topics: DataFrame, tags: DataFrame, promoted: DataFrame) -> DataFr
     return subjects.select("topic_id", "key").join(best, "key")
 
 
-def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame, *, doublings: int = 4) -> DataFrame:
+def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame, *, rounds: int = 2) -> DataFrame:
     """Variant id -> canonical id: automatic name groups, overridden by the alias table, chains resolved.
 
-    Every round joins the map with itself, doubling the reach, so four rounds cover
-    chains of sixteen steps. What still points at a variant then sits on a cycle and is dropped.
+    A round joins the map with itself twice, each time doubling the reach, so two rounds
+    cover chains of sixteen steps. What still points at a variant then sits on a cycle and is dropped.
     """
     auto = survivors(topics, tags, promoted).where("topic_id <> best").select(
         F.col("topic_id").alias("variant"), F.col("best").alias("target"), F.lit(0).alias("_v"))
@@ -90,9 +90,13 @@ def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases:
               .join(topics.select("topic_id"), "topic_id", "left_semi")
               .select(F.col("variant_id").alias("variant"), F.col("topic_id").alias("target"), F.lit(1).alias("_v")))
     edges = cut_lineage(auto.unionByName(manual).groupBy("variant").agg(F.max_by("target", "_v").alias("target")))
-    for _ in range(doublings):
-        step = edges.select(F.col("variant").alias("target"), F.col("target").alias("beyond"))
-        edges = cut_lineage(edges.join(step, "target", "left").select("variant", F.coalesce("beyond", "target").alias("target")))
+
+    def doubled(e: DataFrame) -> DataFrame:
+        step = e.select(F.col("variant").alias("target"), F.col("target").alias("beyond"))
+        return e.join(step, "target", "left").select("variant", F.coalesce("beyond", "target").alias("target"))
+
+    for _ in range(rounds):
+        edges = cut_lineage(doubled(doubled(edges)))
     return edges.join(edges.select(F.col("variant").alias("target")), "target", "left_anti").select(
         "variant", F.col("target").alias("canonical"))
 

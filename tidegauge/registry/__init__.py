@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["series", "counting", "campaigns", "formats", "catalogue", "text", "topics", "shop_speech", "io"]
+AREAS = ["series", "counting", "campaigns", "formats", "catalogue", "text", "topics", "shop_speech", "io", "basics"]
 
 
 def collect() -> tuple[dict, dict]:

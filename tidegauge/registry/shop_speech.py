@@ -173,7 +173,8 @@ def _p(upto: str) -> dict:
 
 
 def _readings(spark, sf):
-    return P.parsed(T.price_observations(spark, sf))
+    # SKU-days are far fewer than scans, and every price product reads them several times.
+    return cut_lineage(P.parsed(T.price_observations(spark, sf)))
 
 
 @query(QUERIES, "dp34_aligned_grid")

@@ -69,8 +69,9 @@ SELECT video_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t)
 def fn10(spark, sf):
     """Bigram counts over the whole descriptions."""
     v = T.text_videos(spark, sf)
-    grams = X.bigrams(X.story_tokens(F.col("description"), opener_chars=None))
-    return v.select("channel_id", F.explode(grams).alias("bigram")).groupBy("channel_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
+    tokens = X.story_tokens(F.col("description"), opener_chars=None)
+    grams = X.bigrams(F.col("tokens"))
+    return v.select("channel_id", tokens.alias("tokens")).select("channel_id", F.explode(grams).alias("bigram")).groupBy("channel_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
 ORACLE["fn10_bigrams"] = sql("""

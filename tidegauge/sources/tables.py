@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give expensive per-row work at least as many tasks as there are cores.
+
+    Only a table of fewer splits than cores (some megabytes a core) is shuffled for
+    it; anything larger is already split finely enough and passes untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def epoch(ts: Column) -> Column:
     """Whole seconds since 1970 of a UTC timestamp."""
     return F.unix_seconds(ts.cast("timestamp"))
@@ -166,7 +176,7 @@ def text_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as catalogue entries: the first line is the title, the text the description."""
     doc = F.col("doc_id")
     day = F.date_sub(F.lit(TEXT_AS_OF).cast("date"), (doc % 60).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")).select(
         doc.alias("video_id"), F.col("source").alias("channel_id"),
         F.split(F.col("text"), "\n")[0].alias("title"),
         F.col("text").alias("description"),
@@ -180,7 +190,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     lines = F.split(F.col("text"), "\n")
     first = F.lit("2020-05-01").cast("date")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         doc.alias("video_id"), F.col("source").alias("channel_id"),
         F.concat(F.lit("Talk "), doc.cast("string")).alias("title"),
         F.date_add(first, ((doc * 3) % 900).cast("int")).cast("timestamp").alias("published_at"),
