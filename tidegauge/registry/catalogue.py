@@ -17,17 +17,20 @@ from tidegauge.sources import tables as T
 QUERIES: dict = {}
 ORACLE: dict = {}
 AS_OF = "2024-02-01 00:00:00"
-KEY = F.col("video_id")
+
+
+def _key():
+    return F.col("video_id")
 
 
 def _stored(spark, sf):
     """Yesterday's catalogue: three quarters of the ids, with lower counts."""
-    return T.order_videos(spark, sf).where(KEY % 4 != 0).withColumns({
+    return T.order_videos(spark, sf).where(_key() % 4 != 0).withColumns({
         "views": F.expr("views div 2"), "comments": F.expr("comments div 2")})
 
 
 def _fresh(spark, sf):
-    return T.order_videos(spark, sf).where(KEY % 3 != 1)
+    return T.order_videos(spark, sf).where(_key() % 3 != 1)
 
 
 _OLD = "SELECT * REPLACE (views // 2 AS views, comments // 2 AS comments) FROM order_videos WHERE video_id % 4 <> 0"
@@ -110,8 +113,8 @@ FROM (SELECT pass_id, count(*) AS flagged, CASE WHEN count(*) > 1 THEN count(*)
 @query(QUERIES, "cat6_unlisted_state")
 def cat6(spark, sf):
     stored = T.videos(spark, sf).withColumn("unlisted_since", F.when(F.col("unlisted"), F.lit("2024-01-05").cast("timestamp")))
-    status = T.videos(spark, sf).where(KEY % 5 != 0).select(
-        "video_id", F.when(KEY % 4 == 0, "unlisted").when(KEY % 4 == 1, "public").otherwise("private").alias("privacy_status"))
+    status = T.videos(spark, sf).where(_key() % 5 != 0).select(
+        "video_id", F.when(_key() % 4 == 0, "unlisted").when(_key() % 4 == 1, "public").otherwise("private").alias("privacy_status"))
     return C.apply_privacy(stored, status, as_of=AS_OF).select(
         "video_id", "unlisted", "newly_unlisted", F.date_format("unlisted_since", "yyyy-MM-dd").alias("unlisted_since"))
 
@@ -171,8 +174,8 @@ SELECT (SELECT count(DISTINCT video_id) FROM title_obs WHERE length(title) > 0)
 @query(QUERIES, "cat10_descriptions")
 def cat10(spark, sf):
     docs = T.text_videos(spark, sf).select("video_id", F.col("description").alias("text"))
-    stored = docs.where(KEY % 3 != 0).withColumn("text", F.lower("text"))
-    return C.upsert_descriptions(stored, docs.where(KEY % 2 == 0), docs.where(KEY % 7 != 0))
+    stored = docs.where(_key() % 3 != 0).withColumn("text", F.lower("text"))
+    return C.upsert_descriptions(stored, docs.where(_key() % 2 == 0), docs.where(_key() % 7 != 0))
 
 
 ORACLE["cat10_descriptions"] = sql("""
@@ -197,7 +200,7 @@ FROM (SELECT *, CASE WHEN day(day) % 2 = 0 THEN channel_views ELSE channel_views
 
 @query(QUERIES, "cat12_catalogue_counts")
 def cat12(spark, sf):
-    videos = T.order_videos(spark, sf).withColumn("unlisted", KEY % 23 == 0)
+    videos = T.order_videos(spark, sf).withColumn("unlisted", _key() % 23 == 0)
     return C.catalogue_counts(videos).withColumns({
         "channel_id": F.coalesce("channel_id", F.lit("ALL")),
         "oldest": F.date_format("oldest", "yyyy-MM-dd HH:mm"), "newest": F.date_format("newest", "yyyy-MM-dd HH:mm")})
@@ -213,8 +216,8 @@ FROM order_videos GROUP BY ROLLUP (channel_id)""", "order_videos")
 
 @query(QUERIES, "qg5_reconcile")
 def qg5(spark, sf):
-    videos = T.order_videos(spark, sf).withColumn("unlisted", KEY % 23 == 0)
-    platform = _fresh(spark, sf).where(KEY % 2 == 0).groupBy("channel_id").agg(F.count(F.lit(1)).alias("c")).select(
+    videos = T.order_videos(spark, sf).withColumn("unlisted", _key() % 23 == 0)
+    platform = _fresh(spark, sf).where(_key() % 2 == 0).groupBy("channel_id").agg(F.count(F.lit(1)).alias("c")).select(
         "channel_id", F.when(F.col("channel_id") == "5-LOW", 0).otherwise(F.col("c")).cast("bigint").alias("platform_count"))
     return C.reconcile_counts(videos, platform)
 
@@ -236,7 +239,7 @@ _LINES = [
 
 def _statuses(spark, sf):
     pick = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(line, ("status", "reason_text", "detail_text"))])
-                                  for line in _LINES]), (KEY % len(_LINES) + 1).cast("int"))
+                                  for line in _LINES]), (_key() % len(_LINES) + 1).cast("int"))
     return (T.order_videos(spark, sf).where("unavailable").select("video_id", pick.alias("p")).select("video_id", "p.*"))
 
 
@@ -258,15 +261,15 @@ ORACLE["cat14_reason_classifier"] = sql(_REASON_SQL, "order_videos")
 
 def _reason_store(spark, sf):
     """Reasons known from before, checked at different times."""
-    kept = T.order_videos(spark, sf).where(KEY % 2 == 0)
+    kept = T.order_videos(spark, sf).where(_key() % 2 == 0)
     return kept.select(
-        "video_id", F.when(KEY % 8 == 0, "unavailable").when(KEY % 8 == 2, "unlisted").otherwise("private").alias("reason"),
+        "video_id", F.when(_key() % 8 == 0, "unavailable").when(_key() % 8 == 2, "unlisted").otherwise("private").alias("reason"),
         F.lit(None).cast("string").alias("detail"),
-        F.timestamp_seconds(F.lit(1706745600) - (KEY % 15) * 86400).alias("checked"))
+        F.timestamp_seconds(F.lit(1706745600) - (_key() % 15) * 86400).alias("checked"))
 
 
 def _next_reasons(spark, sf):
-    videos = T.order_videos(spark, sf).withColumn("unlisted", KEY % 23 == 0)
+    videos = T.order_videos(spark, sf).withColumn("unlisted", _key() % 23 == 0)
     s = _statuses(spark, sf)
     resolved = s.select("video_id", C.removal_reason(F.col("status"), F.col("reason_text"), F.col("detail_text")).alias("reason"),
                         C.copyright_claimant(F.col("detail_text")).alias("detail"))
@@ -310,7 +313,7 @@ ORACLE["cat15_reason_tally"] = sql("SELECT reason, count(*) AS n FROM nexts GROU
 
 @query(QUERIES, "dp44_removed_list")
 def dp44(spark, sf):
-    videos = T.order_videos(spark, sf).withColumn("unlisted", KEY % 23 == 0)
+    videos = T.order_videos(spark, sf).withColumn("unlisted", _key() % 23 == 0)
     return C.removed_list(videos, _next_reasons(spark, sf))
 
 
@@ -321,9 +324,9 @@ FROM order_videos o LEFT JOIN nexts n USING (video_id) WHERE o.unavailable OR o.
 
 @query(QUERIES, "cat19_associate_refresh")
 def cat19(spark, sf):
-    name = F.concat(F.lit("Order "), KEY.cast("string"))
+    name = F.concat(F.lit("Order "), _key().cast("string"))
     stored = _stored(spark, sf).withColumn("title", F.lower(name)).withColumn(
-        "duration_sec", F.when(KEY % 9 == 0, 0).otherwise(F.col("duration_sec")).cast("bigint"))
+        "duration_sec", F.when(_key() % 9 == 0, 0).otherwise(F.col("duration_sec")).cast("bigint"))
     return C.refresh_associates(stored, _fresh(spark, sf).withColumn("title", name), since="2001-01-01") \
         .withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd"))
 
@@ -398,7 +401,7 @@ FROM readings GROUP BY snap_ix""", "readings")
 # ---- projections and selections ----
 @query(QUERIES, "prj1_short_classifier")
 def prj1(spark, sf):
-    live = KEY % 7 == 0
+    live = _key() % 7 == 0
     return T.order_videos(spark, sf).select(
         "video_id", N.is_short(F.col("duration_sec"), F.col("published_at"), since="1998-03-18").alias("is_short"),
         N.is_short(F.col("duration_sec"), F.col("published_at"), since="1998-03-18", live=live).alias("is_short_not_live"))
@@ -495,7 +498,7 @@ SELECT CASE WHEN published_at >= TIMESTAMP '2001-06-01' - INTERVAL 60 DAY THEN '
 @query(QUERIES, "prj11_work_queue")
 def prj11(spark, sf):
     videos = T.order_videos(spark, sf)
-    fetched, failed = videos.where(KEY % 3 == 0), videos.where(KEY % 3 == 1)
+    fetched, failed = videos.where(_key() % 3 == 0), videos.where(_key() % 3 == 1)
     out = None
     for mode in ("backfill", "incremental", "retry-failures"):
         one = SEL.work_queue(videos, fetched, failed, mode=mode, as_of="2001-07-01 00:00:00").select(F.lit(mode).alias("mode"), "video_id")
@@ -522,7 +525,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 6 = 3 THEN length(trim(repeat(p_name ||
 
 @query(QUERIES, "prj13_private_is_gone")
 def prj13(spark, sf):
-    status = F.when(KEY % 4 == 0, "public").when(KEY % 4 == 1, "private").when(KEY % 4 == 2, "unlisted")
+    status = F.when(_key() % 4 == 0, "public").when(_key() % 4 == 1, "private").when(_key() % 4 == 2, "unlisted")
     return SEL.private_is_gone(T.order_videos(spark, sf).select("video_id", status.alias("status"))).groupBy(
         "answered", "present", "needs_recheck").agg(F.count(F.lit(1)).alias("n"))
 
