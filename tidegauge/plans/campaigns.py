@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.numbers import half_up
 from tidegauge.operators.asof import busy_days, fill_forward_days, next_start
 from tidegauge.operators.series import last_read_of_day
+from tidegauge.session import cut_lineage
 
 
 def merge_creatives(history: DataFrame, capture: DataFrame, *, seen: str) -> DataFrame:
@@ -120,11 +121,12 @@ def campaign_yield(readings: DataFrame, videos: DataFrame, windows: DataFrame, *
                    age_min: int = 14, tail_days: int = 2, lookback: int = 4) -> DataFrame:
     """Ad-driven views per campaign day for every completed, measurable window."""
     whole = windows.where("win_from IS NOT NULL AND win_to IS NOT NULL")
-    candidates = measurable_windows(whole, videos, era_from=era_from, era_to=era_to, age_min=age_min)
+    # Both are small next to the readings and are looked up several times below.
+    candidates = cut_lineage(measurable_windows(whole, videos, era_from=era_from, era_to=era_to, age_min=age_min))
     ids = candidates.select("video_id").distinct()
     mine = whole.join(ids, "video_id", "left_semi")
     daily = last_read_of_day(readings.join(ids, "video_id", "left_semi"))
-    filled = fill_forward_days(daily, lookback=lookback)
+    filled = cut_lineage(fill_forward_days(daily, lookback=lookback))
     base = dormant_baseline(candidates.select("video_id", "win_from").distinct(), filled,
                             busy_days(mine, tail_days=tail_days))
     end = F.date_add("win_to", tail_days)
@@ -159,6 +161,6 @@ def yield_rate(measured: DataFrame, *, min_sample: int = 3) -> DataFrame:
 def spend_estimate(rate: DataFrame, days: DataFrame, *, cpv: tuple[float, float] = (0.015, 0.04)) -> DataFrame:
     """Estimated ad views and spend range per video."""
     central = rate.select("central").scalar()
-    views = F.col("days") * central
-    return days.select("video_id", "days", views.alias("ad_views"),
-                       half_up(views * cpv[0]).alias("spend_low"), half_up(views * cpv[1]).alias("spend_high"))
+    views = F.col("ad_views")
+    return days.withColumn("ad_views", F.col("days") * central).select(
+        "video_id", "days", views, half_up(views * cpv[0]).alias("spend_low"), half_up(views * cpv[1]).alias("spend_high"))

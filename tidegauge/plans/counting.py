@@ -236,10 +236,10 @@ def pooled_interval(draws: DataFrame, factors: DataFrame, *, replicates: int = 4
                     (F.sum(F.col("post_views") * F.coalesce("factor", "own")) / F.sum("post_views")).alias("f")))
     ranked = per_draw.withColumn("rn", F.row_number().over(Window.orderBy("f", "replicate")))
     lo, hi = int(replicates * 0.025) + 1, int(replicates * 0.975) + 1
-    interval = ranked.agg(F.round(F.max(F.when(F.col("rn") == lo, F.col("f"))), 2).alias("low"),
-                          F.round(F.max(F.when(F.col("rn") == hi, F.col("f"))), 2).alias("high"))
     point = pooled_factor(factors)
-    return point.join(interval)
+    return ranked.agg(F.round(F.max(F.when(F.col("rn") == lo, F.col("f"))), 2).alias("low"),
+                      F.round(F.max(F.when(F.col("rn") == hi, F.col("f"))), 2).alias("high")).select(
+        point.select("factor").scalar().alias("factor"), point.select("n_post").scalar().alias("n_post"), "low", "high")
 
 
 def pooled_factor(factors: DataFrame) -> DataFrame:

@@ -72,14 +72,15 @@ def movers(readings: DataFrame, videos: DataFrame, ads: DataFrame, snaps: DataFr
         (F.col("n") >= max(12, recent + 10)) & (F.col("base") <= flat)
         & (F.col("peak") >= move) & (F.col("peak") >= F.col("base") * spike))
     # Snapshot numbers are dense, so the last one gives the number of captures.
-    last = snaps.agg(F.max("snap_ix")).scalar()
+    archive = snaps.agg(F.struct(F.max("snap_ix").alias("last"), F.max("captured_at").alias("now"))).scalar()
+    last = archive["last"]
     week = F.greatest(F.lit(0), last + 1 - week_checks)
     ends = (readings.where((F.col("snap_ix") == last) | (F.col("snap_ix") == week))
             .groupBy("video_id").agg(
                 F.max(F.when(F.col("snap_ix") == last, F.col("views"))).alias("latest"),
                 F.max(F.when(F.col("snap_ix") == week, F.col("views"))).alias("week_ago")))
     paid = ads.select("video_id", F.lit(True).alias("is_ad"))
-    now = F.to_date(snaps.agg(F.max("captured_at")).scalar())
+    now = F.to_date(archive["now"])
     return (
         jumped.join(ends, "video_id", "left").join(paid, "video_id", "left")
         .select("video_id", "channel_id",

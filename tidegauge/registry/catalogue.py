@@ -555,7 +555,7 @@ FROM (SELECT unnest([2, 6, 20, 100]::BIGINT[]) AS m) x""", "axis")
 def qg2(spark, sf):
     c = T.creatives(spark, sf)
     passed = Q.harvest_floor(c).agg(F.count(F.lit(1)).alias("passed_on"))
-    return Q.harvest_status(c).join(passed)
+    return Q.harvest_status(c).withColumn("passed_on", passed.scalar())
 
 
 ORACLE["qg2_harvest_floor"] = sql("""
