@@ -38,6 +38,11 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`, which may use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_accents(text: Column) -> Column:
     """Strip accents from Latin letters; combining marks already split off are dropped."""
     return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), "[̀-ͯ]", "")
@@ -90,11 +95,17 @@ def name_key(name: Column) -> Column:
     text = F.regexp_replace(text, r"^the (?=\S)", "")
     digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
     words = F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(digits, w), w))
-    last_kept = F.array_max(F.transform(words, lambda w, i: F.when(w.isin("case", "saga"), 0).otherwise(i + 1)))
-    words = F.slice(words, 1, F.greatest(last_kept, F.lit(1)))
-    middle = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 1)
-    short = F.concat(F.slice(words, 1, 1), middle, F.slice(words, -1, 1))
-    return F.when(F.size(words) >= 3, F.array_join(short, " ")).otherwise(F.array_join(words, " "))
+
+    def without_tail(w: Column) -> Column:
+        kept = F.array_max(F.transform(w, lambda x, i: F.when(x.isin("case", "saga"), 0).otherwise(i + 1)))
+        return F.slice(w, 1, F.greatest(kept, F.lit(1)))
+
+    def joined(w: Column) -> Column:
+        middle = F.filter(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda x: F.length(x) > 1)
+        short = F.concat(F.slice(w, 1, 1), middle, F.slice(w, -1, 1))
+        return F.when(F.size(w) >= 3, F.array_join(short, " ")).otherwise(F.array_join(w, " "))
+
+    return bound(bound(words, without_tail), joined)
 
 
 def name_colour(name: Column) -> Column:

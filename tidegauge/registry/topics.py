@@ -51,8 +51,14 @@ def raw_names(spark, sf):
     return T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("video_id"), name.alias("name"))
 
 
-def _canon(spark, sf):
-    return TP.canon_map(topics(spark, sf), tags(spark, sf), promoted(spark, sf), aliases(spark, sf))
+def _inputs(spark, sf):
+    """Topics and tags as stored tables, as an upkeep run finds them, and the promoted list."""
+    return cut_lineage(topics(spark, sf)), cut_lineage(tags(spark, sf)), promoted(spark, sf)
+
+
+def _canon(spark, sf, inputs=None):
+    t, tg, pr = inputs or _inputs(spark, sf)
+    return TP.canon_map(t, tg, pr, aliases(spark, sf))
 
 
 def _name(k: str) -> str:
@@ -112,7 +118,8 @@ ORACLE["dp25_invalid_aliases"] = sql(
 
 @query(QUERIES, "dp26_refiled_tags")
 def dp26(spark, sf):
-    return TP.refile(tags(spark, sf), _canon(spark, sf))
+    inputs = _inputs(spark, sf)
+    return TP.refile(inputs[1], _canon(spark, sf, inputs))
 
 
 ORACLE["dp26_refiled_tags"] = sql("SELECT * FROM refiled", **_TOPICS)
@@ -120,8 +127,9 @@ ORACLE["dp26_refiled_tags"] = sql("SELECT * FROM refiled", **_TOPICS)
 
 @query(QUERIES, "dp26_merge_counts")
 def dp26_counts(spark, sf):
-    canon = _canon(spark, sf)
-    return TP.merge_counts(TP.refile(tags(spark, sf), canon), promoted(spark, sf), topics(spark, sf), canon)
+    t, tg, pr = inputs = _inputs(spark, sf)
+    canon = cut_lineage(_canon(spark, sf, inputs))
+    return TP.merge_counts(TP.refile(tg, canon), pr, t, canon)
 
 
 ORACLE["dp26_merge_counts"] = sql("""
@@ -133,7 +141,8 @@ UNION ALL SELECT 'removed', count(*) FROM topics WHERE topic_id IN (SELECT varia
 
 @query(QUERIES, "dp27_alias_candidates")
 def dp27(spark, sf):
-    return TP.alias_candidates(topics(spark, sf), tags(spark, sf), _canon(spark, sf)).select("ends", "topic_id")
+    t, tg, _ = inputs = _inputs(spark, sf)
+    return TP.alias_candidates(t, tg, _canon(spark, sf, inputs)).select("ends", "topic_id")
 
 
 ORACLE["dp27_alias_candidates"] = sql("""
@@ -144,9 +153,9 @@ SELECT ends, topic_id FROM (SELECT *, count(*) OVER (PARTITION BY ends) AS n FRO
 
 
 def _backfilled(spark, sf):
-    t, tg, pr = topics(spark, sf), tags(spark, sf), promoted(spark, sf)
-    grouped = TP.survivors(t, tg, pr)
-    return cut_lineage(TP.backfill(raw_names(spark, sf), tg, t, _canon(spark, sf), grouped))
+    t, tg, pr = inputs = _inputs(spark, sf)
+    grouped = cut_lineage(TP.survivors(t, tg, pr))
+    return cut_lineage(TP.backfill(raw_names(spark, sf), tg, t, _canon(spark, sf, inputs), grouped))
 
 
 _RAWNAME = f"CASE WHEN o_orderkey % 4 = 0 THEN {_name('o_custkey + 2')} ELSE concat('Story number ', o_custkey % 50, CASE WHEN o_orderkey % 8 = 2 THEN ' saga' ELSE '' END) END"
