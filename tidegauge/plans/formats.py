@@ -92,7 +92,7 @@ def month_comparator(readings: DataFrame, videos: DataFrame, snaps: DataFrame, *
     at = F.lit(as_of).cast("timestamp")
     target = same_point(at, months_back)
     month = shift_month(local_month(at), -months_back)
-    aim = snaps.agg(F.count(F.lit(1)).alias("c")).select(F.lit("x").alias("label"), target.alias("target"))
+    aim = snaps.sparkSession.range(1).select(F.lit("x").alias("label"), target.alias("target"))
     dump_ix = nearest_snapshot(aim, snaps).agg(F.max("snap_ix")).scalar()
     catalogue = videos.where(~F.col("unavailable"))
     lengths = catalogue.select("video_id", "duration_sec")
@@ -105,10 +105,9 @@ def month_comparator(readings: DataFrame, videos: DataFrame, snaps: DataFrame, *
     scopes = with_scopes(videos.select("channel_id").distinct()).select("scope").distinct()
     counts = ["n", "tot", "engaged", "comments", "runtime", "lrev_lo", "lrev_hi", "srev_lo", "srev_hi", "shorts_n",
               "shorts_views", "shorts_med"]
-    full = scopes.join(stats, "scope", "left").fillna(0, subset=counts)
-    seen = dump_ix.isNotNull()
+    full = scopes.join(stats, "scope", "left").fillna(0, subset=counts).withColumn("seen", dump_ix.isNotNull())
     return full.select("scope", month.alias("month"), *[
-        F.when(seen, F.col(c)).alias(c) if c in VIEW_FIGURES else F.col(c)
+        F.when(F.col("seen"), F.col(c)).alias(c) if c in VIEW_FIGURES else F.col(c)
         for c in stats.columns if c != "scope"])
 
 

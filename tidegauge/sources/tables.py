@@ -233,11 +233,13 @@ def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("l_orderkey") % 7 == 0, "")
              .when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("at least "), count))
              .otherwise(count))
-    return table(spark, sf_dir, "lineitem").select(
+    scans = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    return spread(scans).select(
         F.concat(F.lit("S"), sku.cast("string")).alias("sku"),
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("day"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("seq"),
-        F.concat(F.lit("$"), F.format_string("%d.%02d", F.expr("CAST(0 AS BIGINT)") + F.floor(cents / 100), cents % 100)).alias("price"),
+        F.concat(F.lit("$"), F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)).alias("price"),
         avail.alias("available"), status.alias("status"),
         F.concat(F.element_at(F.array(F.lit("Ground"), F.lit("Whole Bean"), F.lit("K-Cups"), F.lit("Tea")),
                               (sku % 4 + 1).cast("int")),
