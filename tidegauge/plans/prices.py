@@ -11,9 +11,9 @@ from tidegauge.session import calendar_sized
 
 
 def last_readings(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """One reading per key and day: the last by time."""
+    """One reading per key and day: the last by time, then by its own fields, so ties repeat."""
     rest = [c for c in obs.columns if c not in (*keys, "day", "seq")]
-    return (obs.groupBy(*keys, "day").agg(F.max_by(F.struct(*rest), "seq").alias("_r"))
+    return (obs.groupBy(*keys, "day").agg(F.max(F.struct("seq", *rest)).alias("_r"))
             .select(*keys, "day", *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 

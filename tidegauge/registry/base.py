@@ -101,6 +101,8 @@ SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS sku, CAST(date_trunc('week', l_shipd
        CASE l_suppkey % 4 WHEN 0 THEN 'Ground' WHEN 1 THEN 'Whole Bean' WHEN 2 THEN 'K-Cups' ELSE 'Tea' END
          || ' - ' || CASE WHEN l_suppkey % 11 = 0 THEN 'Kona ' ELSE '' END || 'Blend ' || CAST(l_suppkey AS VARCHAR) AS label
 FROM lineitem"""),
+    "price_scans": (["price_obs"], """
+SELECT *, '$' || CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS price FROM price_obs"""),
     "order_videos": ([], """
 SELECT o_orderkey AS video_id, o_orderpriority AS channel_id,
        o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS published_at,

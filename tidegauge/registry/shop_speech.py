@@ -140,8 +140,8 @@ SELECT rate, round(b, 4) AS before, round(a, 4) AS after, round((a / nullif(b, 0
 # ---- prices ----
 _PRICES = {
     "kept": """
-SELECT sku, day, arg_max(cents, seq) / 100.0::DOUBLE AS price,
-       arg_max(struct_pack(a := available, s := status, l := label), seq) AS r FROM price_obs GROUP BY sku, day""",
+SELECT sku, day, m.c / 100.0::DOUBLE AS price, m AS r
+FROM (SELECT sku, day, max(struct_pack(q := seq, p := price, a := available, s := status, l := label, c := cents)) AS m FROM price_scans GROUP BY sku, day) k""",
     "days": "SELECT day, row_number() OVER (ORDER BY day) - 1 AS day_ix FROM (SELECT DISTINCT day FROM price_obs) d",
     "rd": """
 SELECT sku, day, day_ix, CASE WHEN regexp_full_match(r.a, '\\d+') THEN TRY_CAST(r.a AS BIGINT) END AS stock, price, r.s AS status, r.l AS label
@@ -184,7 +184,7 @@ def dp34(spark, sf):
 
 ORACLE["dp34_aligned_grid"] = sql("""
 SELECT s.sku, strftime(d.day, '%Y-%m-%d') AS day, r.stock, r.price FROM (SELECT DISTINCT sku FROM rd) s CROSS JOIN days d
-LEFT JOIN rd r ON r.sku = s.sku AND r.day = d.day""", "price_obs", **_p("rd"))
+LEFT JOIN rd r ON r.sku = s.sku AND r.day = d.day""", "price_scans", **_p("rd"))
 
 
 @query(QUERIES, "dp34_sku_catalogue")
@@ -198,7 +198,7 @@ SELECT sku, name, CASE WHEN fam IN ('K-Cups', 'Ground', 'Whole Bean') THEN fam E
        CASE WHEN fam = 'K-Cups' THEN '12-pack' WHEN lower(name) LIKE '%kona%' THEN '7oz' WHEN modal >= 45 THEN '5lb' ELSE '12oz' END AS size, modal, last_reading
 FROM (SELECT sku, split_part(max_by(label, day), ' - ', 2) AS name, split_part(max_by(label, day), ' - ', 1) AS fam,
              strftime(max(CASE WHEN stock IS NOT NULL THEN day END), '%Y-%m-%d') AS last_reading FROM rd GROUP BY sku) x JOIN modal USING (sku)""",
-    "price_obs", **_p("modal"))
+    "price_scans", **_p("modal"))
 
 
 @query(QUERIES, "ag7_modal_price")
@@ -206,7 +206,7 @@ def ag7(spark, sf):
     return P.modal_price(_readings(spark, sf))
 
 
-ORACLE["ag7_modal_price"] = sql("SELECT * FROM modal", "price_obs", **_p("modal"))
+ORACLE["ag7_modal_price"] = sql("SELECT * FROM modal", "price_scans", **_p("modal"))
 
 
 @query(QUERIES, "dp35_bad_days")
@@ -215,7 +215,7 @@ def dp35(spark, sf):
     return P.bad_days(r, P.modal_price(r)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-ORACLE["dp35_bad_days"] = sql("SELECT strftime(day, '%Y-%m-%d') AS day, high_skus FROM bad", "price_obs", **_p("bad"))
+ORACLE["dp35_bad_days"] = sql("SELECT strftime(day, '%Y-%m-%d') AS day, high_skus FROM bad", "price_scans", **_p("bad"))
 
 
 @query(QUERIES, "wn8_held_prices")
@@ -223,7 +223,7 @@ def wn8(spark, sf):
     return P.with_held(_readings(spark, sf)).select("sku", "day_ix", "price", "held")
 
 
-ORACLE["wn8_held_prices"] = sql("SELECT sku, day_ix, price, held FROM held", "price_obs", **_p("held"))
+ORACLE["wn8_held_prices"] = sql("SELECT sku, day_ix, price, held FROM held", "price_scans", **_p("held"))
 
 
 def _cleaned(spark, sf):
@@ -238,7 +238,7 @@ def dp36(spark, sf):
 
 
 ORACLE["dp36_clean_prices"] = sql("""
-SELECT sku, day_ix, raw_price, CASE WHEN NOT nulled THEN raw_price END AS price, nulled FROM cleaned""", "price_obs", **_PRICES)
+SELECT sku, day_ix, raw_price, CASE WHEN NOT nulled THEN raw_price END AS price, nulled FROM cleaned""", "price_scans", **_PRICES)
 
 
 @query(QUERIES, "dp36_nulled_counts")
@@ -247,7 +247,7 @@ def dp36_counts(spark, sf):
 
 
 ORACLE["dp36_nulled_counts"] = sql("""
-SELECT sku, count(*) FILTER (WHERE nulled) AS nulled, count(*) FILTER (WHERE NOT nulled) AS kept FROM cleaned GROUP BY sku""", "price_obs", **_PRICES)
+SELECT sku, count(*) FILTER (WHERE nulled) AS nulled, count(*) FILTER (WHERE NOT nulled) AS kept FROM cleaned GROUP BY sku""", "price_scans", **_PRICES)
 
 
 @query(QUERIES, "dp38_sales")
@@ -261,7 +261,7 @@ SELECT sku, sold, restocked, CAST(floor(sold * modal * 100 + 0.5) AS BIGINT) AS
        CAST(floor(sold * modal * 0.3::DOUBLE * 100 + 0.5) AS BIGINT) AS margin_cents
 FROM (SELECT sku, CAST(coalesce(sum(CASE WHEN d < 0 THEN -d END), 0) AS BIGINT) AS sold, CAST(coalesce(sum(CASE WHEN d > 0 THEN d END), 0) AS BIGINT) AS restocked
       FROM (SELECT sku, stock - lag(stock) OVER (PARTITION BY sku ORDER BY day_ix) AS d FROM rd WHERE stock IS NOT NULL) x GROUP BY sku) s JOIN modal USING (sku)""",
-    "price_obs", **_p("modal"))
+    "price_scans", **_p("modal"))
 
 _VARIANTS = ["Ground / 12oz", "Whole Bean / 5lb", "12 Pack", "Ground / 7oz", "Gift card"]
 
@@ -284,8 +284,11 @@ _SECOND = {
 SELECT 'Blend ' || CAST(l_suppkey % 30 AS VARCHAR) || CASE WHEN l_suppkey % 7 = 0 THEN ' Kcup' ELSE '' END AS product,
        [{_list(_VARIANTS)}][l_linenumber % 5 + 1] AS variant, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_orderkey * 100000 + l_partkey AS seq,
        struct_pack(p := CASE WHEN l_quantity <> 1 THEN (10 + l_suppkey % 15 + 0.99)::DOUBLE END, c := (8 + l_partkey % 20 + 0.5)::DOUBLE,
-         s := CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_linestatus = 'O' AND l_quantity % 9 <> 0 THEN CAST(l_quantity AS BIGINT) END) AS r FROM lineitem""",
-    "kept2": "SELECT product, variant, day, arg_max(r, seq) AS r FROM obs2 GROUP BY product, variant, day",
+         s := CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_linestatus = 'O' AND l_quantity % 9 <> 0 THEN CAST(l_quantity AS BIGINT) END) AS r,
+       struct_pack(q := l_orderkey * 100000 + l_partkey, p := CASE WHEN l_quantity <> 1 THEN '$' || CAST(10 + l_suppkey % 15 AS VARCHAR) || '.99' ELSE '' END,
+         c := '$' || CAST(8 + l_partkey % 20 AS VARCHAR) || '.50', s := CASE WHEN l_quantity % 9 = 0 THEN 'many' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END,
+         t := CASE WHEN l_returnflag = 'R' THEN 'sold_out' WHEN l_linestatus = 'O' THEN 'in_stock' ELSE 'error' END) AS latest FROM lineitem""",
+    "kept2": "SELECT product, variant, day, arg_max(r, latest) AS r FROM obs2 GROUP BY product, variant, day",
     "rd2": "SELECT product, variant, day, r.s AS stock, r.p AS price, CASE WHEN r.c > r.p THEN r.c END AS compare_at FROM kept2",
 }
 
