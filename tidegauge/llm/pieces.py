@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,8 @@ class Codec:
             raise ValueError("a model that keeps blanks and adds a leading one is needed")
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
         self.score = {p.piece: p.score for p in proto.pieces if p.type == 1}
-        self.byte_ids = np.zeros(256, np.int32)
+        self.names = [p.piece for p in proto.pieces]
+        self.byte_ids = [0] * 256
         raw = []
         for i, p in enumerate(proto.pieces):
             if p.type == 6:
@@ -66,7 +68,7 @@ class Codec:
         self._automaton()
         self.breaks = "\n" not in self.known
         self.cut = self._cuts()
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.piece_start, self.piece_len, self.piece_bytes = batches.packed(raw)
         self.text_start, self.text_len, self.text_bytes = batches.packed([f"{i},".encode() for i in range(len(raw))])
         self._forget()
@@ -85,27 +87,37 @@ class Codec:
 
         self.find = ahocorasick.Automaton()
         for p in self.reachable:
-            self.find.add_word(p, len(p))
+            self.find.add_word(p, self.ids[p])
         self.find.make_automaton()
-        by_start = sorted(self.reachable)
-        self.shorter: dict[str, str | None] = {}
-        for p in by_start:
-            self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), None)
+        self.size = [0] * len(self.names)
+        self.shorter = [-1] * len(self.names)  # the next shorter piece with which a piece begins
+        for p in self.reachable:
+            self.size[self.ids[p]] = len(p)
+            self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reachable), -1)
 
     def _forget(self):
         self.memory = _Memory(self)
-        self.chunk_ids: list[np.ndarray] = []
-        self.starts = np.zeros(1024, np.int64)
-        self.lens = np.zeros(1024, np.int64)
-        self.flat = np.zeros(8192, np.int32)
-        self.used = 0
+        self.pending: list[str] = []
+        self.flat, self.starts, self.lens = array("i"), array("q"), array("q")
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a text by merging the best pair again and again; ties go to the left."""
+        score = self.score
+        if len(text) <= 24:
+            parts = list(text)
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    found = score.get(parts[i] + parts[i + 1])
+                    if found is not None and (best is None or found > best):
+                        best, at = found, i
+                if best is None:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            return parts
         left = list(range(-1, len(text) - 1))
         right = list(range(1, len(text) + 1))
         part: list[str | None] = list(text)
-        score = self.score
         heap = [(-score[text[i:i + 2]], i, text[i:i + 2]) for i in range(len(text) - 1) if text[i:i + 2] in score]
         heapq.heapify(heap)
         while heap:
@@ -122,95 +134,103 @@ class Codec:
                     heapq.heappush(heap, (-score[pair], a, pair))
         return [p for p in part if p is not None]
 
-    def fits(self, before: str, after: str) -> bool:
+    def fits(self, before: int, after: int) -> bool:
         """Whether two neighbours stay as they are when their joined text is merged again."""
         if len(self.apart) >= REMEMBERED * 2:
             self.apart.clear()
-        self.apart[before, after] = apart = self.merged(before + after) == [before, after]
+        pair = [self.names[before], self.names[after]]
+        self.apart[before << 32 | after] = apart = self.merged(pair[0] + pair[1]) == pair
         return apart
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text whose letters all belong to the model."""
-        if text.startswith(BLANK * 2):  # runs of blanks tie with each other, and only merging settles ties
-            return self.merged(text)
-        size, apart, shorter = len(text), self.apart, self.shorter
-        longest = [1] * size
-        for end, length in self.find.iter(text):
-            start = end - length + 1
-            if length > longest[start]:
-                longest[start] = length
-        open_ends = bytearray(b"\x01") * (size + 1)
-        out: list[str] = []
-        at = 0
-        piece: str | None = text[:longest[0]]
-        while at < size:
-            last = out[-1] if out else None
-            while piece is not None:
-                if open_ends[at + len(piece)]:
-                    if last is None:
+    def walk(self, longest: list[int], start: int, stop: int) -> list[int] | None:
+        """Ids from one place to another, given the longest piece that begins at each place."""
+        size, apart, shorter = self.size, self.apart, self.shorter
+        open_ends = bytearray(b"\x01") * (stop - start + 1)
+        out: list[int] = []
+        at, piece = start, longest[start]
+        while at < stop:
+            last = out[-1] if out else -1
+            while piece >= 0:
+                if open_ends[at + size[piece] - start]:
+                    if last < 0:
                         break
-                    fits = apart.get((last, piece))
+                    fits = apart.get(last << 32 | piece)
                     if fits is None:
                         fits = self.fits(last, piece)
                     if fits:
                         break
                 piece = shorter[piece]
-            if piece is None:
-                if last is None:
-                    return self.merged(text)
-                open_ends[at] = 0
+            if piece < 0:
+                if last < 0:
+                    return None
+                open_ends[at - start] = 0
                 out.pop()
-                at -= len(last)
+                at -= size[last]
                 piece = shorter[last]  # if there is none, the loop steps back once more
                 continue
             out.append(piece)
-            at += len(piece)
-            piece = text[at:at + longest[at]] if at < size else None
+            at += size[piece]
+            if at < stop:
+                piece = longest[at]
         return out
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        """Ids of one chunk; letters outside the model become the ids of their bytes."""
-        if self.known.issuperset(chunk):
-            return np.array([self.ids[p] for p in self.pieces(chunk)], np.int32)
-        out: list[int] = []
+    def chunks(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each chunk; letters outside the model become the ids of their bytes."""
+        joined = "\0".join(texts)
+        size = self.size
+        longest = [-1] * (len(joined) + 1)
+        for end, piece in self.find.iter(joined):  # of one start, longer pieces end later
+            longest[end - size[piece] + 1] = piece
         start = 0
-        for i, letter in enumerate(chunk):
-            if letter not in self.known:
-                if i > start:
-                    out += self.chunk(chunk[start:i]).tolist()
-                out += self.byte_ids[list(letter.encode("utf-8", "replace"))].tolist()
-                start = i + 1
-        if start < len(chunk):
-            out += self.chunk(chunk[start:]).tolist()
-        return np.array(out, np.int32)
+        for text in texts:
+            stop = start + len(text)
+            if not self.known.issuperset(text):
+                yield self._foreign(text)
+            elif text.startswith(BLANK * 2) or (found := self.walk(longest, start, stop)) is None:
+                yield [self.ids[p] for p in self.merged(text)]  # runs of blanks tie, which only merging settles
+            else:
+                yield found
+            start = stop + 1
+
+    def _foreign(self, text: str) -> list[int]:
+        parts = re.split(f"([^{re.escape(''.join(sorted(self.known & set(text))))}])", text) if self.known & set(text) else list(text)
+        inside = iter(self.chunks([p for p in parts if p and self.known.issuperset(p)]))
+        out: list[int] = []
+        for p in filter(None, parts):
+            out += next(inside) if self.known.issuperset(p) else [self.byte_ids[b] for b in p.encode("utf-8", "replace")]
+        return out
 
     def learn(self, chunk: str) -> int:
-        ids = self.chunk(chunk)
-        k, n = len(self.memory), len(ids)
-        self.memory[chunk] = k
-        if k >= len(self.starts):
-            self.starts, self.lens = np.resize(self.starts, 2 * k), np.resize(self.lens, 2 * k)
-        if self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + n))
-        self.starts[k], self.lens[k] = self.used, n
-        self.flat[self.used:self.used + n] = ids
-        self.used += n
+        self.memory[chunk] = k = len(self.memory)
+        self.pending.append(chunk)
         return k
 
+    def _settle(self):
+        """Encode the chunks met since the last time."""
+        for ids in self.chunks(self.pending):
+            self.starts.append(len(self.flat))
+            self.lens.append(len(ids))
+            self.flat.extend(ids)
+        self.pending.clear()
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text starts (one more at the end)."""
-        if len(self.memory) > REMEMBERED or self.used > 16 * REMEMBERED:
+        if len(self.memory) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
             self._forget()
-        counts = np.zeros(len(texts) + 1, np.int64)
-        parts = []
-        for i, text in enumerate(texts):
+        parts, bounds = [], [0]
+        for text in texts:
             if text:
                 chunks = self.cut.findall(BLANK + text.replace(" ", BLANK))
-                which = np.fromiter(map(self.memory.__getitem__, chunks), np.int64, len(chunks))
-                counts[i + 1] = self.lens[which].sum()
-                parts.append(which)
+                parts.append(np.fromiter(map(self.memory.__getitem__, chunks), np.int64, len(chunks)))
+            bounds.append(bounds[-1] + (len(parts[-1]) if text else 0))
+        if self.pending:
+            self._settle()
         which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return batches.gather(self.flat, self.starts[which], self.lens[which]), np.cumsum(counts)
+        if not len(which):
+            return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+        lens = np.frombuffer(self.lens, np.int64)[which]
+        ids = batches.gather(np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64)[which], lens)
+        return ids, np.concatenate([[0], np.cumsum(lens)])[bounds]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The text of each run of ids, as UTF-8."""
