@@ -7,7 +7,7 @@ import importlib
 
 from tidegauge.llm.batches import ready
 
-MODULES = ["pieces"]
+MODULES = ["pieces", "ngram_join"]
 
 
 def table(spark, sf_dir: str, name: str):
