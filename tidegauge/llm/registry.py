@@ -7,7 +7,7 @@ import importlib
 
 from tidegauge.llm.batches import ready
 
-MODULES = ["pieces", "ngram_join", "language", "quality"]
+MODULES = ["toxicity", "pieces", "ngram_join", "language", "quality"]
 
 
 def table(spark, sf_dir: str, name: str):
