@@ -7,7 +7,7 @@ import importlib
 
 from tidegauge.llm.batches import ready
 
-MODULES = ["toxicity", "pieces", "ngram_join", "language", "quality", "topk"]
+MODULES = ["toxicity", "pieces", "ngram_join", "language", "packing", "quality", "topk"]
 
 
 def table(spark, sf_dir: str, name: str):
