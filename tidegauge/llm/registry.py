@@ -7,7 +7,7 @@ import importlib
 
 from tidegauge.llm.batches import ready
 
-MODULES = ["toxicity", "licenses", "pieces", "ngram_join", "language", "urls", "packing", "quality", "topk"]
+MODULES = ["decontamination", "toxicity", "licenses", "pieces", "ngram_join", "language", "urls", "packing", "quality", "topk"]
 
 
 def table(spark, sf_dir: str, name: str):
