@@ -57,17 +57,21 @@ class Ordinal:
         """P(grade > k) for each threshold k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -40, 40)))
 
-    def sums(self, column: pa.Array) -> np.ndarray:
-        """The weighted sum of log counts of each text's features."""
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, occurrences) where a text holds a feature, in the order of the texts."""
         words, bounds = words_of(column)
-        n = len(bounds) - 1
         if not len(self.features) or not len(words):
-            return np.zeros(n)
+            return (np.zeros(0, np.int64),) * 3
         at = np.minimum(np.searchsorted(self.features, words), len(self.features) - 1)
         hit = np.flatnonzero(self.features[at] == words)
         doc = np.searchsorted(bounds, hit, "right") - 1
         cell, count = np.unique(doc * len(self.features) + at[hit], return_counts=True)
-        return np.bincount(cell // len(self.features), weights=np.log1p(count) * self.weights[cell % len(self.features)], minlength=n)
+        return cell // len(self.features), cell % len(self.features), count
+
+    def sums(self, column: pa.Array) -> np.ndarray:
+        """The weighted sum of log counts of each text's features."""
+        doc, feature, count = self.counts(column)
+        return np.bincount(doc, weights=np.log1p(count) * self.weights[feature], minlength=len(column))
 
 
 def descend(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -104,44 +108,49 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: i
     """The model of a sample of labelled rows of bounded number; None where one class is missing."""
     chosen = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
               .select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample))
-    chosen = cut_lineage(chosen)
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` pairs of numbers
+    plain = docs.select("doc_id", "text")
+    # of equal texts one teaches; at most ``sample`` pairs of numbers are broadcast
+    chosen = cut_lineage(plain.join(F.broadcast(cut_lineage(chosen)), "doc_id").groupBy(F.xxhash64("text"), "toxic").agg(F.min("doc_id").alias("doc_id"))
+                         .select("doc_id", "toxic"))
+    text = plain.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    totals = {r["toxic"]: r["n"] for r in text.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(totals) < 2:
+        return None
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches.sliced(parts, "text"):
+    def holding(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.sliced(parts, "text", 8 * batches.SLICE):
             words, bounds = words_of(part.column("text"))
             doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            order = np.lexsort((words, doc))
-            w, d = words[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
-            counts = np.diff(np.concatenate([first, [len(w)]]))
-            sizes = np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=part.num_rows))])
-            lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x)) for x in (w[first], counts.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), *lists], ["toxic", "words", "counts"])
-
-    rows = cut_lineage(text.mapInArrow(run, "toxic int, words array<long>, counts array<long>")
-                       .dropDuplicates(["toxic", "words", "counts"]).withColumn("row", F.monotonically_increasing_id()))
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
-        return None
-    long = rows.select("row", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "toxic", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+            word, at = np.unique(words, return_inverse=True)
+            cell = np.unique(at * part.num_rows + doc)  # each word of a document once
+            toxic = np.asarray(part.column("toxic"))[cell % part.num_rows] == 1
+            a, b = (np.bincount(cell[x] // part.num_rows, minlength=len(word)) for x in (toxic, ~toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (word, a, b)], ["word", "a", "b"])
+
     odds = F.log((F.col("a") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("b") + 0.5) / (totals[0] + 1.0))
-    top = (long.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= SUPPORT).withColumn("odds", odds)
+    top = (text.mapInArrow(holding, "word long, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+           .where(F.col("a") + F.col("b") >= SUPPORT).withColumn("odds", odds)
            .withColumn("z", F.abs("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
            .orderBy(F.desc("z"), "word").limit(features).select("word", "odds").collect())
     vocabulary = np.array(sorted(r["word"] for r in top), np.int64)
-    tells = {r["word"] for r in top if r["odds"] >= TELLING}
-    spark = docs.sparkSession
-    kept = long.join(F.broadcast(spark.createDataFrame([(int(w),) for w in vocabulary], "word long")), "word").select("row", "word", "c").toArrow()
-    plain = rows.select("row", "toxic").toArrow()
-    ids, toxic = np.asarray(plain["row"]), np.asarray(plain["toxic"])
-    by_id = np.argsort(ids)
-    at = by_id[np.searchsorted(ids[by_id], np.asarray(kept["row"]))] if kept.num_rows else np.zeros(0, np.int64)
-    word, count = np.asarray(kept["word"]), np.asarray(kept["c"])
-    heard = np.bincount(at, weights=count * np.isin(word, np.array(sorted(tells), np.int64)), minlength=len(ids))
+    tells = np.array(sorted(r["word"] for r in top if r["odds"] >= TELLING), np.int64)
+    found = Ordinal(vocabulary, np.zeros(len(vocabulary)), np.zeros(1))
+
+    def counting(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.sliced(parts, "text"):
+            doc, feature, count = found.counts(part.column("text"))
+            sizes = np.cumsum(np.bincount(doc + 1, minlength=part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, pa.int32())) for x in (feature, count))],
+                                             ["toxic", "feature", "count"])
+
+    rows = text.mapInArrow(counting, "toxic int, feature array<int>, count array<int>").toArrow()  # bounded by sample and features
+    toxic = np.asarray(rows["toxic"])
+    at = np.repeat(np.arange(len(toxic)), np.asarray(pa.compute.list_value_length(rows["feature"])))
+    feature, count = (np.asarray(pa.compute.list_flatten(rows[c])) for c in ("feature", "count"))
+    heard = np.bincount(at, weights=count * np.isin(vocabulary, tells)[feature], minlength=len(toxic))
     grades = np.where(toxic == 1, 1 + (heard >= GRADES[0]) + (heard >= GRADES[1]), 0)
     grades = np.searchsorted(np.unique(grades), grades)  # without gaps
-    weights, thresholds = descend(at, np.searchsorted(vocabulary, word), np.log1p(count), grades, len(vocabulary))
+    weights, thresholds = descend(at, feature, np.log1p(count), grades, len(vocabulary))
     return Ordinal(vocabulary, weights, thresholds)
 
 
@@ -164,3 +173,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None =
 
     kept = docs.select("doc_id", "text")
     return kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "severity double, chance double, toxic int"))
+
+
+def mild(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose chance of being toxic stays under ``at``; learned as in ``score_toxicity``."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinal = model.value
+        for part in batches.sliced(parts, "text"):
+            yield part.filter(pa.array(ordinal.chances(ordinal.sums(part.column("text")))[:, 0] < at)) if ordinal else part
+
+    return docs.mapInArrow(run, docs.schema)
