@@ -139,16 +139,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", at
     an empty one, an empty one has a score like any other, and rows with a null doc_id are scored
     but teach nothing. With fewer than two classes to learn from, every score is one half.
     """
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches.sliced(parts, "text"):
-            x = statistics(part.column("text"))
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), cells], ["doc_id", "x"])
-
-    docs = docs.select("doc_id", "text")
-    rows = cut_lineage(docs.mapInArrow(run, batches.schema_of(docs, ["doc_id"], "x array<double>")))
-    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label"))
-    model = fitted(rows.join(known, "doc_id"), "label")
+    rows = _measured(docs)
+    model = _learned(rows, labels, label)
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -157,3 +149,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", at
 
     scored = rows.mapInArrow(judge, batches.schema_of(rows, ["doc_id"], "score double"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, labels: DataFrame, label: str = "quality", at: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score at least ``at``; learned as in ``score_quality``."""
+    model = _learned(_measured(docs), labels, label)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.sliced(parts, "text"):
+            yield part.filter(pa.array(model.scores(statistics(part.column("text"))) >= at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the statistics of every row, written once."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.sliced(parts, "text"):
+            x = statistics(part.column("text"))
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), cells], ["doc_id", "x"])
+
+    kept = docs.select("doc_id", "text")
+    return cut_lineage(kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "x array<double>")))
+
+
+def _learned(rows: DataFrame, labels: DataFrame, label: str) -> Discriminant:
+    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label"))
+    return fitted(rows.join(known, "doc_id"), "label")
