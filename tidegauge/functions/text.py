@@ -52,8 +52,8 @@ def _tokens(cleaned: Column) -> Column:
     return F.filter(F.split(cleaned, r"\s+"), lambda t: F.length(t) > 0)
 
 
-def story_tokens(text: Column, *, opener_chars: int | None = 300) -> Column:
-    """Topic-bearing words of a description, by default of its opening part."""
+def story_tokens(text: Column, *, opener_chars: int | None = None) -> Column:
+    """Topic-bearing words of a description, or of its first letters only."""
     part = text if opener_chars is None else F.substring(text, 1, opener_chars)
     clean = F.regexp_replace(F.regexp_replace(F.lower(part), r"https?://\S+", " "), r"[^a-z\s']", " ")
     return F.filter(F.split(clean, r"\s+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))

@@ -9,47 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import cut_lineage
-
 _ACCURACY = 10000
-SORTABLE = 1_000_000  # rows a single task may sort
 
 
 def order_values(df: DataFrame, keys: list[str], value: str,
-                 targets: dict[str, tuple[float, Callable[[Column], Column]]], *,
-                 sort_up_to: int = SORTABLE) -> DataFrame:
-    """Exact ranked values per group, however large a group is.
-
-    `targets` maps an output name to (approximate fraction, n -> 1-based rank). The
-    values are kept as a table and counted; up to `sort_up_to` rows in all they are
-    simply ranked, beyond that they go through brackets.
-    """
-    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
-    if rows.count() <= sort_up_to:
-        return _ranked_values(rows, keys, targets)
-    return _bracketed_values(rows, keys, targets)
-
-
-def _ranked_values(rows: DataFrame, keys: list[str], targets: dict) -> DataFrame:
-    """Rank whole groups with a window; for a number of rows one task can sort."""
-    ranked = (rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_v")))
-              .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_rn") == rank(F.col("n")), F.col("_v"))).alias(name)
-          for name, (_, rank) in targets.items()])
-
-
-def _bracketed_values(rows: DataFrame, keys: list[str], targets: dict) -> DataFrame:
-    """Ranked values without gathering any group in one task.
+                 targets: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Exact ranked values per group, without gathering any group in one task.
 
-    A quantile sketch proposes narrow brackets around every wanted rank, rows are
-    counted per bracket, and only the bracket that really holds the rank is sorted.
-    The sketch decides how balanced the brackets are, never which value comes out.
+    `targets` maps an output name to (approximate fraction, n -> 1-based rank). A quantile
+    sketch proposes narrow brackets around every wanted rank, rows are counted per bracket, and
+    only the bracket that really holds the rank is sorted. The sketch decides how balanced the
+    brackets are, never which value comes out. Nothing runs before the result is asked for.
     """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
     fractions = sorted({min(1.0, max(0.0, p + d)) for p, _ in targets.values()
                         for d in (-2.0 / _ACCURACY, 2.0 / _ACCURACY)})
     sketch = rows.groupBy(*keys).agg(

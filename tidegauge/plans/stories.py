@@ -10,7 +10,7 @@ from tidegauge.session import cut_lineage
 
 
 def term_postings(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseline_days: int = 60,
-                  opener_chars: int | None = 300) -> DataFrame:
+                  opener_chars: int | None = None) -> DataFrame:
     """One row per (video, term) of the pool, marked recent or baseline."""
     pool = story_pool(videos, as_of=as_of, recent_days=recent_days, baseline_days=baseline_days)
     tokens = story_tokens(F.col("description"), opener_chars=opener_chars)

@@ -78,11 +78,12 @@ def survivors(topics: DataFrame, tags: DataFrame, promoted: DataFrame) -> DataFr
     return subjects.select("topic_id", "key").join(best, "key")
 
 
-def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame, *, rounds: int = 2) -> DataFrame:
+def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame) -> DataFrame:
     """Variant id -> canonical id: automatic name groups, overridden by the alias table, chains resolved.
 
-    A round joins the map with itself twice, each time doubling the reach, so two rounds
-    cover chains of sixteen steps. What still points at a variant then sits on a cycle and is dropped.
+    A round joins the map with itself and so doubles its reach. While a chain of any length is
+    unresolved, each round resolves some id of it; once a round resolves none, what still points at
+    a variant lies on a cycle or leads into one, and is left alone.
     """
     auto = survivors(topics, tags, promoted).where("topic_id <> best").select(
         F.col("topic_id").alias("variant"), F.col("best").alias("target"), F.lit(0).alias("_v"))
@@ -91,14 +92,15 @@ def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases:
               .select(F.col("variant_id").alias("variant"), F.col("topic_id").alias("target"), F.lit(1).alias("_v")))
     edges = cut_lineage(auto.unionByName(manual).groupBy("variant").agg(F.max_by("target", "_v").alias("target")))
 
-    def doubled(e: DataFrame) -> DataFrame:
-        step = e.select(F.col("variant").alias("target"), F.col("target").alias("beyond"))
-        return e.join(step, "target", "left").select("variant", F.coalesce("beyond", "target").alias("target"))
-
-    for _ in range(rounds):
-        edges = cut_lineage(doubled(doubled(edges)))
-    return edges.join(edges.select(F.col("variant").alias("target")), "target", "left_anti").select(
-        "variant", F.col("target").alias("canonical"))
+    open_before = -1
+    while True:
+        step = edges.select(F.col("variant").alias("target"), F.col("target").alias("beyond"))
+        joined = edges.join(step, "target", "left")
+        still_open = joined.where("beyond IS NOT NULL").count()
+        if still_open in (0, open_before):
+            return joined.where("beyond IS NULL").select("variant", F.col("target").alias("canonical"))
+        open_before = still_open
+        edges = cut_lineage(joined.select("variant", F.coalesce("beyond", "target").alias("target")))
 
 
 def invalid_aliases(aliases: DataFrame, topics: DataFrame) -> DataFrame:

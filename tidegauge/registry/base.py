@@ -14,7 +14,8 @@ CTES = {
 SELECT event_id, user_id, event_type, ts, props,
        CAST(floor(epoch(ts)/43200) AS BIGINT) AS slot_ix,
        CAST(round(value*100) AS BIGINT) AS cents,
-       {PUBLISHED} AS published_at
+       {PUBLISHED} AS stated_at,
+       least({PUBLISHED}, min(ts) OVER (PARTITION BY user_id)) AS published_at
 FROM events"""),
     "axis": (["ev"], """
 SELECT slot_ix, max(ts) AS captured_at,
@@ -23,13 +24,13 @@ SELECT slot_ix, max(ts) AS captured_at,
        CASE WHEN slot_ix % 2 = 0 THEN 'AM' ELSE 'PM' END AS slot
 FROM ev GROUP BY slot_ix"""),
     "per_slot": (["ev"], """
-SELECT user_id, slot_ix, sum(cents) AS cents,
+SELECT user_id, slot_ix, min(published_at) AS published_at, sum(cents) AS cents,
        sum(CASE WHEN event_type IN ('click','view') THEN cents ELSE 0 END) AS engaged,
        sum(CASE WHEN event_type = 'click' THEN cents ELSE 0 END) AS clicks
-FROM ev WHERE ts >= published_at GROUP BY user_id, slot_ix"""),
-    "grid": (["per_slot", "axis"], f"""
+FROM ev GROUP BY user_id, slot_ix"""),
+    "grid": (["per_slot", "axis"], """
 SELECT v.user_id AS video_id, v.published_at, a.slot_ix, a.captured_at, a.snap_ix, a.snap_date, a.slot
-FROM (SELECT user_id, {PUBLISHED} AS published_at FROM (SELECT DISTINCT user_id FROM per_slot) d) v
+FROM (SELECT user_id, min(published_at) AS published_at FROM per_slot GROUP BY user_id) v
 JOIN axis a ON a.slot_ix >= floor(epoch(v.published_at)/43200)"""),
     "readings": (["grid", "per_slot"], """
 SELECT video_id, published_at, slot_ix, captured_at, snap_ix, snap_date, slot,
@@ -44,9 +45,9 @@ FROM (SELECT g.*, CAST(sum(coalesce(p.cents,0)) OVER w AS BIGINT) AS total,
       FROM grid g LEFT JOIN per_slot p ON p.user_id = g.video_id AND p.slot_ix = g.slot_ix
       WINDOW w AS (PARTITION BY g.video_id ORDER BY g.slot_ix)) x
 WHERE (video_id + slot_ix) % 11 <> 0"""),
-    "videos": (["per_slot"], f"""
+    "videos": (["per_slot"], """
 SELECT user_id AS video_id, 'ch' || CAST(user_id % 5 AS VARCHAR) AS channel_id,
-       'Video ' || CAST(user_id AS VARCHAR) AS title, {PUBLISHED} AS published_at,
+       'Video ' || CAST(user_id AS VARCHAR) AS title, min(published_at) AS published_at,
        CAST(CASE WHEN user_id % 3 = 0 THEN 30 + user_id % 150 ELSE 200 + (user_id*37) % 3600 END AS BIGINT) AS duration_sec,
        CAST(sum(cents) // 100 AS BIGINT) AS views,
        CASE WHEN user_id % 13 <> 0 THEN CAST((sum(cents) + 2*sum(engaged)) // 1600 AS BIGINT) END AS likes,
@@ -137,7 +138,7 @@ def sql(body: str, *needs: str, **extra: str) -> str:
     done.update(extra)
     if not done:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({t.strip()})" for n, t in done.items()) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({t.strip()})" for n, t in done.items()) + "\n" + body.strip()
 
 
 def query(registry: dict, name: str):

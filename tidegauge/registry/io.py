@@ -325,7 +325,7 @@ def str1(spark, sf):
 
 ORACLE["str1_hourly_debut"] = sql("""
 SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_sec, user_id AS video_id, count(*) AS readings, max(cents) AS views
-FROM ev WHERE ts >= published_at AND epoch_us(ts) - epoch_us(published_at) <= 24 * 3600000000
+FROM ev WHERE ts >= stated_at AND epoch_us(ts) - epoch_us(stated_at) <= 24 * 3600000000
   AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 2 HOUR GROUP BY 1, 2""", "ev")
 
 

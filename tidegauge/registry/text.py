@@ -59,10 +59,9 @@ def _toks(text: str) -> str:
             f"lambda t: length(t) >= 3 AND NOT list_contains({_STOP}, t))")
 
 
-_TOK = f"SELECT *, {_toks('substring(description, 1, 300)')} AS t FROM text_videos"
 _TOK_WHOLE = f"SELECT *, {_toks('description')} AS t FROM text_videos"
 ORACLE["fn9_story_tokens"] = sql("""
-SELECT video_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token FROM toks""", "text_videos", toks=_TOK)
+SELECT video_id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token FROM toks""", "text_videos", toks=_TOK_WHOLE)
 
 
 @query(QUERIES, "fn10_bigrams")
@@ -273,7 +272,7 @@ FROM tagged""", "text_videos", **_TAGGING)
 # ---- stories ----
 
 
-def _story(spark, sf, opener=300):
+def _story(spark, sf, opener=None):
     v = T.text_videos(spark, sf)
     postings = ST.term_postings(v, as_of="2024-03-01 00:00:00", opener_chars=opener)
     sizes = ST.pool_sizes(ST.story_pool(v, as_of="2024-03-01 00:00:00"))
@@ -305,7 +304,7 @@ def dp21(spark, sf):
     return ST.term_spikes(postings, sizes).withColumn("ratio", F.round("ratio", 6))
 
 
-ORACLE["dp21_term_spikes"] = sql("SELECT * REPLACE (round(ratio, 6) AS ratio) FROM spikes", "text_videos", toks=_TOK, **_SPIKE)
+ORACLE["dp21_term_spikes"] = sql("SELECT * REPLACE (round(ratio, 6) AS ratio) FROM spikes", "text_videos", toks=_TOK_WHOLE, **_SPIKE)
 
 
 @query(QUERIES, "dp21_term_spikes_whole_text")

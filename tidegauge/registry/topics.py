@@ -92,8 +92,8 @@ FROM t_keys k LEFT JOIN counts c USING (topic_id) WHERE k.kind = 'subject' AND l
     "e0": """
 SELECT variant, target FROM manual UNION ALL
 SELECT r.topic_id, b.best FROM ranked r JOIN best b USING (key) WHERE r.topic_id <> b.best AND r.topic_id NOT IN (SELECT variant FROM manual)""",
-    **{f"e{i}": f"SELECT a.variant, coalesce(b.target, a.target) AS target FROM e{i-1} a LEFT JOIN e{i-1} b ON b.variant = a.target" for i in range(1, 5)},
-    "canon": "SELECT variant, target AS canonical FROM e4 WHERE target NOT IN (SELECT variant FROM e4)",
+    "chain": "SELECT variant, target FROM e0 UNION SELECT c.variant, e.target FROM chain c JOIN e0 e ON e.variant = c.target",
+    "canon": "SELECT variant, target AS canonical FROM chain WHERE target NOT IN (SELECT variant FROM e0)",
     "refiled": """
 SELECT t.video_id, coalesce(c.canonical, t.topic_id) AS topic_id, c.canonical IS NOT NULL AS moved FROM tags t LEFT JOIN canon c ON c.variant = t.topic_id""",
 }

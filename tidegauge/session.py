@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,34 +16,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    A private folder is only made up in local mode, where driver and executors
-    share one machine.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tidegauge-")
-    sc.setCheckpointDir(made)
-    return made
-
-
-def calendar_sized(df: DataFrame) -> DataFrame:
-    """Mark a frame with at most a few rows per calendar day (snapshot axes, day lists) for broadcast.
-
-    Twenty years of half-days are 14,600 short rows, under a megabyte however large the
-    facts are; the planner cannot see that, since it sizes an aggregate by its input.
-    """
-    return F.broadcast(df)
+    """The folder all executors can reach, as the cluster names it; else one in the warehouse, which they share too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidegauge-steps"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one written table in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidegauge.session import calendar_sized
-
 SLOT_SECONDS = 43200  # half a day
 
 
@@ -27,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give expensive per-row work at least as many tasks as there are cores.
-
-    Only a table of fewer splits than cores (some megabytes a core) is shuffled for
-    it; anything larger is already split finely enough and passes untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def epoch(ts: Column) -> Column:
     """Whole seconds since 1970 of a UTC timestamp."""
     return F.unix_seconds(ts.cast("timestamp"))
@@ -90,9 +78,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("bigint")
     engaged = F.col("event_type").isin("click", "view")
     per_slot = (
-        events.where(ts >= published_of(F.col("user_id")))
-        .groupBy(F.col("user_id").alias("video_id"), slot_of(F.col("ts")).alias("event_slot"))
-        .agg(F.sum(cents).alias("cents"),
+        events.groupBy(F.col("user_id").alias("video_id"), slot_of(F.col("ts")).alias("event_slot"))
+        .agg(F.min(ts).alias("first_ts"), F.sum(cents).alias("cents"),
              F.sum(F.when(engaged, cents).otherwise(0)).alias("engaged_cents"),
              F.sum(F.when(F.col("event_type") == "click", cents).otherwise(0)).alias("click_cents")))
     running = Window.partitionBy("video_id").orderBy("event_slot")
@@ -104,7 +91,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("click_total", F.sum("click_cents").over(running))
         .withColumn("next_slot", F.lead("event_slot").over(running))
         .withColumn("is_first", F.row_number().over(running) == 1)
-        .withColumn("published_at", published_of(F.col("video_id"))))
+        .withColumn("published_at", F.least(published_of(F.col("video_id")), F.min("first_ts").over(Window.partitionBy("video_id")))))
     # Each reading holds until the next one; the first also covers the empty slots
     # since publication, so the dense series needs no join against a grid.
     start = F.when(F.col("is_first"), slot_of(F.col("published_at"))).otherwise(F.col("event_slot"))
@@ -125,7 +112,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
             units("click_total", 2000).alias("comments"),
             channel_of(video).alias("channel_id"),
             short_of(video).alias("is_short"))
-        .join(calendar_sized(axis), "slot_ix"))
+        .join(axis, "slot_ix"))
     return snapshot_clock(out)
 
 
@@ -135,16 +122,15 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("bigint")
     video = F.col("video_id")
     seen = (
-        events.where(F.col("ts").cast("timestamp") >= published_of(F.col("user_id")))
-        .groupBy(F.col("user_id").alias("video_id"))
-        .agg(F.sum(cents).alias("total"),
+        events.groupBy(F.col("user_id").alias("video_id"))
+        .agg(F.min(F.col("ts").cast("timestamp")).alias("first_ts"), F.sum(cents).alias("total"),
              F.sum(F.when(F.col("event_type").isin("click", "view"), cents).otherwise(0)).alias("engaged_total"),
              F.sum(F.when(F.col("event_type") == "click", cents).otherwise(0)).alias("click_total")))
     return seen.select(
         video,
         channel_of(video).alias("channel_id"),
         F.concat(F.lit("Video "), video.cast("string")).alias("title"),
-        published_of(video).alias("published_at"),
+        F.least(published_of(video), F.col("first_ts")).alias("published_at"),
         F.when(short_of(video), 30 + video % 150).otherwise(200 + (video * 37) % 3600).cast("bigint").alias("duration_sec"),
         F.expr("total div 100").alias("views"),
         F.when(video % 13 != 0, F.expr("(total + 2 * engaged_total) div 1600")).alias("likes"),
@@ -184,7 +170,7 @@ def text_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as catalogue entries: the first line is the title, the text the description."""
     doc = F.col("doc_id")
     day = F.date_sub(F.lit(TEXT_AS_OF).cast("date"), (doc % 60).cast("int"))
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars").select(
         doc.alias("video_id"), F.col("source").alias("channel_id"),
         F.split(F.col("text"), "\n")[0].alias("title"),
         F.col("text").alias("description"),
@@ -198,7 +184,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     lines = F.split(F.col("text"), "\n")
     first = F.lit("2020-05-01").cast("date")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text").select(
         doc.alias("video_id"), F.col("source").alias("channel_id"),
         F.concat(F.lit("Talk "), doc.cast("string")).alias("title"),
         F.date_add(first, ((doc * 3) % 900).cast("int")).cast("timestamp").alias("published_at"),
@@ -243,7 +229,7 @@ def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(count))
     scans = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
-    return spread(scans).select(
+    return scans.select(
         F.concat(F.lit("S"), sku.cast("string")).alias("sku"),
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("day"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("seq"),
