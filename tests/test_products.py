@@ -127,3 +127,28 @@ def test_alias_chains_cycles_and_unknown_targets(spark):
     again = topics.refile(topics.refile(tags, topics.canon_map(t, tags, none, al)).select("video_id", "topic_id"), topics.canon_map(t, tags, none, al))
     assert again.where("moved").count() == 0
     assert [r.topic_id for r in topics.invalid_aliases(al, t).collect()] == ["nowhere"]
+
+
+def test_a_corrected_record_does_not_split_a_burst(spark):
+    views, rows = 0, []
+    for i, gain in enumerate([10] * 6 + [900, 900] + [10] * 6):
+        views += gain
+        rows.append((1, 5 + i // 2, "AM" if i % 2 == 0 else "PM", views, "2023-12-01"))
+    r = _readings(spark, rows)
+    late = F.col("snap_ix") >= 15
+    r = r.withColumns({"published_at": F.when(late, F.col("published_at") + F.expr("interval 1 second")).otherwise(F.col("published_at")),
+                       "channel_id": F.when(late, "d").otherwise("c"), "is_short": ~late})
+    got = spikes.ad_bursts(r, spark.createDataFrame([(1,)], "video_id long")).collect()
+    assert [(b.channel_id, b.views) for b in got] == [("d", 1780)]
+
+
+@pytest.mark.parametrize("length", [1, 3, 17, 200])
+def test_alias_chains_of_any_length(spark, length):
+    names = spark.createDataFrame([(f"t{i:03d}", f"name {i:03d} x", "subject") for i in range(length + 6)], "topic_id string, name string, kind string").selectExpr(
+        "*", "CAST(NULL AS ARRAY<STRING>) AS related", "CAST(NULL AS ARRAY<STRING>) AS claims")
+    cycle = [f"t{length + k:03d}" for k in range(1, 6)]
+    links = [(f"t{i:03d}", f"t{i + 1:03d}") for i in range(length)]
+    links += [(cycle[0], cycle[1]), (cycle[1], cycle[0]), (cycle[2], cycle[3]), (cycle[3], cycle[4]), (cycle[4], cycle[2]), ("in", cycle[0])]
+    none = spark.createDataFrame([], "video_id long, topic_id string")
+    got = topics.canon_map(names, none, none.select("topic_id"), spark.createDataFrame(links, "variant_id string, topic_id string")).collect()
+    assert {(r.variant, r.canonical) for r in got} == {(f"t{i:03d}", f"t{length:03d}") for i in range(length)}

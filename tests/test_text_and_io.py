@@ -97,3 +97,9 @@ def test_sinks(spark, tmp_path):
     sinks.append_new_slots(df.where("month = '2024-01'"), slots, slot=["month"])
     sinks.append_new_slots(df.withColumn("v", F.lit(-1).cast("long")), slots, slot=["month"])
     assert {(r.month, r.v) for r in spark.read.parquet(slots).collect()} == {("2024-01", 1), ("2024-02", -1)}
+
+
+def test_folding_reaches_all_compatible_letters(spark):
+    names = ["Nguyễn Văn", "Ｆull ﬁt", "Ĳssel ①", "naïve Ørsted", "plain"]
+    got = [r.s for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(text.slug(F.col("n")).alias("s")).collect()]
+    assert got == ["nguyen-van", "full-fit", "ijssel-1", "naive-rsted", "plain"]

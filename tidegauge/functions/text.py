@@ -25,17 +25,20 @@ NUMBER_WORDS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
                 "eight": "8", "nine": "9", "ten": "10"}
 
 
-def _accent_table() -> tuple[str, str]:
-    """Latin letters that decompose to one plain letter plus marks, and those letters."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(parts) == 1 and parts[0] != chr(code) and ord(parts[0]) < 128:
-            pairs.append((chr(code), parts[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _compatible() -> dict[str, str]:
+    """Letters whose compatibility decomposition, without its marks, is plain ASCII; built from the Unicode tables."""
+    found = {}
+    for code in range(0x80, 0x20000):  # no letter beyond has such a form
+        if not 0xD800 <= code < 0xE000:
+            plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+            if plain and plain != chr(code) and plain.isascii():
+                found[chr(code)] = plain
+    return found
 
 
-_ACCENTED, _PLAIN = _accent_table()
+_PLAIN = _compatible()
+_SINGLE = {k: v for k, v in _PLAIN.items() if len(v) == 1}
+_SEVERAL = {k: v for k, v in _PLAIN.items() if len(v) > 1}
 
 
 def bound(value: Column, body) -> Column:
@@ -44,8 +47,11 @@ def bound(value: Column, body) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Strip accents from Latin letters; combining marks already split off are dropped."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), "[̀-ͯ]", "")
+    """Compatibility forms of ASCII letters (accents, full width, ligatures) to those letters; loose marks are dropped."""
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    spelled = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), F.array_join(letters, "")).otherwise(text)
+    return F.regexp_replace(F.translate(spelled, "".join(_SINGLE), "".join(_SINGLE.values())), "[̀-ͯ]", "")
 
 
 def _tokens(cleaned: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions.numbers import is_short
 from tidegauge.operators.blocks import previous_row, streaks
 
 
@@ -21,13 +22,15 @@ def apply_observations(catalogue: DataFrame, answers: DataFrame, *, as_of: str)
     """Bring the catalogue up to date with one pass of answers.
 
     An id without an answer keeps its last-known figures and becomes unavailable
-    (the first such time is kept); an answer clears the flag.
+    (the first such time is kept); an answer clears the flag and settles the format anew.
     """
     figures = ["views", "likes", "comments", "duration_sec"]
     heard = answers.select("video_id", *[F.col(c).alias(f"new_{c}") for c in figures], F.lit(True).alias("heard"))
     j = catalogue.join(heard, "video_id", "left").withColumn("heard", F.coalesce("heard", F.lit(False)))
     now = F.lit(as_of).cast("timestamp")
     rest = [c for c in catalogue.columns if c not in (*figures, "unavailable", "unavailable_since")]
+    if "is_short" in rest:
+        j = j.withColumn("is_short", F.when(F.col("heard"), is_short(F.col("new_duration_sec"), F.col("published_at"))).otherwise(F.col("is_short")))
     return j.select(
         *rest,
         *[F.when(F.col("heard"), F.col(f"new_{c}")).otherwise(

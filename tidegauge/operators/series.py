@@ -30,6 +30,13 @@ def last_read_of_day(readings: DataFrame) -> DataFrame:
         F.max_by("views", "slot").alias("views"))
 
 
+def settled(readings: DataFrame) -> DataFrame:
+    """Each reading with the format, channel and publish time of its video's newest reading."""
+    kept = ["channel_id", "published_at", "is_short"]
+    newest = F.max_by(F.struct(*kept), "snap_ix").over(Window.partitionBy("video_id"))
+    return readings.withColumn("_newest", newest).withColumns({c: F.col(f"_newest.{c}") for c in kept}).drop("_newest")
+
+
 def nominal_time(day: Column, slot: Column) -> Column:
     """Nominal clock in days: AM is the start of the day, PM its middle."""
     return F.datediff(day, F.lit("1970-01-01")) + F.when(slot == "PM", 0.5).otherwise(0.0)

@@ -114,7 +114,8 @@ def nulled_counts(cleaned: DataFrame) -> DataFrame:
 
 
 def second_store(obs: DataFrame) -> DataFrame:
-    """Aligned readings of the shop with (product, variant) keys and a compare-at price."""
+    """Aligned readings of the shop with tidied (product, variant) keys and a compare-at price."""
+    obs = obs.withColumns({c: tidy_label(F.col(c)) for c in ("product", "variant")})
     kept = last_readings(obs, ["product", "variant"])
     status, stock = F.trim("status"), F.trim("stock")
     price = money(F.col("price")).cast("double")

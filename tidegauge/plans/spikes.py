@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import half_even, half_up
-from tidegauge.operators.series import adjacent_intervals, gap_tolerant_runs, latest_run, own_intervals
+from tidegauge.operators.series import adjacent_intervals, gap_tolerant_runs, latest_run, own_intervals, settled
 
 
 def ad_bursts(readings: DataFrame, ads: DataFrame, *, entangle_days: int = 3, min_views: int = 200,
               min_rate: float = 300.0, base_mult: float = 3.0, gap_tol: int = 2, min_readings: int = 3) -> DataFrame:
     """Burst runs of every advertised long-form video."""
-    roster = readings.where(~F.col("is_short")).join(ads.select("video_id"), "video_id", "left_semi")
+    roster = settled(readings.join(ads.select("video_id"), "video_id", "left_semi")).where(~F.col("is_short"))
     per_video = Window.partitionBy("video_id")
     steps = (
         adjacent_intervals(roster).where(F.col("n_points") >= min_readings)
@@ -50,7 +50,7 @@ def spike_events(readings: DataFrame, *, min_readings: int = 6, elev_ratio: floa
                  elev_floor: float = 300) -> DataFrame:
     """The latest run of elevated intervals of each long-form video, above its own dormant rate."""
     per_video = Window.partitionBy("video_id")
-    steps = own_intervals(readings.where(~F.col("is_short"))).where(F.col("n_points") >= min_readings)
+    steps = own_intervals(settled(readings).where(~F.col("is_short"))).where(F.col("n_points") >= min_readings)
     ranked = (steps.withColumn("rank", F.row_number().over(per_video.orderBy("rate")))
               .withColumn("n", F.count(F.lit(1)).over(per_video)))
     low = F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2)), F.col("rate"))

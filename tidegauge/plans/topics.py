@@ -174,8 +174,8 @@ def backfill(raw: DataFrame, tags: DataFrame, topics: DataFrame, canon: DataFram
 
 
 def new_definitions(filed: DataFrame) -> DataFrame:
-    """Topic definitions created by a backfill, with their colour."""
-    return (filed.where("how = 'created'").groupBy("topic_id").agg(F.any_value("topic_name").alias("name"))
+    """Topic definitions created by a backfill, with their colour; keys of one slug share the name of the lowest video id."""
+    return (filed.where("how = 'created'").groupBy("topic_id").agg(F.min_by("topic_name", "video_id").alias("name"))
             .select("topic_id", "name", name_colour(F.col("name")).alias("colour"), F.lit("subject").alias("kind")))
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import days_between, half_even
-from tidegauge.operators.series import adjacent_intervals
+from tidegauge.operators.series import adjacent_intervals, settled
 from tidegauge.operators.stats import interpolated_median, with_scopes
 
 
 def live_overlay(readings: DataFrame, videos: DataFrame) -> DataFrame:
-    """Availability and format come from the live catalogue, which is fresher than snapshots."""
+    """Availability comes from the live catalogue, which is fresher than snapshots."""
     live = videos.select("video_id", F.col("unavailable").alias("_gone"))
     return readings.join(live, "video_id", "left").withColumn(
         "unavailable", F.coalesce("_gone", F.lit(False))).drop("_gone")
@@ -22,7 +22,7 @@ def launch_points(readings: DataFrame, videos: DataFrame, *, tracking_start: str
     age = days_between(F.col("published_at"), F.col("captured_at"))
     order = Window.partitionBy("video_id").orderBy("age", "views")
     points = (
-        live_overlay(readings, videos)
+        live_overlay(settled(readings), videos)
         .where(~F.col("is_short") & ~F.col("unavailable")
                & (F.to_date("published_at") >= F.lit(tracking_start).cast("date")))
         .select("video_id", "channel_id", "published_at", "views", age.alias("age"))
@@ -61,7 +61,7 @@ def movers(readings: DataFrame, videos: DataFrame, ads: DataFrame, snaps: DataFr
            flat: float = 100, move: float = 300, spike: float = 3, week_checks: int = 14) -> DataFrame:
     """Videos whose gains were flat and then jumped (per-check gains, not rates)."""
     newest_first = Window.partitionBy("video_id").orderBy(F.desc("snap_ix"))
-    gains = (adjacent_intervals(live_overlay(readings, videos))
+    gains = (adjacent_intervals(live_overlay(settled(readings), videos))
              .where(~F.col("is_short") & ~F.col("unavailable"))
              .withColumn("rn", F.row_number().over(newest_first)))
     shape = gains.groupBy("video_id", "channel_id", "published_at").agg(

@@ -63,7 +63,8 @@ def cat2(spark, sf):
 ORACLE["cat2_apply_observations"] = sql("""
 SELECT s.video_id, CASE WHEN f.video_id IS NOT NULL THEN f.views ELSE s.views END AS views,
        CASE WHEN f.video_id IS NOT NULL THEN f.likes ELSE s.likes END AS likes,
-       CASE WHEN f.video_id IS NOT NULL THEN f.comments ELSE s.comments END AS comments, s.is_short,
+       CASE WHEN f.video_id IS NOT NULL THEN f.comments ELSE s.comments END AS comments,
+       CASE WHEN f.video_id IS NOT NULL THEN coalesce(f.duration_sec > 0 AND f.duration_sec <= 180 AND s.published_at >= TIMESTAMP '2021-03-18', FALSE) ELSE s.is_short END AS is_short,
        f.video_id IS NULL AS unavailable,
        CASE WHEN f.video_id IS NULL THEN CASE WHEN s.unavailable THEN '2024-01-05' ELSE '2024-02-01' END END AS unavailable_since
 FROM stored s LEFT JOIN fresh f USING (video_id)""", "order_videos", stored=_OLD, fresh=_NEW)

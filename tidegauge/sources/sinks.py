@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def land_readings(readings: DataFrame, path: str) -> None:
-    """Keep the archive as a table partitioned by snapshot date, so products prune by day."""
-    readings.hint("rebalance", "snap_date").write.mode("append").partitionBy("snap_date").parquet(path)
+    """Keep the archive as a table partitioned by snapshot date, so products prune by day; landing a day again replaces it."""
+    (readings.hint("rebalance", "snap_date").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("snap_date").parquet(path))
 
 
 def write_product(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
