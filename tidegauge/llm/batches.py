@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,10 @@ def ready(spark: SparkSession) -> SparkSession:
     """Session settings of these operators: those of the library and small Arrow batches."""
     spark = prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
+    root = str(Path(__file__).resolve().parents[2])  # workers on this machine find the package as the driver does
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
     return spark
 
 

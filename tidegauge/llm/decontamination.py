@@ -193,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, reca
     """
     kept = docs.select("doc_id", "text")
     schema = batches.schema_of(kept, ["doc_id"], "item_id long, first_word long, edits int, item_words int")
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = None
     for items in item_blocks(benchmark, share, recall):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -206,7 +206,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, reca
                     [part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([items.ids[i] for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()),
                      pa.array(cols[3], pa.int32()), pa.array([len(items.words[i]) for i in cols[1]], pa.int32())], schema.names)
 
-        out = out.union(kept.mapInArrow(run, schema))
+        found = kept.mapInArrow(run, schema)
+        out = found if out is None else out.union(found)
     return out
 
 

@@ -154,7 +154,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: i
     return Ordinal(vocabulary, weights, thresholds)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, at: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None = None, at: float = 0.25) -> DataFrame:
     """(doc_id, severity, chance, toxic) for every row of ``docs`` (doc_id, text).
 
     ``severity`` is the expected grade, ``chance`` that of any grade above 0, and ``toxic`` is 1 from
@@ -175,7 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: DataFrame | None =
     return kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "severity double, chance double, toxic int"))
 
 
-def mild(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
+def mild(docs: DataFrame, labels: DataFrame, at: float = 0.25) -> DataFrame:
     """The rows of ``docs``, with all columns, whose chance of being toxic stays under ``at``; learned as in ``score_toxicity``."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
