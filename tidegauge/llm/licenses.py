@@ -55,18 +55,23 @@ def _anywhere(phrases: list[str]) -> str:
 
 def base_columns(text: Column, phrases: list[tuple[str, str]] = PHRASES) -> dict[str, Column]:
     """Count of words, of places of phrases, their first and last word, and their labels, row by row."""
-    words = words_of(text)
     hits = text.rlike(_anywhere([p for _, p in phrases]))
-    def at(i):
-        found = F.lit(False)
-        for _, phrase in phrases:
-            one = F.lit(True)
-            for k, word in enumerate(phrase.split()):
-                one = one & (F.get(words, i + k) == word)
-            found = found | F.coalesce(one, F.lit(False))
-        return found
-    # only texts with a hit are taken apart
-    places = F.when(hits, F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
+
+    def standing(words):
+        def at(i):
+            found = F.lit(False)
+            for _, phrase in phrases:
+                one = F.lit(True)
+                for k, word in enumerate(phrase.split()):
+                    one = one & (F.get(words, i + k) == word)
+                found = found | F.coalesce(one, F.lit(False))
+            return found
+
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)
+
+    # only texts with a hit are taken apart, each once: the outer lambda holds its words
+    taken = F.get(F.transform(F.array(words_of(text)), standing), F.lit(0))
+    places = F.when(hits, taken).otherwise(F.array().cast("array<int>"))
     labels = F.filter(F.array(*[F.when(text.rlike(_anywhere([p])), F.lit(label)) for label, p in phrases]), lambda x: x.isNotNull())
     return {"n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "places": places, "base": F.when(hits, labels).otherwise(F.array().cast("array<string>"))}
 
