@@ -107,8 +107,9 @@ def title_ledger(observations: DataFrame) -> DataFrame:
                                           F.max_by("title", "pass_id").alias("current_title"))
 
 
-def title_summary(observations: DataFrame) -> DataFrame:
-    """Videos tracked, videos ever re-titled, changes in total."""
+def title_summary(observations: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Videos tracked, videos ever re-titled, changes in total; ids gone from the catalogue are pruned."""
+    observations = observations.join(catalogue.select("video_id"), "video_id", "left_semi")
     changes = title_changes(observations).groupBy("video_id").agg(F.count(F.lit(1)).alias("c"))
     return (title_ledger(observations).join(changes, "video_id", "left").agg(
         F.count(F.lit(1)).alias("tracked"), F.count("c").alias("retitled"),

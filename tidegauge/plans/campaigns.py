@@ -42,10 +42,12 @@ def merge_creatives(history: DataFrame, capture: DataFrame, *, seen: str) -> Dat
 
 
 def campaign_rollup(creatives: DataFrame) -> DataFrame:
-    """Per video: number of runs, number of complete windows, first and last day shown."""
+    """Per video: runs, complete windows and their list (bounded by the calendar), first and last day shown."""
     whole = F.col("first_day").isNotNull() & F.col("last_day").isNotNull()
+    span = F.concat(F.date_format("first_day", "yyyy-MM-dd"), F.lit(".."), F.date_format("last_day", "yyyy-MM-dd"))
     return (creatives.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(whole).alias("windows"),
+        F.array_join(F.sort_array(F.collect_set(F.when(whole, span))), ",").alias("spans"),
         F.min(F.when(whole, F.col("first_day"))).alias("first_day"),
         F.max(F.when(whole, F.col("last_day"))).alias("last_day")))
 

@@ -84,7 +84,8 @@ def cat17(spark, sf):
 
 
 ORACLE["cat17_campaign_rollup"] = sql("""
-SELECT video_id, count(*) AS runs, count(*) AS windows, strftime(min(first_day), '%Y-%m-%d') AS first_day,
+SELECT video_id, count(*) AS runs, count(*) AS windows,
+       array_to_string(list_sort(list(DISTINCT strftime(first_day, '%Y-%m-%d') || '..' || strftime(last_day, '%Y-%m-%d'))), ',') AS spans, strftime(min(first_day), '%Y-%m-%d') AS first_day,
        strftime(max(last_day), '%Y-%m-%d') AS last_day FROM merged GROUP BY video_id""", "creatives", **_MERGE)
 
 

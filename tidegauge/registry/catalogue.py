@@ -164,12 +164,12 @@ FROM title_obs WHERE length(title) > 0 GROUP BY video_id""", "title_obs")
 
 @query(QUERIES, "cat9_title_summary")
 def cat9(spark, sf):
-    return C.title_summary(T.title_observations(spark, sf))
+    return C.title_summary(T.title_observations(spark, sf), T.text_videos(spark, sf).where(_key() % 7 != 0))
 
 
 ORACLE["cat9_title_summary"] = sql("""
-SELECT (SELECT count(DISTINCT video_id) FROM title_obs WHERE length(title) > 0) AS tracked,
-       count(DISTINCT video_id) AS retitled, count(*) AS changes FROM tc""", "title_obs", **_TITLES)
+SELECT (SELECT count(DISTINCT video_id) FROM title_obs WHERE length(title) > 0 AND video_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)) AS tracked,
+       count(DISTINCT video_id) AS retitled, count(*) AS changes FROM tc WHERE video_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)""", "title_obs", **_TITLES)
 
 
 @query(QUERIES, "cat10_descriptions")
