@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import packing, pieces
 from tidegauge.llm.batches import ready
+from tidegauge.llm.queries.packing import vocabulary
 from tidegauge.llm.queries.pieces import model_path
 
 TEXTS = [None, "", " ", "   ", "a", "The cat sat.\nOn  the mat!", "日本語 and ελληνικά", "😀😀 x", "▁▁ ▁", "tab\there", "a" * 5000, " lead", "trail ", "<s> <0x0A> </s>",
@@ -88,8 +89,10 @@ def test_fits_like_a_plain_search():
             assert used[at] <= row
 
 
-def test_packed_rows_hold_every_document(docs, library):
-    packed = packing.packed(docs, model_path(), row=64, fill=7, group=2000).cache()
+def test_packed_rows_hold_every_document(docs):
+    with open(vocabulary()[0], "rb") as f:
+        encode = packing.encoder_of(f.read(), vocabulary()[1]).encode_ordinary
+    packed = packing.packed(docs, *vocabulary(), row=64, fill=7, group=2000).cache()
     rows = packed.collect()
     for r in rows:
         lens = [b - a for a, b in zip(r.cu_lens[:-1], r.cu_lens[1:])]
@@ -102,13 +105,13 @@ def test_packed_rows_hold_every_document(docs, library):
         back.setdefault(r.doc_id, []).append((r.part, r.ids))
     for i, text in enumerate(TEXTS):
         ids = [x for _, part in sorted(back.get(None if i == 3 else i, [])) for x in part]
-        assert ids == library.encode(text or "")
-    assert packing.packed(docs.limit(0), model_path()).count() == 0
-    again = packing.packed(docs.repartition(5), model_path(), row=64, fill=7, group=2000)
+        assert ids == encode(text or "")
+    assert packing.packed(docs.limit(0), *vocabulary()).count() == 0
+    again = packing.packed(docs.repartition(5), *vocabulary(), row=64, fill=7, group=2000)
     key = ["pack_group", "pack_row", F.hex("ids").alias("ids"), "cu_lens", "doc_ids", "parts"]
     assert sorted(map(str, again.select(*key).collect())) == sorted(map(str, packed.select(*key).collect()))
 
 
 def test_written_rows_are_read_again(docs, tmp_path, spark):
-    packing.write(docs, model_path(), str(tmp_path / "rows"), row=128)
-    assert spark.read.parquet(str(tmp_path / "rows")).agg(F.sum("n_ids")).first()[0] == pieces.digests(docs, model_path()).agg(F.sum("n_tokens")).first()[0]
+    packing.write(docs, *vocabulary(), str(tmp_path / "rows"), row=128)
+    assert spark.read.parquet(str(tmp_path / "rows")).agg(F.sum("n_ids")).first()[0] == packing.pieces(docs, *vocabulary()).agg(F.sum(F.size("ids"))).first()[0]

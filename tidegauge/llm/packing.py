@@ -10,6 +10,8 @@ segments, and the position of each id, which starts anew with every segment.
 
 from __future__ import annotations
 
+import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import batches
-from tidegauge.llm.pieces import _model, codec_of
 from tidegauge.session import cut_lineage
 
 #: Ids in a packed row, the id that fills it up, and ids in a group that is packed together, about.
@@ -72,14 +73,27 @@ def fitted(lengths: list[int], row: int) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, model_path: str, row: int = ROW) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def encoder_of(ranks: bytes, pattern: str):
+    """One byte-level encoder per worker and vocabulary (a line of base64 text and rank for each entry)."""
+    import tiktoken
+
+    table = {base64.b64decode(text): int(rank) for text, rank in map(bytes.split, ranks.splitlines())}
+    if max(table.values()) >= 1 << 16:
+        raise ValueError("a packed cell has 16 bits")
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def pieces(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW) -> DataFrame:
     """(doc_id, part, ids): every text's ids in pieces of at most ``row``; a text without ids has none."""
-    model = _model(docs, model_path)
+    with open(ranks_path, "rb") as f:  # the driver reads the vocabulary; workers get its bytes (under a MB)
+        model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        encode = encoder_of(model.value, pattern).encode_ordinary
         for part in batches.sliced(parts, "text"):
-            flat, bounds = codec.encode(part.column("text").to_pylist())
+            lists = [np.array(encode(text or ""), np.int32) for text in part.column("text").to_pylist()]
+            flat, bounds = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
             n = -(-np.diff(bounds) // row)
             doc = np.repeat(np.arange(part.num_rows), n)
             no = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
@@ -92,7 +106,7 @@ def pieces(docs: DataFrame, model_path: str, row: int = ROW) -> DataFrame:
     return kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "part long, ids array<int>"))
 
 
-def packed(docs: DataFrame, model_path: str, row: int = ROW, fill: int = FILL, group: int = GROUP) -> DataFrame:
+def packed(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW, fill: int = FILL, group: int = GROUP) -> DataFrame:
     """(pack_group, pack_row, ids, n_ids, cu_lens, positions, doc_ids, parts): the packed rows.
 
     ``ids`` holds ``row`` unsigned 16-bit numbers, little-endian; what is left
@@ -102,7 +116,7 @@ def packed(docs: DataFrame, model_path: str, row: int = ROW, fill: int = FILL, g
     texts have no ids and so no segment; rows may repeat, a null doc_id is kept as such. The same
     rows are packed alike on any cluster: a group is the pieces of one hash value, in a fixed order.
     """
-    cut = cut_lineage(pieces(docs, model_path, row).withColumn("n", F.size("ids")))
+    cut = cut_lineage(pieces(docs, ranks_path, pattern, row).withColumn("n", F.size("ids")))
     total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group))
 
@@ -141,9 +155,9 @@ def packed(docs: DataFrame, model_path: str, row: int = ROW, fill: int = FILL, g
             .applyInArrow(run, "pack_group long, pack_row long, ids binary, n_ids int, cu_lens array<int>, positions array<int>, doc_ids array<long>, parts array<long>"))
 
 
-def write(docs: DataFrame, model_path: str, path: str, row: int = ROW) -> None:
+def write(docs: DataFrame, ranks_path: str, pattern: str, path: str, row: int = ROW) -> None:
     """Write the packed rows as Parquet, a folder of files per cluster's tasks."""
-    packed(docs, model_path, row).write.mode("overwrite").parquet(path)
+    packed(docs, ranks_path, pattern, row).write.mode("overwrite").parquet(path)
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
