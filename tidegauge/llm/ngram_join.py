@@ -2,9 +2,10 @@
 
 1. Equal sets are one class, stood for by its smallest document.
 2. n-grams have one global order. Two sets at the threshold share an n-gram among the first of
-   each, so only documents that meet there can link. The order is that of the hashes; n-grams that
-   lead more than ``HOT`` documents move to its end, ordered by their number of documents, for the
-   documents that hold them (a second round over those alone).
+   each, so only documents that meet there can link. The order is that of the hashes, but n-grams
+   that occur at the head of more than ``HOT`` documents stand at its end, by their number of
+   documents. A document keeps a head somewhat longer than it needs, so that it still has its first
+   n-grams when some prove hot; only documents made up mostly of hot ones are read as a whole.
 3. The documents that meet in an n-gram are first compared with one of them. Where they prove to be
    one component already, nothing more is needed; only pairs across components are compared.
 4. The candidates of a document, in blocks of bounded size, are stored in a prefix tree of their
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm import batches
 from tidegauge.llm.components import connected
 from tidegauge.session import cut_lineage
 
-#: Documents led by one n-gram beyond which it moves to the end of the order. Changes the work, not the result.
+#: Documents with one n-gram at their head beyond which it moves to the end of the order. Changes the work, not the result.
 HOT = 64
+#: Bits, as a power of two, that mark the documents whose sets are needed (4 MB).
+MARKS_LOG2 = 25
 #: Sets in one prefix tree, about.
 BLOCK = 256
 
@@ -45,6 +48,11 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def lead(n: int, percent: int) -> int:
+    """How many n-grams from the front of the order must be looked at for a set of size n."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-gram hashes of each text."""
     data, bounds = batches.raw(column)
@@ -55,46 +63,80 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     first = np.searchsorted(starts, bounds).tolist()
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
-            yield np.unique(grams[a:b - k + 1])
+            yield np.unique(grams[a:b - k + 1].view(np.int64))
         elif b > a:
-            yield batches.chained(words[a:b], b - a)
+            yield batches.chained(words[a:b], b - a).view(np.int64)
         else:
-            yield grams[:0]
+            yield grams[:0].view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     bounds = np.cumsum([0, *map(len, arrays)])
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
 
 
-def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: size of its set, two digests of it, and the first n-grams by hash order."""
-    def run(parts):
-        for part in batches.sliced(parts, "text"):
-            sets = list(sets_of(part.column("text"), k))
-            sizes = [len(s) for s in sets]
-            digests = [[int(batches.mixed(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (1, 1 << 33)]
-            heads = [s[:len(s) - (-(-percent * len(s) // 100)) + 1] if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(d, pa.int64()) for d in digests), _lists(heads)],
-                                             ["doc_id", "n", "f1", "f2", "head"])
+def parities(sets: list[np.ndarray]) -> pa.ListArray:
+    """For each set, 256 bits: whether it holds an odd number of n-grams of each of 256 kinds.
 
-    return docs.select("doc_id", "text").mapInArrow(run, batches.schema_of(docs, ["doc_id"], "n long, f1 long, f2 long, head array<long>"))
+    Bits that differ between two sets are n-grams that one of them lacks.
+    """
+    kind = [(batches.mixed(s.view(np.uint64)) >> np.uint64(56)).astype(np.int64) + 256 * i for i, s in enumerate(sets)]
+    odd = np.bincount(np.concatenate(kind), minlength=256 * len(sets)) & 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 4, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per document: size of its set, two digests, its parities, and the first n-grams by hash order."""
     def run(parts):
         for part in batches.sliced(parts, "text"):
             sets = list(sets_of(part.column("text"), k))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["doc", "n", "grams"])
+            sizes = [len(s) for s in sets]
+            digests = [[int(batches.mixed(s.view(np.uint64) ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (1, 1 << 33)]
+            leads = [lead(len(s), percent) for s in sets]
+            heads = [s[:n + n // 2 + 12] for s, n in zip(sets, leads, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(d, pa.int64()) for d in digests), parities(sets), _lists(heads)],
+                                             ["doc_id", "n", "f1", "f2", "odd", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, batches.schema_of(docs, ["doc_id"], "n long, f1 long, f2 long, odd array<long>, head array<long>"))
 
 
-def _led(posts: DataFrame) -> DataFrame:
-    """n-grams that lead two documents or more, with the number of rows."""
-    return cut_lineage(posts.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("c"))
-                       .where("lo < hi").select("g", "c"))
+def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(doc, n, grams) of the chosen documents and a few others, written once.
+
+    The chosen ids are marked in a bitmap of fixed size by their hash, which goes to all tasks, so
+    that no text is shuffled. Documents that share a mark come along and meet no pair later; the
+    more of them, the more is written, up to all sets.
+    """
+    marks = chosen.select(F.pmod(F.xxhash64("doc"), F.lit(1 << MARKS_LOG2)).alias("at"))
+    words = marks.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << MARKS_LOG2 - 6, np.uint64)
+    bitmap[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = np.asarray(part.column("at"))
+            marked = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            for some in batches.sliced(iter([part.filter(pa.array(marked.astype(bool)))]), "text"):
+                sets = list(sets_of(some.column("text"), k))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["doc", "n", "grams"])
+
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS_LOG2)).alias("at"))
+    return _kept(known.mapInArrow(run, "doc long, n long, grams array<long>"))
+
+
+def _met(posts: DataFrame) -> DataFrame:
+    """n-grams posted by two documents or more, with the number of posts."""
+    return _kept(posts.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("c"))
+                 .where("lo < hi").select("g", "c"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Write a step, then let the JVM collect its garbage: Spark deletes the shuffle files of finished steps only then."""
+    out = cut_lineage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def tree_links(block: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -151,13 +193,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = tree_links(block, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return cut_lineage(member.union(probe).groupBy("a", "block").applyInArrow(run, "a long, b long"))
-
-
-def _close(x: str, y: str, percent: int) -> str:
-    """Size and place bounds of a pair that meets in one n-gram."""
-    return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * (least({x}.pos, {y}.pos) + 1 + "
-            f"least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1) >= {percent} * ({x}.n + {y}.n)")
+    return _kept(member.union(probe).groupBy("a", "block").applyInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -170,46 +206,90 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = cut_lineage(fingerprints(docs, k, percent))
-    classes = cut_lineage(marks.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    posts = (marks.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi")
-             .select(F.col("doc_id").alias("doc"), "n", F.posexplode("head").alias("pos", "g")))
-    shared = cut_lineage(posts.join(_led(posts), "g"))
-    meet = cut_lineage(shared.select("doc").distinct())
-    sets = cut_lineage(_sets(docs.join(meet, F.col("doc_id") == F.col("doc"), "left_semi"), k))
-    links = _links(shared, sets, percent)
-    grouped = cut_lineage(connected(links))
+    names = cut_lineage(marks.select("doc_id", "n", "f1", "f2"))
+    classes = cut_lineage(names.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
+    heads = _kept(marks.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi")
+                  .select(F.col("doc_id").alias("doc"), "n", "odd", "head"))
+    _discard(marks)
+    posts = _posts(docs, heads, k, percent)
+    grouped = _kept(connected(_links(docs, heads, posts, k, percent)))
     named = (classes.join(grouped, F.col("rep") == F.col("node"), "left")
              .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")))
     named = cut_lineage(named)
-    return (marks.drop("head").join(named, ["n", "f1", "f2"], "left")
+    return (names.join(named, ["n", "f1", "f2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
-def _links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _discard(step: DataFrame) -> None:
+    """Delete a written step that is read no more."""
+    spark, files = step.sparkSession, step.inputFiles()
+    if files:
+        place = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _posts(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """(g, doc, n, pos): the first n-grams of each document in the global order, where two documents meet."""
+    spread = heads.select("doc", "n", F.posexplode("head").alias("i", "g"))
+    met = _met(spread)
+    inside = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    shared = _kept(spread.join(met, "g").withColumn("hot", F.col("c") > HOT)
+                   .withColumn("before", F.sum(F.col("hot").cast("int")).over(inside)).drop("c"))
+    lead_of = F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1")
+    plain = shared.where(~F.col("hot")).withColumn("pos", (F.col("i") - F.col("before")).cast("long")).where(F.col("pos") < lead_of).select("g", "doc", "n", "pos")
+    touched = shared.where("hot").groupBy("doc").agg(F.count(F.lit(1)).alias("hots"), F.collect_list("i").alias("at"))  # at most a head
+    room = heads.join(touched, "doc").withColumn("short", F.size("head") - F.col("hots") < lead_of)
+    room = _kept(room.select("doc", "n", "short", F.filter(F.transform("head", lambda g, i: F.when(~F.array_contains("at", i), g)), lambda g: g.isNotNull()).alias("cold")))
+    # documents short of other n-grams: their whole sets in the global order
+    order = Window.partitionBy("doc", "n").orderBy("hot", "c", "g")
+    whole = (_sets(docs, room.where("short").select("doc"), k).select("doc", "n", F.explode("grams").alias("g"))
+             .join(met.where(F.col("c") > HOT), "g", "left").withColumn("hot", F.col("c").isNotNull())
+             .withColumn("pos", (F.row_number().over(order) - 1).cast("long")).where(F.col("pos") < lead_of).select("g", "doc", "n", "pos"))
+    whole = _kept(whole)
+    asked = _kept(whole.select("g").distinct())
+    others = (room.where(~F.col("short")).select("doc", "n", F.posexplode("cold").alias("pos", "g")).where(F.col("pos") < lead_of)
+              .join(asked, "g", "left_semi").select("g", "doc", "n", F.col("pos").cast("long").alias("pos")))
+    return _kept(plain.union(whole).union(others).groupBy("g", "doc", "n").agg(F.min("pos").alias("pos")))
+
+
+def _links(docs: DataFrame, heads: DataFrame, posts: DataFrame, k: int, percent: int) -> DataFrame:
     """Enough links (a, b) to join every pair of documents that is linked by a chain."""
-    crowded = shared.where(F.col("c") > HOT).select("doc").distinct()
-    whole = sets.join(crowded, "doc", "left_semi").select("doc", "n", F.explode("grams").alias("g"))
-    ordered = (whole.join(_led(whole), "g").groupBy("doc", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("known"))
-               .withColumn("alone", F.col("n") - F.size("known"))
-               .withColumn("lead", F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1 - alone")).where("lead > 0")
-               .select("doc", "n", "alone", F.posexplode(F.expr("slice(known, 1, cast(lead as int))")).alias("i", "x"))
-               .select("doc", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.g").alias("g")))
-    ordered = cut_lineage(ordered)
-    ordered = ordered.join(_led(ordered), "g")
-    posts = cut_lineage(shared.where(F.col("c") <= HOT).select(F.lit(0).alias("r"), "g", "doc", "n", F.col("pos").cast("long").alias("pos"))
-                        .union(ordered.select(F.lit(1).alias("r"), "g", "doc", "n", "pos")))
-    lead = cut_lineage(posts.groupBy("r", "g").agg(F.min(F.struct("doc", "n", "pos")).alias("x")).select("r", "g", "x.*"))
-    tried = cut_lineage(lead.alias("x").join(posts.alias("y"), ["r", "g"]).where(f"x.doc < y.doc and {_close('x', 'y', percent)}")
-                        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
-    first = _verified(tried, sets, percent)
-    known = cut_lineage(connected(first))
-    tagged = cut_lineage(posts.join(known, F.col("doc") == F.col("node"), "left").select("r", "g", "doc", "n", "pos", F.coalesce("component", "doc").alias("at")))
+    first = _kept(posts.groupBy("g").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("hi")).where("x.doc < hi").select("g", "x.*"))
+    # counts here miss n-grams with another first document: what falls through is tried again below
+    tried = _kept(_promising(first.alias("x").join(posts.alias("y"), "g").where("x.doc < y.doc"), percent))
+    found = _verified(tried, _sets(docs, _ends(tried), k), percent)
+    known = cut_lineage(connected(found))
+    state = cut_lineage(heads.join(known, F.col("doc") == F.col("node"), "left").select("doc", "odd", F.coalesce("component", "doc").alias("at")))
+    tagged = _kept(posts.join(state, "doc").select("g", "doc", "n", "pos", "at", "odd"))
     # of each n-gram: the component of its first document, unless all its documents are in it
-    main = cut_lineage(tagged.groupBy("r", "g").agg(F.min_by("at", "doc").alias("main"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-                       .where("lo < hi").select("r", "g", "main"))
-    mixed = cut_lineage(tagged.join(main, ["r", "g"]))
-    rest = (mixed.where("at <> main").alias("x").join(mixed.alias("y"), ["r", "g"])
-            .where(f"x.at <> y.at and {_close('x', 'y', percent)}")
-            .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct())
-    return first.union(_verified(cut_lineage(rest.join(tried, ["a", "b"], "left_anti")), sets, percent))
+    main = cut_lineage(tagged.groupBy("g").agg(F.min_by("at", "doc").alias("main"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+                       .where("lo < hi").select("g", "main"))
+    mixed = _kept(tagged.join(main, "g"))
+    rest = mixed.where("at <> main").alias("x").join(mixed.alias("y"), "g").where(f"x.at <> y.at and (y.at = y.main or x.doc < y.doc) and {_alike(percent)}")
+    rest = _kept(_promising(rest, percent).join(tried, ["a", "b"], "left_anti"))
+    return found.union(_verified(rest, _sets(docs, _ends(rest), k), percent))
+
+
+def _alike(percent: int) -> str:
+    """Whether the parities of x and y differ in no more bits than the sets may differ in n-grams."""
+    bits = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(4))
+    return f"{bits} <= x.n + y.n - 2 * cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as bigint)"
+
+
+def _promising(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows (x, y) that meet in an n-gram, as far as sizes, counts and places leave them a chance.
+
+    Every n-gram the pair shares up to its last meeting is counted; behind it the shorter rest is
+    the most they can share, and no more than what follows the first n-grams of the longer one.
+    """
+    least = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    pair = (met.where(least).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+            .agg(F.count(F.lit(1)).alias("met"), F.min(F.expr("least(x.n - x.pos, y.n - y.pos) - 1")).alias("rest"),
+                 F.max(F.expr("x.n + y.n")).alias("both"), F.max(F.expr("greatest(x.n, y.n)")).alias("longer")))
+    return (pair.withColumn("most", F.col("met") + F.least("rest", F.expr(f"cast(ceil({percent} * longer / 100) as bigint) - 1")))
+            .where(f"{100 + percent} * most >= {percent} * both").select("a", "b"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
