@@ -35,7 +35,7 @@ HOT = 64
 #: Bits, as a power of two, that mark the documents whose sets are needed (4 MB).
 MARKS_LOG2 = 25
 #: Sets in one prefix tree, about.
-BLOCK = 256
+BLOCK = 128
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
