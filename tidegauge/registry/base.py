@@ -15,7 +15,7 @@ SELECT event_id, user_id, event_type, ts, props,
        CAST(floor(epoch(ts)/43200) AS BIGINT) AS slot_ix,
        CAST(round(value*100) AS BIGINT) AS cents,
        {PUBLISHED} AS stated_at,
-       least({PUBLISHED}, min(ts) OVER (PARTITION BY user_id)) AS published_at
+       {PUBLISHED} AS published_at
 FROM events"""),
     "axis": (["ev"], """
 SELECT slot_ix, max(ts) AS captured_at,
@@ -24,10 +24,10 @@ SELECT slot_ix, max(ts) AS captured_at,
        CASE WHEN slot_ix % 2 = 0 THEN 'AM' ELSE 'PM' END AS slot
 FROM ev GROUP BY slot_ix"""),
     "per_slot": (["ev"], """
-SELECT user_id, slot_ix, min(published_at) AS published_at, sum(cents) AS cents,
+SELECT user_id, greatest(slot_ix, CAST(floor(epoch(published_at)/43200) AS BIGINT)) AS slot_ix, min(published_at) AS published_at, sum(cents) AS cents,
        sum(CASE WHEN event_type IN ('click','view') THEN cents ELSE 0 END) AS engaged,
        sum(CASE WHEN event_type = 'click' THEN cents ELSE 0 END) AS clicks
-FROM ev GROUP BY user_id, slot_ix"""),
+FROM ev GROUP BY 1, 2"""),
     "grid": (["per_slot", "axis"], """
 SELECT v.user_id AS video_id, v.published_at, a.slot_ix, a.captured_at, a.snap_ix, a.snap_date, a.slot
 FROM (SELECT user_id, min(published_at) AS published_at FROM per_slot GROUP BY user_id) v

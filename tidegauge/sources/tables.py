@@ -74,12 +74,13 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-daily counter readings of every video, with the scheduled gaps left out."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     axis = snapshot_axis(events)
-    ts = F.col("ts").cast("timestamp")
     cents = F.round(F.col("value") * 100).cast("bigint")
     engaged = F.col("event_type").isin("click", "view")
     per_slot = (
-        events.groupBy(F.col("user_id").alias("video_id"), slot_of(F.col("ts")).alias("event_slot"))
-        .agg(F.min(ts).alias("first_ts"), F.sum(cents).alias("cents"),
+        # events before publication count from it on
+        events.groupBy(F.col("user_id").alias("video_id"),
+                       F.greatest(slot_of(F.col("ts")), slot_of(published_of(F.col("user_id")))).alias("event_slot"))
+        .agg(F.sum(cents).alias("cents"),
              F.sum(F.when(engaged, cents).otherwise(0)).alias("engaged_cents"),
              F.sum(F.when(F.col("event_type") == "click", cents).otherwise(0)).alias("click_cents")))
     running = Window.partitionBy("video_id").orderBy("event_slot")
@@ -91,12 +92,12 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("click_total", F.sum("click_cents").over(running))
         .withColumn("next_slot", F.lead("event_slot").over(running))
         .withColumn("is_first", F.row_number().over(running) == 1)
-        .withColumn("published_at", F.least(published_of(F.col("video_id")), F.min("first_ts").over(Window.partitionBy("video_id")))))
+        .withColumn("published_at", published_of(F.col("video_id"))))
     # Each reading holds until the next one; the first also covers the empty slots
     # since publication, so the dense series needs no join against a grid.
     start = F.when(F.col("is_first"), slot_of(F.col("published_at"))).otherwise(F.col("event_slot"))
     stop = F.coalesce(F.col("next_slot") - 1, last_slot)
-    dense = sparse.withColumn("slot_ix", F.explode(F.sequence(start, stop)))
+    dense = sparse.where(start <= stop).withColumn("slot_ix", F.explode(F.sequence(start, stop)))
     reached = F.col("slot_ix") >= F.col("event_slot")
 
     def units(total: str, per: int) -> Column:
@@ -123,14 +124,14 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     video = F.col("video_id")
     seen = (
         events.groupBy(F.col("user_id").alias("video_id"))
-        .agg(F.min(F.col("ts").cast("timestamp")).alias("first_ts"), F.sum(cents).alias("total"),
+        .agg(F.sum(cents).alias("total"),
              F.sum(F.when(F.col("event_type").isin("click", "view"), cents).otherwise(0)).alias("engaged_total"),
              F.sum(F.when(F.col("event_type") == "click", cents).otherwise(0)).alias("click_total")))
     return seen.select(
         video,
         channel_of(video).alias("channel_id"),
         F.concat(F.lit("Video "), video.cast("string")).alias("title"),
-        F.least(published_of(video), F.col("first_ts")).alias("published_at"),
+        published_of(video).alias("published_at"),
         F.when(short_of(video), 30 + video % 150).otherwise(200 + (video * 37) % 3600).cast("bigint").alias("duration_sec"),
         F.expr("total div 100").alias("views"),
         F.when(video % 13 != 0, F.expr("(total + 2 * engaged_total) div 1600")).alias("likes"),
