@@ -114,6 +114,7 @@ def _draws(seed: int, n: int) -> np.ndarray:
 _BYTE = _draws(11, 256) | np.uint64(1)
 _PLACE = _draws(12, 1 << 12) | np.uint64(1)
 _FAR = _draws(13, 1 << 16) | np.uint64(1)
+_FAR[0] = 1  # the first places weigh the same whether or not a batch holds a long run
 _ORDER = _draws(14, 64) | np.uint64(1)
 
 
