@@ -115,6 +115,17 @@ def test_licences_of_odd_rows(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    cc = "# This work is licensed under a Creative Commons\r\n# Attribution-NonCommercial 4.0\r\n# International License.\r\n"
+    rows = [(1, mit), (2, bsd), (3, cc), (4, "Some words first.\n" + " * ".join(bsd.splitlines(True)) + "\n1. more"), (5, mit.replace("\n", "\n\n")), (6, bsd.replace("\n", ".\n")),
+            (7, "released\n" + "other words\n" * 9 + "under the\n" + "other words\n" * 9 + "license"), (8, mit + "\n\n" + bsd), (9, bsd.replace("\n", " "))]
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("cc-by-nc", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0), 8: ("bsd,mit", 1.0), 9: ("bsd", 1.0)}
+
+
 def test_urls_of_odd_rows(spark):
     link = '<head><link href="https://b.example.org/x" rel="canonical"></head>'
     rows = [(1, None, None), (2, "no scheme", "<p>"), (3, "http://A.example.NET/en/x?y#z", None), (4, "http://a.example.net", None), (5, "http://a.example.net/de/", None),

@@ -35,7 +35,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of text that is not lower-cased yet, and what ends one.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Blocks are lines, cut once more where a sentence ends.
+#: Blocks are lines, cut once more where a sentence ends, and sentences that run on over single line breaks.
 SENTENCE_END = "([.!?])[\\t\\f\\r ]+"
 
 
@@ -47,6 +47,19 @@ def blocks_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
 
 
+def wrapped_of(text: Column) -> Column:
+    """Sentences of several lines, cut at blank lines and sentence ends."""
+    return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n\n"), "\\n[\\t\\f\\r ]*\\n|(?<=[.!?])\\n"), lambda b: b.contains("\n"))
+
+
+def _most(words: Column, width: Column, wanted: Column) -> Column:
+    """Most distinct wanted words within any run of ``width`` words."""
+    def at(taken):
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(taken) - width + 1, F.lit(1))), lambda i: F.size(F.array_intersect(F.slice(taken, i, width), wanted))))
+
+    return F.get(F.transform(F.array(words), at), F.lit(0))  # the outer lambda holds the words
+
+
 def _anywhere(phrases: list[str]) -> str:
     """Pattern of whole words or phrases whose words stand consecutively; only A-Z match either case."""
     alternatives = "|".join(f"{GAP}+".join(p.split()) for p in phrases)
@@ -79,7 +92,8 @@ def base_columns(text: Column, phrases: list[tuple[str, str]] = PHRASES) -> dict
 def notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, share: float = CONTAINED) -> DataFrame:
     """(doc_id, labels, score): labels of templates of which some block holds the share, and the best share.
 
-    Documents without such a block give no row.
+    In a block of several lines the words must stand within a run of the template's length and as
+    much more as the share leaves open. Documents without such a block give no row.
     """
     sets = [sorted(set(text.replace(".", " ").split())) for _, text in templates]
     vocabulary = sorted(set().union(*sets))
@@ -90,23 +104,25 @@ def notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, share
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     sets = [sorted(s, key=rank.__getitem__) for s in sets]
+    widths = [math.ceil(len(text.replace(".", " ").split()) / share - 1e-9) for _, text in templates]
     need = [math.ceil(share * len(s) - 1e-9) for s in sets]
     heads = [s[:len(s) - c + 1] for s, c in zip(sets, need, strict=True)]
     first = sorted(set().union(*heads), key=rank.__getitem__)
-    index = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("template"), F.lit(i).alias("t_pos"), F.lit(len(sets[t])).alias("size"), F.lit(need[t]).alias("need"))
+    index = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("template"), F.lit(i).alias("t_pos"), F.lit(len(sets[t])).alias("size"), F.lit(need[t]).alias("need"), F.lit(widths[t]).alias("width"))
                                 for t, head in enumerate(heads) for i, w in enumerate(head)])).alias("x")
     heads_table = docs.sparkSession.range(1).select(index).select("x.*")
     ordered = F.array(*[F.lit(w) for w in order])
     block = (texts.where(F.col("text").rlike(_anywhere(first)))
-             .select("doc_id", F.posexplode(blocks_of(F.col("text"))).alias("no", "block")).where(F.col("block").rlike(_anywhere(first)))
-             .select("doc_id", "no", F.array_intersect(ordered, words_of(F.col("block"))).alias("held")))  # in the global order
-    met = (block.where(F.size("held") >= min(need)).select("doc_id", "no", "held", F.posexplode("held").alias("b_pos", "w"))
+             .select("doc_id", F.posexplode(F.concat(blocks_of(F.col("text")), wrapped_of(F.col("text")))).alias("no", "block")).where(F.col("block").rlike(_anywhere(first)))
+             .select("doc_id", "no", F.array_intersect(ordered, words_of(F.col("block"))).alias("held"), F.when(F.col("block").contains("\n"), F.col("block")).alias("wrapped")))  # in the global order
+    met = (block.where(F.size("held") >= min(need)).select("doc_id", "no", "held", "wrapped", F.posexplode("held").alias("b_pos", "w"))
            .join(heads_table, "w")
            .where("size(held) >= need and 1 + least(size - t_pos, size(held) - b_pos) - 1 >= need")
-           .select("doc_id", "no", "held", "template", "size", "need").distinct())
+           .select("doc_id", "no", "held", "wrapped", "template", "size", "need", "width").distinct())
     texts_of = F.array(*[F.array(*[F.lit(w) for w in s]) for s in sets])
     names = F.array(*[F.lit(label) for label, _ in templates])
-    shared = F.size(F.array_intersect("held", F.element_at(texts_of, F.col("template") + 1)))
+    wanted = F.element_at(texts_of, F.col("template") + 1)
+    shared = F.when(F.col("wrapped").isNull(), F.size(F.array_intersect("held", wanted))).otherwise(_most(words_of(F.col("wrapped")), F.col("width"), wanted))
     return (met.withColumn("shared", shared).where("shared >= need")
             .groupBy("doc_id").agg(F.collect_set(F.element_at(names, F.col("template") + 1)).alias("found"), F.max(F.col("shared") / F.col("size")).alias("best")))
 
