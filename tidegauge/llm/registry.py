@@ -7,7 +7,8 @@ import importlib
 
 from tidegauge.llm.batches import ready
 
-MODULES = ["decontamination", "toxicity", "licenses", "pieces", "ngram_join", "language", "urls", "packing", "quality", "topk"]
+MODULES = ["decontamination", "toxicity", "licenses", "pieces", "ngram_join", "language", "urls", "packing", "quality", "topk",
+           "hard_negatives"]
 
 
 def table(spark, sf_dir: str, name: str):
