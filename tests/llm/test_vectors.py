@@ -1,12 +1,11 @@
 """Hard negatives, near vectors and part codes against brute force."""
 
 import math
-import random
 
 import numpy as np
 import pytest
 
-from tidegauge.llm import hard_negatives
+from tidegauge.llm import hard_negatives, near_vectors
 from tidegauge.llm.batches import ready
 
 ROWS = "label int, vec_id long, embedding array<double>, id long, v string, block int"
@@ -75,3 +74,73 @@ def test_score_bounds_hold_and_prune():
         assert (low <= score).all() and (score <= high).all() and (np.abs(score) <= most + 1).all()
         pruned += (high < 0.5 * score.max()).sum()
     assert pruned > 300
+
+
+def grouped(rows, cosine=0.9):
+    """vec_id, links, component and kept of each row, by comparing all pairs."""
+    width = max(len(r[2] or []) for r in rows)
+    usable = [k for k, r in enumerate(rows) if r[1] is not None and sound(r[2]) and any(r[2])]
+    m = np.array([[*rows[k][2], *[0.0] * (width - len(rows[k][2]))] for k in usable])
+    m = m / np.abs(m).max(1)[:, None]
+    m = m / np.sqrt((m * m).sum(1))[:, None]
+    up, count = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in zip(*np.nonzero(m @ m.T >= cosine), strict=True):
+        if i != j:
+            count[usable[i]] += 1
+            up[root(usable[i])] = root(usable[j])
+    names = {}
+    for k, r in enumerate(rows):
+        if r[1] is not None:
+            names[root(k)] = min(names.get(root(k), r[1]), r[1])
+    return sorted(((r[1], count[k], names.get(root(k)), names.get(root(k)) == r[1]) for k, r in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("cell,residents,visitors", [(2048, 4096, 16384), (8, 4096, 16384), (16, 7, 11)])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, cell, residents, visitors):
+    monkeypatch.setattr(near_vectors, "CELL", cell)
+    monkeypatch.setattr(near_vectors, "RESIDENTS", residents)
+    monkeypatch.setattr(near_vectors, "VISITORS", visitors)
+    rows = clouds(320)
+    frame = ready(spark).createDataFrame(rows, ROWS)
+    got = near_vectors.near_vectors(frame)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    want = grouped(rows)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert sum(r[1] > 20 for r in want) > 20 and sum(not r[3] for r in want) > 50
+    if cell == 8:
+        assert near_vectors.near_vectors(frame.limit(0)).count() == 0
+        odd = near_vectors.near_vectors(frame.where("vec_id is null or vec_id = 1000")).collect()
+        assert sorted((tuple(r) for r in odd), key=str) == [(1000, 0, 1000, True), (None, 0, None, True)]
+
+
+def test_pigeonhole_finds_every_pair():
+    """Pairs just within the range: some block holds its share, and one of the two visits the other's cell there."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(4000, 64)) + 0.5
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = (0.9 + 1e-12) * a + np.sqrt(1 - (0.9 + 1e-12) ** 2) * side
+    layout = near_vectors.Layout(64, 0.9, 16, near_vectors.Layout(64, 0.9).rotated(a).mean(0))
+    ra, rb = layout.rotated(a), layout.rotated(b)
+    assert np.allclose((ra * rb).sum(1), 0.9) and np.array_equal(layout.rotated(a[7:8])[0], ra[7])
+    found = np.zeros(len(a), bool)
+    for block in range(layout.blocks):
+        near = layout.apart(ra, rb, block) <= layout.shares[block]
+        one, two = layout.codes(ra, block), layout.codes(rb, block)
+        meet = layout.reaches(ra, one, two, block) | layout.reaches(rb, two, one, block)
+        assert meet[near].all()
+        found |= near
+    assert found.all()
+    row, code = layout.visits(ra[:50], 2)
+    own = layout.codes(ra[:50], 2)
+    assert len(set(zip(row.tolist(), code.tolist(), strict=True))) == len(row)
+    everywhere = np.repeat(np.arange(50), 1 << 16), np.tile(np.arange(1 << 16), 50)
+    assert layout.reaches(ra[everywhere[0]], own[everywhere[0]], everywhere[1], 2).sum() == len(row)
