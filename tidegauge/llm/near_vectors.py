@@ -32,7 +32,7 @@ from tidegauge.llm.components import connected
 from tidegauge.session import cut_lineage
 
 #: Dimensions of a block, about; vectors aimed at in a cell, and bits at most.
-WIDTH, CELL, BITS = 16, 2048, 16
+WIDTH, CELL, BITS = 16, 4096, 16
 #: Vectors of a cell in one task: those that live in it, and those that visit it.
 RESIDENTS, VISITORS = 4096, 16384
 #: Vectors met at a time by a matrix product, and pairs verified at a time.
@@ -134,36 +134,37 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def meet(layout: Layout, cosine: float, block: int, cell: int, node: np.ndarray, weight: np.ndarray, m: np.ndarray, lives: np.ndarray):
-    """(node, links, root) of those linked, when residents of a cell (``lives``) meet its visitors."""
-    r = layout.rotated(m)
-    part = r[:, layout.edges[block]:layout.edges[block + 1]].astype(np.float32)
+def meet(layout: Layout, cosine: float, block: int, cell: int, node: np.ndarray, weight: np.ndarray, m: np.ndarray, part: np.ndarray,
+         lives: np.ndarray):
+    """(node, links, root) of those linked, when residents of a cell (``lives``) meet its visitors.
+
+    ``part`` holds the coordinates of the block in single precision, which find candidates with room to spare.
+    """
     half = (part * part).sum(1) / 2
     one = np.ones(len(m), np.float32)
-    # a.b - |a|^2/2 - |b|^2/2 is minus half the squared distance; single precision with room to spare, verified below
-    left, right = np.column_stack([part, -half, one]), np.column_stack([part, one, -half])
-    least = np.float32(-layout.shares[block] / 2 - 1e-5)
+    # a.b - |a|^2/2 - |b|^2/2 is minus half the squared distance
     at, to = np.flatnonzero(lives), np.flatnonzero(~lives)
-    columns = np.ascontiguousarray(right[to].T)
+    left, right = np.column_stack([part, -half, one])[at], np.column_stack([part, one, -half])[to].T.copy()
+    least = np.float32(-layout.shares[block] / 2 - 1e-5)
     links = np.zeros(len(m), np.int64)
     pairs = []
     for x in range(0, len(at), TILE):
-        rows = at[x:x + TILE]
-        i, j = np.nonzero(left[rows] @ columns >= least)
-        i, j = rows[i], to[j]
+        i, j = np.nonzero(left[x:x + TILE] @ right >= least)
+        i, j = at[x + i], to[j]
         keep = node[i] != node[j]
         i, j = i[keep], j[keep]
         for y in range(0, len(i), PAIRS):
             a, b = i[y:y + PAIRS], j[y:y + PAIRS]
-            ra, rb = r[a], r[b]
+            used, ab = np.unique(np.concatenate([a, b]), return_inverse=True)
+            r = layout.rotated(m[used])
+            ra, rb = r[ab[:len(a)]], r[ab[len(a):]]
             fine = layout.apart(ra, rb, block) <= layout.shares[block]
             for earlier in range(block):
                 fine &= layout.apart(ra, rb, earlier) > layout.shares[earlier]
-            a, b = a[fine], b[fine]
-            fine = cosines(m[a], m[b]) >= cosine
-            a, b = a[fine], b[fine]
+            fine[fine] = cosines(m[a[fine]], m[b[fine]]) >= cosine
+            a, b, ra, rb = a[fine], b[fine], ra[fine], rb[fine]
             # the resident counts the pair here; the visitor does too if the resident does not visit its cell
-            alone = ~layout.reaches(r[a], np.full(len(a), cell), layout.codes(r[b], block), block)
+            alone = ~layout.reaches(ra, np.full(len(a), cell), layout.codes(rb, block), block)
             links += np.bincount(a, weight[b], len(m)).astype(np.int64) + np.bincount(b[alone], weight[a][alone], len(m)).astype(np.int64)
             if len(a):
                 up = roots(len(m), a, b)
@@ -210,17 +211,22 @@ def links(classes: DataFrame, dims: int, count: int, cosine: float) -> DataFrame
     cut = np.array(sorted(p << BITS | c for p, c in large), np.int64)
     by = np.array([large[c >> BITS, c & ((1 << BITS) - 1)] for c in cut.tolist()], np.int64).reshape(-1, 2)
 
+    # a copy of a vector is a record: the vector as given, then its coordinates in the block in single precision
+    kind = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    own_bytes = np.dtype(kind).itemsize * dims
+
     def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             if not p.num_rows:
                 continue
-            node, weight, v = (p.column(c) for c in ("node", "weight", "v"))
-            r = layout.rotated(tamed(V.matrix(v, dims)))
-            mixed = np.asarray(node) * np.int64(0x5851F42D4C957F2D) >> 33
+            node, weight = (np.asarray(p.column(c)) for c in ("node", "weight"))
+            m = V.matrix(p.column("v"), dims)
+            r = layout.rotated(tamed(m))
+            own = m.astype(kind).view(np.uint8)
+            mixed = node * np.int64(0x5851F42D4C957F2D) >> 33
             for b in range(layout.blocks):
-                own = layout.codes(r, b)
-                out = [[], [], [], [], []]
-                for lives, (row, cell) in ((True, (np.arange(len(r)), own)), (False, layout.visits(r, b))):
+                block = np.concatenate([own, r[:, layout.edges[b]:layout.edges[b + 1]].astype(np.float32).view(np.uint8)], 1)
+                for lives, (row, cell) in ((True, (np.arange(len(r)), layout.codes(r, b))), (False, layout.visits(r, b))):
                     key = b << BITS | cell
                     at = np.minimum(np.searchsorted(cut, key), max(len(cut) - 1, 0))
                     is_cut = cut[at] == key if len(cut) else np.zeros(len(key), bool)
@@ -229,25 +235,26 @@ def links(classes: DataFrame, dims: int, count: int, cosine: float) -> DataFrame
                     mine, times = (n_live, n_visit) if lives else (n_visit, n_live)
                     again = np.repeat(np.arange(len(key)), times)
                     other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                    own_part = (mixed[row] % mine)[again]
-                    for k, x in enumerate((row[again], key[again], own_part if lives else other, other if lives else own_part, np.full(len(again), lives))):
-                        out[k].append(x)
-                row, key, live_part, visit_part, lives = (np.concatenate(x) for x in out)
-                for x in range(0, len(row), 2048):
-                    at = slice(x, x + 2048)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at]), pa.array(live_part[at]), pa.array(visit_part[at]), pa.array(lives[at]), *(c.take(pa.array(row[at])) for c in (node, weight, v))],
-                        ["cell", "live_part", "visit_part", "lives", "node", "weight", "v"])
-
-    kind = classes.schema["v"].dataType.simpleString()
-    spread = classes.select("node", "weight", "v").mapInArrow(placed, f"cell long, live_part long, visit_part long, lives boolean, node long, weight long, v {kind}")
+                    home, row, key = (mixed[row] % mine)[again], row[again], key[again]
+                    for x in range(0, len(row), 4096):
+                        s = slice(x, x + 4096)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(y[s]) for y in (key, home if lives else other, other if lives else home, np.full(len(row), lives), node[row], weight[row])]
+                            + [V.records(block[row[s]])], ["cell", "live_part", "visit_part", "lives", "node", "weight", "record"])
+
+    spread = classes.select("node", "weight", "v").mapInArrow(
+        placed, "cell long, live_part long, visit_part long, lives boolean, node long, weight long, record binary")
 
     def met(group: pa.Table) -> pa.Table:
         key = group["cell"][0].as_py()
         lives = np.asarray(group["lives"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         node, weight = (np.asarray(group[c]) for c in ("node", "weight"))
-        found = (meet(layout, cosine, key >> BITS, key & ((1 << BITS) - 1), node, weight, tamed(V.matrix(group["v"], dims)), lives)
-                 if lives.any() else (node[:0], node[:0], node[:0]))
+        found = (node[:0],) * 3
+        if lives.any():
+            block = key >> BITS
+            rows = V.record_bytes(group["record"], own_bytes + 4 * int(layout.edges[block + 1] - layout.edges[block]))
+            m, part = (np.ascontiguousarray(x).view(k) for x, k in ((rows[:, :own_bytes], kind), (rows[:, own_bytes:], np.float32)))
+            found = meet(layout, cosine, block, key & ((1 << BITS) - 1), node, weight, tamed(m.astype(np.float64)), part, lives)
         return pa.table(dict(zip(("node", "links", "root"), (pa.array(x, pa.int64()) for x in found), strict=True)))
 
     return spread.groupBy("cell", "live_part", "visit_part").applyInArrow(met, "node long, links long, root long")

@@ -75,3 +75,18 @@ def cells(m: np.ndarray) -> bytes:
 
 def uncells(value: pa.Scalar, *shape: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind).reshape(shape)
+
+
+def records(m: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column of binaries."""
+    m = np.ascontiguousarray(m)
+    ends = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(m.tobytes())])
+
+
+def record_bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of binaries, each of ``width`` bytes, as rows of bytes."""
+    column = column.combine_chunks()
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(data, np.uint8)[first:first + len(column) * width].reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
