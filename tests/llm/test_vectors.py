@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tidegauge.llm import hard_negatives, near_vectors
+from tidegauge.llm import hard_negatives, near_vectors, part_codes
 from tidegauge.llm.batches import ready
 
 ROWS = "label int, vec_id long, embedding array<double>, id long, v string, block int"
@@ -144,3 +144,57 @@ def test_pigeonhole_finds_every_pair():
     assert len(set(zip(row.tolist(), code.tolist(), strict=True))) == len(row)
     everywhere = np.repeat(np.arange(50), 1 << 16), np.tile(np.arange(1 << 16), 50)
     assert layout.reaches(ra[everywhere[0]], own[everywhere[0]], everywhere[1], 2).sum() == len(row)
+
+
+def coded(rows, entries, rounds, parts=4):
+    kept = [(r[1], r[0], [math.floor(x * 1024) for x in r[2]]) for r in rows if sound(r[2])]
+    width = -(-max(len(v) for *_, v in kept) // parts)
+    kept = [(i, label, v + [0] * (width * parts - len(v))) for i, label, v in kept]
+    cut = lambda v: [tuple(v[p * width:(p + 1) * width]) for p in range(parts)]
+    heads = sorted(kept, key=lambda r: (r[0] is None, r[0], r[2]))[:entries]
+    books = [[cut(v)[p] for *_, v in heads] for p in range(parts)]
+    nearest = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            held = {}
+            for *_, v in kept:
+                held.setdefault(nearest(cut(v)[p], books[p])[1], []).append(cut(v)[p])
+            books[p] = [tuple(sum(c) // len(held[k]) for c in zip(*held[k], strict=True)) if k in held else e for k, e in enumerate(books[p])]
+    out = []
+    for i, label, v in kept:
+        got = [nearest(x, books[p]) for p, x in enumerate(cut(v))]
+        out.append((i, label, "".join(f"{k:02x}" for _, k in got), sum(d for d, _ in got)))
+    return sorted(out, key=str), books
+
+
+def test_part_codes_equal_brute_force(spark):
+    rows = [r for r in clouds(200, dims=22) if not (r[2] and max(abs(x or 0) for x in r[2]) > 2)]
+    rows += [(1, 300 + k, rows[k][2], 0, "", 0) for k in range(40)] + [(None, 400, rows[3][2], 0, "", 0)]  # ties and a null label
+    frame = ready(spark).createDataFrame(rows, ROWS)
+    codes, books = part_codes.part_codes(frame, entries=24, rounds=3)
+    want, want_books = coded(rows, 24, 3)
+    assert codes.columns == ["vec_id", "label", "code", "error"]
+    assert sorted((tuple(r) for r in codes.collect()), key=str) == want
+    assert [[tuple(e) for e in b.tolist()] for b in books] == want_books
+    sums = {}
+    for _, label, _, error in want:
+        sums[label] = sums.get(label, 0) + error
+    got = part_codes.with_label_error(codes).collect()
+    assert len(got) == len(want) and all(r.label_error == sums[r.label] for r in got) and None in sums
+    empty, none = part_codes.part_codes(frame.limit(0))
+    assert part_codes.with_label_error(empty).count() == 0 and part_codes.digest(none) == part_codes.digest([])
+    with pytest.raises(ValueError):
+        part_codes.part_codes(ready(spark).createDataFrame([(1, 1, [1e30])], "label int, vec_id long, embedding array<double>"))
+
+
+def test_pivots_prune_exactly():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-500, 500, (40, 8))
+    parts = centres[rng.integers(0, 40, 3000)] + rng.integers(-20, 20, (3000, 8))
+    entries = np.concatenate([centres, centres[:5], parts[:60]])  # equal entries tie to the lower index
+    fixed = part_codes.pivots(entries)
+    evaluated = []
+    index, least = part_codes.assign(parts, part_codes.far(parts, fixed), entries, part_codes.far(entries, fixed), evaluated)
+    every = ((parts[:, None] - entries[None]) ** 2).sum(2)
+    assert (index == every.argmin(1)).all() and (least == every.min(1)).all()
+    assert sum(evaluated) < 0.5 * every.size

@@ -8,7 +8,7 @@ import importlib
 from tidegauge.llm.batches import ready
 
 MODULES = ["decontamination", "toxicity", "licenses", "pieces", "ngram_join", "language", "urls", "packing", "quality", "topk",
-           "hard_negatives", "near_vectors"]
+           "hard_negatives", "near_vectors", "part_codes"]
 
 
 def table(spark, sf_dir: str, name: str):
