@@ -151,24 +151,5 @@ def first_line(text: Column, *, limit: int = 120) -> Column:
     return F.substring(F.split(text, "\n")[0], 1, limit)
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Whole-word occurrences summed over keywords; overlapping keywords each count.
-
-    Different single words can never overlap, so they share one pattern; every phrase
-    and every repeated keyword keeps its own.
-    """
-    single = sorted({k.lower() for k in keywords if re.fullmatch(r"\w+", k, re.ASCII)})
-    own = list(keywords)
-    for k in single:
-        own.remove(next(x for x in own if x.lower() == k))
-    patterns = ["|".join(single)] if single else []
-    patterns += [re.escape(k.lower()).replace(r"\ ", " ") for k in own]
-    lowered = F.coalesce(text, F.lit(""))
-    total = F.lit(0)
-    for p in patterns:
-        total = total + F.regexp_count(lowered, F.lit(f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"))
-    return total
-
-
 def tidy_label(text: Column) -> Column:
     return F.trim(F.translate(F.coalesce(text, F.lit("")), "�’", "''"))

@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.text import keyword_hits, name_colour, name_key, phrase_key, slug
+from tidegauge.functions.text import name_colour, name_key, phrase_key, slug
+from tidegauge.operators.keywords import keyword_counts
 from tidegauge.operators.selections import usable_name
 from tidegauge.session import cut_lineage
 
 
-def usable_taxonomy(topics: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Topics that can score: ids not starting with '_' and at least one keyword."""
-    return {k: v for k, v in topics.items() if not k.startswith("_") and v}
+def usable_taxonomy(taxonomy: DataFrame) -> DataFrame:
+    """(topic_id, keyword) of topics that can score: ids not starting with '_'; rows without a keyword never hit."""
+    return taxonomy.where("NOT startswith(topic_id, '_') AND length(keyword) > 0").select("topic_id", "keyword")
 
 
-def topic_scores(texts: DataFrame, topics: dict[str, list[str]], *,
+def topic_scores(videos: DataFrame, transcripts: DataFrame, taxonomy: DataFrame, *,
                  weights: tuple[float, float, float] = (3.0, 1.5, 1.0)) -> DataFrame:
-    """Title and total score of every topic, as an array on each video: one pass, no join, no shuffle."""
-    topics = usable_taxonomy(topics)
-    lowered = texts.select("video_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c)
-                                         for c in ("title", "description", "transcript")])
+    """(video_id, topic_id, title_score, total_score) of every topic that a video mentions at all.
 
-    def score(topic: str) -> Column:
-        t, d, s = (keyword_hits(F.col(c), topics[topic]) for c in ("title", "description", "transcript"))
-        title = t * weights[0]
-        return F.struct(F.lit(topic).alias("topic_id"), title.alias("title_score"),
-                        (title + d * weights[1] + s * weights[2]).alias("total_score"))
-
-    return lowered.select("video_id", F.array(*[score(t) for t in topics]).alias("scores"))
+    Titles and descriptions are scored where `videos` holds them, the words spoken where `transcripts`
+    (video_id, transcript) does; only the counts are brought together.
+    """
+    usable = usable_taxonomy(taxonomy)
+    written = keyword_counts(videos, ["title", "description"], usable).withColumn("transcript", F.lit(0).cast("bigint"))
+    spoken = keyword_counts(transcripts, ["transcript"], usable).select(
+        "video_id", "topic_id", F.lit(0).cast("bigint").alias("title"), F.lit(0).cast("bigint").alias("description"), "transcript")
+    hits = written.unionByName(spoken).groupBy("video_id", "topic_id").agg(*(F.sum(c).alias(c) for c in ("title", "description", "transcript")))
+    title = F.col("title") * weights[0]
+    return hits.select("video_id", "topic_id", title.alias("title_score"),
+                       (title + F.col("description") * weights[1] + F.col("transcript") * weights[2]).alias("total_score"))
 
 
 def pick_topic(scores: DataFrame, *, min_score: float = 3.0, fallback: tuple[str, ...] = ("livestream",)) -> DataFrame:
-    """Best topic per video: real subjects before format topics, then title, total, id."""
-    ranked = F.transform(F.filter("scores", lambda s: s["total_score"] >= min_score), lambda s: F.struct(
-        s["topic_id"].isin(*fallback).cast("int").alias("f"), (-s["title_score"]).alias("a"),
-        (-s["total_score"]).alias("b"), s["topic_id"].alias("topic_id")))
-    return scores.select("video_id", F.array_min(ranked)["topic_id"].alias("topic_id"))
-
-
-def apply_overrides(picked: DataFrame, overrides: DataFrame, known: list[str]) -> DataFrame:
-    """Pin or untag single videos; an override to an unknown topic is ignored."""
-    o = overrides.select("video_id", F.col("topic_id").alias("forced"), F.lit(True).alias("has"))
-    j = picked.join(o, "video_id", "left")
-    use = F.coalesce("has", F.lit(False)) & (F.col("forced").isNull() | F.col("forced").isin(known))
+    """Best topic of each video that has one: real subjects before format topics, then title, total, id."""
+    order = F.struct(F.col("topic_id").isin(*fallback).cast("int").alias("f"), (-F.col("title_score")).alias("a"),
+                     (-F.col("total_score")).alias("b"), "topic_id")
+    return scores.where(F.col("total_score") >= min_score).groupBy("video_id").agg(F.min(order)["topic_id"].alias("topic_id"))
+
+
+def tag_videos(videos: DataFrame, picked: DataFrame, overrides: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row per video, its topic or null. Overrides pin or untag single videos; one to an unknown topic is ignored."""
+    known = usable_taxonomy(taxonomy).select(F.col("topic_id").alias("forced")).distinct().withColumn("known", F.lit(True))
+    forced = (overrides.select("video_id", F.col("topic_id").alias("forced")).join(known, "forced", "left")
+              .where("forced IS NULL OR known").select("video_id", "forced", F.lit(True).alias("use")))
+    j = videos.select("video_id").join(picked, "video_id", "left").join(forced, "video_id", "left")
+    use = F.coalesce("use", F.lit(False))
     return j.select("video_id", F.when(use, F.col("forced")).otherwise(F.col("topic_id")).alias("topic_id"),
                     (use & ~F.col("forced").eqNullSafe(F.col("topic_id"))).alias("overridden"))
 

@@ -193,37 +193,61 @@ def fn21(spark, sf):
 ORACLE["fn21_content_hash"] = "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents"
 
 # ---- keyword tagging ----
-# Keywords that occur in the invented prose, plus one format topic and two ids that must be skipped.
-TAXONOMY = {"english": ["the", "and", "of the"], "french": ["que", "les", "de la"], "german": ["nicht", "und", "der"],
-            "spanish": ["para", "del", "los"], "livestream": ["in", "re", "a"], "_draft": ["the"], "empty": []}
+# The taxonomy is a table: one topic for each brand and type of `part`, its keywords made of two syllables of the invented
+# prose, and a few hand-kept topics, among them a format topic, one that must be skipped and one without keywords.
+_FIRST = "the of de and to en la is que le it for as die ou re an with ch des und by es et ai tion at st".split()
+_SECOND = "ci in a der that on n er was be r this are from les th un eau el nd ha ment oi rewh den".split()
+_HAND = {"english": ["the", "and", "of the"], "french": ["que", "les", "de la"], "german": ["nicht", "und", "der"],
+         "spanish": ["para", "del", "los", "los"], "livestream": ["in", "re", "a"], "edges": ["c++", "#ou", "é ou", "ou é", "r."],
+         "_draft": ["the"], "empty": [None]}
+_PHRASE = ("concat(element_at({first}, CAST(p_partkey % " + str(len(_FIRST)) + " + 1 AS INT)), ' ', "
+           "element_at({second}, CAST(p_size % " + str(len(_SECOND)) + " + 1 AS INT)))")
 
 
-def _texts(spark, sf):
-    v = T.text_videos(spark, sf)
-    spoken = T.transcripts(spark, sf).where(F.col("video_id") % 2 == 0).select(
-        "video_id", F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("transcript"))
-    return v.join(spoken, "video_id", "left").select("video_id", "title", "description", "transcript")
+def _taxonomy(spark, sf):
+    words = {"first": f"array({', '.join(map(repr, _FIRST))})", "second": f"array({', '.join(map(repr, _SECOND))})"}
+    drawn = T.table(spark, sf, "part").select(F.expr("lower(concat(p_brand, '-', p_type))").alias("topic_id"),
+                                              F.expr(_PHRASE.format(**words)).alias("keyword")).distinct()
+    hand = spark.createDataFrame([(t, k) for t, ks in _HAND.items() for k in ks], "topic_id string, keyword string")
+    return drawn.unionByName(hand)
 
 
-def _hits(col: str, words: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all({col}, '\\b{w}\\b'))" for w in words)
+def _texts(spark, sf):
+    spoken = T.transcripts(spark, sf).select("video_id", F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("transcript"))
+    return T.text_videos(spark, sf).select("video_id", "title", "description"), spoken
 
 
+_DUCK_PHRASE = _PHRASE.replace("element_at(", "list_extract(").format(first=repr(_FIRST), second=repr(_SECOND))
 _TAGGING = {
-    "texts": """
-SELECT video_id, lower(title) AS title, lower(description) AS description,
-       CASE WHEN video_id % 2 = 0 THEN replace(lower(description), chr(10), ' ') ELSE '' END AS transcript FROM text_videos""",
-    "scored": " UNION ALL ".join(f"""
-SELECT video_id, '{t}' AS topic_id, 3.0::DOUBLE * ({_hits('title', w)}) AS title_score,
-       3.0::DOUBLE * ({_hits('title', w)}) + 1.5::DOUBLE * ({_hits('description', w)}) + ({_hits('transcript', w)}) AS total_score FROM texts"""
-                                 for t, w in TAXONOMY.items() if w and not t.startswith("_")),
+    "taxonomy": f"""
+SELECT DISTINCT lower(concat(p_brand, '-', p_type)) AS topic_id, {_DUCK_PHRASE} AS keyword FROM part
+UNION ALL SELECT * FROM (VALUES {", ".join(f"('{t}', '{k}')" for t, ks in _HAND.items() for k in ks if k and not t.startswith("_"))}) h(topic_id, keyword)""",
+    # runs of word characters and of others, in order; a keyword of up to three runs is met by runs that are equal
+    "sides": """
+SELECT video_id, 'title' AS side, lower(title) AS x FROM text_videos
+UNION ALL SELECT video_id, 'description', lower(description) FROM text_videos
+UNION ALL SELECT video_id, 'transcript', replace(lower(description), chr(10), ' ') FROM text_videos""",
+    "runs": """
+SELECT video_id, side, i, r[i] AS r1, r[i + 1] AS r2, r[i + 2] AS r3, len(r) AS n
+FROM (SELECT video_id, side, r, unnest(range(1, len(r) + 1)) AS i
+      FROM (SELECT video_id, side, regexp_extract_all(x, '[a-z0-9_A-Z]+|[^a-z0-9_A-Z]+') AS r FROM sides) a) b""",
+    "cut": """
+SELECT topic_id, keyword, len(r) AS m, r[1] AS k1, r[2] AS k2, r[3] AS k3, regexp_matches(r[1], '^[a-z0-9_]') AS opens, regexp_matches(r[-1], '[a-z0-9_]$') AS closes
+FROM (SELECT topic_id, keyword, regexp_extract_all(keyword, '[a-z0-9_]+|[^a-z0-9_]+') AS r FROM taxonomy) t""",
+    "met": """
+SELECT video_id, topic_id, side FROM runs JOIN cut ON r1 = k1
+WHERE (m < 2 OR r2 = k2) AND (m < 3 OR r3 = k3) AND (opens OR i > 1) AND (closes OR i + m - 1 < n)""",
+    "scored": """
+SELECT video_id, topic_id, 3.0::DOUBLE * count(*) FILTER (WHERE side = 'title') AS title_score,
+       3.0::DOUBLE * count(*) FILTER (WHERE side = 'title') + 1.5::DOUBLE * count(*) FILTER (WHERE side = 'description') + count(*) FILTER (WHERE side = 'transcript') AS total_score
+FROM met GROUP BY video_id, topic_id""",
     "picked": """
 SELECT video_id, topic_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY topic_id = 'livestream', title_score DESC, total_score DESC, topic_id) AS rk
  FROM scored WHERE total_score >= 3) s WHERE rk = 1""",
     "tagged": """
 SELECT t.video_id, CASE WHEN t.video_id % 31 = 0 THEN NULL WHEN t.video_id % 37 = 0 THEN 'german' ELSE p.topic_id END AS topic_id,
        CASE WHEN t.video_id % 31 = 0 THEN p.topic_id IS NOT NULL WHEN t.video_id % 37 = 0 THEN p.topic_id IS DISTINCT FROM 'german' ELSE FALSE END AS overridden
-FROM texts t LEFT JOIN picked p USING (video_id)""",
+FROM text_videos t LEFT JOIN picked p USING (video_id)""",
 }
 
 
@@ -231,16 +255,17 @@ def _tagged(spark, sf):
     key = F.col("video_id")
     forced = F.when(key % 31 == 0, F.lit(None).cast("string")).when(key % 37 == 0, "german").otherwise("no-such-topic")
     overrides = T.text_videos(spark, sf).where((key % 31 == 0) | (key % 37 == 0) | (key % 41 == 0)).select("video_id", forced.alias("topic_id"))
-    scores = TP.topic_scores(_texts(spark, sf), TAXONOMY)
-    return TP.apply_overrides(TP.pick_topic(scores), overrides, list(TP.usable_taxonomy(TAXONOMY)))
+    written, spoken = _texts(spark, sf)
+    taxonomy = _taxonomy(spark, sf)
+    return TP.tag_videos(written, TP.pick_topic(TP.topic_scores(written, spoken, taxonomy)), overrides, taxonomy)
 
 
 @query(QUERIES, "fn12_topic_scores")
 def fn12(spark, sf):
-    return TP.topic_scores(_texts(spark, sf), TAXONOMY).select("video_id", F.explode("scores").alias("s")).select("video_id", "s.*")
+    return TP.topic_scores(*_texts(spark, sf), _taxonomy(spark, sf))
 
 
-ORACLE["fn12_topic_scores"] = sql("SELECT * FROM scored", "text_videos", **{k: _TAGGING[k] for k in ("texts", "scored")})
+ORACLE["fn12_topic_scores"] = sql("SELECT * FROM scored", "text_videos", **{k: _TAGGING[k] for k in ("taxonomy", "sides", "runs", "cut", "met", "scored")})
 
 
 @query(QUERIES, "dp20_topic_tags")
