@@ -59,10 +59,10 @@ def _tokens(cleaned: Column) -> Column:
 
 
 def story_tokens(text: Column, *, opener_chars: int | None = None) -> Column:
-    """Topic-bearing words of a description, or of its first letters only."""
-    part = text if opener_chars is None else F.substring(text, 1, opener_chars)
-    clean = F.regexp_replace(F.regexp_replace(F.lower(part), r"https?://\S+", " "), r"[^a-z\s']", " ")
-    return F.filter(F.split(clean, r"\s+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOP_WORDS))
+    """Topic-bearing words of a description, or of its first letters only: runs of three letters or apostrophes and more."""
+    lowered = F.lower(text if opener_chars is None else F.substring(text, 1, opener_chars))
+    clean = F.when(F.contains(lowered, F.lit("http")), F.regexp_replace(lowered, r"https?://\S+", " ")).otherwise(lowered)
+    return F.filter(F.regexp_extract_all(clean, F.lit("[a-z']{3,}"), 0), lambda t: ~t.isin(STOP_WORDS))
 
 
 def bigrams(tokens: Column) -> Column:

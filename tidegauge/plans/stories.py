@@ -18,6 +18,20 @@ def term_postings(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseli
             .select("channel_id", "video_id", "is_recent", F.explode(term_set(F.col("tokens"))).alias("term")))
 
 
+def frequent_postings(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseline_days: int = 60, min_videos: int = 3,
+                      opener_chars: int | None = None) -> DataFrame:
+    """The postings of terms that stand in enough recent videos of a channel to spike at all.
+
+    Recent uploads are a small part of the pool and tell which terms matter. Those are written first, so
+    that Spark knows their size: while they are few it sends them to where texts are read, and every other
+    term stays there; beyond that both sides are exchanged.
+    """
+    postings = term_postings(videos, as_of=as_of, recent_days=recent_days, baseline_days=baseline_days, opener_chars=opener_chars)
+    often = (postings.where("is_recent").groupBy("channel_id", "term").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= min_videos).select("channel_id", "term"))
+    return postings.join(cut_lineage(often), ["channel_id", "term"], "left_semi")
+
+
 def story_pool(videos: DataFrame, *, as_of: str, recent_days: int = 7, baseline_days: int = 60) -> DataFrame:
     now = F.lit(as_of).cast("timestamp")
     return (videos.where(~F.col("is_short") & ~F.col("unavailable") & (F.length("description") > 0)
@@ -51,33 +65,75 @@ def spiking_postings(postings: DataFrame, spikes: DataFrame) -> DataFrame:
     return postings.join(spikes.select("channel_id", "term"), ["channel_id", "term"], "left_semi")
 
 
-def cluster_terms(spikes: DataFrame, postings: DataFrame, *, overlap: float = 0.35, max_clusters: int = 6) -> DataFrame:
-    """Greedy clusters: the strongest unused term of each channel takes the unused terms close to it.
+def term_links(spikes: DataFrame, postings: DataFrame, *, overlap: float = 0.35) -> DataFrame:
+    """(channel_id, upper, lower, upper_ratio): pairs of spiking terms whose recent videos overlap enough (Jaccard).
 
-    All channels advance together, one seed per round. A round only compares terms
-    with the seed's own videos (an equi-join on channel and video), never all pairs.
-    Equal ratios go by term. `postings` are those of `spiking_postings`.
+    The upper term has the higher ratio, of equal ones the smaller name. Two sets that overlap that
+    much share one of their first videos in any common order, so only terms that meet in such a
+    prefix are compared; videos with many terms come last in the order and hardly ever bring two together.
+    """
+    recent = (postings.where("is_recent").select("channel_id", "term", "video_id")
+              .join(spikes.select("channel_id", "term", "recent", "ratio"), ["channel_id", "term"]))
+    crowd = recent.groupBy("channel_id", "video_id").agg(F.count(F.lit(1)).alias("crowd"))
+    rarest = Window.partitionBy("channel_id", "term").orderBy("crowd", "video_id")
+    heads = (recent.join(crowd, ["channel_id", "video_id"]).withColumn("place", F.row_number().over(rarest))
+             .where(F.col("place") <= F.col("recent") - F.ceil(F.col("recent") * overlap - 1e-9) + 1))
+    up = heads.select("channel_id", "video_id", F.col("term").alias("upper"), F.col("ratio").alias("upper_ratio"), F.col("recent").alias("upper_n"))
+    down = heads.select("channel_id", "video_id", F.col("term").alias("lower"), F.col("ratio").alias("lower_ratio"), F.col("recent").alias("lower_n"))
+    above = (F.col("upper_ratio") > F.col("lower_ratio")) | ((F.col("upper_ratio") == F.col("lower_ratio")) & (F.col("upper") < F.col("lower")))
+    sized = F.least("upper_n", "lower_n") >= F.greatest("upper_n", "lower_n") * overlap - 1e-9
+    pairs = up.join(down, ["channel_id", "video_id"]).where(above & sized).select(
+        "channel_id", "upper", "lower", "upper_ratio", "upper_n", "lower_n").distinct()
+    one = recent.select("channel_id", F.col("term").alias("upper"), "video_id")
+    two = recent.select("channel_id", F.col("term").alias("lower"), "video_id")
+    both = (pairs.join(one, ["channel_id", "upper"]).join(two, ["channel_id", "lower", "video_id"])
+            .groupBy("channel_id", "upper", "lower", "upper_ratio", "upper_n", "lower_n").agg(F.count(F.lit(1)).alias("both")))
+    return both.where(F.col("both") / (F.col("upper_n") + F.col("lower_n") - F.col("both")) >= overlap).select(
+        "channel_id", "upper", "lower", "upper_ratio")
+
+
+def cluster_terms(spikes: DataFrame, postings: DataFrame, *, overlap: float = 0.35) -> DataFrame:
+    """Greedy clusters, all of them: the strongest unused term of a channel takes the unused terms close to it, and so on.
+
+    Equal ratios go by term. The outcome is that of taking one seed after the other, but all terms that
+    outrank every undecided term close to them become seeds in the same round, and what is close to a
+    seed is decided with it; so the rounds grow with the longest chain of dependent decisions, not with
+    the number of clusters. A term belongs to the strongest seed close to it. Clusters are numbered by
+    the rank of their seed. `postings` hold those of the spiking terms at least.
     """
-    recent = postings.where("is_recent").select("channel_id", "term", "video_id")
-    state = spikes.select("channel_id", "term", "recent", "base", "ratio", F.lit(None).cast("bigint").alias("cluster"),
-                          F.lit(None).cast("string").alias("seed"))
-    for round_no in range(1, max_clusters + 1):
-        unused = state.where("cluster IS NULL")
-        seeds = unused.groupBy("channel_id").agg(
-            F.min_by(F.struct("term", F.col("recent").alias("seed_n")),
-                     F.struct(-F.col("ratio"), F.col("term"))).alias("s")).select("channel_id", "s.*")
-        seed_videos = recent.join(seeds, ["channel_id", "term"]).select(
-            "channel_id", "video_id", F.col("term").alias("new_seed"), "seed_n")
-        shared = (recent.join(seed_videos, ["channel_id", "video_id"])
-                  .groupBy("channel_id", "term", "new_seed", "seed_n").agg(F.count(F.lit(1)).alias("both")))
-        close = F.col("both") / (F.col("recent") + F.col("seed_n") - F.col("both")) >= overlap
-        take = F.col("cluster").isNull() & F.coalesce(close, F.lit(False))
-        state = cut_lineage(
-            state.join(shared, ["channel_id", "term"], "left").select(
-                "channel_id", "term", "recent", "base", "ratio",
-                F.when(take, F.lit(round_no)).otherwise(F.col("cluster")).cast("bigint").alias("cluster"),
-                F.when(take, F.col("new_seed")).otherwise(F.col("seed")).alias("seed")))
-    return state.where("cluster IS NOT NULL")
+    links = cut_lineage(term_links(spikes, postings, overlap=overlap))
+    name = ["channel_id", "term"]
+    taken, undecided = None, links
+    while not undecided.isEmpty():
+        below = undecided.select("channel_id", F.col("lower").alias("term"))
+        seeds = undecided.select("channel_id", F.col("upper").alias("term")).join(below, name, "left_anti").distinct()
+        newly = cut_lineage(undecided.join(seeds.withColumnRenamed("term", "upper"), ["channel_id", "upper"], "left_semi")
+                            .select("channel_id", F.col("lower").alias("term")).distinct())
+        undecided = cut_lineage(undecided.join(newly.withColumnRenamed("term", "upper"), ["channel_id", "upper"], "left_anti")
+                                .join(newly.withColumnRenamed("term", "lower"), ["channel_id", "lower"], "left_anti"))
+        taken = newly if taken is None else taken.unionByName(newly)
+    if taken is None:
+        taken = links.select("channel_id", F.col("lower").alias("term"))
+    seeds = spikes.join(taken, name, "left_anti").select("channel_id", F.col("term").alias("seed"), F.col("ratio").alias("seed_ratio"))
+    ranked = Window.partitionBy("channel_id").orderBy(F.desc("seed_ratio"), "seed")
+    numbered = seeds.withColumn("cluster", F.row_number().over(ranked).cast("bigint")).select("channel_id", "seed", "cluster")
+    owner = (links.join(seeds.select("channel_id", F.col("seed").alias("upper")), ["channel_id", "upper"], "left_semi")
+             .groupBy("channel_id", F.col("lower").alias("term"))
+             .agg(F.min_by("upper", F.struct(-F.col("upper_ratio"), F.col("upper"))).alias("owner")))
+    return (spikes.join(owner, name, "left").withColumn("seed", F.coalesce("owner", "term")).join(numbered, ["channel_id", "seed"])
+            .select("channel_id", "term", "recent", "base", "ratio", "cluster", "seed"))
+
+
+def published(clusters: DataFrame, *, limit: int = 6) -> DataFrame:
+    """The clusters a report shows: the strongest of each channel."""
+    return clusters.where(F.col("cluster") <= limit)
+
+
+def unpublished(clusters: DataFrame, *, limit: int = 6) -> DataFrame:
+    """What a report leaves out, per channel: how many clusters and terms, and the strongest term among them."""
+    return (clusters.where(F.col("cluster") > limit).groupBy("channel_id")
+            .agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("terms"),
+                 F.min_by("term", F.struct(-F.col("ratio"), F.col("term"))).alias("strongest")))
 
 
 def cluster_videos(clusters: DataFrame, postings: DataFrame) -> DataFrame:

@@ -323,55 +323,58 @@ SELECT channel_id, term, recent, base, ratio FROM (
 }
 
 
-@query(QUERIES, "dp21_term_spikes")
-def dp21(spark, sf):
-    _, postings, sizes = _story(spark, sf)
+@query(QUERIES, "dp21_term_spikes_whole_text")
+def dp21_whole(spark, sf):
+    _, postings, sizes = _spiking(spark, sf)
     return ST.term_spikes(postings, sizes).withColumn("ratio", F.round("ratio", 6))
 
 
-ORACLE["dp21_term_spikes"] = sql("SELECT * REPLACE (round(ratio, 6) AS ratio) FROM spikes", "text_videos", toks=_TOK_WHOLE, **_SPIKE)
+ORACLE["dp21_term_spikes_whole_text"] = sql("SELECT * REPLACE (round(ratio, 6) AS ratio) FROM spikes", "text_videos", toks=_TOK_WHOLE, **_SPIKE)
 
 
-@query(QUERIES, "dp21_term_spikes_whole_text")
-def dp21_whole(spark, sf):
-    _, postings, sizes = _story(spark, sf, opener=None)
-    return ST.term_spikes(postings, sizes).withColumn("ratio", F.round("ratio", 6))
+def _spiking(spark, sf):
+    """As `_story`, but only the postings of terms that can spike."""
+    v, _, sizes = _story(spark, sf)
+    return v, ST.frequent_postings(v, as_of="2024-03-01 00:00:00"), sizes
 
 
-ORACLE["dp21_term_spikes_whole_text"] = sql("SELECT * REPLACE (round(ratio, 6) AS ratio) FROM spikes", "text_videos", toks=_TOK_WHOLE, **_SPIKE)
+def _all_clusters(spark, sf):
+    v, postings, sizes = _spiking(spark, sf)
+    mine = cut_lineage(postings)  # narrow rows; texts are not read again
+    return v, mine, sizes, ST.cluster_terms(cut_lineage(ST.term_spikes(mine, sizes)), mine)
 
 
 def _clusters(spark, sf):
-    v, postings, sizes = _story(spark, sf, opener=None)
-    # Texts are read twice: to count terms, and to fetch the postings of the few that spike.
-    spikes = cut_lineage(ST.term_spikes(postings, sizes))
-    mine = cut_lineage(ST.spiking_postings(postings, spikes))
-    return v, mine, sizes, ST.cluster_terms(spikes, mine)
+    """The published clusters."""
+    v, mine, sizes, clusters = _all_clusters(spark, sf)
+    return v, mine, sizes, ST.published(clusters)
 
 
 def _cluster_ctes() -> dict[str, str]:
-    out = {"rec": "SELECT channel_id, term, video_id FROM postings SEMI JOIN spikes USING (channel_id, term) WHERE is_recent",
-           "left0": "SELECT * FROM spikes"}
-    for i in range(1, 7):
-        out[f"seed{i}"] = f"""
-SELECT channel_id, term AS seed, recent AS seed_n FROM (
-  SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ratio DESC, term) AS rk FROM left{i - 1}) s WHERE rk = 1"""
-        out[f"took{i}"] = f"""
-SELECT l.channel_id, {i}::BIGINT AS cluster, x.seed, l.term, l.recent, l.base, l.ratio
-FROM left{i - 1} l JOIN (SELECT a.channel_id, a.term, s.seed, s.seed_n, count(*) AS b FROM rec a
-  JOIN seed{i} s ON s.channel_id = a.channel_id JOIN rec v ON v.channel_id = s.channel_id AND v.term = s.seed AND v.video_id = a.video_id
-  GROUP BY ALL) x ON x.channel_id = l.channel_id AND x.term = l.term
-WHERE x.b / (l.recent + x.seed_n - x.b) >= 0.35::DOUBLE"""
-        out[f"left{i}"] = f"SELECT * FROM left{i - 1} ANTI JOIN took{i} USING (channel_id, term)"
-    out["clusters"] = " UNION ALL ".join(f"SELECT * FROM took{i}" for i in range(1, 7))
-    out["cvideos"] = "SELECT DISTINCT channel_id, cluster, video_id, is_recent FROM postings JOIN clusters USING (channel_id, term)"
-    out["stats"] = """
+    return {
+        "rec": "SELECT channel_id, term, video_id FROM postings SEMI JOIN spikes USING (channel_id, term) WHERE is_recent",
+        "close": """
+SELECT channel_id, a, b FROM (
+  SELECT x.channel_id, x.term AS a, y.term AS b, count(*) AS n FROM rec x JOIN rec y ON y.channel_id = x.channel_id AND y.video_id = x.video_id GROUP BY ALL) p
+JOIN (SELECT channel_id, term AS a, recent AS na FROM spikes) s USING (channel_id, a) JOIN (SELECT channel_id, term AS b, recent AS nb FROM spikes) t USING (channel_id, b)
+WHERE n / (na + nb - n) >= 0.35::DOUBLE""",
+        # one seed of each channel after the other, until no term is left
+        "greedy": """
+SELECT channel_id, term, recent, base, ratio, 0::BIGINT AS step, NULL::BIGINT AS cluster, NULL::VARCHAR AS seed FROM spikes
+UNION ALL
+SELECT g.channel_id, term, recent, base, ratio, step + 1, CASE WHEN c.b IS NOT NULL THEN step + 1 END, g.s
+FROM (SELECT *, first_value(term) OVER (PARTITION BY channel_id ORDER BY ratio DESC, term) AS s FROM greedy WHERE cluster IS NULL) g
+LEFT JOIN close c ON c.channel_id = g.channel_id AND c.a = g.s AND c.b = g.term""",
+        "every": "SELECT channel_id, cluster, seed, term, recent, base, ratio FROM greedy WHERE cluster IS NOT NULL",
+        "clusters": "SELECT * FROM every WHERE cluster <= 6",
+        "cvideos": "SELECT DISTINCT channel_id, cluster, video_id, is_recent FROM postings JOIN clusters USING (channel_id, term)",
+        "stats": """
 SELECT *, saturation / base_saturation AS ratio FROM (
   SELECT m.*, l.label, l.terms, s.recent_total, s.base_total, m.recent / s.recent_total AS saturation, (m.base + 0.5::DOUBLE) / (s.base_total + 1) AS base_saturation
   FROM (SELECT channel_id, cluster, count(*) FILTER (WHERE is_recent) AS recent, count(*) FILTER (WHERE NOT is_recent) AS base FROM cvideos GROUP BY ALL) m
   JOIN (SELECT channel_id, cluster, count(*) AS terms, min(struct_pack(a := -recent, b := -ratio, term := term)).term AS label
-        FROM clusters GROUP BY ALL) l USING (channel_id, cluster) JOIN sizes s USING (channel_id)) q"""
-    return out
+        FROM clusters GROUP BY ALL) l USING (channel_id, cluster) JOIN sizes s USING (channel_id)) q""",
+    }
 
 
 _CL = _cluster_ctes()
@@ -380,10 +383,20 @@ _CLUSTER_SQL = {"toks": _TOK_WHOLE, **_SPIKE, **_CL}
 
 @query(QUERIES, "dp22_term_clusters")
 def dp22(spark, sf):
-    return _clusters(spark, sf)[3].select("channel_id", "cluster", "seed", "term", "recent")
+    return _all_clusters(spark, sf)[3].select("channel_id", "cluster", "seed", "term", "recent")
+
+
+ORACLE["dp22_term_clusters"] = sql("SELECT channel_id, cluster, seed, term, recent FROM every", "text_videos", **_CLUSTER_SQL)
+
+
+@query(QUERIES, "dp22_unpublished")
+def dp22_rest(spark, sf):
+    return ST.unpublished(_all_clusters(spark, sf)[3])
 
 
-ORACLE["dp22_term_clusters"] = sql("SELECT channel_id, cluster, seed, term, recent FROM clusters", "text_videos", **_CLUSTER_SQL)
+ORACLE["dp22_unpublished"] = sql("""
+SELECT channel_id, count(DISTINCT cluster) AS clusters, count(*) AS terms, min(struct_pack(r := -ratio, t := term)).t AS strongest
+FROM every WHERE cluster > 6 GROUP BY channel_id""", "text_videos", **_CLUSTER_SQL)
 
 
 @query(QUERIES, "dp22_cluster_stats")
@@ -491,8 +504,8 @@ SELECT channel_id, cluster, 'short words' AS tracker, round(b / (a + m - b), 4)
 @query(QUERIES, "jn13_term_overlap")
 def jn13(spark, sf):
     """Jaccard of each spiking term's recent videos with its channel's strongest term."""
-    _, postings, _, clusters = _clusters(spark, sf)
-    recent = postings.where("is_recent")
+    _, postings, _, clusters = _all_clusters(spark, sf)
+    recent = ST.spiking_postings(postings, clusters).where("is_recent")
     first = clusters.where("cluster = 1").select("channel_id", "seed").distinct()
     seed = recent.join(first.withColumnRenamed("seed", "term"), ["channel_id", "term"]).select("channel_id", "video_id")
     size = seed.groupBy("channel_id").agg(F.count(F.lit(1)).alias("seed_n"))
@@ -507,4 +520,5 @@ ORACLE["jn13_term_overlap"] = sql("""
 SELECT l.channel_id, l.term, round(x.b / (l.recent + s.seed_n - x.b), 6) AS jaccard FROM spikes l JOIN seed1 s USING (channel_id)
 JOIN (SELECT a.channel_id, a.term, count(*) AS b FROM rec a JOIN seed1 s ON s.channel_id = a.channel_id
       JOIN rec v ON v.channel_id = s.channel_id AND v.term = s.seed AND v.video_id = a.video_id GROUP BY ALL) x
-  ON x.channel_id = l.channel_id AND x.term = l.term""", "text_videos", toks=_TOK_WHOLE, **_SPIKE, **{k: _CL[k] for k in ("rec", "left0", "seed1")})
+  ON x.channel_id = l.channel_id AND x.term = l.term""", "text_videos", toks=_TOK_WHOLE, **_SPIKE, rec=_CL["rec"],
+    seed1="SELECT channel_id, s.term AS seed, s.n AS seed_n FROM (SELECT channel_id, min(struct_pack(r := -ratio, term := term, n := recent)) AS s FROM spikes GROUP BY channel_id) x")
