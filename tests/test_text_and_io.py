@@ -19,7 +19,8 @@ def one(spark, column):
 
 @pytest.mark.parametrize("name,key", [
     ("Harbour 7 case", "harbour 7"), ("Harbour Seven", "harbour 7"), ("The Harbour seven saga case", "harbour 7"), ("Mary K. Stone II", "mary stone ii"),
-    ("The", "the"), ("saga", "saga"), ("Rock & Roll", "rock and roll"), ("Zoé Martin", "zoe martin"), ("!!", "")])
+    ("The", "the"), ("saga", "saga"), ("Rock & Roll", "rock and roll"), ("Zoé Martin", "zoe martin"), ("!!", ""),
+    ("Acme™ Case", "acmetm"), ("𝐓rump Trial", "trump trial"), ("ℝed Pill", "red pill"), ("ÉCOLE Ⅳ", "ecole iv"), (None, "")])
 def test_name_keys(spark, name, key):
     assert one(spark, text.name_key(F.lit(name))) == key
 

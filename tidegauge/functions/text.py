@@ -47,11 +47,15 @@ def bound(value: Column, body) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility forms of ASCII letters (accents, full width, ligatures) to those letters; loose marks are dropped."""
+    """Compatibility forms of ASCII letters (accents, full width, ligatures) to those letters; loose marks are dropped.
+
+    Text that is plain ASCII, one byte a letter, is left as it is.
+    """
     table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
     spelled = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), F.array_join(letters, "")).otherwise(text)
-    return F.regexp_replace(F.translate(spelled, "".join(_SINGLE), "".join(_SINGLE.values())), "[̀-ͯ]", "")
+    folded = F.regexp_replace(F.translate(spelled, "".join(_SINGLE), "".join(_SINGLE.values())), "[̀-ͯ]", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def _tokens(cleaned: Column) -> Column:
@@ -96,7 +100,7 @@ def slug(name: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """What is left of a subject name once mechanical spelling variation is gone."""
-    text = F.regexp_replace(fold_accents(F.lower(F.coalesce(name, F.lit("")))), "&", " and ")
+    text = F.regexp_replace(F.lower(fold_accents(F.coalesce(name, F.lit("")))), "&", " and ")
     text = F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
     text = F.regexp_replace(text, r"^the (?=\S)", "")
     digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])

@@ -153,7 +153,7 @@ def backfill(raw: DataFrame, tags: DataFrame, topics: DataFrame, canon: DataFram
     `survivors`. Names resolve by alias of the slug, by slug, then by name key; the
     rest become new topics, one per key, named by the lowest video id.
     """
-    todo = (raw.where(usable_name(F.col("name"))).join(tags.select("video_id"), "video_id", "left_anti")
+    todo = (raw.where(usable_name(F.col("name"))).join(tags.where("topic_id IS NOT NULL").select("video_id"), "video_id", "left_anti")
             .select("video_id", F.trim("name").alias("name"))
             .withColumn("slug", slug(F.col("name"))).withColumn("key", name_key(F.col("name")))
             .where(F.length("slug") > 0))
@@ -199,7 +199,7 @@ def contained_phrases(videos: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def cede_to_person(videos: DataFrame, tags: DataFrame, modes: DataFrame, topics: DataFrame) -> DataFrame:
-    """Re-file videos whose title names a person onto that person's id.
+    """Re-file videos whose title names a person onto that person's id; `modes` has the format of a video or null.
 
     Clusters are tried in their declared order; the first that already holds the tag,
     or may take it, decides.
@@ -209,7 +209,7 @@ def cede_to_person(videos: DataFrame, tags: DataFrame, modes: DataFrame, topics:
         F.concat(F.coalesce("related", F.array()), F.coalesce("claims", F.array())).alias("cede"))
     named = contained_phrases(videos.where("NOT is_short AND title IS NOT NULL"), clusters)
     cur = (named.join(tags.select("video_id", F.col("topic_id").alias("cur")), "video_id", "left")
-           .join(modes.select("video_id", F.lit(True).alias("has_mode")), "video_id", "left"))
+           .join(modes.where("mode IS NOT NULL").select("video_id", F.lit(True).alias("has_mode")), "video_id", "left"))
     stay = F.coalesce(F.col("cur") == F.col("person"), F.lit(False))
     take = ((F.col("cur").isNull() & F.coalesce("has_mode", F.lit(False)))
             | F.coalesce(F.array_contains("cede", F.col("cur")), F.lit(False)))
@@ -221,7 +221,7 @@ def cede_to_person(videos: DataFrame, tags: DataFrame, modes: DataFrame, topics:
 
 def topic_totals(videos: DataFrame, tags: DataFrame, topics: DataFrame) -> DataFrame:
     """Videos and views per topic; a person also shows its related topics, which keep their own line."""
-    own = (tags.join(videos.select("video_id", "views"), "video_id").groupBy("topic_id")
+    own = (tags.where("topic_id IS NOT NULL").join(videos.select("video_id", "views"), "video_id").groupBy("topic_id")
            .agg(F.count(F.lit(1)).alias("videos"), F.sum("views").alias("views")))
     under = (topics.where("related IS NOT NULL").select(F.col("topic_id").alias("shown"), F.explode("related").alias("topic_id"))
              .join(own, "topic_id").select("shown", "topic_id", "videos", "views", F.lit(True).alias("is_related")))

@@ -23,13 +23,13 @@ ORACLE: dict = {}
 def jn1(spark, sf):
     items = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     parts = T.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    shops = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name").where("l_suppkey % 3 <> 0")
+    shops = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return items.join(parts, "l_partkey").join(shops, "l_suppkey", "left")
 
 
 ORACLE["jn1_lookup"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey
-LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 <> 0"""
+LEFT JOIN supplier ON s_suppkey = l_suppkey"""
 
 
 @query(QUERIES, "jn2_exclude_ads")

@@ -164,12 +164,12 @@ FROM title_obs WHERE length(title) > 0 GROUP BY video_id""", "title_obs")
 
 @query(QUERIES, "cat9_title_summary")
 def cat9(spark, sf):
-    return C.title_summary(T.title_observations(spark, sf), T.text_videos(spark, sf).where(_key() % 7 != 0))
+    return C.title_summary(T.title_observations(spark, sf), T.text_videos(spark, sf))
 
 
 ORACLE["cat9_title_summary"] = sql("""
-SELECT (SELECT count(DISTINCT video_id) FROM title_obs WHERE length(title) > 0 AND video_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)) AS tracked,
-       count(DISTINCT video_id) AS retitled, count(*) AS changes FROM tc WHERE video_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)""", "title_obs", **_TITLES)
+SELECT (SELECT count(DISTINCT video_id) FROM title_obs WHERE length(title) > 0 AND video_id IN (SELECT doc_id FROM documents)) AS tracked,
+       count(DISTINCT video_id) AS retitled, count(*) AS changes FROM tc WHERE video_id IN (SELECT doc_id FROM documents)""", "title_obs", **_TITLES)
 
 
 @query(QUERIES, "cat10_descriptions")
@@ -188,15 +188,13 @@ FROM text_videos WHERE (video_id % 2 = 0 OR video_id % 3 <> 0) AND video_id % 7
 def cat11(spark, sf):
     days = channel_days(spark, sf)
     stored = days.where(F.dayofmonth("day") % 3 != 0).withColumn("channel_views", F.col("channel_views") - 1)
-    return C.channel_day_upsert(stored, days.where(F.dayofmonth("day") % 2 == 0), keep_last=14).withColumn(
+    return C.channel_day_upsert(stored, days.where(F.dayofmonth("day") % 2 == 0)).withColumn(
         "day", F.date_format("day", "yyyy-MM-dd"))
 
 
 ORACLE["cat11_channel_days"] = sql("""
-SELECT channel_id, strftime(day, '%Y-%m-%d') AS day, v AS channel_views, subscriber_count, video_count
-FROM (SELECT *, CASE WHEN day(day) % 2 = 0 THEN channel_views ELSE channel_views - 1 END AS v,
-             row_number() OVER (PARTITION BY channel_id ORDER BY day DESC) AS rn
-      FROM cd WHERE day(day) % 2 = 0 OR day(day) % 3 <> 0) x WHERE rn <= 14""", "readings", cd=CHANNEL_DAYS)
+SELECT channel_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN day(day) % 2 = 0 THEN channel_views ELSE channel_views - 1 END AS channel_views, subscriber_count, video_count
+FROM cd WHERE day(day) % 2 = 0 OR day(day) % 3 <> 0""", "readings", cd=CHANNEL_DAYS)
 
 
 @query(QUERIES, "cat12_catalogue_counts")

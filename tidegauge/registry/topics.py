@@ -31,8 +31,9 @@ def topics(spark, sf):
 
 
 def tags(spark, sf):
-    return T.table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(
-        F.col("o_orderkey").alias("video_id"), _slug("o_custkey").alias("topic_id"))
+    """Every order is a video; those still in process carry no tag yet."""
+    return T.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("video_id"), F.when(F.col("o_orderstatus") != "P", _slug("o_custkey")).alias("topic_id"))
 
 
 def promoted(spark, sf):
@@ -48,7 +49,7 @@ def aliases(spark, sf):
 
 def raw_names(spark, sf):
     name = F.expr(f"CASE WHEN o_orderkey % 4 = 0 THEN {topic_name('o_custkey + 2')} ELSE concat('Story number ', o_custkey % 50, CASE WHEN o_orderkey % 8 = 2 THEN ' saga' ELSE '' END) END")
-    return T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("video_id"), name.alias("name"))
+    return T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.when(~F.col("o_orderpriority").startswith("1"), name).alias("name"))
 
 
 def _inputs(spark, sf):
@@ -71,7 +72,7 @@ SELECT {slug_sql(_name('p_partkey'))} AS topic_id, p_partkey AS ord, {_name('p_p
        CASE WHEN p_partkey % 13 = 0 THEN 'theme' ELSE 'subject' END AS kind,
        CASE WHEN p_partkey % 10 = 0 THEN [{slug_sql(_name('p_partkey + 1'))}, {slug_sql(_name('p_partkey + 8'))}] END AS related,
        CASE WHEN p_partkey % 20 = 0 THEN [{slug_sql(_name('p_partkey + 3'))}] END AS claims FROM part""",
-    "tags": f"SELECT o_orderkey AS video_id, {slug_sql(_name('o_custkey'))} AS topic_id FROM orders WHERE o_orderkey % 3 <> 0",
+    "tags": f"SELECT o_orderkey AS video_id, CASE WHEN o_orderstatus <> 'P' THEN {slug_sql(_name('o_custkey'))} END AS topic_id FROM orders",
     "promoted": f"SELECT {slug_sql(_name('p_partkey'))} AS topic_id FROM part WHERE p_partkey % 50 IN (3, 7)",
     "aliases": f"""
 SELECT {slug_sql(_name('p_partkey'))} AS variant_id, CASE WHEN tk IS NULL THEN 'no-such-topic' ELSE {slug_sql(_name('tk'))} END AS topic_id
@@ -80,7 +81,7 @@ FROM (SELECT p_partkey, CASE WHEN p_partkey % 40 = 20 THEN NULL WHEN p_partkey %
     "referenced": """
 SELECT DISTINCT unnest(list_concat(coalesce(related, []), coalesce(claims, []))) AS topic_id FROM topics""",
     **key_ctes("topics", "topic_id, name, kind", "name", "t"),
-    "counts": "SELECT topic_id, count(*) AS videos FROM tags GROUP BY topic_id",
+    "counts": "SELECT topic_id, count(*) AS videos FROM tags WHERE topic_id IS NOT NULL GROUP BY topic_id",
     "ranked": """
 SELECT k.topic_id, k.key, row_number() OVER (PARTITION BY k.key ORDER BY
   (CASE WHEN k.topic_id IN (SELECT topic_id FROM promoted) THEN 1000000 ELSE 0 END
@@ -136,7 +137,7 @@ ORACLE["dp26_merge_counts"] = sql("""
 SELECT 'moved' AS what, count(*) AS n FROM refiled WHERE moved HAVING count(*) > 0
 UNION ALL SELECT 'demoted', count(*) FROM promoted WHERE topic_id IN (SELECT variant FROM canon) HAVING count(*) > 0
 UNION ALL SELECT 'removed', count(*) FROM topics WHERE topic_id IN (SELECT variant FROM canon)
-  AND topic_id NOT IN (SELECT topic_id FROM referenced) AND topic_id NOT IN (SELECT topic_id FROM refiled) HAVING count(*) > 0""", **_TOPICS)
+  AND topic_id NOT IN (SELECT topic_id FROM referenced) AND topic_id NOT IN (SELECT topic_id FROM refiled WHERE topic_id IS NOT NULL) HAVING count(*) > 0""", **_TOPICS)
 
 
 @query(QUERIES, "dp27_alias_candidates")
@@ -161,7 +162,8 @@ def _backfilled(spark, sf):
 _RAWNAME = f"CASE WHEN o_orderkey % 4 = 0 THEN {_name('o_custkey + 2')} ELSE concat('Story number ', o_custkey % 50, CASE WHEN o_orderkey % 8 = 2 THEN ' saga' ELSE '' END) END"
 _BACKFILL = {
     **_TOPICS,
-    "raw": f"SELECT o_orderkey AS video_id, {_RAWNAME} AS name FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT video_id FROM tags)",
+    "raw": f"""SELECT o_orderkey AS video_id, {_RAWNAME} AS name FROM orders
+WHERE NOT starts_with(o_orderpriority, '1') AND o_orderkey NOT IN (SELECT video_id FROM tags WHERE topic_id IS NOT NULL)""",
     **key_ctes("raw", "video_id, name", "name", "r"),
     "slugs": f"SELECT *, {slug_sql('name')} AS slug FROM r_keys",
     "found": """
@@ -214,8 +216,7 @@ SELECT v.video_id, p.person FROM titled v JOIN people p ON contains(v.tw, p.pw)"
 
 @query(QUERIES, "dp29_cede_to_person")
 def dp29(spark, sf):
-    modes = T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("video_id"))
-
+    modes = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.when(F.col("o_orderpriority") >= "3", F.col("o_orderpriority")).alias("mode"))
     return TP.cede_to_person(_titled(spark, sf), tags(spark, sf), modes, topics(spark, sf))
 
 
@@ -223,12 +224,12 @@ ORACLE["dp29_cede_to_person"] = sql("""
 SELECT video_id, cur AS from_topic, person AS topic_id FROM (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS rk FROM (
     SELECT v.video_id, g.topic_id AS cur, p.person, p.ord, coalesce(g.topic_id = p.person, FALSE) AS stay,
-           (g.topic_id IS NULL AND v.video_id % 2 = 0) OR coalesce(list_contains(p.cede, g.topic_id), FALSE) AS take
+           (g.topic_id IS NULL AND v.mode >= '3') OR coalesce(list_contains(p.cede, g.topic_id), FALSE) AS take
     FROM titled v JOIN people p ON contains(v.tw, p.pw) LEFT JOIN tags g USING (video_id) WHERE v.video_id % 5 <> 0) c
   WHERE stay OR take) d WHERE rk = 1 AND NOT stay""", **{k: _TOPICS[k] for k in ("topics", "tags")},
     people="""SELECT topic_id AS person, ord, list_concat(coalesce(related, []), coalesce(claims, [])) AS cede,
  ' ' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) || ' ' AS pw FROM topics WHERE related IS NOT NULL OR claims IS NOT NULL""",
-    titled=f"""SELECT o_orderkey AS video_id, ' ' || trim(regexp_replace(lower(concat('Live: ', {_name('o_custkey')}, '!')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tw FROM orders""")
+    titled=f"""SELECT o_orderkey AS video_id, o_orderpriority AS mode, ' ' || trim(regexp_replace(lower(concat('Live: ', {_name('o_custkey')}, '!')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS tw FROM orders""")
 
 
 @query(QUERIES, "dp47_topic_totals")
@@ -240,7 +241,7 @@ ORACLE["dp47_topic_totals"] = sql("""
 SELECT topic_id AS shown, topic_id, videos, views, FALSE AS is_related FROM own
 UNION ALL SELECT r.shown, r.topic_id, o.videos, o.views, TRUE FROM (SELECT topic_id AS shown, unnest(related) AS topic_id FROM topics WHERE related IS NOT NULL) r JOIN own o USING (topic_id)""",
     "order_videos", **{k: _TOPICS[k] for k in ("topics", "tags")},
-    own="SELECT topic_id, count(*) AS videos, CAST(sum(views) AS BIGINT) AS views FROM tags JOIN order_videos USING (video_id) GROUP BY topic_id")
+    own="SELECT topic_id, count(*) AS videos, CAST(sum(views) AS BIGINT) AS views FROM tags JOIN order_videos USING (video_id) WHERE topic_id IS NOT NULL GROUP BY topic_id")
 
 
 @query(QUERIES, "dp48_newly_promoted")
@@ -256,7 +257,7 @@ SELECT topic_id, videos FROM counts WHERE videos >= 12 AND topic_id NOT IN (SELE
 @query(QUERIES, "dp42_enriched_rows")
 def dp42(spark, sf):
     t = topics(spark, sf)
-    themes = T.table(spark, sf, "orders").where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("video_id"), _slug("o_custkey + 1").alias("topic_id"))
+    themes = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.when(F.col("o_orderpriority") < "3", _slug("o_custkey + 1")).alias("topic_id"))
     rows = T.order_videos(spark, sf).select("video_id", "views")
     return TP.enriched(rows, {"subject": tags(spark, sf), "theme": themes}, t)
 
@@ -267,7 +268,7 @@ LEFT JOIN (SELECT g.video_id, 'subject|' || t.name || '|' || t.colour AS chip FR
 LEFT JOIN (SELECT g.video_id, 'theme|' || t.name || '|' || t.colour AS chip FROM themes g JOIN topic_colours t USING (topic_id)) h USING (video_id)""",
     "order_videos", **{k: _TOPICS[k] for k in ("topics", "tags")}, **_colour_ctes("topics", "topic_id, ord", "name"),
     topic_colours="SELECT topic_id, name, CASE WHEN ord % 4 <> 0 THEN colour ELSE '#888' END AS colour FROM colours",
-    themes=f"SELECT o_orderkey AS video_id, {slug_sql(_name('o_custkey + 1'))} AS topic_id FROM orders WHERE o_orderkey % 4 = 1")
+    themes=f"SELECT o_orderkey AS video_id, CASE WHEN o_orderpriority < '3' THEN {slug_sql(_name('o_custkey + 1'))} END AS topic_id FROM orders")
 
 
 @query(QUERIES, "dp49_creator_tags")
