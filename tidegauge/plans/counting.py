@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import days_between, half_up
 from tidegauge.operators.asof import range_bucket, values_at_ages
 from tidegauge.operators.stats import interpolated_median
+from tidegauge.session import cut_lineage
 
 CHECK_AGES = [24.0, 12.0, 48.0, 72.0]
 
@@ -172,44 +169,41 @@ def rate_histogram(points: DataFrame, *, pre_end: str, onset: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _resampled_medians(values: np.ndarray, counts: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
-    """Medians of `replicates` same-size resamples, drawn through uniform order statistics.
-
-    The k-th smallest of n draws with replacement sits at position ceil(n * U) of the
-    sorted sample, U being the k-th smallest of n uniforms, i.e. Beta(k, n - k + 1).
-    """
-    n = int(counts.sum())
-    upto = np.cumsum(counts)
-
-    def pick(u: np.ndarray) -> np.ndarray:
-        return values[np.searchsorted(upto, np.clip(np.ceil(u * n), 1, n))]
-
-    k = (n + 1) // 2
-    u = rng.beta(k, n - k + 1, replicates)
-    if n % 2:
-        return pick(u)
-    following = u + (1 - u) * rng.beta(1, n - k, replicates)
-    return (pick(u) + pick(following)) / 2
+def _drawn(seed: int, n: Column, *key: Column) -> Column:
+    """A number from 0 to n - 1, uniform up to n / 2^40: 40 bits of a digest of the seed and the key, so it can be drawn again anywhere."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key))), 1, 10), 16, 10).cast("bigint")
+    return F.floor(bits.cast("double") * n / float(1 << 40))
 
 
 def bootstrap_factors(histogram: DataFrame, *, replicates: int = 4000, seed: int = 20260907) -> DataFrame:
-    """One factor per (channel, replicate); null where the post side's median is zero."""
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        channel = pdf["channel_id"].iloc[0]
-        rng = np.random.default_rng([seed, zlib.crc32(channel.encode())])
-        mids = {}
-        for side in ("pre", "post"):
-            part = pdf[pdf["side"] == side].sort_values("pct")
-            if part.empty:
-                return pd.DataFrame({"channel_id": [], "replicate": [], "factor": []})
-            mids[side] = _resampled_medians(part["pct"].to_numpy(), part["n"].to_numpy(), replicates, rng)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            factor = np.where(mids["post"] > 0, mids["pre"] / mids["post"], np.nan)
-        return pd.DataFrame({"channel_id": channel, "replicate": np.arange(replicates),
-                             "factor": pd.Series(factor).where(~np.isnan(factor), None)})
-
-    return histogram.groupBy("channel_id").applyInPandas(
-        resample, "channel_id string, replicate long, factor double")
+    """One factor per (channel, replicate); null where the post side's median is zero.
+
+    A replicate draws as many uploads as a side has, with replacement. Each draw depends on nothing but
+    its own number, so replicates are spread over all tasks, and a task that is run again draws the same.
+    Draws are places in the sorted rates; only those in the middle are looked up in the histogram,
+    which holds a row for each rate of two decimals. Channels without uploads on one side have no rows.
+    """
+    # how many uploads lie up to each rate; a side has one row for each rate of two decimals
+    upto = F.sum("n").over(Window.partitionBy("channel_id", "side").orderBy("pct"))
+    sides = histogram.withColumn("upto", upto).groupBy("channel_id", "side").agg(
+        F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("pct", "upto"))).alias("bars"))
+    both = sides.groupBy("channel_id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("channel_id")
+    sides = cut_lineage(sides.join(both, "channel_id", "left_semi"))
+    size = F.col("size")
+    draws = F.transform(F.sequence(F.lit(1).cast("bigint"), size), lambda d: _drawn(seed, size, F.col("channel_id"), F.col("side"), F.col("replicate"), d))
+    middle = (sides.select("channel_id", "side", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+              .repartition("channel_id", "side", "replicate").withColumn("draws", F.array_sort(draws))
+              .select("channel_id", "side", "replicate", F.get("draws", F.floor((size - 1) / 2).cast("int")).alias("low"),
+                      F.get("draws", F.floor(size / 2).cast("int")).alias("high")))
+    lookup = sides.select("channel_id", "side", F.col("bars.pct").alias("rates"), F.col("bars.upto").alias("ends"))
+
+    def at(place: str) -> Column:
+        return F.get("rates", F.size(F.filter("ends", lambda e: e <= F.col(place))))
+
+    medians = middle.join(lookup, ["channel_id", "side"]).select("channel_id", "side", "replicate", ((at("low") + at("high")) / 2).alias("mid"))
+    wide = medians.groupBy("channel_id", F.col("replicate").cast("bigint").alias("replicate")).agg(
+        F.max(F.when(F.col("side") == "pre", F.col("mid"))).alias("pre"), F.max(F.when(F.col("side") == "post", F.col("mid"))).alias("post"))
+    return wide.select("channel_id", "replicate", F.when(F.col("post") > 0, F.col("pre") / F.col("post")).alias("factor"))
 
 
 def bootstrap_interval(draws: DataFrame, factors: DataFrame, checks: DataFrame, *, replicates: int = 4000) -> DataFrame:
@@ -242,6 +236,15 @@ def pooled_interval(draws: DataFrame, factors: DataFrame, *, replicates: int = 4
         point.select("factor").scalar().alias("factor"), point.select("n_post").scalar().alias("n_post"), "low", "high")
 
 
+def site_record(factors: DataFrame, intervals: DataFrame, checks: DataFrame, *, benchmark: str) -> DataFrame:
+    """The figures a site prints: those of the benchmark channel, or of the first one if it is not measured."""
+    chosen = factors.agg(F.min_by("channel_id", F.struct((F.col("channel_id") != benchmark).cast("int"), F.col("channel_id"))).alias("channel_id"))
+    alt = checks.groupBy("channel_id").agg(F.count(F.lit(1)).alias("checks"), F.min("factor").alias("check_min"), F.max("factor").alias("check_max"))
+    return (chosen.join(factors.select("channel_id", "factor", "n_post"), "channel_id").join(intervals, "channel_id").join(alt, "channel_id", "left")
+            .select("channel_id", "factor", "low", "high", "n_post", "sample_low", "sample_high",
+                    F.coalesce("checks", F.lit(0)).cast("bigint").alias("checks"), "check_min", "check_max"))
+
+
 def pooled_factor(factors: DataFrame) -> DataFrame:
     return factors.agg(
         F.round(F.sum(F.col("post_views") * F.col("factor")) / F.sum("post_views"), 2).alias("factor"),

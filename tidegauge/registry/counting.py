@@ -157,13 +157,64 @@ def _draws(main):
     return C.bootstrap_factors(C.rate_histogram(main, pre_end=PRE_END, onset=ONSET))
 
 
-@query(QUERIES, "dp9_bootstrap_interval")
-def dp9(spark, sf):
+def _interval(spark, sf):
     points = _points(spark, sf)
     main = _main(spark, sf, points)
     factors = C.rate_factor(main, pre_end=PRE_END, onset=ONSET)
     checks = C.factor_checks(points, pre_end=PRE_END, onset=ONSET, min_side=2)
-    return C.bootstrap_interval(_draws(main), factors, checks)
+    return factors, checks, C.bootstrap_interval(_draws(main), factors, checks)
+
+
+# Every draw is a digest of its own number, so both engines draw the same uploads.
+_BOOT = {
+    "hist": "SELECT channel_id, side, round(lk * 100 / vw, 2) AS pct, count(*) AS n FROM sided WHERE side IS NOT NULL GROUP BY ALL",
+    "bars": """
+SELECT channel_id, side, pct, upto, upto - n AS before, size FROM (
+  SELECT *, sum(n) OVER (PARTITION BY channel_id, side ORDER BY pct) AS upto, sum(n) OVER (PARTITION BY channel_id, side) AS size FROM hist) h""",
+    "sides": """
+SELECT channel_id, side, CAST(any_value(size) AS BIGINT) AS size FROM bars
+WHERE channel_id IN (SELECT channel_id FROM bars GROUP BY channel_id HAVING count(DISTINCT side) = 2) GROUP BY channel_id, side""",
+    "drawn": """
+SELECT channel_id, side, size, replicate, CAST(floor(CAST(CAST('0x' || substr(md5(concat_ws('|', '20260907', channel_id, side, replicate, draw)), 1, 10) AS BIGINT) AS DOUBLE)
+       * size / 1099511627776.0::DOUBLE) AS BIGINT) AS place
+FROM (SELECT s.*, replicate, unnest(range(1, size + 1)) AS draw FROM sides s, (SELECT unnest(range(4000)) AS replicate) r) d""",
+    "mids": """
+SELECT m.channel_id, m.side, m.replicate, (a.pct + b.pct) / 2 AS mid FROM (
+  SELECT channel_id, side, replicate, l[CAST((size - 1) // 2 AS INT) + 1] AS low, l[CAST(size // 2 AS INT) + 1] AS high
+  FROM (SELECT channel_id, side, replicate, size, list_sort(list(place)) AS l FROM drawn GROUP BY ALL) x) m
+JOIN bars a ON a.channel_id = m.channel_id AND a.side = m.side AND a.before <= low AND low < a.upto
+JOIN bars b ON b.channel_id = m.channel_id AND b.side = m.side AND b.before <= high AND high < b.upto""",
+    "draws": """
+SELECT channel_id, replicate, CASE WHEN post > 0 THEN pre / post END AS factor FROM (
+  SELECT channel_id, replicate, max(mid) FILTER (WHERE side = 'pre') AS pre, max(mid) FILTER (WHERE side = 'post') AS post FROM mids GROUP BY ALL) w""",
+    "intervals": """
+SELECT i.channel_id, sample_low, sample_high, least(sample_low, alt_low) AS low, greatest(sample_high, alt_high) AS high FROM (
+  SELECT channel_id, round(max(f) FILTER (WHERE rn = 101), 2) AS sample_low, round(max(f) FILTER (WHERE rn = 3901), 2) AS sample_high
+  FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY f, replicate) AS rn
+        FROM (SELECT d.channel_id, d.replicate, coalesce(d.factor, f.factor) AS f FROM draws d JOIN factors f USING (channel_id)) g) r GROUP BY channel_id) i
+LEFT JOIN (SELECT channel_id, min(factor) AS alt_low, max(factor) AS alt_high, count(*) AS checks FROM checks GROUP BY channel_id) c USING (channel_id)""",
+}
+
+
+@query(QUERIES, "dp9_bootstrap_interval")
+def dp9(spark, sf):
+    return _interval(spark, sf)[2]
+
+
+ORACLE["dp9_bootstrap_interval"] = sql("SELECT * FROM intervals", "readings", **_POINTS, **_CHECKS, **_BOOT)
+
+
+@query(QUERIES, "dp9_site")
+def dp9_site(spark, sf):
+    factors, checks, intervals = _interval(spark, sf)
+    return C.site_record(factors, intervals, checks, benchmark="ch2")
+
+
+ORACLE["dp9_site"] = sql("""
+SELECT channel_id, f.factor, i.low, i.high, f.n_post, i.sample_low, i.sample_high, count(c.factor) AS checks, min(c.factor) AS check_min, max(c.factor) AS check_max
+FROM factors f JOIN intervals i USING (channel_id) LEFT JOIN checks c USING (channel_id)
+WHERE channel_id = (SELECT channel_id FROM factors ORDER BY channel_id <> 'ch2', channel_id LIMIT 1)
+GROUP BY ALL""", "readings", **_POINTS, **_CHECKS, **_BOOT)
 
 
 @query(QUERIES, "dp9_pooled_interval")
@@ -172,6 +223,14 @@ def dp9_pooled(spark, sf):
     return C.pooled_interval(_draws(main), C.rate_factor(main, pre_end=PRE_END, onset=ONSET))
 
 
+ORACLE["dp9_pooled_interval"] = sql("""
+SELECT (SELECT round(sum(post_views * factor) / sum(post_views), 2) FROM factors) AS factor, (SELECT CAST(sum(n_post) AS BIGINT) FROM factors) AS n_post,
+       round(max(f) FILTER (WHERE rn = 101), 2) AS low, round(max(f) FILTER (WHERE rn = 3901), 2) AS high
+FROM (SELECT *, row_number() OVER (ORDER BY f, replicate) AS rn FROM (
+  SELECT replicate, sum(f.post_views * coalesce(d.factor, f.factor)) / sum(f.post_views) AS f FROM draws d JOIN factors f USING (channel_id) GROUP BY replicate) g) r""",
+    "readings", **_POINTS, **_BOOT)
+
+
 @query(QUERIES, "ag10_pooled_factor")
 def ag10(spark, sf):
     return C.pooled_factor(C.rate_factor(_main(spark, sf), pre_end=PRE_END, onset=ONSET))
