@@ -101,7 +101,7 @@ def test_sinks(spark, tmp_path):
     slots = str(tmp_path / "s")
     sinks.append_new_slots(df.where("month = '2024-01'"), slots, slot=["month"])
     sinks.append_new_slots(df.withColumn("v", F.lit(-1).cast("long")), slots, slot=["month"])
-    assert {(r.month, r.v) for r in spark.read.parquet(slots).collect()} == {("2024-01", 1), ("2024-02", -1)}
+    assert {(r.month, r.v) for r in sinks.read_slots(spark, slots).collect()} == {("2024-01", 1), ("2024-02", -1)}
 
 
 def test_folding_reaches_all_compatible_letters(spark):

@@ -15,6 +15,7 @@ from tidegauge.session import cut_lineage, scratch_path
 from tidegauge.sources import readers as R
 from tidegauge.sources import sinks as K
 from tidegauge.sources import tables as T
+from tidegauge.sources.versions import VersionedTable
 from tidegauge.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -221,7 +222,7 @@ def snk3(spark, sf):
     rows = _gains(spark, sf).select("video_id", "snap_date", "slot", "views")
     K.append_new_slots(rows.where("slot = 'AM'"), path, slot=["snap_date", "slot"])
     K.append_new_slots(rows.withColumn("views", F.lit(-1).cast("bigint")), path, slot=["snap_date", "slot"])
-    return spark.read.parquet(path).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("views").alias("views"))
+    return K.read_slots(spark, path).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("views").alias("views"))
 
 
 ORACLE["snk3_write_once_slots"] = sql("""
@@ -341,7 +342,9 @@ ORACLE["str2_half_day_slots"] = sql("SELECT DISTINCT user_id AS video_id, slot_i
 @query(QUERIES, "str3_availability_feed")
 def str3(spark, sf):
     stream = _logged(T.presence_observations(spark, sf).select("video_id", "pass_id", "present"), "presence")
-    return _drained(J.availability_feed(stream), spark, "availability-stream")
+    root = scratch_path(spark, "availability-stream")
+    J.availability_feed(stream, root, scratch_path(spark, "availability-progress")).awaitTermination()
+    return J.read_feed(spark, root, J.EVENTS)
 
 
 ORACLE["str3_availability_feed"] = sql("SELECT video_id, pass_id, event FROM evs", "presence", **_STREAKS)
@@ -350,7 +353,9 @@ ORACLE["str3_availability_feed"] = sql("SELECT video_id, pass_id, event FROM evs
 @query(QUERIES, "str4_title_feed")
 def str4(spark, sf):
     stream = _logged(T.title_observations(spark, sf).select("video_id", "pass_id", "title", "via"), "titles")
-    return _drained(J.title_feed(stream), spark, "title-stream")
+    root = scratch_path(spark, "title-stream")
+    J.title_feed(stream, root, scratch_path(spark, "title-progress")).awaitTermination()
+    return J.read_feed(spark, root, J.CHANGES)
 
 
 ORACLE["str4_title_feed"] = sql("SELECT * FROM tc", "title_obs", **_TITLES)
@@ -362,7 +367,7 @@ def str5(spark, sf):
     root = scratch_path(spark, "catalogue-stream")
     q = J.upsert_catalogue(s, root, scratch_path(spark, "catalogue-progress"))
     q.awaitTermination()
-    return J.last_version(q, root, spark)
+    return VersionedTable(spark, root, "video_id", J.table_schema(s)).read()
 
 
 ORACLE["str5_catalogue_upsert"] = """

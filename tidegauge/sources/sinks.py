@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.session import cut_lineage
+
 
 def land_readings(readings: DataFrame, path: str) -> None:
     """Keep the archive as a table partitioned by snapshot date, so products prune by day; landing a day again replaces it."""
@@ -24,13 +26,28 @@ def write_months(df: DataFrame, path: str, *, month: str = "month") -> None:
 
 
 def append_new_slots(df: DataFrame, path: str, *, slot: list[str]) -> None:
-    """Write-once: rows of slots already on record are left out."""
+    """Write-once: rows of slots already on record are left out.
+
+    A slot is a partition under ``data`` and, once it is written, a row of the record under ``slots``. An append
+    looks up its slots in the record and reads no data. A slot that was written but never recorded, as after a
+    failure, is written again in full.
+    """
     spark = df.sparkSession
-    if not table_exists(spark, path):
-        df.write.parquet(path)
+    fresh = df
+    if table_exists(spark, f"{path}/slots"):
+        fresh = df.join(spark.read.parquet(f"{path}/slots"), slot, "left_anti")
+    new = cut_lineage(fresh.select(*slot).distinct())
+    if new.isEmpty():
         return
-    taken = spark.read.parquet(path).select(*slot).distinct()
-    df.join(taken, slot, "left_anti").write.mode("append").parquet(path)
+    (df.join(new, slot, "left_semi").hint("rebalance", *slot).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*slot).parquet(f"{path}/data"))
+    new.coalesce(1).write.mode("append").parquet(f"{path}/slots")
+
+
+def read_slots(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded slots; partitions without a record are not read."""
+    record = spark.read.parquet(f"{path}/slots")
+    return spark.read.parquet(f"{path}/data").join(record, record.columns, "left_semi")
 
 
 def fingerprint(df: DataFrame, *, ignore: tuple[str, ...] = ("generated",)) -> DataFrame:

@@ -6,15 +6,16 @@ them run to completion with an available-now trigger, or continuously without on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegauge.operators.blocks import previous_row, streaks
 from tidegauge.operators.catalogue import merge_latest
+from tidegauge.session import cut_lineage
+from tidegauge.sources.versions import BUCKETS, VersionedTable
 
 
 def read_stream(spark: SparkSession, folder: str, schema, *, files: str = "*.parquet") -> DataFrame:
@@ -44,50 +45,69 @@ def half_day_slots(stream: DataFrame, *, lateness: str = "12 hours") -> DataFram
             .dropDuplicatesWithinWatermark(["video_id", "slot_at"]))
 
 
-_EVENTS = "video_id long, pass_id long, event string"
+def keyed_feed(stream: DataFrame, root: str, checkpoint: str, advance: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], *,
+               key: str, state: str, available_now: bool = True) -> StreamingQuery:
+    """A feed with one row of state per key, kept as a versioned table and advanced by each micro-batch.
+
+    ``advance(batch, state)`` gives what the batch puts out and the new state of its keys. State and feed of batch n
+    are written under n, from the state before n, so a batch that is played again repeats both. Only the buckets of
+    the state that hold a key of the batch are read and rewritten. A key may have any number of rows in a batch.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        table = VersionedTable(batch.sparkSession, f"{root}/state", key, state)
+        rows = cut_lineage(batch)  # read several times below
+        held = table.before(batch_id, rows)
+        feed, changed = advance(rows, held.join(rows.select(key).distinct(), key, "left_semi"))
+        feed.write.mode("overwrite").parquet(f"{root}/feed/v={batch_id}")
+        table.write(batch_id, cut_lineage(changed), lambda old, new: merge_latest(old, new, key=key))
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_feed(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/feed").drop("v")
 
 
-def availability_feed(stream: DataFrame, *, rechecks: int = 3) -> DataFrame:
-    """Confirmed removals and restorations, from explicit presence rows (video_id, pass_id, present)."""
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        out = []
-        for row in pd.concat(list(batches)).sort_values("pass_id").itertuples():
-            if row.present:
-                if streak > rechecks:
-                    out.append((key[0], row.pass_id, "restored"))
-                streak = 0
-            else:
-                streak += 1
-                if streak == rechecks + 1:
-                    out.append((key[0], row.pass_id, "newly_unavailable"))
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["video_id", "pass_id", "event"])
+EVENTS, STREAK = "video_id long, pass_id long, event string", "video_id long, streak long"
 
-    return stream.groupBy("video_id").applyInPandasWithState(
-        advance, _EVENTS, "streak long", "append", GroupStateTimeout.NoTimeout)
 
+def availability_feed(stream: DataFrame, root: str, checkpoint: str, *, rechecks: int = 3, available_now: bool = True) -> StreamingQuery:
+    """Confirmed removals and restorations, from explicit presence rows (video_id, pass_id, present).
+
+    The state of a video is how many passes in a row it has been missing.
+    """
+    def advance(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        carried = held.select("video_id", F.col("streak").alias("carry"))
+        seen = batch.where("present").groupBy("video_id").agg(F.min("pass_id").alias("first_seen"))
+        missing = streaks(batch.select("video_id", "pass_id", "present"), "video_id", "pass_id", ~F.col("present"))
+        # until it is first seen in the batch, a video goes on missing from before
+        open_ = ~F.col("present") & (F.col("first_seen").isNull() | (F.col("pass_id") < F.col("first_seen")))
+        rows = (missing.join(carried, "video_id", "left").join(seen, "video_id", "left").withColumn("carry", F.coalesce("carry", F.lit(0)))
+                .withColumn("streak", F.col("streak") + F.when(open_, F.col("carry")).otherwise(0)))
+        before = previous_row(rows, "video_id", "pass_id", ["streak"]).withColumn("prev", F.coalesce("prev_streak", "carry"))
+        event = (F.when(F.col("streak") == rechecks + 1, "newly_unavailable")
+                 .when(F.col("present") & (F.col("prev") > rechecks), "restored"))
+        feed = before.withColumn("event", event).where("event IS NOT NULL").select("video_id", "pass_id", "event")
+        return feed, rows.groupBy("video_id").agg(F.max_by("streak", "pass_id").cast("long").alias("streak"))
+
+    return keyed_feed(stream, root, checkpoint, advance, key="video_id", state=STREAK, available_now=available_now)
 
-_CHANGES = "video_id long, pass_id long, from_title string, to_title string, via string"
 
+CHANGES, TITLE = "video_id long, pass_id long, from_title string, to_title string, via string", "video_id long, title string"
 
-def title_feed(stream: DataFrame) -> DataFrame:
-    """A row whenever a video's title differs from the last one seen (video_id, pass_id, title, via)."""
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values("pass_id").itertuples():
-            if not row.title:
-                continue
-            if current is not None and row.title != current:
-                out.append((key[0], row.pass_id, current, row.title, row.via))
-            current = row.title
-        if current is not None:
-            state.update((current,))
-        yield pd.DataFrame(out, columns=["video_id", "pass_id", "from_title", "to_title", "via"])
 
-    return stream.groupBy("video_id").applyInPandasWithState(
-        advance, _CHANGES, "title string", "append", GroupStateTimeout.NoTimeout)
+def title_feed(stream: DataFrame, root: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """A row whenever a video's title differs from the last one seen (video_id, pass_id, title, via); that one is its state."""
+    def advance(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        usable = batch.where(F.length("title") > 0).select("video_id", "pass_id", "title", "via")
+        rows = (previous_row(usable, "video_id", "pass_id", ["title"])
+                .join(held.select("video_id", F.col("title").alias("carry")), "video_id", "left")
+                .withColumn("from_title", F.coalesce("prev_title", "carry")))
+        feed = rows.where(F.col("from_title") != F.col("title")).select("video_id", "pass_id", "from_title", F.col("title").alias("to_title"), "via")
+        return feed, usable.groupBy("video_id").agg(F.max_by("title", "pass_id").alias("title"))
+
+    return keyed_feed(stream, root, checkpoint, advance, key="video_id", state=TITLE, available_now=available_now)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
@@ -96,25 +116,22 @@ def append_to(df: DataFrame, path: str, checkpoint: str, *, available_now: bool
 
 
 def upsert_catalogue(stream: DataFrame, root: str, checkpoint: str, *, key: str = "video_id", version: str = "seq",
-                     available_now: bool = True) -> StreamingQuery:
-    """Latest-wins merge of every micro-batch into a versioned table.
+                     buckets: int = BUCKETS, available_now: bool = True) -> StreamingQuery:
+    """Latest-wins merge of every micro-batch into a versioned table; a batch rewrites only the buckets it touches.
 
-    Batch n writes version n from version n-1, so a replayed batch writes the same
-    version again and never reads its own output.
+    Of rows of a batch with one key the highest ``version`` stays; a stored row gives way to any later batch.
     """
+    schema = table_schema(stream)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c != key]
-        fresh = (batch.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_r"))
-                 .select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
-        if batch_id > 0:
-            fresh = merge_latest(batch.sparkSession.read.parquet(f"{root}/v={batch_id - 1}"), fresh, key=key)
-        fresh.write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        fresh = cut_lineage(batch.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_r"))
+                            .select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+        VersionedTable(batch.sparkSession, root, key, schema, buckets=buckets).write(batch_id, fresh, lambda old, new: merge_latest(old, new, key=key))
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def last_version(query: StreamingQuery, root: str, spark: SparkSession) -> DataFrame:
-    """The table as the query's last data batch left it."""
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    return spark.read.parquet(f"{root}/v={max(done)}")
+def table_schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
