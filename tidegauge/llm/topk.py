@@ -26,12 +26,12 @@ BLOCK, STEP = 4096, 16
 def packed(vectors: DataFrame, blocks: int) -> DataFrame:
     """(block, ids, cells, dims): the vectors of each block, dimension after dimension.
 
-    Blocks hold vectors by the hash of their id, about ``BLOCK`` each.
+    Blocks hold vectors by the hash of their row number, about ``BLOCK`` each, whatever their ids.
     """
     def run(block: pa.Table) -> pa.Table:
         ids = np.asarray(block["id"])
         rows = [np.asarray(v, np.int64) for v in block["v"].to_pylist()]
-        dims = max(map(len, rows))
+        dims = max(1, *map(len, rows))
         cells = np.zeros((dims, len(rows)), np.int64)  # a shorter vector ends in zeros
         for i, row in enumerate(rows):
             cells[:len(row), i] = row
@@ -39,7 +39,7 @@ def packed(vectors: DataFrame, blocks: int) -> DataFrame:
         return pa.table({"block": block["block"][:1], "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())),
                          "cells": pa.array([cells[:, order].tobytes()], pa.binary()), "dims": pa.array([dims], pa.int32())})
 
-    return (vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return (vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
             .groupBy("block").applyInArrow(run, "block long, ids array<long>, cells binary, dims int"))
 
 
@@ -76,20 +76,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query.
 
     ``vectors`` has vec_id and embedding; a component x counts as floor(256 x), x as double. Queries
-    are the rows where ``is_query`` holds; candidates are all rows with another id. Vectors that are
+    are the ids where ``is_query`` holds; candidates are all rows with another id. Vectors that are
     null, hold a null, NaN or infinite component, or have a null id take no part; vectors of unequal
-    length are filled up with zeros; an id that occurs more than once counts once, with its smallest
-    vector. Ties go to the smaller id. Fewer than k candidates give fewer rows.
+    length, empty ones too, are filled up with zeros. A row is a candidate as often as it stands, also
+    if its id has several vectors; an id asks once, with its smallest vector. Ties go to the smaller id.
+    Fewer than k candidates give fewer rows. Components so large that a score could leave 62 bits are
+    refused with an error.
     """
     sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = cut_lineage(vectors.where(sound).select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
-                        .groupBy("id").agg(F.min("v").alias("v")))
-    flagged = whole.select("id", "v", is_query(F.col("id")).alias("asks"))
-    n, q = flagged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    n_blocks, q_blocks = -(-max(n, 1) // BLOCK), -(-max(q, 1) // BLOCK)
-    here = cut_lineage(packed(flagged.drop("asks"), n_blocks))
-    asks = packed(flagged.where("asks").drop("asks"), q_blocks).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dims").alias("q_dims"))
+    whole = cut_lineage(vectors.where(sound).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("id"),
+                                                    F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v")))
+    asking = cut_lineage(whole.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).withColumn("row", F.col("id")))
+    n, dims, most = whole.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.greatest(*(F.abs(m("v").cast("decimal(20,0)")) for m in (F.array_max, F.array_min))))).first()
+    if (dims or 0) * int(most or 0) ** 2 >= 1 << 62:
+        raise ValueError(f"{dims} components of up to {most} give scores beyond 62 bits")
+    n_blocks, q_blocks = -(-max(n, 1) // BLOCK), -(-max(asking.count(), 1) // BLOCK)
+    here = cut_lineage(packed(whole, n_blocks))
+    asks = packed(asking, q_blocks).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dims").alias("q_dims"))
     # each block of queries meets each block of candidates: the stated queries against all rows
     met = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))).repartition("q_block", "block").join(here, "block")
 
