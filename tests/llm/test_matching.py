@@ -87,6 +87,18 @@ def test_leaks_equal_brute_force(spark, passages, monkeypatch):
     assert decontamination.find_leaks(table, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_batch(spark):
+    benchmark = ready(spark).createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+    short, item = "alpha beta gamma delta", [f"q{i}" for i in range(20)]
+    edited = [*item[:7], "x", *item[8:]]
+    texts = [short, " ".join([f"a{i}" for i in range(40)] + item + ["z"] * 9), " ".join(edited + item + ["z"]), "other words here " * 30]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(0, 1): (0, 1), (1, 2): (40, 0), (2, 2): (20, 0)}
+    together = {(r.doc_id, r.item_id): (r.first_word, r.edits) for r in decontamination.find_leaks(frame.coalesce(1), benchmark).collect()}
+    alone = {(r.doc_id, r.item_id): (r.first_word, r.edits) for i in range(len(texts)) for r in decontamination.find_leaks(frame.where(f"doc_id = {i}"), benchmark).collect()}
+    assert together == alone == want
+
+
 def test_embedding_is_closer_than_chance():
     random.seed(2)
     rng = np.random.default_rng(0)
@@ -150,13 +162,19 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(size=20) * (5 if i % 7 == 0 else 1)]) for i in range(300)]
-    vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, [1.0, None]), (304, [float("nan")] * 20), (305, [float("inf")] * 20), (306, []), (307, [1.0, 2.0]), (0, vectors[0][1]), (None, vectors[3][1])]
+    vectors += [(300, vectors[0][1]), (301, vectors[0][1]), (302, None), (303, [1.0, None]), (304, [float("nan")] * 20), (305, [float("inf")] * 20), (306, []), (307, [1.0, 2.0]), (0, vectors[0][1]), (None, vectors[3][1]),
+                (400, vectors[5][1]), (401, [10 * x for x in vectors[0][1]]), (401, [11 * x for x in vectors[0][1]])]
     frame = ready(spark).createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, score int")
     got = sorted(tuple(r) for r in topk.nearest(frame, lambda c: c % 50 == 0, 5).collect())
-    sound = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted(i for i in sound if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q)[:5]
+    for q in sorted({i for i, _ in sound if i % 50 == 0}):
+        own = min(v for i, v in sound if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in sound if i != q)[:5]
         want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.nearest(frame.limit(0), lambda c: c % 50 == 0).count() == 0
+    empty = ready(spark).createDataFrame([(0, []), (1, []), (2, [])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.nearest(empty, lambda c: c == 0).orderBy("rank").collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    with pytest.raises(ValueError):
+        topk.nearest(ready(spark).createDataFrame([(0, [3e30]), (1, [-3e30])], "vec_id long, embedding array<double>"), lambda c: c == 0)

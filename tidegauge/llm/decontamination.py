@@ -73,8 +73,8 @@ def keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, rep
     return out
 
 
-def distance(item: np.ndarray, text: np.ndarray) -> int:
-    """Fewest edits that turn an item into some run of a text's words."""
+def _last_row(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Fewest edits that turn an item into a run of a text's words, by the end of the run."""
     place = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, np.int64)
     for i, word in enumerate(item):
@@ -82,7 +82,21 @@ def distance(item: np.ndarray, text: np.ndarray) -> int:
         new[0] = i + 1
         new[1:] = np.minimum(row[:-1] + (text != word), row[1:] + 1)
         row = np.minimum.accumulate(new - place) + place
-    return int(row.min())
+    return row
+
+
+def alignment(item: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]:
+    """(begin, fewest edits) of the first run of a text's words that an item turns into with fewest edits.
+
+    Of runs with one end the longest counts. Beyond ``edits`` the begin is not looked for.
+    """
+    row = _last_row(item, text)
+    end = int(row.argmin())
+    away = int(row[end])
+    if away == 0 or away > edits:
+        return end - len(item), away
+    back = _last_row(item[::-1], text[max(0, end - len(item) - away):end][::-1])
+    return end - int(np.flatnonzero(back == away)[-1]), away
 
 
 @dataclass
@@ -119,8 +133,8 @@ class Items:
         self.masks = [np.array([m >> 64 * g & (1 << 64) - 1 for m in masks], np.uint64) for g in range(-(-len(self.sizes) // 64))]
 
     def hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first word of the window, edits) of each text and item within reach, once."""
-        if not len(self.pairs) or len(words) < SHORTEST:
+        """(text, item, first word of the best run, edits) of each text and item within reach, once."""
+        if not len(self.pairs) or len(words) < 2:  # no item within reach of a single word
             return
         met = batches.chained(words, 2)
         at = np.minimum(np.searchsorted(self.pairs, met), len(self.pairs) - 1)
@@ -167,10 +181,10 @@ class Items:
                     a, b = max(int(bounds[d]), int(starts[first[x]]) - edits), min(int(bounds[d + 1]), int(ends[final[x]]) + edits)
                     if np.isin(self.own_pairs[item], met[a:b - 1]).sum() < len(self.own_pairs[item]) - 2 * edits:
                         continue
-                    away = distance(self.words[item], words[a:b])
+                    begin, away = alignment(self.words[item], words[a:b], edits)
                     if away <= edits:
                         done.add((d, item))
-                        yield d, item, int(starts[first[x]] - bounds[d]), away
+                        yield d, item, a + begin - int(bounds[d]), away
 
 
 def item_blocks(benchmark: DataFrame, share: float = EDITS, recall: float = RECALL, item_words: int = ITEM_WORDS) -> Iterator[Items]:
@@ -187,7 +201,8 @@ def item_blocks(benchmark: DataFrame, share: float = EDITS, recall: float = RECA
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, first_word, edits, item_words): each item met in each row of ``docs`` (doc_id, text).
 
-    ``edits`` counts words inserted, left out or exchanged, at most ``share`` of the item's. Null or
+    ``edits`` counts words inserted, left out or exchanged, at most ``share`` of the item's; ``first_word`` is where
+    the run begins that comes closest, in the stretch of text where the item is first met. Null or
     empty texts and items give nothing, nor do items of under five words; an item met more than once
     in a text is given once, repeated rows are given each. No benchmark, or no documents, no rows.
     """
