@@ -75,14 +75,17 @@ def keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, rep
 
 def _last_row(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Fewest edits that turn an item into a run of a text's words, by the end of the run."""
-    place = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for i, word in enumerate(item):
-        new = np.empty_like(row)
+    place = np.arange(len(text) + 1, dtype=np.int32)
+    gain = (item[:, None] == text[None, :]).astype(np.int32)
+    row = -place  # every entry less its place, so that a running minimum spreads along the row
+    new = np.empty_like(row)
+    for i in range(len(item)):
         new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (text != word), row[1:] + 1)
-        row = np.minimum.accumulate(new - place) + place
-    return row
+        np.subtract(row[:-1], gain[i], out=new[1:])
+        row += 1
+        np.minimum(new[1:], row[1:], out=new[1:])
+        np.minimum.accumulate(new, out=row)
+    return row + place
 
 
 def alignment(item: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]:
