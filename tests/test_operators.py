@@ -17,12 +17,12 @@ def _rows(seed=3):
 
 
 def test_order_values_agree_with_sorting(spark):
-    """Both the ranked and the bracketed way give the sorted list's own values."""
+    """Ranks by counted buckets give the sorted list's own values."""
     rows = _rows()
     df = spark.createDataFrame(rows, "k string, v double")
     got = stats.order_values(df, ["k"], "v", {
-        "lo": (0.5, lambda n: F.floor((n + 1) / 2)), "hi": (0.5, lambda n: F.floor(n / 2) + 1),
-        "p90": (0.9, lambda n: F.floor(F.lit(0.9) * (n - 1)) + 1), "top": (1.0, lambda n: n)})
+        "lo": lambda n: F.floor((n + 1) / 2), "hi": lambda n: F.floor(n / 2) + 1,
+        "p90": lambda n: F.floor(F.lit(0.9) * (n - 1)) + 1, "top": lambda n: n})
     for r in got.collect():
         v = sorted(x for k, x in rows if k == r.k)
         n = len(v)
@@ -97,3 +97,46 @@ def test_removal_reasons(spark, status, reason, detail, want):
     assert row.x == want
     if want == "copyright":
         assert row.c == "A B"
+
+
+def test_order_values_take_any_number_and_null_keys(spark):
+    rnd = random.Random(11)
+    values = [0.0, -0.0, 1.0, -1.0, math.inf, -math.inf, 5e-324, -5e-324, 1.7e308, 2.0 ** 40 - 1, 2.0 ** 40,
+              *[rnd.choice((-1, 1)) * 2.0 ** rnd.uniform(-60, 60) for _ in range(300)],
+              *[2.0 ** k for k in range(-30, 30)], *[math.nextafter(2.0 ** k, 0) for k in range(-30, 30)]]
+    df = spark.createDataFrame([(k, v) for k in ("a", None) for v in values], "k string, v double")
+    n = len(values)
+    got = stats.order_values(df, ["k"], "v", {f"r{i}": (lambda i: lambda n: F.lit(i))(i) for i in range(1, n + 1, 7)})
+    rows = got.collect()
+    assert {r.k for r in rows} == {"a", None}
+    for r in rows:
+        assert [r[f"r{i}"] for i in range(1, n + 1, 7)] == sorted(values)[::7]
+    whole = spark.range(1, 100001).selectExpr("'k' AS k", "1700000000000000 + id AS v")
+    assert stats.upper_median(whole, ["k"], "v").first().median == 1700000000050001
+
+
+def test_order_values_move_counts_not_rows(spark):
+    """One evaluation of the input, nothing cached, and no shuffle on the group alone before values are counted."""
+    df = spark.range(200000).selectExpr("'hot' AS k", "CAST(id % 500 AS DOUBLE) AS v")
+    got = stats.interpolated_median(df, ["k"], "v")
+    assert got.first().median == 249.5
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "InMemoryTableScan" not in plan and "ReusedExchange" in final
+    assert final.count("Range (") == 1
+
+
+def test_global_rank_of_one_key_with_many_rows(spark):
+    """A key of 100,000 rows spans parts; ranks are those of sorting, and a null key is ranked too."""
+    df = spark.range(100000).selectExpr("CAST(NULL AS STRING) AS k", "(id * 7919) % 100000 AS o").union(
+        spark.range(3).selectExpr("'x' AS k", "10 - id AS o"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = blocks.global_rank(df, ["k"], ["o"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert got.where("k IS NULL AND place <> o + 1").count() == 0
+    assert got.where("k IS NULL").selectExpr("count(DISTINCT place)", "max(place)").first() == (100000, 100000)
+    assert [(r.o, r.place) for r in got.where("k = 'x'").orderBy("o").collect()] == [(8, 1), (9, 2), (10, 3)]

@@ -8,70 +8,77 @@ such a bound (a channel, the whole network) go through `order_values`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10000
+_STEPS = 4096  # buckets per power of two
 
 
-def order_values(df: DataFrame, keys: list[str], value: str,
-                 targets: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+def _bucket(v: Column) -> Column:
+    """Sign, power of two and leading fraction of a number as one whole number that never falls as the number grows."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    code = (power + 1100) * (4 * _STEPS) + F.floor(size / F.pow(F.lit(2.0), power) * _STEPS)
+    top = F.lit(2 ** 40)
+    return (F.when(F.isnan(v), top + 1).when(size == float("inf"), F.when(v > 0, top).otherwise(-top))
+            .when(v == 0, 0).when(v > 0, code).otherwise(-code).cast("bigint"))
+
+
+def order_values(df: DataFrame, keys: list[str], value: str, targets: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact ranked values per group, without gathering any group in one task.
 
-    `targets` maps an output name to (approximate fraction, n -> 1-based rank). A quantile
-    sketch proposes narrow brackets around every wanted rank, rows are counted per bracket, and
-    only the bracket that really holds the rank is sorted. The sketch decides how balanced the
-    brackets are, never which value comes out. Nothing runs before the result is asked for.
+    `targets` maps an output name to a function from the group's size to a 1-based rank; values are
+    numbers. Equal values are counted before anything moves, spread by (group, value). The counts
+    are summed per bucket, a bucket being 1/4096 of a power of two whatever the data, and only the
+    buckets that hold a wanted rank are sorted. All steps read the same shuffled counts, the input is
+    evaluated once, and nothing runs before the result is asked for. A null key is a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
-    fractions = sorted({min(1.0, max(0.0, p + d)) for p, _ in targets.values()
-                        for d in (-2.0 / _ACCURACY, 2.0 / _ACCURACY)})
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(p) for p in fractions]), F.lit(_ACCURACY)).alias("_edges"))
-    bracket = sum((F.when(F.col("_v") > F.col("_edges")[i], 1).otherwise(0) for i in range(len(fractions))),
-                  F.lit(0))
-    binned = rows.join(sketch, keys).select(*keys, "_v", bracket.alias("_bin"))
-    by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    totals = (binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_before", F.sum("_c").over(by_bin) - F.col("_c"))
-              .withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"),
-                               (rank(F.col("n")).cast("bigint") - F.col("_before")).alias("rank"))
-                      for name, (_, rank) in targets.items()])
-    wanted = (totals.withColumn("_hits", F.filter(ranks, lambda r: (r["rank"] >= 1) & (r["rank"] <= F.col("_c"))))
-              .where(F.size("_hits") > 0).select(*keys, "_bin", "n", "_hits"))
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ordered = (
-        binned.join(wanted, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_v").agg(
-            F.count(F.lit(1)).alias("_c"), F.any_value("n").alias("n"), F.any_value("_hits").alias("_hits"))
-        .withColumn("_upto", F.sum("_c").over(in_bin)))
-    found = (ordered.withColumn("_hit", F.explode("_hits"))
-             .where((F.col("_hit.rank") <= F.col("_upto")) & (F.col("_hit.rank") > F.col("_upto") - F.col("_c"))))
-    return found.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in targets])
+    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", _bucket(F.col("_v").cast("double"))))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = (counted.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_in"))
+              .withColumn("_before", F.sum("_in").over(upto) - F.col("_in")).withColumn("n", F.sum("_in").over(group)))
+    inside = {name: rank(F.col("n")).cast("bigint") - F.col("_before") for name, rank in targets.items()}
+    hits = {name: F.when((r >= 1) & (r <= F.col("_in")), r) for name, r in inside.items()}
+    wanted = totals.select(
+        *[F.col(k).alias(f"_at_{k}") for k in keys], F.col("_bucket").alias("_at_bucket"), "n",
+        *[r.alias(f"_rank_{name}") for name, r in hits.items()]).where(
+            reduce(or_, [F.col(f"_rank_{name}").isNotNull() for name in targets]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys],
+                  F.col("_bucket").eqNullSafe(F.col("_at_bucket")))
+    in_bucket = (Window.partitionBy(*keys, "_bucket").orderBy("_v")
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = counted.join(wanted, same).withColumn("_upto", F.sum("_c").over(in_bucket))
+
+    def holds(name: str) -> Column:
+        rank = F.col(f"_rank_{name}")
+        return (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))
+
+    return ordered.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(holds(name), F.col("_v"))).alias(name) for name in targets])
 
 
 def interpolated_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """Mean of the two middle values for an even count; one row per group."""
     both = order_values(df, keys, value, {
-        "_lo": (0.5, lambda n: F.floor((n + 1) / 2)),
-        "_hi": (0.5, lambda n: F.floor(n / 2) + 1)})
+        "_lo": lambda n: F.floor((n + 1) / 2),
+        "_hi": lambda n: F.floor(n / 2) + 1})
     return both.select(*keys, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """The sorted value at position floor(n/2), counted from zero."""
-    return order_values(df, keys, value, {name: (0.5, lambda n: F.floor(n / 2) + 1)})
+    return order_values(df, keys, value, {name: lambda n: F.floor(n / 2) + 1})
 
 
 def floor_rank_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """The sorted value at position floor(p * (n - 1)), counted from zero."""
     return order_values(df, keys, value, {
-        name: (p, lambda n, p=p: F.floor(F.lit(p) * (n - 1)) + 1) for name, p in points.items()})
+        name: lambda n, p=p: F.floor(F.lit(p) * (n - 1)) + 1 for name, p in points.items()})
 
 
 def mode_low(df: DataFrame, keys: list[str], value: str, name: str = "mode") -> DataFrame:
