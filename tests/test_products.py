@@ -152,3 +152,30 @@ def test_alias_chains_of_any_length(spark, length):
     none = spark.createDataFrame([], "video_id long, topic_id string")
     got = topics.canon_map(names, none, none.select("topic_id"), spark.createDataFrame(links, "variant_id string, topic_id string")).collect()
     assert {(r.variant, r.canonical) for r in got} == {(f"t{i:03d}", f"t{length:03d}") for i in range(length)}
+
+
+def test_creatives_claim_legacy_rows_by_rank(spark):
+    """Unknown first days match each other, a repeated creative claims once, and a crowded day is paired in full."""
+    cols = "creative_id string, video_id long, first_day date, last_day date"
+    day = dt.date(2024, 1, 5)
+    history = spark.createDataFrame(
+        [("legacy:1:a", 1, None, None), ("legacy:1:b", 1, day, day), ("legacy:1:c", 1, day, day), ("old", 2, day, day)],
+        cols).withColumn("seen_day", F.lit("2024-01-06").cast("date"))
+    capture = spark.createDataFrame(
+        [("n1", 1, None, day), ("n2", 1, day, day), ("n2", 1, day, dt.date(2024, 1, 9)), ("n3", 3, None, None), ("x", None, day, day)], cols)
+    got = campaigns.merge_creatives(history, capture, seen="2024-01-31")
+    rows = {r.creative_id: (r.video_id, r.first_day, r.last_day) for r in got.collect()}
+    assert rows == {"n1": (1, None, day), "n2": (1, day, dt.date(2024, 1, 9)), "legacy:1:c": (1, day, day),
+                    "old": (2, day, day), "n3": (3, None, None)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("_part" in line for line in windows)
+
+    many = spark.range(20000)
+    history = many.selectExpr("concat('legacy:9:', lpad(id, 6, '0')) AS creative_id", "9L AS video_id", "DATE'2024-01-05' AS first_day",
+                              "DATE'2024-01-05' AS last_day", "DATE'2024-01-06' AS seen_day")
+    capture = many.where("id < 15000").selectExpr("concat('n', lpad(id, 6, '0')) AS creative_id", "9L AS video_id",
+                                                  "DATE'2024-01-05' AS first_day", "DATE'2024-01-05' AS last_day")
+    got = campaigns.merge_creatives(history, capture, seen="2024-01-31")
+    assert got.selectExpr("count(*)", "count_if(creative_id LIKE 'n%')", "min(CASE WHEN creative_id LIKE 'legacy%' THEN creative_id END)").first() \
+        == (20000, 15000, "legacy:9:015000")

@@ -7,9 +7,14 @@ per block.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import cut_lineage
+
 BLOCK = 4096
 
 
@@ -45,3 +50,24 @@ def streaks(df: DataFrame, key: str, order: str, flag: Column, *, block: int = B
     return (local.join(carry, [key, "_block"])
             .withColumn("streak", F.col("_local") + F.when(starts_open, F.col("_carry")).otherwise(0))
             .select(*df.columns, "streak"))
+
+
+def global_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Add the 1-based rank of each row within its key; null is a key value like any other.
+
+    Rows are cut by range over key and order into parts of even size, so a key of any number of
+    rows spans as many parts as it needs. A part ranks its own rows, and one count per (key, part)
+    carries the rank on to the next part. The parts are written once, since both steps have to see
+    the same cut. Rows equal in key and order share a part and are ranked in any order.
+    """
+    cut = (df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+           .withColumn("_part", F.spark_partition_id()))
+    placed = cut_lineage(cut)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(k).alias(f"_at_{k}") for k in keys], F.col("_part").alias("_at_part"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys], F.col("_part") == F.col("_at_part"))
+    return (placed.withColumn("_inside", inside).join(offsets, same)
+            .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import half_up
 from tidegauge.operators.asof import busy_days, fill_forward_days, next_start
+from tidegauge.operators.blocks import global_rank
 from tidegauge.operators.series import last_read_of_day
 from tidegauge.session import cut_lineage
 
@@ -14,19 +15,24 @@ from tidegauge.session import cut_lineage
 def merge_creatives(history: DataFrame, capture: DataFrame, *, seen: str) -> DataFrame:
     """Fold one capture of the ad listing into the creative history.
 
-    Known creatives widen their dates, vanished ones stay, and a new creative takes
-    over at most one legacy row of the same video and first day. Legacy rows and new
-    creatives are paired by their position within (video, first day).
+    Known creatives widen their dates, vanished ones stay, and a new creative takes over at most
+    one legacy row of the same video and first day; an unknown first day matches an unknown one.
+    Legacy rows and new creatives are paired by their rank within (video, first day), which may
+    hold any number of rows. A creative listed more than once counts once, with its widest dates.
     """
-    found = capture.where("video_id IS NOT NULL")
-    fresh = found.join(history.select("creative_id"), "creative_id", "left_anti")
-    legacy = history.where(F.col("creative_id").startswith("legacy:"))
-    place = Window.partitionBy("video_id", "first_day").orderBy("creative_id")
+    found = (capture.where("video_id IS NOT NULL").groupBy("creative_id")
+             .agg(F.min("video_id").alias("video_id"), F.min("first_day").alias("first_day"),
+                  F.max("last_day").alias("last_day")))
+    group = ["video_id", "first_day"]
+    fresh = found.join(history.select("creative_id"), "creative_id", "left_anti").select("creative_id", *group)
+    legacy = history.where(F.col("creative_id").startswith("legacy:")).select(
+        F.col("creative_id").alias("legacy_id"), *group)
+    new = global_rank(fresh, group, ["creative_id"]).alias("new")
+    old = global_rank(legacy, group, ["legacy_id"]).alias("old")
     claims = (
-        fresh.withColumn("place", F.row_number().over(place))
-        .join(legacy.select("video_id", "first_day", F.col("creative_id").alias("legacy_id"),
-                            F.row_number().over(place).alias("place")),
-              ["video_id", "first_day", "place"])
+        new.join(old, (F.col("new.video_id") == F.col("old.video_id"))
+                 & F.col("new.first_day").eqNullSafe(F.col("old.first_day"))
+                 & (F.col("new.place") == F.col("old.place")))
         .select("creative_id", "legacy_id"))
     kept = (history.join(claims.select(F.col("legacy_id").alias("creative_id"), F.col("creative_id").alias("claimed_by")),
                          "creative_id", "left")

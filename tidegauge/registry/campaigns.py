@@ -18,9 +18,14 @@ def _day(*cols):
     return {c: F.date_format(c, "yyyy-MM-dd") for c in cols}
 
 
+def _creatives(spark, sf):
+    """All creatives; the listing gives no first day for every fourth one."""
+    return T.creatives(spark, sf).withColumn("first_day", F.when(F.col("creative_id") % 4 != 2, F.col("first_day")))
+
+
 def _history(spark, sf):
     """Creatives seen before: two thirds of the ids, half of those only as legacy rows."""
-    c = T.creatives(spark, sf)
+    c = _creatives(spark, sf)
     key = F.col("creative_id")
     legacy = F.concat_ws(":", F.lit("legacy"), "video_id", F.date_format("first_day", "yyyy-MM-dd"), key.cast("string"))
     return c.where(key % 3 != 0).select(
@@ -32,7 +37,7 @@ def _history(spark, sf):
 def _capture(spark, sf):
     """Today's listing: most ids, a few of them unresolved."""
     key = F.col("creative_id")
-    return T.creatives(spark, sf).where(key % 5 != 0).select(
+    return _creatives(spark, sf).where(key % 5 != 0).select(
         key.cast("string").alias("creative_id"), F.when(key % 7 != 0, F.col("video_id")).alias("video_id"),
         "first_day", "last_day")
 
@@ -42,14 +47,16 @@ def _merged(spark, sf):
 
 
 _MERGE = {
+    "listed": """
+SELECT creative_id, video_id, CASE WHEN creative_id % 4 <> 2 THEN first_day END AS first_day, last_day FROM creatives""",
     "hist": """
-SELECT CASE WHEN creative_id % 3 = 1 THEN 'legacy:' || CAST(video_id AS VARCHAR) || ':' || strftime(first_day, '%Y-%m-%d') || ':' || CAST(creative_id AS VARCHAR)
+SELECT CASE WHEN creative_id % 3 = 1 THEN concat_ws(':', 'legacy', video_id, strftime(first_day, '%Y-%m-%d'), creative_id)
             ELSE CAST(creative_id AS VARCHAR) END AS creative_id,
        video_id, first_day, last_day - 1 AS last_day, DATE '2024-01-20' AS seen_day
-FROM creatives WHERE creative_id % 3 <> 0""",
+FROM listed WHERE creative_id % 3 <> 0""",
     "cap": """
 SELECT CAST(creative_id AS VARCHAR) AS creative_id, video_id, first_day, last_day
-FROM creatives WHERE creative_id % 5 <> 0 AND creative_id % 7 <> 0""",
+FROM listed WHERE creative_id % 5 <> 0 AND creative_id % 7 <> 0""",
     "fresh": """
 SELECT *, row_number() OVER (PARTITION BY video_id, first_day ORDER BY creative_id) AS place
 FROM cap WHERE creative_id NOT IN (SELECT creative_id FROM hist)""",
@@ -59,7 +66,7 @@ FROM hist WHERE creative_id LIKE 'legacy:%'""",
     "kept": """
 SELECT coalesce(f.creative_id, h.creative_id) AS creative_id, h.video_id, h.first_day, h.last_day, h.seen_day
 FROM hist h LEFT JOIN legacy l ON l.creative_id = h.creative_id
-LEFT JOIN fresh f ON f.video_id = l.video_id AND f.first_day = l.first_day AND f.place = l.place""",
+LEFT JOIN fresh f ON f.video_id = l.video_id AND f.first_day IS NOT DISTINCT FROM l.first_day AND f.place = l.place""",
     "merged": """
 SELECT creative_id, coalesce(c.video_id, k.video_id) AS video_id, least(k.first_day, c.first_day) AS first_day,
        greatest(k.last_day, c.last_day) AS last_day,
@@ -84,9 +91,9 @@ def cat17(spark, sf):
 
 
 ORACLE["cat17_campaign_rollup"] = sql("""
-SELECT video_id, count(*) AS runs, count(*) AS windows,
-       array_to_string(list_sort(list(DISTINCT strftime(first_day, '%Y-%m-%d') || '..' || strftime(last_day, '%Y-%m-%d'))), ',') AS spans, strftime(min(first_day), '%Y-%m-%d') AS first_day,
-       strftime(max(last_day), '%Y-%m-%d') AS last_day FROM merged GROUP BY video_id""", "creatives", **_MERGE)
+SELECT video_id, count(*) AS runs, count(first_day) AS windows,
+       coalesce(array_to_string(list_sort(list(DISTINCT strftime(first_day, '%Y-%m-%d') || '..' || strftime(last_day, '%Y-%m-%d')) FILTER (WHERE first_day IS NOT NULL)), ','), '') AS spans, strftime(min(first_day), '%Y-%m-%d') AS first_day,
+       strftime(max(last_day) FILTER (WHERE first_day IS NOT NULL), '%Y-%m-%d') AS last_day FROM merged GROUP BY video_id""", "creatives", **_MERGE)
 
 
 @query(QUERIES, "cat17_tracking_from")
