@@ -71,8 +71,10 @@ def values_at_ages(points: DataFrame, ages: list[float]) -> DataFrame:
     """Views and likes linearly interpolated at each wanted age (hours), in one pass.
 
     `points` holds (video_id, age_h, views, likes); an age not bracketed by two readings gives no row.
+    Where several archives are united, `source` ranks them: of readings of one instant the lower
+    bracket takes the highest source and the upper bracket the lowest.
     """
-    reading = F.struct("age_h", "views", "likes")
+    reading = F.struct("age_h", *[c for c in ("source",) if c in points.columns], "views", "likes")
     ends = points.groupBy("video_id").agg(
         *[F.max(F.when(F.col("age_h") <= h, reading)).alias(f"lo_{i}") for i, h in enumerate(ages)],
         *[F.min(F.when(F.col("age_h") >= h, reading)).alias(f"hi_{i}") for i, h in enumerate(ages)])

@@ -20,13 +20,25 @@ def eligible_videos(videos: DataFrame, ads: DataFrame, *, published_from: str) -
             .join(ads.select("video_id"), "video_id", "left_anti"))
 
 
-def aged_points(readings: DataFrame, eligible: DataFrame, *, ages: list[float] = CHECK_AGES,
-                min_views: int = 500) -> DataFrame:
-    """One row per (video, matched age): publish day, views, likes and the like rate per 1,000."""
+def aged_points(readings: DataFrame, eligible: DataFrame, *, debut: DataFrame | None = None,
+                ages: list[float] = CHECK_AGES, min_views: int = 500) -> DataFrame:
+    """One row per (video, matched age): publish day, views, likes and the like rate per 1,000.
+
+    `debut` holds the hourly samples of young videos (video_id, age_h, views, likes); they are read
+    together with the half-daily snapshots, so an age that only they bracket still gives a point.
+    Samples without an age or a view count are left out.
+    """
     pool = eligible.select("video_id", F.col("channel_id"), F.col("published_at"))
-    obs = (readings.select("video_id", "captured_at", "views", F.coalesce("likes", F.lit(0)).alias("likes"))
+    likes = F.coalesce("likes", F.lit(0)).alias("likes")
+    obs = (readings.select("video_id", "captured_at", "views", likes)
            .where(F.col("views") > min_views).join(pool.select("video_id", "published_at"), "video_id")
-           .withColumn("age_h", days_between(F.col("published_at"), F.col("captured_at")) * 24))
+           .select("video_id", (days_between(F.col("published_at"), F.col("captured_at")) * 24).alias("age_h"),
+                   F.lit(1).alias("source"), "views", "likes"))
+    if debut is not None:
+        obs = obs.unionByName(debut.where((F.col("views") > min_views) & F.col("age_h").isNotNull())
+                              .join(pool.select("video_id"), "video_id", "left_semi")
+                              .select("video_id", F.col("age_h").cast("double").alias("age_h"),
+                                      F.lit(0).alias("source"), "views", likes))
     return (values_at_ages(obs, ages).where(F.col("views") > min_views)
             .join(pool, "video_id")
             .select("video_id", "channel_id", F.to_date("published_at").alias("day"), "age_h",

@@ -31,12 +31,43 @@ def parsed(obs: DataFrame) -> DataFrame:
         tidy_label(F.col("label")).alias("label"))
 
 
-def dense_grid(readings: DataFrame) -> DataFrame:
-    """Every SKU on every day of the axis, unknown readings left empty."""
-    days = readings.select("day_ix", "day").distinct()
-    last = days.agg(F.max("day_ix")).scalar()
-    cells = readings.select("sku").distinct().withColumn("day_ix", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return cells.join(days, "day_ix").join(readings.select("sku", "day_ix", "stock", "price"), ["sku", "day_ix"], "left")
+def price_runs(readings: DataFrame) -> DataFrame:
+    """The aligned grid as stretches of days: equal stock and price, or no reading at all.
+
+    One row per stretch with its first and last day index; `was_read` tells an empty reading from a
+    missing one. A SKU's stretches cover the whole axis without overlap, and there are at most twice
+    as many as readings, plus one, however long the axis is.
+    """
+    order = Window.partitionBy("sku").orderBy("day_ix")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    goes_on = ((F.lag("day_ix").over(order) == F.col("day_ix") - 1) & F.lag("stock").over(order).eqNullSafe(F.col("stock"))
+               & F.lag("price").over(order).eqNullSafe(F.col("price")))
+    runs = (readings.select("sku", "day_ix", "stock", "price")
+            .withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+            .withColumn("_run", F.sum("_new").over(so_far))
+            .groupBy("sku", "_run").agg(F.min("day_ix").alias("first_ix"), F.max("day_ix").alias("last_ix"),
+                                        F.any_value("stock").alias("stock"), F.any_value("price").alias("price")))
+    by_run = Window.partitionBy("sku").orderBy("first_ix")
+    end = readings.agg(F.max("day_ix")).scalar()
+    free = F.coalesce(F.lag("last_ix").over(by_run) + 1, F.lit(0).cast("bigint"))
+    spaced = runs.withColumn("_free", free).withColumn("_is_last", F.lead("first_ix").over(by_run).isNull())
+
+    def stretch(first: Column, last: Column, read: bool) -> Column:
+        stock, price = ((F.col(c) if read else F.lit(None).cast(t)).alias(c) for c, t in (("stock", "bigint"), ("price", "double")))
+        return F.struct(first.alias("first_ix"), last.alias("last_ix"), F.lit(read).alias("was_read"), stock, price)
+
+    first, last = F.col("first_ix"), F.col("last_ix")
+    parts = F.array_compact(F.array(
+        F.when(F.col("_free") < first, stretch(F.col("_free"), first - 1, False)), stretch(first, last, True),
+        F.when(F.col("_is_last") & (last < end), stretch(last + 1, end, False))))
+    return spaced.select("sku", F.explode(parts).alias("p")).select("sku", "p.*")
+
+
+def dense_grid(runs: DataFrame, days: DataFrame, *, sku: str | None = None) -> DataFrame:
+    """The days of one SKU, or of all, from its stretches; `days` holds (day_ix, day)."""
+    chosen = runs if sku is None else runs.where(F.col("sku") == sku)
+    return (chosen.withColumn("day_ix", F.explode(F.sequence("first_ix", "last_ix"))).join(days, "day_ix")
+            .select("sku", "day_ix", "day", "stock", "price"))
 
 
 def modal_price(readings: DataFrame) -> DataFrame:
@@ -55,20 +86,30 @@ def modal_price(readings: DataFrame) -> DataFrame:
 FAMILIES = ["K-Cups", "Ground", "Whole Bean"]
 
 
-def sku_catalogue(readings: DataFrame, modal: DataFrame) -> DataFrame:
-    """Name, family and size of every SKU from its latest label and modal price."""
+def sku_catalogue(readings: DataFrame, modal: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Name, family and size of every SKU from its latest label and modal price.
+
+    `catalogue` holds (sku, label, size) as kept by hand: a label that is not blank replaces the one read,
+    a size that is not blank replaces the one inferred. Of several entries of a SKU the greatest counts.
+    """
     latest = readings.groupBy("sku").agg(
         F.max_by("label", F.when(F.length("label") > 0, F.col("day"))).alias("label"),
         F.max(F.when(F.col("stock").isNotNull(), F.col("day"))).alias("last_reading"))
-    label = F.coalesce("label", "sku")
+    if catalogue is None:
+        listed = latest.withColumns({"listed_label": F.lit(None).cast("string"), "listed_size": F.lit(None).cast("string")})
+    else:
+        kept = catalogue.groupBy("sku").agg(F.max(F.struct("label", "size")).alias("c")).select(
+            "sku", tidy_label(F.col("c.label")).alias("listed_label"), F.trim("c.size").alias("listed_size"))
+        listed = latest.join(kept, "sku", "left")
+    label = F.coalesce(F.when(F.length("listed_label") > 0, F.col("listed_label")), "label", "sku")
     parts = F.split(label, " - ", 2)
-    split_up = F.size(parts) == 2
-    named = latest.join(modal, "sku", "left").select(
-        "sku", "last_reading", "modal",
+    split_up = (F.size(parts) == 2) & (F.get(parts, F.lit(1)) != "")
+    named = listed.join(modal, "sku", "left").select(
+        "sku", "last_reading", "modal", "listed_size",
         F.when(split_up, F.when(F.trim(parts[0]).isin(FAMILIES), F.trim(parts[0]))).alias("f"),
         F.trim(F.when(split_up, F.get(parts, F.lit(1))).otherwise(label)).alias("name"))
     family = F.coalesce("f", F.lit("Other"))
-    size = (F.when(family == "K-Cups", "12-pack").when(F.lower("name").contains("kona"), "7oz")
+    size = (F.when(F.length("listed_size") > 0, F.col("listed_size")).when(family == "K-Cups", "12-pack").when(F.lower("name").contains("kona"), "7oz")
             .when(F.col("modal") >= 45, "5lb").otherwise("12oz"))
     return named.select("sku", "name", family.alias("family"), size.alias("size"), "modal", "last_reading")
 

@@ -22,7 +22,7 @@ START, PRE_END, ONSET = "2023-12-28", "2024-01-09", "2024-01-12"
 def _points(spark, sf):
     pool = C.eligible_videos(T.videos(spark, sf), T.ad_videos(spark, sf), published_from=START)
     # Compact (a few rows per video) and read many times below.
-    return cut_lineage(C.aged_points(T.readings(spark, sf), pool, min_views=100))
+    return cut_lineage(C.aged_points(T.readings(spark, sf), pool, debut=T.debut_samples(spark, sf), min_views=100))
 
 
 def _main(spark, sf, points=None):
@@ -31,15 +31,27 @@ def _main(spark, sf, points=None):
 
 
 _POINTS = {
+    "hourly": """
+SELECT user_id AS video_id, greatest(CAST(floor((floor(epoch(ts)) - epoch(published_at)) / 3600) AS BIGINT) + 1, 1) AS hour,
+       min(published_at) AS published_at, sum(cents) AS cents, sum(CASE WHEN event_type IN ('click','view') THEN cents ELSE 0 END) AS engaged
+FROM ev GROUP BY 1, 2 HAVING hour <= 72""",
+    "debut": """
+SELECT video_id, published_at, hour, CAST(total // 100 AS BIGINT) AS views,
+       CASE WHEN video_id % 13 <> 0 THEN CAST((total + 2 * e) // 1600 AS BIGINT) END AS likes
+FROM (SELECT *, CAST(sum(cents) OVER w AS BIGINT) AS total, CAST(sum(engaged) OVER w AS BIGINT) AS e
+      FROM hourly WINDOW w AS (PARTITION BY video_id ORDER BY hour)) h""",
+    "united": """
+SELECT video_id, published_at, views, likes, 1 AS source,
+       (epoch_us(captured_at) - epoch_us(published_at)) / 86400000000.0::DOUBLE * 24 AS age_h FROM readings
+UNION ALL SELECT video_id, published_at, views, likes, 0, CAST(hour AS DOUBLE) FROM debut""",
     "obs": f"""
-SELECT r.video_id, r.channel_id, r.published_at, r.views, coalesce(r.likes, 0) AS likes,
-       (epoch_us(captured_at) - epoch_us(published_at)) / 86400000000.0::DOUBLE * 24 AS age_h
-FROM readings r WHERE NOT is_short AND video_id % 17 <> 0 AND video_id % 10 <> 1 AND views > 100
+SELECT video_id, 'ch' || CAST(video_id % 5 AS VARCHAR) AS channel_id, published_at, views, coalesce(likes, 0) AS likes, source, age_h
+FROM united WHERE video_id % 3 <> 0 AND video_id % 17 <> 0 AND video_id % 10 <> 1 AND views > 100
   AND CAST(published_at AS DATE) >= DATE '{START}'""",
     "ends": """
 SELECT video_id, channel_id, published_at, h,
-       max(CASE WHEN age_h <= h THEN struct_pack(a := age_h, v := views, l := likes) END) AS lo,
-       min(CASE WHEN age_h >= h THEN struct_pack(a := age_h, v := views, l := likes) END) AS hi
+       max(CASE WHEN age_h <= h THEN struct_pack(a := age_h, s := source, v := views, l := likes) END) AS lo,
+       min(CASE WHEN age_h >= h THEN struct_pack(a := age_h, s := source, v := views, l := likes) END) AS hi
 FROM obs, (SELECT unnest([24.0::DOUBLE, 12.0, 48.0, 72.0]) AS h) ages GROUP BY video_id, channel_id, published_at, h""",
     "pts": """
 SELECT video_id, channel_id, CAST(published_at AS DATE) AS day, h AS age_h, vw, lk, lk * 1000 / vw AS rate

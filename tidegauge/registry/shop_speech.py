@@ -179,7 +179,8 @@ def _readings(spark, sf):
 
 @query(QUERIES, "dp34_aligned_grid")
 def dp34(spark, sf):
-    return P.dense_grid(_readings(spark, sf)).select("sku", F.date_format("day", "yyyy-MM-dd").alias("day"), "stock", "price")
+    r = _readings(spark, sf)
+    return P.dense_grid(P.price_runs(r), r.select("day_ix", "day").distinct()).select("sku", F.date_format("day", "yyyy-MM-dd").alias("day"), "stock", "price")
 
 
 ORACLE["dp34_aligned_grid"] = sql("""
@@ -187,18 +188,44 @@ SELECT s.sku, strftime(d.day, '%Y-%m-%d') AS day, r.stock, r.price FROM (SELECT
 LEFT JOIN rd r ON r.sku = s.sku AND r.day = d.day""", "price_scans", **_p("rd"))
 
 
+@query(QUERIES, "dp34_price_runs")
+def dp34_runs(spark, sf):
+    return P.price_runs(_readings(spark, sf))
+
+
+ORACLE["dp34_price_runs"] = sql("""
+SELECT sku, min(day_ix) AS first_ix, max(day_ix) AS last_ix, was_read, stock, price
+FROM (SELECT s.sku, d.day_ix, r.sku IS NOT NULL AS was_read, r.stock, r.price,
+             d.day_ix - row_number() OVER (PARTITION BY s.sku, r.sku IS NOT NULL, r.stock, r.price ORDER BY d.day_ix) AS island
+      FROM (SELECT DISTINCT sku FROM rd) s CROSS JOIN days d LEFT JOIN rd r ON r.sku = s.sku AND r.day = d.day) g
+GROUP BY sku, was_read, stock, price, island""", "price_scans", **_p("rd"))
+
+
+def _catalogue(spark, sf):
+    """The hand-kept catalogue: a supplier is a SKU, and some entries leave label or size blank."""
+    k = F.col("s_suppkey")
+    return T.table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("sku"),
+        F.when(k % 4 == 0, F.concat(F.lit(" Whole Bean - "), "s_name")).when(k % 4 == 2, F.col("s_name")).when(k % 4 == 3, " ").alias("label"),
+        F.when(k % 5 == 0, " 16oz").when(k % 5 == 1, " ").alias("size"))
+
+
 @query(QUERIES, "dp34_sku_catalogue")
 def dp34_skus(spark, sf):
     r = _readings(spark, sf)
-    return P.sku_catalogue(r, P.modal_price(r)).withColumn("last_reading", F.date_format("last_reading", "yyyy-MM-dd"))
+    return P.sku_catalogue(r, P.modal_price(r), _catalogue(spark, sf)).withColumn("last_reading", F.date_format("last_reading", "yyyy-MM-dd"))
 
 
 ORACLE["dp34_sku_catalogue"] = sql("""
-SELECT sku, name, CASE WHEN fam IN ('K-Cups', 'Ground', 'Whole Bean') THEN fam ELSE 'Other' END AS family,
-       CASE WHEN fam = 'K-Cups' THEN '12-pack' WHEN lower(name) LIKE '%kona%' THEN '7oz' WHEN modal >= 45 THEN '5lb' ELSE '12oz' END AS size, modal, last_reading
-FROM (SELECT sku, split_part(max_by(label, day), ' - ', 2) AS name, split_part(max_by(label, day), ' - ', 1) AS fam,
-             strftime(max(CASE WHEN stock IS NOT NULL THEN day END), '%Y-%m-%d') AS last_reading FROM rd GROUP BY sku) x JOIN modal USING (sku)""",
-    "price_scans", **_p("modal"))
+SELECT sku, CASE WHEN strpos(label, ' - ') > 0 THEN trim(substr(label, strpos(label, ' - ') + 3)) ELSE label END AS name, fam AS family,
+       coalesce(nullif(trim(size), ''), CASE WHEN fam = 'K-Cups' THEN '12-pack' WHEN lower(label) LIKE '%kona%' THEN '7oz' WHEN modal >= 45 THEN '5lb' ELSE '12oz' END) AS size,
+       modal, last_reading
+FROM (SELECT *, CASE WHEN split_part(label, ' - ', 1) IN ('K-Cups', 'Ground', 'Whole Bean') AND strpos(label, ' - ') > 0 THEN split_part(label, ' - ', 1) ELSE 'Other' END AS fam
+      FROM (SELECT r.sku, r.last_reading, c.size, coalesce(nullif(trim(c.label), ''), r.read_label) AS label
+            FROM (SELECT sku, max_by(label, day) AS read_label, strftime(max(CASE WHEN stock IS NOT NULL THEN day END), '%Y-%m-%d') AS last_reading FROM rd GROUP BY sku) r
+            LEFT JOIN (SELECT 'S' || s_suppkey AS sku, CASE s_suppkey % 4 WHEN 0 THEN ' Whole Bean - ' || s_name WHEN 2 THEN s_name WHEN 3 THEN ' ' END AS label,
+                              CASE s_suppkey % 5 WHEN 0 THEN ' 16oz' WHEN 1 THEN ' ' END AS size FROM supplier) c USING (sku)) l) x
+JOIN modal USING (sku)""", "price_scans", **_p("modal"))
 
 
 @query(QUERIES, "ag7_modal_price")

@@ -117,6 +117,22 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_clock(out)
 
 
+def debut_samples(spark: SparkSession, sf_dir: str, *, hours: int = 72) -> DataFrame:
+    """Hourly samples of young videos: running totals at the end of every hour with events since publication."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    video, cents = F.col("video_id"), F.round(F.col("value") * 100).cast("bigint")
+    age = F.floor((epoch(F.col("ts")) - epoch(published_of(F.col("user_id")))) / 3600) + 1
+    per_hour = (events.select(F.col("user_id").alias("video_id"), F.greatest(age, F.lit(1)).cast("bigint").alias("hour"),
+                              cents.alias("cents"),
+                              F.when(F.col("event_type").isin("click", "view"), cents).otherwise(0).alias("engaged"))
+                .where(F.col("hour") <= hours).groupBy("video_id", "hour")
+                .agg(F.sum("cents").alias("cents"), F.sum("engaged").alias("engaged")))
+    running = Window.partitionBy("video_id").orderBy("hour")
+    sums = per_hour.withColumn("total", F.sum("cents").over(running)).withColumn("e", F.sum("engaged").over(running))
+    return sums.select("video_id", F.col("hour").cast("double").alias("age_h"), F.expr("total div 100").alias("views"),
+                       F.when(video % 13 != 0, F.expr("(total + 2 * e) div 1600")).alias("likes"))
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: one row per video with its last-known totals."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
