@@ -179,3 +179,48 @@ def test_creatives_claim_legacy_rows_by_rank(spark):
     got = campaigns.merge_creatives(history, capture, seen="2024-01-31")
     assert got.selectExpr("count(*)", "count_if(creative_id LIKE 'n%')", "min(CASE WHEN creative_id LIKE 'legacy%' THEN creative_id END)").first() \
         == (20000, 15000, "legacy:9:015000")
+
+
+def test_matched_age_known_only_from_hourly_samples(spark):
+    """The snapshots alone do not bracket 24 hours; with samples they do, and at one instant each bracket keeps its source."""
+    pub = dt.datetime(2024, 1, 1)
+    pool = spark.createDataFrame([(1, "c", pub), (2, "c", pub), (3, "c", pub)], "video_id long, channel_id string, published_at timestamp")
+    shots = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 2, 6), 3000, 30), (2, dt.datetime(2024, 1, 2), 5000, 50), (2, dt.datetime(2024, 1, 3), 9000, 90),
+         (3, dt.datetime(2024, 1, 2, 6), 3000, None)], "video_id long, captured_at timestamp, views long, likes long")
+    hourly = spark.createDataFrame([(1, 18.0, 1000, 10), (1, None, 1, 1), (1, 2.0, 600, 0), (2, 24.0, 4000, 40), (3, 18.0, 400, 4), (9, 24.0, 999, 9)],
+                                   "video_id long, age_h double, views long, likes long")
+    assert {r.video_id for r in counting.aged_points(shots, pool, ages=[24.0]).collect()} == {2}
+    got = {r.video_id: (r.vw, r.lk) for r in counting.aged_points(shots, pool, debut=hourly, ages=[24.0]).collect()}
+    assert got == {1: (2000.0, 20.0), 2: (5000.0, 50.0)}  # 3 has too few views at 18 hours
+
+
+def test_price_runs_cover_the_axis_and_expand_to_the_grid(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(d), *[(None, 1, 2)[rng.integers(3)], (None, 9.5)[rng.integers(2)]]) for s in "abc" for d in range(40) if rng.random() < 0.7]
+    rows += [("late", 39, 4, 1.0), ("early", 0, None, None)]
+    readings = spark.createDataFrame(rows, "sku string, day_ix long, stock long, price double")
+    runs = prices.price_runs(readings)
+    found = runs.collect()
+    want = {(s, d): (k, p) for s, d, k, p in rows}
+    cells = {}
+    for r in found:
+        for d in range(r.first_ix, r.last_ix + 1):
+            assert (r.sku, d) not in cells
+            cells[r.sku, d] = (r.stock, r.price)
+            assert r.was_read == ((r.sku, d) in want)
+    assert cells == {(s, d): want.get((s, d), (None, None)) for s in ("a", "b", "c", "late", "early") for d in range(40)}
+    assert len(found) <= 2 * len(rows) + 5
+    days = spark.range(40).selectExpr("id AS day_ix", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS day")
+    assert prices.dense_grid(runs, days, sku="a").count() == 40
+    assert prices.dense_grid(runs, days).count() == 200
+
+
+def test_hand_kept_catalogue_wins_over_the_label_read(spark):
+    readings = spark.createDataFrame([(s, dt.date(2024, 1, 1), 3, "Ground - Kona X") for s in "abcd"], "sku string, day date, stock long, label string")
+    modal = spark.createDataFrame([(s, 50.0) for s in "abcd"], "sku string, modal double")
+    listed = spark.createDataFrame([("a", " Whole Bean - Plain ", None), ("b", " ", "16oz "), ("c", "Ground - ", ""), ("z", "Tea - Z", "1lb")],
+                                   "sku string, label string, size string")
+    got = {r.sku: (r.name, r.family, r["size"]) for r in prices.sku_catalogue(readings, modal, listed).collect()}
+    assert got["a"] == ("Plain", "Whole Bean", "5lb")
+    assert got["b"] == ("Kona X", "Ground", "16oz") and got["d"] == ("Kona X", "Ground", "7oz") and len(got) == 4

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.text import name_colour, name_key, phrase_key, slug
+from tidegauge.functions.text import name_colour, name_key, phrase_key, slug, snippet
 from tidegauge.operators.keywords import keyword_counts
 from tidegauge.operators.selections import usable_name
 from tidegauge.session import cut_lineage
@@ -234,9 +234,17 @@ def newly_promoted(tags: DataFrame, promoted: DataFrame, *, floor: int = 3) -> D
     return tag_counts(tags).where(F.col("videos") >= floor).join(promoted.select("topic_id"), "topic_id", "left_anti")
 
 
-def enriched(rows: DataFrame, axes: dict[str, DataFrame], topics: DataFrame) -> DataFrame:
-    """Topic chips (subject, theme, format) beside each row; rows without any keep an empty list."""
+def enriched(rows: DataFrame, axes: dict[str, DataFrame], topics: DataFrame,
+             descriptions: DataFrame | None = None) -> DataFrame:
+    """Topic chips (subject, theme, format) beside each row; rows without any keep an empty list.
+
+    With `descriptions` (video_id, description) each row also gets a one-line snippet, empty where there
+    is no text; it is cut before the join, so no whole text is moved.
+    """
     out = rows
+    if descriptions is not None:
+        previews = descriptions.select("video_id", snippet(F.col("description")).alias("snippet"))
+        out = out.join(previews, "video_id", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
     chips = []
     for axis, tags in axes.items():
         chip = (tags.join(topics.select("topic_id", "name", F.coalesce("colour", F.lit("#888")).alias("colour")), "topic_id")

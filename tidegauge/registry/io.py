@@ -33,16 +33,26 @@ def _video_docs(spark, sf):
                        F.create_map(F.lit("ch0"), F.struct(F.lit("ch0").alias("id"))).alias("channels"), "videos")
 
 
+def _archived(docs, spark, name, by):
+    """Documents as gzipped files of one document each, below one folder per tag, with a damaged and a foreign file beside them."""
+    path = scratch_path(spark, name)
+    options = {"compression": "gzip", "maxRecordsPerFile": 1}
+    docs.write.partitionBy(by).options(**options).json(path)
+    # The first half of a document is damaged; a document in a folder of another name is none of the archive's.
+    text = F.to_json(F.struct(*[c for c in docs.columns if c != by]))
+    damaged = docs.orderBy(by).limit(1).select(by, text.alias("value")).select(by, F.expr("left(value, length(value) div 2)").alias("value"))
+    damaged.write.mode("append").partitionBy(by).options(**options).format("text").save(path)
+    docs.where(F.col(by).endswith("AM") | F.col(by).endswith("10")).limit(1).withColumn(by, F.lit("notes")) \
+        .write.mode("append").partitionBy(by).options(**options).json(path)
+    return path
+
+
 @query(QUERIES, "src1_snapshot_archive")
 def src1(spark, sf):
-    path = scratch_path(spark, "archive")
-    _video_docs(spark, sf).write.partitionBy("tag").option("compression", "gzip").json(path)
-    docs = spark.read.schema(schemas.CATALOGUE).json(path)
-    tag = F.regexp_extract(F.col("_metadata.file_path"), r"tag=(\d{4}-\d{2}-\d{2}-(?:AM|PM))", 1)
-    tagged = docs.withColumn("tag", tag).withColumn("snap_date", F.to_date(F.substring("tag", 1, 10))).withColumn("slot", F.substring("tag", 12, 2))
-    at = R.capture_time(F.col("meta.lastUpdated"), F.col("snap_date"), F.col("slot"))
-    return R.catalogue_videos(tagged).select("tag", F.unix_seconds(at).alias("captured_sec"), *R.video_columns()).select(
-        "tag", "captured_sec", "video_id", "channel_id", "views", "likes", "is_short")
+    path = _archived(_video_docs(spark, sf), spark, "archive", "tag")
+    return R.read_snapshots(spark, path, name=R.SLOT_FOLDER).select(
+        F.concat_ws("-", F.date_format("snap_date", "yyyy-MM-dd"), "slot").alias("tag"), F.unix_seconds("captured_at").alias("captured_sec"),
+        "video_id", "channel_id", "views", "likes", "is_short")
 
 
 ORACLE["src1_snapshot_archive"] = sql("""
@@ -185,14 +195,12 @@ def _gains(spark, sf):
 def src12(spark, sf):
     """Readings of videos under two days old written as hourly samples and read back."""
     r = T.readings(spark, sf).withColumn("age_h", N.days_between(F.col("published_at"), F.col("captured_at")) * 24).where("age_h BETWEEN 0 AND 48")
-    path = scratch_path(spark, "debut")
-    r.select(F.date_format("captured_at", "yyyy-MM-dd-HH").alias("hour"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"),
-             F.array(F.struct(F.col("video_id").cast("string").alias("id"), F.round("age_h", 2).alias("ageH"), "views", F.col("is_short").alias("isShort"))).alias("videos")) \
-        .write.partitionBy("hour").option("compression", "gzip").json(path)
-    docs = spark.read.schema(schemas.CATALOGUE).json(path)
-    return docs.withColumn("v", F.explode("videos")).where("v.ageH IS NOT NULL").select(
-        F.unix_seconds(F.try_to_timestamp("t")).alias("sampled_sec"), F.col("v.ageH").alias("age_h"), *R.video_columns()) \
-        .select("sampled_sec", "age_h", "video_id", "views", "is_short")
+    rec = F.struct(F.col("video_id").cast("string").alias("id"), F.round("age_h", 2).alias("ageH"), "views", F.col("is_short").alias("isShort"))
+    docs = r.groupBy(F.date_format("captured_at", "yyyy-MM-dd-HH").alias("hour"), "captured_at", F.floor(F.col("video_id") / 1000).alias("chunk")) \
+        .agg(F.collect_list(rec).alias("videos")) \
+        .select("hour", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), "videos")
+    return R.read_debut(spark, _archived(docs, spark, "debut", "hour"), name=R.HOUR_FOLDER).select(
+        F.unix_seconds("sampled_at").alias("sampled_sec"), "age_h", "video_id", "views", "is_short")
 
 
 ORACLE["src12_debut_scan"] = sql("""

@@ -143,9 +143,10 @@ def dp10_current(spark, sf):
         T.readings(spark, sf), T.videos(spark, sf), tracking_start="2024-01-01"))
 
 
-ORACLE["dp10_launch_current"] = sql("""
+LAUNCHES = """
 SELECT video_id, channel_id, round(max(age), 2) AS age, max_by(views, age) AS views, count(*) AS points
-FROM points GROUP BY video_id, channel_id""", "readings", points=_POINTS)
+FROM points GROUP BY video_id, channel_id"""
+ORACLE["dp10_launch_current"] = sql(LAUNCHES, "readings", points=_POINTS)
 
 
 @query(QUERIES, "dp11_typical_curve")
@@ -168,7 +169,7 @@ def dp12(spark, sf):
     return velocity.movers(T.readings(spark, sf), T.videos(spark, sf), T.ad_videos(spark, sf), _snaps(spark, sf), flat=200)
 
 
-ORACLE["dp12_movers"] = sql("""
+MOVERS = """
 SELECT s.video_id, s.channel_id,
        date_diff('day', CAST(s.published_at AS DATE), CAST((SELECT max(captured_at) FROM axis) AS DATE)) AS age_days,
        coalesce(l.views - w.views, 0) AS gain7, l.views AS views,
@@ -179,7 +180,8 @@ FROM (SELECT video_id, channel_id, published_at, count(*) AS n,
             FROM adj_iv WHERE NOT is_short AND video_id % 17 <> 0) g GROUP BY ALL) s
 LEFT JOIN readings l ON l.video_id = s.video_id AND l.snap_ix = (SELECT max(snap_ix) FROM axis)
 LEFT JOIN readings w ON w.video_id = s.video_id AND w.snap_ix = (SELECT greatest(0, max(snap_ix) - 13) FROM axis)
-WHERE n >= 18 AND base <= 200 AND peak >= 300 AND peak >= base * 3""", "adj_iv", "axis")
+WHERE n >= 18 AND base <= 200 AND peak >= 300 AND peak >= base * 3"""
+ORACLE["dp12_movers"] = sql(MOVERS, "adj_iv", "axis")
 
 _BURSTS = {
     "steps": """

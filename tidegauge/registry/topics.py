@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import text as X
 from tidegauge.plans import reports
 from tidegauge.plans import topics as TP
+from tidegauge.registry import series
 from tidegauge.registry.base import query, sql
 from tidegauge.registry.text import _colour_ctes, key_ctes, slug_sql, topic_name
 from tidegauge.session import cut_lineage
@@ -271,6 +272,53 @@ LEFT JOIN (SELECT g.video_id, 'theme|' || t.name || '|' || t.colour AS chip FROM
     themes=f"SELECT o_orderkey AS video_id, CASE WHEN o_orderpriority < '3' THEN {slug_sql(_name('o_custkey + 1'))} END AS topic_id FROM orders")
 
 
+def _axes(spark, sf):
+    """Subject, theme and format of every video of the events; unlisted, unrated or first-channel ones lack one of them."""
+    v = T.videos(spark, sf).withColumn("user_id", F.col("video_id"))
+
+    def axis(known, k):
+        return v.select("video_id", F.when(known, _slug(k)).alias("topic_id"))
+
+    return {"subject": axis(~F.col("unlisted"), "user_id"), "theme": axis(F.col("likes").isNotNull(), "user_id + 1"),
+            "format": axis(F.col("channel_id") != "ch0", "user_id + 2")}
+
+
+_AXES = {
+    **{k: _TOPICS[k] for k in ("topics",)}, **_colour_ctes("topics", "topic_id, ord", "name"),
+    "topic_colours": "SELECT topic_id, name, CASE WHEN ord % 4 <> 0 THEN colour ELSE '#888' END AS colour FROM colours",
+    "chips": f"""
+SELECT video_id, string_agg(axis || '|' || name || '|' || colour, ';' ORDER BY nr) AS chips FROM (
+  SELECT video_id, 1 AS nr, 'subject' AS axis, {slug_sql(_name('video_id'))} AS topic_id FROM videos WHERE NOT unlisted
+  UNION ALL SELECT video_id, 2, 'theme', {slug_sql(_name('video_id + 1'))} FROM videos WHERE likes IS NOT NULL
+  UNION ALL SELECT video_id, 3, 'format', {slug_sql(_name('video_id + 2'))} FROM videos WHERE channel_id <> 'ch0') a
+JOIN topic_colours USING (topic_id) GROUP BY video_id""",
+    "snippets": """
+SELECT doc_id AS video_id, CASE WHEN length(line) > 260 THEN substring(line, 1, 260) || '…' ELSE line END AS snippet
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS line FROM documents) d""",
+}
+
+
+def _adorned(source: str, needs: tuple, **extra: str) -> str:
+    return sql("SELECT r.*, coalesce(chips, '') AS chips, coalesce(snippet, '') AS snippet FROM found r "
+               "LEFT JOIN chips USING (video_id) LEFT JOIN snippets USING (video_id)", *needs, **extra, found=source, **_AXES)
+
+
+@query(QUERIES, "dp42_launch_rows")
+def dp42_launches(spark, sf):
+    return TP.enriched(series.QUERIES["dp10_launch_current"](spark, sf), _axes(spark, sf), topics(spark, sf), T.text_videos(spark, sf))
+
+
+ORACLE["dp42_launch_rows"] = _adorned(series.LAUNCHES, ("readings", "videos"), points=series._POINTS)
+
+
+@query(QUERIES, "dp42_mover_rows")
+def dp42_movers(spark, sf):
+    return TP.enriched(series.QUERIES["dp12_movers"](spark, sf), _axes(spark, sf), topics(spark, sf), T.text_videos(spark, sf))
+
+
+ORACLE["dp42_mover_rows"] = _adorned(series.MOVERS, ("adj_iv", "axis", "videos"))
+
+
 @query(QUERIES, "dp49_creator_tags")
 def dp49(spark, sf):
     rows = T.table(spark, sf, "lineitem").select(

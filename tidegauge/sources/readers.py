@@ -10,6 +10,9 @@ from tidegauge import schemas
 
 SLOT_NAME = r"^(\d{4}-\d{2}-\d{2})-(AM|PM)\.json\.gz$"
 HOUR_NAME = r"^(\d{4}-\d{2}-\d{2})-(\d{2})\.json\.gz$"
+# The same names as folders of a partitioned archive, with files of any name below.
+SLOT_FOLDER = r"(?:^|/)tag=(\d{4}-\d{2}-\d{2})-(AM|PM)/[^/]+\.gz$"
+HOUR_FOLDER = r"(?:^|/)hour=(\d{4}-\d{2}-\d{2})-(\d{2})/[^/]+\.gz$"
 
 
 def capture_time(stamp: Column, day: Column, slot: Column, *, am_hour: float = 10, pm_hour: float = 18) -> Column:
@@ -33,18 +36,27 @@ def unreadable(docs: DataFrame) -> DataFrame:
 
 def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-            .withColumn("file", F.col("_metadata.file_name")))
+            .withColumns({"file": F.col("_metadata.file_name"), "path": F.col("_metadata.file_path")}))
 
 
-def read_snapshots(spark: SparkSession, path: str, *, am_hour: float = 10, pm_hour: float = 18) -> DataFrame:
+def _named(docs: DataFrame, name: str) -> DataFrame:
+    """Readable documents whose file name, or whose path, has the given form; it stays in `found`."""
+    found = F.when(F.col("file").rlike(name), F.col("file")).when(F.col("path").rlike(name), F.col("path"))
+    return docs.where(F.col("_corrupt_record").isNull()).withColumn("found", found).where("found IS NOT NULL")
+
+
+def read_snapshots(spark: SparkSession, path: str, *, am_hour: float = 10, pm_hour: float = 18,
+                   name: str = SLOT_NAME) -> DataFrame:
     """Half-daily dumps as readings; date and slot come from the file name, other names are ignored.
 
+    Documents that cannot be parsed are left out. `name` is the form of the file name, or of the path
+    (`SLOT_FOLDER`), with date and slot as its groups. A document may span lines; a file holds one.
     A gzipped document is one task, so land the archive once with `land_readings`
     and let the products read the partitioned table.
     """
-    docs = _json(spark, path, schemas.CATALOGUE).where(F.col("file").rlike(SLOT_NAME) & F.col("_corrupt_record").isNull())
-    tagged = (docs.withColumn("snap_date", F.to_date(F.regexp_extract("file", SLOT_NAME, 1)))
-              .withColumn("slot", F.regexp_extract("file", SLOT_NAME, 2)))
+    docs = _named(_json(spark, path, schemas.CATALOGUE), name)
+    tagged = (docs.withColumn("snap_date", F.to_date(F.regexp_extract("found", name, 1)))
+              .withColumn("slot", F.regexp_extract("found", name, 2)))
     return catalogue_videos(tagged).select(
         "snap_date", "slot",
         capture_time(F.col("meta.lastUpdated"), F.col("snap_date"), F.col("slot"), am_hour=am_hour, pm_hour=pm_hour).alias("captured_at"),
@@ -65,9 +77,9 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return catalogue_videos(_json(spark, path, schemas.CATALOGUE)).select(*video_columns())
 
 
-def read_debut(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly samples of young videos."""
-    docs = _json(spark, path, schemas.CATALOGUE).where(F.col("file").rlike(HOUR_NAME) & F.col("_corrupt_record").isNull())
+def read_debut(spark: SparkSession, path: str, *, name: str = HOUR_NAME) -> DataFrame:
+    """Hourly samples of young videos; other file names (or paths, with `HOUR_FOLDER`) and unreadable ones are left out."""
+    docs = _named(_json(spark, path, schemas.CATALOGUE), name)
     return (docs.where(F.size("videos") > 0).withColumn("v", F.explode("videos")).where("v.ageH IS NOT NULL")
             .select(F.try_to_timestamp("t").alias("sampled_at"), F.col("v.ageH").alias("age_h"), *video_columns()))
 
