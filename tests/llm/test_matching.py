@@ -158,6 +158,41 @@ def test_urls_of_odd_rows(spark):
     assert urls.judge(pages.limit(0), url_query.RULES).count() == 0
 
 
+def _tagged(*links):
+    return "<head>" + "".join(f'<link rel="canonical" href="{x}">' for x in links) + "</head>"
+
+
+def test_links_of_every_form_meet(spark):
+    """Relative targets, query-only targets, escaped ampersands and second tags lead to the page they name, in SQL too."""
+    base = "https://h.example.org/a/b/p.html"
+    cases = {"other.html": "https://h.example.org/a/b/other.html", "./x": "https://h.example.org/a/b/x", "../en/": "https://h.example.org/a/en/",
+             "../../../up": "https://h.example.org/up", "?p=2": "https://h.example.org/a/b/p.html?p=2", "/r/../s/.?q=/../z": "https://h.example.org/s/?q=/../z",
+             "//k.example.org/t": "https://k.example.org/t", "https://x.example.com/de/1?a=1&amp;b=2": "https://x.example.com/de/1?a=1&b=2",
+             "n?u=http://z.org/": "https://h.example.org/a/b/n?u=http://z.org/", "#top": None, "mailto:a@b.org": None}
+    rows = [(i, base + f"?case={i}" if t.startswith("?") is False else base, _tagged(t)) for i, t in enumerate(cases)]
+    rows += [(100 + i, t, None) for i, t in enumerate(cases.values()) if t]
+    rows += [(200, "https://m.example.org/1", _tagged("https://m.example.org/2", "https://x.example.com/de/9")), (201, "https://m.example.org/2", None),
+             (202, "https://x.example.com/de/9", "<meta http-equiv=refresh content='0;url=last'><meta http-equiv=refresh content='5;url=/other'>"),
+             (203, "https://x.example.com/de/last", None), (204, "https://x.example.com/other", None), (205, "no scheme", _tagged("rel.html")),
+             (206, "https://bare.example.org", _tagged("sub/x")), (207, "https://bare.example.org/sub/x", _tagged("", "?"))]
+    pages = ready(spark).createDataFrame(rows, "page_id long, url string, html string")
+    judged = {r.page_id: r for r in urls.judge(pages, url_query.RULES).collect()}
+    for i, target in enumerate(cases.values()):
+        if target:
+            assert judged[i].component == judged[100 + i].component, target
+    assert judged[9].component == rows[9][1] and judged[10].component == rows[10][1]
+    assert len({judged[i].component for i in range(200, 205)}) == 1
+    assert judged[200].verdict == judged[201].verdict == judged[204].verdict == "block"
+    assert judged[206].component == judged[207].component and judged[205].component == "no scheme"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    cur = con.execute(url_query.ORACLE)
+    names = [d[0] for d in cur.description]
+    assert {r[names.index("page_id")]: tuple(r[names.index(c)] for c in ("rule", "verdict", "component")) for r in cur.fetchall()} \
+        == {k: (r.rule, r.verdict, r.component) for k, r in judged.items()}
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     rng = np.random.default_rng(4)

@@ -14,7 +14,7 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of an edge list (a, b) of whole numbers.
+    """(node, component) for every node of an edge list (a, b) of values of one ordered type, as numbers or strings.
 
     A component is named by its smallest node. Loops and rows with a null end are left out, and
     repeated edges count once; no edges give no rows. Each round hangs every node's larger

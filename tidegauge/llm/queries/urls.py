@@ -28,13 +28,25 @@ ORACLE = f"""
 WITH RECURSIVE own AS (
   SELECT page_id, url, html, coalesce({_HOST.format('url')}, '') AS host, coalesce({_PATH.format('url')}, '') AS path FROM pages),
 tags AS (
-  SELECT url, host, regexp_extract(regexp_extract(html, {_quoted(urls.CANONICAL_TAG)}), {_quoted(urls.HREF)}, 1) AS target FROM own WHERE url IS NOT NULL
-  UNION ALL
-  SELECT url, host, regexp_extract(regexp_extract(html, {_quoted(urls.REFRESH_TAG)}), {_quoted(urls.REFRESH_URL)}, 1) FROM own WHERE url IS NOT NULL),
+  SELECT url, host, path, regexp_replace(target, {_quoted(urls.AMPERSAND)}, '&', 'g') AS target FROM (
+    SELECT url, host, path, unnest(list_transform(regexp_extract_all(html, {_quoted(urls.CANONICAL_TAG)}), lambda t: regexp_extract(t, {_quoted(urls.HREF)}, 1))) AS target FROM own WHERE url IS NOT NULL
+    UNION ALL
+    SELECT url, host, path, unnest(list_transform(regexp_extract_all(html, {_quoted(urls.REFRESH_TAG)}), lambda t: regexp_extract(t, {_quoted(urls.REFRESH_URL)}, 1))) FROM own WHERE url IS NOT NULL) t),
+placed AS (
+  SELECT url, host, target, regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS rest,
+         CASE WHEN starts_with(target, '/') THEN regexp_extract(target, '(?s)^[^?#]*') WHEN starts_with(target, '?') THEN path
+              ELSE coalesce(nullif(regexp_extract(path, '(?s)^.*/'), ''), '/') || regexp_extract(target, '(?s)^[^?#]*') END AS long_path
+  FROM tags WHERE target <> '' AND NOT starts_with(target, '#')),
+walked AS (
+  SELECT *, CASE WHEN starts_with(target, '?') OR NOT regexp_matches(long_path, '/[.][.]?(/|$)') THEN long_path ELSE array_to_string(list_reduce(
+         list_transform(string_split(long_path, '/'), lambda s: [s]),
+         lambda done, part: CASE WHEN part[1] = '..' THEN done[1:greatest(len(done) - 1, 1)] WHEN part[1] = '.' THEN done ELSE list_concat(done, part) END), '/')
+         || CASE WHEN regexp_matches(long_path, '/[.][.]?$') THEN '/' ELSE '' END END AS short_path FROM placed),
 direct AS (
   SELECT DISTINCT url AS a, b FROM (
-    SELECT url, CASE WHEN starts_with(target, '//') THEN 'https:' || target WHEN starts_with(target, '/') THEN 'https://' || host || target
-                     WHEN contains(target, '://') THEN target END AS b FROM tags) x WHERE b IS NOT NULL),
+    SELECT url, CASE WHEN starts_with(target, '//') THEN 'https:' || target WHEN regexp_matches(target, {_quoted(urls.ABSOLUTE)}) THEN target
+                     WHEN regexp_matches(target, {_quoted(urls.OTHER_SCHEME)}) OR NOT contains(url, '://') THEN NULL
+                     ELSE 'https://' || host || short_path || rest END AS b FROM walked) x WHERE b IS NOT NULL),
 ends AS (SELECT url FROM own WHERE url IS NOT NULL UNION SELECT b FROM direct),
 parsed AS (
   SELECT url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path,

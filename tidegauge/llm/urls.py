@@ -23,6 +23,12 @@ HREF = r"""(?i)\bhref\s*=\s*["']?([^"'>\s]+)"""
 REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'>\s;]+)"""
 
 
+#: Ways an address writes "&" inside an attribute (fixed values).
+AMPERSAND = "(?i)&(amp|#38|#x26);"
+ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://"
+OTHER_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first :// and the next /, ? or #, A-Z lower-cased; empty without ://."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -58,13 +64,46 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.array_max(F.filter(F.flatten(lists), lambda r: F.startswith(path, r["path"])))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its "." and ".." steps carried out; one step up from the root stays at the root."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/")
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    closing = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.array_join(walked, "/"), closing)).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link's target as a full address, seen from the page's url; null if it leads nowhere else.
+
+    Relative targets start at the page's folder, those of a query alone at its path. Targets that are empty or only a
+    fragment, other kinds of address (mailto:), and relative ones on a url without :// give null.
+    """
+    site = F.concat(F.lit("https://"), host_of(url))
+    to_path, rest = F.regexp_extract(target, "(?s)^[^?#]*", 0), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(url), "(?s)^.*/", 0)
+    below = F.concat(F.when(folder == "", "/").otherwise(folder), to_path)
+    return (F.when((target == "") | F.startswith(target, F.lit("#")), None)
+            .when(F.startswith(target, F.lit("//")), F.concat(F.lit("https:"), target))
+            .when(target.rlike(ABSOLUTE), target)
+            .when(target.rlike(OTHER_SCHEME) | ~F.contains(url, F.lit("://")), None)
+            .when(F.startswith(target, F.lit("/")), F.concat(site, without_dots(to_path), rest))
+            .when(F.startswith(target, F.lit("?")), F.concat(site, path_of(url), target))
+            .otherwise(F.concat(site, without_dots(below), rest)))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(a, b): redirect and canonical-link edges of pages (url, html), and each end's edge to its normal form."""
-    to = [F.regexp_extract(F.regexp_extract("html", tag, 0), url, 1) for tag, url in ((CANONICAL_TAG, HREF), (REFRESH_TAG, REFRESH_URL))]
-    found = (pages.where("url is not null").select("url", F.explode(F.array(*to)).alias("to"))
-             .withColumn("to", F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("https:"), "to"))
-                         .when(F.startswith("to", F.lit("/")), F.concat(F.lit("https://"), host_of(F.col("url")), "to"))
-                         .when(F.contains("to", F.lit("://")), F.col("to"))))
+    def targets(tag: str, address: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)),
+                           lambda t: F.regexp_replace(F.regexp_extract(t, address, 1), AMPERSAND, "&"))
+
+    to = F.concat(targets(CANONICAL_TAG, HREF), targets(REFRESH_TAG, REFRESH_URL))
+    found = (pages.where("url is not null").select("url", F.explode(to).alias("to"))
+             .withColumn("to", resolved(F.col("url"), F.col("to"))))
     direct = found.where("to is not null").select(F.col("url").alias("a"), F.col("to").alias("b"))
     ends = pages.where("url is not null").select("url").union(direct.select("b")).distinct()
     return direct.union(ends.select("url", normal_form(F.col("url"))))
@@ -74,7 +113,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) for every row of ``pages`` (page_id, url, html).
 
     A url that is null or has no :// has an empty host and path, no rule and, without links, is
-    allowed. A null html has no links; of several canonical tags or refreshes the first counts.
+    allowed. A null html has no links; all canonical tags and refreshes of a page count.
     Rows may repeat; other columns are not read; no pages give no rows.
     """
     edges = cut_lineage(links(pages.select("url", "html")))
