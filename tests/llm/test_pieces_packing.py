@@ -115,3 +115,13 @@ def test_packed_rows_hold_every_document(docs):
 def test_written_rows_are_read_again(docs, tmp_path, spark):
     packing.write(docs, *vocabulary(), str(tmp_path / "rows"), row=128)
     assert spark.read.parquet(str(tmp_path / "rows")).agg(F.sum("n_ids")).first()[0] == packing.pieces(docs, *vocabulary()).agg(F.sum(F.size("ids"))).first()[0]
+
+
+def test_no_id_or_text_makes_a_group_large(spark):
+    """A third of the rows without an id, a third with one id, and a third equal throughout are spread over all groups."""
+    rows = [(None, f"text number {i} of many") for i in range(400)] + [(7, f"words of row {i}") for i in range(400)] + [(8, "the same words again")] * 400
+    docs = ready(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.packed(docs, *vocabulary(), row=64, group=400)
+    sums = [r["sum(n_ids)"] for r in packed.groupBy("pack_group").sum("n_ids").collect()]
+    assert len(sums) >= 8 and max(sums) < 3 * 400
+    assert packing.unpacked(packed).groupBy("doc_id").count().orderBy("doc_id").collect() == [(None, 400), (7, 400), (8, 400)]

@@ -1,7 +1,7 @@
 """Fixed-length training rows: token ids packed by best fit decreasing.
 
 Every document's ids are split without loss into pieces of at most the row's length. Pieces are
-dealt into groups of bounded size by the hash of document and piece; each group is packed on its
+dealt into groups of bounded size by the hash of document, piece and content; each group is packed on its
 own: pieces by falling length, each into the fullest row that still holds it. A segment tree over
 room left, holding for each room the rows that have it, finds that row in the logarithm of the
 row's length. A packed row carries its ids as one binary cell, the cumulative lengths of its
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,14 +86,24 @@ def encoder_of(ranks: bytes, pattern: str):
 
 
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW) -> DataFrame:
-    """(doc_id, part, ids): every text's ids in pieces of at most ``row``; a text without ids has none."""
+    """(doc_id, part, ids, copy): every text's ids in pieces of at most ``row``; a text without ids has none.
+
+    ``copy`` counts from 0 the rows of a task that are equal in doc_id and text. The counts are the same
+    in whatever order the task meets its rows, so a repeated task gives the same pieces.
+    """
     with open(ranks_path, "rb") as f:  # the driver reads the vocabulary; workers get its bytes (under a MB)
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(model.value, pattern).encode_ordinary
+        met: Counter = Counter()
         for part in batches.sliced(parts, "text"):
-            lists = [np.array(encode(text or ""), np.int32) for text in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            lists = [np.array(encode(text or ""), np.int32) for text in texts]
+            copy = np.zeros(len(texts), np.int64)
+            for i, row_key in enumerate(zip(part.column("doc_id").to_pylist(), map(hash, texts), strict=True)):
+                copy[i] = met[row_key]
+                met[row_key] += 1
             flat, bounds = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
             n = -(-np.diff(bounds) // row)
             doc = np.repeat(np.arange(part.num_rows), n)
@@ -100,10 +111,11 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW) -> Da
             starts = bounds[:-1][doc] + no * row
             ends = np.append(starts[1:], bounds[-1]) if len(starts) else starts
             cells = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(flat, pa.int32())) if len(starts) else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(no, pa.int64()), cells], ["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(no, pa.int64()), cells, pa.array(copy[doc])],
+                                             ["doc_id", "part", "ids", "copy"])
 
     kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "part long, ids array<int>"))
+    return kept.mapInArrow(run, batches.schema_of(kept, ["doc_id"], "part long, ids array<int>, copy long"))
 
 
 def packed(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW, fill: int = FILL, group: int = GROUP) -> DataFrame:
@@ -113,8 +125,10 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW, fill:
     at the end is ``fill``. ``cu_lens`` starts with 0 and has one entry more than there are
     segments; ``positions`` counts from 0 within each segment. Documents and their parts stand in
     the order of the segments, so that every document can be put together again. Null and empty
-    texts have no ids and so no segment; rows may repeat, a null doc_id is kept as such. The same
-    rows are packed alike on any cluster: a group is the pieces of one hash value, in a fixed order.
+    texts have no ids and so no segment; rows may repeat, a null doc_id is kept as such. A group is the
+    pieces of one hash value of id, part, content and copy, in a fixed order, so neither one id on
+    many texts nor one text many times makes a group large. The same rows are packed alike on any
+    cluster, but for the grouping of rows that are equal in id and text.
     """
     cut = cut_lineage(pieces(docs, ranks_path, pattern, row).withColumn("n", F.size("ids")))
     total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -123,7 +137,7 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW, fill:
     def run(part: pa.Table) -> pa.Table:
         lens = np.asarray(part["n"], np.int64)
         doc, no = np.asarray(part["doc_id"].fill_null(-1), np.int64), np.asarray(part["part"])
-        order = np.lexsort((no, doc, -lens))
+        order = np.lexsort((np.asarray(part["copy"]), np.asarray(part["digest"]), no, doc, -lens))
         cells = part["ids"].combine_chunks()
         flat, starts = np.asarray(cells.flatten(), np.int32), np.concatenate([[0], np.cumsum(lens)])[:-1]
         rows = np.array(fitted(lens[order].tolist(), row), np.int64)
@@ -151,7 +165,8 @@ def packed(docs: DataFrame, ranks_path: str, pattern: str, row: int = ROW, fill:
             "doc_ids": pa.ListArray.from_arrays(pa.array(first, pa.int32()), part["doc_id"].combine_chunks().cast(pa.int64()).take(pa.array(order))),
             "parts": lists(first, no[order], pa.int64())})
 
-    return (cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups))).groupBy("pack_group")
+    dealt = F.pmod(F.xxhash64("doc_id", "part", "ids", "copy"), F.lit(groups))
+    return (cut.withColumn("pack_group", dealt).withColumn("digest", F.xxhash64("ids")).groupBy("pack_group")
             .applyInArrow(run, "pack_group long, pack_row long, ids binary, n_ids int, cu_lens array<int>, positions array<int>, doc_ids array<long>, parts array<long>"))
 
 
