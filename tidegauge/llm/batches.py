@@ -21,8 +21,9 @@ RECORDS = 512
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: those of the library and small Arrow batches."""
+    """Session settings of these operators: those of the library, small Arrow batches, and shuffle files deleted with their query."""
     spark = prepare(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
     root = str(Path(__file__).resolve().parents[2])  # workers on this machine find the package as the driver does
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")

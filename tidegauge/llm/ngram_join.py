@@ -36,6 +36,8 @@ HOT = 64
 MARKS_LOG2 = 25
 #: Sets in one prefix tree, about.
 BLOCK = 128
+#: Bytes of text whose sets are made at a time.
+SLICE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -89,7 +91,7 @@ def parities(sets: list[np.ndarray]) -> pa.ListArray:
 def fingerprints(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: size of its set, two digests, its parities, and the first n-grams by hash order."""
     def run(parts):
-        for part in batches.sliced(parts, "text"):
+        for part in batches.sliced(parts, "text", SLICE):
             sets = list(sets_of(part.column("text"), k))
             sizes = [len(s) for s in sets]
             digests = [[int(batches.mixed(s.view(np.uint64) ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (1, 1 << 33)]
@@ -123,22 +125,15 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["doc", "n", "grams"])
 
     known = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS_LOG2)).alias("at"))
-    return _kept(known.mapInArrow(run, "doc long, n long, grams array<long>"))
+    return cut_lineage(known.mapInArrow(run, "doc long, n long, grams array<long>"))
 
 
 def _met(posts: DataFrame) -> DataFrame:
     """n-grams posted by two documents or more, with the number of posts."""
-    return _kept(posts.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("c"))
+    return cut_lineage(posts.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("c"))
                  .where("lo < hi").select("g", "c"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Write a step, then let the JVM collect its garbage: Spark deletes the shuffle files of finished steps only then."""
-    out = cut_lineage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def tree_links(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links of the probing sets of a block with its members, by a walk over the members' prefix tree."""
     bounds = np.concatenate([[0], np.cumsum(np.asarray(block.column("n")))])
@@ -193,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = tree_links(block, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return _kept(member.union(probe).groupBy("a", "block").applyInArrow(run, "a long, b long"))
+    return cut_lineage(member.union(probe).groupBy("a", "block").applyInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,11 +203,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     marks = cut_lineage(fingerprints(docs, k, percent))
     names = cut_lineage(marks.select("doc_id", "n", "f1", "f2"))
     classes = cut_lineage(names.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")))
-    heads = _kept(marks.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi")
+    heads = cut_lineage(marks.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")), ["doc_id", "n", "f1", "f2"], "left_semi")
                   .select(F.col("doc_id").alias("doc"), "n", "odd", "head"))
     _discard(marks)
     posts = _posts(docs, heads, k, percent)
-    grouped = _kept(connected(_links(docs, heads, posts, k, percent)))
+    grouped = cut_lineage(connected(_links(docs, heads, posts, k, percent)))
     named = (classes.join(grouped, F.col("rep") == F.col("node"), "left")
              .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")))
     named = cut_lineage(named)
@@ -234,40 +229,40 @@ def _posts(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame
     spread = heads.select("doc", "n", F.posexplode("head").alias("i", "g"))
     met = _met(spread)
     inside = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    shared = _kept(spread.join(met, "g").withColumn("hot", F.col("c") > HOT)
+    shared = cut_lineage(spread.join(met, "g").withColumn("hot", F.col("c") > HOT)
                    .withColumn("before", F.sum(F.col("hot").cast("int")).over(inside)).drop("c"))
     lead_of = F.expr(f"n - cast(ceil({percent} * n / 100) as bigint) + 1")
     plain = shared.where(~F.col("hot")).withColumn("pos", (F.col("i") - F.col("before")).cast("long")).where(F.col("pos") < lead_of).select("g", "doc", "n", "pos")
     touched = shared.where("hot").groupBy("doc").agg(F.count(F.lit(1)).alias("hots"), F.collect_list("i").alias("at"))  # at most a head
     room = heads.join(touched, "doc").withColumn("short", F.size("head") - F.col("hots") < lead_of)
-    room = _kept(room.select("doc", "n", "short", F.filter(F.transform("head", lambda g, i: F.when(~F.array_contains("at", i), g)), lambda g: g.isNotNull()).alias("cold")))
+    room = cut_lineage(room.select("doc", "n", "short", F.filter(F.transform("head", lambda g, i: F.when(~F.array_contains("at", i), g)), lambda g: g.isNotNull()).alias("cold")))
     # documents short of other n-grams: their whole sets in the global order
     order = Window.partitionBy("doc", "n").orderBy("hot", "c", "g")
     whole = (_sets(docs, room.where("short").select("doc"), k).select("doc", "n", F.explode("grams").alias("g"))
              .join(met.where(F.col("c") > HOT), "g", "left").withColumn("hot", F.col("c").isNotNull())
              .withColumn("pos", (F.row_number().over(order) - 1).cast("long")).where(F.col("pos") < lead_of).select("g", "doc", "n", "pos"))
-    whole = _kept(whole)
-    asked = _kept(whole.select("g").distinct())
+    whole = cut_lineage(whole)
+    asked = cut_lineage(whole.select("g").distinct())
     others = (room.where(~F.col("short")).select("doc", "n", F.posexplode("cold").alias("pos", "g")).where(F.col("pos") < lead_of)
               .join(asked, "g", "left_semi").select("g", "doc", "n", F.col("pos").cast("long").alias("pos")))
-    return _kept(plain.union(whole).union(others).groupBy("g", "doc", "n").agg(F.min("pos").alias("pos")))
+    return cut_lineage(plain.union(whole).union(others).groupBy("g", "doc", "n").agg(F.min("pos").alias("pos")))
 
 
 def _links(docs: DataFrame, heads: DataFrame, posts: DataFrame, k: int, percent: int) -> DataFrame:
     """Enough links (a, b) to join every pair of documents that is linked by a chain."""
-    first = _kept(posts.groupBy("g").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("hi")).where("x.doc < hi").select("g", "x.*"))
+    first = cut_lineage(posts.groupBy("g").agg(F.min(F.struct("doc", "n", "pos")).alias("x"), F.max("doc").alias("hi")).where("x.doc < hi").select("g", "x.*"))
     # counts here miss n-grams with another first document: what falls through is tried again below
-    tried = _kept(_promising(first.alias("x").join(posts.alias("y"), "g").where("x.doc < y.doc"), percent))
+    tried = cut_lineage(_promising(first.alias("x").join(posts.alias("y"), "g").where("x.doc < y.doc"), percent))
     found = _verified(tried, _sets(docs, _ends(tried), k), percent)
     known = cut_lineage(connected(found))
     state = cut_lineage(heads.join(known, F.col("doc") == F.col("node"), "left").select("doc", "odd", F.coalesce("component", "doc").alias("at")))
-    tagged = _kept(posts.join(state, "doc").select("g", "doc", "n", "pos", "at", "odd"))
+    tagged = cut_lineage(posts.join(state, "doc").select("g", "doc", "n", "pos", "at", "odd"))
     # of each n-gram: the component of its first document, unless all its documents are in it
     main = cut_lineage(tagged.groupBy("g").agg(F.min_by("at", "doc").alias("main"), F.min("at").alias("lo"), F.max("at").alias("hi"))
                        .where("lo < hi").select("g", "main"))
-    mixed = _kept(tagged.join(main, "g"))
+    mixed = cut_lineage(tagged.join(main, "g"))
     rest = mixed.where("at <> main").alias("x").join(mixed.alias("y"), "g").where(f"x.at <> y.at and (y.at = y.main or x.doc < y.doc) and {_alike(percent)}")
-    rest = _kept(_promising(rest, percent).join(tried, ["a", "b"], "left_anti"))
+    rest = cut_lineage(_promising(rest, percent).join(tried, ["a", "b"], "left_anti"))
     return found.union(_verified(rest, _sets(docs, _ends(rest), k), percent))
 
 
