@@ -65,9 +65,12 @@ def rows():
     return list(enumerate(out))
 
 
-def test_groups_equal_brute_force(spark, rows, monkeypatch):
+@pytest.mark.parametrize("family", [5, 256])
+def test_groups_equal_brute_force(spark, rows, monkeypatch, family):
     monkeypatch.setattr(ngram_join, "HOT", 12)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
+    monkeypatch.setattr(ngram_join, "WEIGHT", 64 * family)
     docs = ready(spark).createDataFrame([(d, t, "x", 1, 2) for d, t in rows] + [(5, rows[5][1], "again", 1, 2), (None, "one two", "", 1, 2)], SCHEMA)
     got = [tuple(r) for r in ngram_join.near_duplicates(docs).collect()]
     assert len(got) == len(rows) + 2
@@ -93,6 +96,32 @@ def test_tree_walk_equals_counting():
             assert set(ngram_join.tree_links(block, percent)) == want
 
 
+def test_family_pairs_equal_counting():
+    random.seed(5)
+    for percent in (50, 80, 100):
+        for _ in range(20):
+            base = random.sample(range(1000), random.randrange(1, 40))
+            sets = [sorted({*base[:random.randrange(1, len(base) + 1)], *random.sample(range(1000), random.randrange(4))}) for _ in range(30)]
+            at = [random.randrange(6) for _ in sets]
+            odd = np.array(ngram_join.parities([np.array(s) for s in sets]).to_pylist())
+            rows = [(i, len(s), at[i], 0, odd[i].tolist(), s, list(range(len(s))), probe)
+                    for probe in (True, False) for i, s in enumerate(sets) if not probe or at[i]]
+            random.shuffle(rows)
+            block = pa.table({c: pa.array(v, t) for c, v, t in zip(
+                ("doc", "n", "at", "main", "odd", "grams", "places", "probe"), zip(*rows, strict=True),
+                (pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.bool_()), strict=True)})
+            got = ngram_join.family_pairs(block, percent).to_pylist()
+            assert len({(r["a"], r["b"]) for r in got}) == len(got)
+            for r in got:
+                a, b = sets[r["a"]], sets[r["b"]]
+                shared = {*a} & {*b}
+                assert at[r["a"]] != at[r["b"]] and r["met"] == len(shared) and r["both"] == len(a) + len(b)
+                assert r["rest"] == min(min(len(x) - x.index(g) for x in (a, b)) for g in shared) - 1
+            linked = {(a, b) for b in range(30) for a in range(b) if at[a] != at[b]
+                      and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+            assert linked <= {(r["a"], r["b"]) for r in got}
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(None, 2), (3, None)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, i) for i in range(101, 150)] + [(149, 30)],
     [(5, 4), (4, 5), (5, 4), (9, 7)]])

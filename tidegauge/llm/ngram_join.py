@@ -7,7 +7,10 @@
    documents. A document keeps a head somewhat longer than it needs, so that it still has its first
    n-grams when some prove hot; only documents made up mostly of hot ones are read as a whole.
 3. The documents that meet in an n-gram are first compared with one of them. Where they prove to be
-   one component already, nothing more is needed; only pairs across components are compared.
+   one component already, nothing more is needed; only pairs across components are compared. The
+   first n-grams of documents that meet the same component stand in one prefix tree, which is walked
+   once for a block of documents at a time: what each of them shares with a path is counted once for
+   all documents below it, and a pair comes out once with its count, not once per shared n-gram.
 4. The candidates of a document, in blocks of bounded size, are stored in a prefix tree of their
    ordered n-grams. The document walks the tree once; overlap counted on a shared path serves all
    sets below it, and a subtree is left when what remains of it or of the document cannot reach
@@ -36,6 +39,8 @@ HOT = 64
 MARKS_LOG2 = 25
 #: Sets in one prefix tree, about.
 BLOCK = 128
+#: Documents, and n-grams of theirs, in a block of documents whose first n-grams are compared, about.
+FAMILY, WEIGHT = 256, 1 << 14
 #: Bytes of text whose sets are made at a time.
 SLICE = 1 << 18
 
@@ -255,21 +260,107 @@ def _links(docs: DataFrame, heads: DataFrame, posts: DataFrame, k: int, percent:
     tried = cut_lineage(_promising(first.alias("x").join(posts.alias("y"), "g").where("x.doc < y.doc"), percent))
     found = _verified(tried, _sets(docs, _ends(tried), k), percent)
     known = cut_lineage(connected(found))
-    state = cut_lineage(heads.join(known, F.col("doc") == F.col("node"), "left").select("doc", "odd", F.coalesce("component", "doc").alias("at")))
-    tagged = cut_lineage(posts.join(state, "doc").select("g", "doc", "n", "pos", "at", "odd"))
+    rest = cut_lineage(_reaching(_across(heads, posts, known, percent), percent).join(tried, ["a", "b"], "left_anti"))
+    return found.union(_verified(rest, _sets(docs, _ends(rest), k), percent))
+
+
+def _across(heads: DataFrame, posts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b, met, rest, both, longer) of pairs in different components that share first n-grams and are alike in size and parities.
+
+    An n-gram belongs to the family of the component of its first document. The documents of a
+    family outside that component meet all its documents, block by block, in one tree a block;
+    small families share a task. A pair that meets in several families has a row for each.
+    """
+    state = heads.select("doc").distinct().join(known, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("at"))
+    tagged = cut_lineage(posts.join(state, "doc").select("g", "doc", "n", "pos", "at"))
     # of each n-gram: the component of its first document, unless all its documents are in it
     main = cut_lineage(tagged.groupBy("g").agg(F.min_by("at", "doc").alias("main"), F.min("at").alias("lo"), F.max("at").alias("hi"))
                        .where("lo < hi").select("g", "main"))
-    mixed = cut_lineage(tagged.join(main, "g"))
-    rest = mixed.where("at <> main").alias("x").join(mixed.alias("y"), "g").where(f"x.at <> y.at and (y.at = y.main or x.doc < y.doc) and {_alike(percent)}")
-    rest = cut_lineage(_promising(rest, percent).join(tried, ["a", "b"], "left_anti"))
-    return found.union(_verified(rest, _sets(docs, _ends(rest), k), percent))
-
+    family = (tagged.join(main, "g").groupBy("main", "doc", "n", "at").agg(F.array_sort(F.collect_list(F.struct("g", "pos"))).alias("line"))  # within a head
+              .join(heads.select("doc", "n", "odd"), ["doc", "n"])
+              .select("main", "doc", "n", "at", "odd", F.col("line.g").alias("grams"), F.col("line.pos").alias("places")))
+    family = cut_lineage(family)
+    outside, length = F.col("at") != F.col("main"), F.size("grams")
+    blocks = lambda rows, weight: F.ceil(F.greatest(rows / FAMILY, weight / WEIGHT, F.lit(1)))
+    sizes = (family.groupBy("main").agg(F.sum(outside.cast("long")).alias("xs"), F.sum(F.when(outside, length).otherwise(0)).alias("xw"),
+                                        F.count(F.lit(1)).alias("ys"), F.sum(length).alias("yw"))
+             .withColumn("nx", blocks(F.col("xs"), F.col("xw"))).withColumn("ny", blocks(F.col("ys"), F.col("yw"))))
+    sizes = cut_lineage(sizes)
+    small = sizes.where("nx = 1 and ny = 1").agg(blocks(F.sum("ys"), F.sum("yw"))).first()[0] or 1
+    dealt = (family.join(sizes.select("main", "nx", "ny"), "main").withColumn("one", F.expr("nx = 1 and ny = 1"))
+             .withColumn("key", F.when(F.col("one"), F.pmod(F.xxhash64("main"), F.lit(small))).otherwise(F.col("main"))))
+    row = ["one", "key", "doc", "n", "at", "main", "odd", "grams", "places"]
+    block = lambda n: F.pmod(F.xxhash64("doc", "n"), F.col(n))
+    asking = dealt.where(outside).select(*row, F.lit(True).alias("probe"), block("nx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+    asked = dealt.select(*row, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"), block("ny").alias("j"))
+    return cut_lineage(asking.unionByName(asked).groupBy("one", "key", "i", "j")
+                       .applyInArrow(lambda rows: family_pairs(rows, percent), "a long, b long, met long, rest long, both long, longer long"))
+
+
+def family_pairs(block: pa.Table, percent: int) -> pa.Table:
+    """The pairs of a block, each with the number of its n-grams in common, by one walk over the prefix tree of the asked documents.
+
+    The walk carries the overlap of every asking document with the path; on a shared path it is
+    counted once. ``rest`` is the most they can share behind their last meeting.
+    """
+    read = lambda name: np.asarray(block.column(name).combine_chunks())
+    nested = lambda name: np.asarray(block.column(name).combine_chunks().flatten())
+    doc, n, at, main, probe = (read(c) for c in ("doc", "n", "at", "main", "probe"))
+    odd = nested("odd").reshape(-1, 4)
+    lens = np.asarray(block.column("grams").combine_chunks().value_lengths()).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(lens)])
+    grams, places = nested("grams"), nested("places")
+    values, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    order = np.empty(len(values), np.int64)
+    order[np.lexsort((values, -counts))] = np.arange(len(values))  # frequent n-grams first: long shared paths
+    ranked = order[inverse.ravel()]
+    asking = np.flatnonzero(probe)
+    seat = np.full(len(doc), -1)
+    seat[asking] = np.arange(len(asking))
+    owner = np.repeat(seat, lens)
+    mine = np.flatnonzero(owner >= 0)
+    mine = mine[np.argsort(ranked[mine], kind="stable")]
+    holders = owner[mine]  # the asking documents of each n-gram, one n-gram after the other
+    held = np.bincount(ranked[mine], minlength=len(values))
+    begins = np.cumsum(held) - held
+    lines = {int(i): np.sort(ranked[bounds[i]:bounds[i + 1]]) for i in np.flatnonzero(~probe)}
+    members = sorted(lines, key=lambda i: lines[i].astype(">u4").tobytes())
+
+    def further(overlap: np.ndarray, path: np.ndarray) -> np.ndarray:
+        return overlap + np.bincount(batches.gather(holders, begins[path], held[path]), minlength=len(asking))
 
-def _alike(percent: int) -> str:
-    """Whether the parities of x and y differ in no more bits than the sets may differ in n-grams."""
-    bits = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(4))
-    return f"{bits} <= x.n + y.n - 2 * cast(ceil({percent} * (x.n + y.n) / {100 + percent}) as bigint)"
+    out = []
+    stack = [(0, np.zeros(len(asking), np.int64))]  # nodes of the path on which later documents branch off
+    for at_member, i in enumerate(members):
+        line = lines[i]
+        depth, overlap = stack[-1]
+        met = further(overlap, line[depth:])
+        near = np.flatnonzero(met)
+        if len(near):
+            j = asking[near]
+            fits = (at[j] != at[i]) & ((at[i] == main[j]) | (doc[j] < doc[i])) & (main[j] == main[i])
+            fits &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+            j, m = j[fits], met[near[fits]]
+            both = n[j] + n[i]
+            fits = np.bitwise_count((odd[j] ^ odd[i]).view(np.uint64)).sum(axis=1) <= both - 2 * needed(n[j], n[i], percent)
+            for x, shared in zip(j[fits].tolist(), m[fits].tolist(), strict=True):
+                ours, theirs = slice(bounds[i], bounds[i + 1]), slice(bounds[x], bounds[x + 1])
+                _, s, t = np.intersect1d(grams[ours], grams[theirs], assume_unique=True, return_indices=True)
+                rest = min(int((n[i] - places[ours][s]).min()), int((n[x] - places[theirs][t]).min())) - 1
+                out.append((min(doc[i], doc[x]), max(doc[i], doc[x]), shared, rest, n[i] + n[x], max(n[i], n[x])))
+        if at_member + 1 < len(members):
+            after = lines[members[at_member + 1]]
+            size = min(len(line), len(after))
+            differ = np.flatnonzero(line[:size] != after[:size])
+            branch = int(differ[0]) if len(differ) else size
+            while stack[-1][0] > branch:
+                stack.pop()
+            depth, overlap = stack[-1]
+            if depth < branch:
+                stack.append((branch, further(overlap, line[depth:branch])))
+    columns = zip(*out, strict=True) if out else [[]] * 6
+    return pa.table({name: pa.array([int(v) for v in column], pa.int64())
+                     for name, column in zip(("a", "b", "met", "rest", "both", "longer"), columns, strict=True)})
 
 
 def _promising(met: DataFrame, percent: int) -> DataFrame:
@@ -279,9 +370,15 @@ def _promising(met: DataFrame, percent: int) -> DataFrame:
     the most they can share, and no more than what follows the first n-grams of the longer one.
     """
     least = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    pair = (met.where(least).groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-            .agg(F.count(F.lit(1)).alias("met"), F.min(F.expr("least(x.n - x.pos, y.n - y.pos) - 1")).alias("rest"),
-                 F.max(F.expr("x.n + y.n")).alias("both"), F.max(F.expr("greatest(x.n, y.n)")).alias("longer")))
+    pair = met.where(least).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.lit(1).alias("met"),
+                                   F.expr("least(x.n - x.pos, y.n - y.pos) - 1").alias("rest"),
+                                   F.expr("x.n + y.n").alias("both"), F.expr("greatest(x.n, y.n)").alias("longer"))
+    return _reaching(pair, percent)
+
+
+def _reaching(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) whose meetings, summed over rows, leave them a chance."""
+    pair = pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("rest").alias("rest"), F.max("both").alias("both"), F.max("longer").alias("longer"))
     return (pair.withColumn("most", F.col("met") + F.least("rest", F.expr(f"cast(ceil({percent} * longer / 100) as bigint) - 1")))
             .where(f"{100 + percent} * most >= {percent} * both").select("a", "b"))
 
