@@ -1,6 +1,7 @@
 """Products on hand-made rows, with the edge cases that matter."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -86,6 +87,25 @@ def test_bootstrap_matches_plain_resampling(spark):
         assert np.percentile(one, q) == pytest.approx(np.percentile(plain, q), abs=0.04)
 
 
+def test_bootstrap_draws_are_counted_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(counting, "DRAWS", 16)  # sides of more than one block
+    sizes = {("c", "pre"): 61, ("c", "post"): 48, (None, "pre"): 1}
+    rows = [(c, s, n, r) for (c, s), n in sizes.items() for r in range(12)]
+    sides = spark.createDataFrame(rows, "channel_id string, side string, size long, replicate int")
+
+    def places(c, s, n, r):
+        keys = ("|".join(x for x in ("7", c, s, str(r), str(d)) if x is not None) for d in range(1, n + 1))
+        drawn = sorted(int(int(hashlib.md5(k.encode()).hexdigest()[:10], 16) * n / 2**40) for k in keys)
+        return drawn[(n - 1) // 2], drawn[n // 2]
+
+    for spread in (3.0, None):
+        found = counting._middle_places(sides, seed=7, tasks=5, spread=spread)
+        assert found.rdd.getNumPartitions() == 5
+        assert {(r.channel_id, r.side, r.size, r.replicate): (r.low, r.high) for r in found.collect()} == {x: places(*x) for x in rows}
+    narrow = counting._middle_places(sides, seed=7, tasks=5, spread=0.0).where("low >= 0 AND high >= 0").collect()
+    assert all((r.low, r.high) == places(r.channel_id, r.side, r.size, r.replicate) for r in narrow)
+
+
 def test_pooled_factor_is_view_weighted(spark):
     f = spark.createDataFrame([(3, 2.0, 10), (1, 3.0, 5)], "post_views long, factor double, n_post long")
     assert counting.pooled_factor(f).first().factor == 2.25

@@ -12,6 +12,9 @@ from tidegauge.session import cut_lineage
 
 CHECK_AGES = [24.0, 12.0, 48.0, 72.0]
 
+#: Draws made from one row of work; a task makes 64 times as many.
+DRAWS = 1 << 15
+
 
 def eligible_videos(videos: DataFrame, ads: DataFrame, *, published_from: str) -> DataFrame:
     """Long-form, available, never advertised, published on or after a date."""
@@ -187,13 +190,42 @@ def _drawn(seed: int, n: Column, *key: Column) -> Column:
     return F.floor(bits.cast("double") * n / float(1 << 40))
 
 
+def _middle_places(sides: DataFrame, *, seed: int, tasks: int, spread: float | None) -> DataFrame:
+    """The two middle draws of every (channel, side, replicate), as places; one that lies outside the counted places is -1 or null.
+
+    `sides` holds (channel_id, side, size, replicate). With `spread`, places are counted up to that many square
+    roots of the size from the middle, where the middle draws are nearly always; those before are one count.
+    A replicate's draws are made block after block and only counts are kept, so no task holds them all.
+    """
+    size, middle = F.col("size"), F.col("size") / 2
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((size - 1) / DRAWS)))
+    drawn = (sides.repartition(tasks, "channel_id", "side", "replicate").withColumn("block", block)
+             .withColumn("draw", F.explode(F.sequence(F.col("block") * DRAWS + 1, F.least(size, (F.col("block") + 1) * DRAWS))))
+             .select("channel_id", "side", "replicate", "size",
+                     _drawn(seed, size, F.col("channel_id"), F.col("side"), F.col("replicate"), F.col("draw")).alias("place")))
+    if spread is not None:
+        reach = F.sqrt(size) * spread
+        drawn = drawn.where(F.col("place") <= middle + reach).withColumn(
+            "place", F.when(F.col("place") < middle - reach, F.lit(-1).cast("bigint")).otherwise(F.col("place")))
+    key = ["channel_id", "side", "replicate", "size"]
+    counted = drawn.groupBy(*key, "place").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("place")))
+
+    return (counted.withColumn("upto", upto).groupBy(*key)
+            .agg(at(F.floor((size - 1) / 2)).alias("low"), at(F.floor(size / 2)).alias("high")))
+
+
 def bootstrap_factors(histogram: DataFrame, *, replicates: int = 4000, seed: int = 20260907) -> DataFrame:
     """One factor per (channel, replicate); null where the post side's median is zero.
 
     A replicate draws as many uploads as a side has, with replacement. Each draw depends on nothing but
-    its own number, so replicates are spread over all tasks, and a task that is run again draws the same.
-    Draws are places in the sorted rates; only those in the middle are looked up in the histogram,
-    which holds a row for each rate of two decimals. Channels without uploads on one side have no rows.
+    its own number, so replicates are spread over as many tasks as there are draws to make, and a task that
+    is run again draws the same. Draws are places in the sorted rates; only those in the middle are looked
+    up in the histogram, which holds a row for each rate of two decimals. Channels without uploads on one
+    side have no rows.
     """
     # how many uploads lie up to each rate; a side has one row for each rate of two decimals
     upto = F.sum("n").over(Window.partitionBy("channel_id", "side").orderBy("pct"))
@@ -201,12 +233,15 @@ def bootstrap_factors(histogram: DataFrame, *, replicates: int = 4000, seed: int
         F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("pct", "upto"))).alias("bars"))
     both = sides.groupBy("channel_id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("channel_id")
     sides = cut_lineage(sides.join(both, "channel_id", "left_semi"))
-    size = F.col("size")
-    draws = F.transform(F.sequence(F.lit(1).cast("bigint"), size), lambda d: _drawn(seed, size, F.col("channel_id"), F.col("side"), F.col("replicate"), d))
-    middle = (sides.select("channel_id", "side", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-              .repartition("channel_id", "side", "replicate").withColumn("draws", F.array_sort(draws))
-              .select("channel_id", "side", "replicate", F.get("draws", F.floor((size - 1) / 2).cast("int")).alias("low"),
-                      F.get("draws", F.floor(size / 2).cast("int")).alias("high")))
+    uploads = sides.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # a fixed number of parts: the rows are few and small, and would else be put together in one task
+    tasks = max(1, -(-uploads * replicates // (64 * DRAWS)))
+    wanted = sides.select("channel_id", "side", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    middle = cut_lineage(_middle_places(wanted, seed=seed, tasks=tasks, spread=3.0))
+    missed = middle.where("low IS NULL OR high IS NULL OR low < 0 OR high < 0")
+    if not missed.isEmpty():
+        again = _middle_places(missed.drop("low", "high"), seed=seed, tasks=tasks, spread=None)
+        middle = middle.where("low >= 0 AND high >= 0").unionByName(again)
     lookup = sides.select("channel_id", "side", F.col("bars.pct").alias("rates"), F.col("bars.upto").alias("ends"))
 
     def at(place: str) -> Column:
