@@ -54,6 +54,33 @@ def test_a_frequent_keyword_costs_its_hits():
     assert (text.tolist(), topic.tolist(), n.tolist()) == ([0], [0], [200_000])
 
 
+def test_hits_of_keywords_with_many_topics_are_summed_in_parts(monkeypatch):
+    monkeypatch.setattr(keywords, "HITS", 5_000)
+    topics_of = {"the": range(0, 2_000), "of": range(1_000, 3_000), "of the": [7, 7, 2_999]}
+    index = keywords.KeywordIndex([k for k, ts in topics_of.items() for _ in ts], [t for ts in topics_of.values() for t in ts])
+    made = []
+    monkeypatch.setattr(index, "_by_topic", lambda *a, f=index._by_topic: made.append(f(*a)) or made[-1])
+    parts = ["the of the", "", "of", "x"] * 20
+    bounds = np.cumsum([0, *map(len, parts)])
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    text, topic, n = index.counts(data, bounds)
+    want = {}
+    for i, t in enumerate(parts):
+        for k, ts in topics_of.items():
+            for x in ts:
+                if c := expected(t, k):
+                    want[i, x] = want.get((i, x), 0) + c
+    assert dict(zip(zip(text.tolist(), topic.tolist(), strict=True), n.tolist(), strict=True)) == want
+    assert max(len(k) for k, _ in made) <= 2 * 5_000
+
+
+def test_a_topic_goes_with_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "KEYWORDS", 40)
+    taxonomy = spark.createDataFrame([(f"t{i}", k) for i in range(30) for k in ("a", "b", "c", "d")], "topic_id string, keyword string")
+    rows = keywords.keyword_counts(spark.createDataFrame([(1, "a b b c d")], "video_id long, one string"), ["one"], taxonomy).collect()
+    assert sorted((r.topic_id, r.one) for r in rows) == sorted((f"t{i}", 5) for i in range(30))
+
+
 def test_tags_from_a_taxonomy_table(spark):
     videos = spark.createDataFrame([(1, "Red tea", "tea tea"), (2, "live", "tea"), (3, None, None), (4, "x", "y"), (5, "red", "")],
                                    "video_id long, title string, description string")

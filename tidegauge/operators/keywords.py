@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.session import reachable
+from tidegauge.session import cut_lineage, reachable
 
 #: Keywords of one pass; a larger taxonomy takes more passes.
 KEYWORDS = 200_000
 #: Bytes of text worked on at a time; a longer text is taken alone.
 SLICE = 1 << 21
+#: Hits, each once for every topic of its keyword, summed at a time; a text of more is taken alone.
+HITS = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
@@ -142,21 +144,53 @@ class KeywordIndex:
             last[i] = end[i] if keep[i] else before
         return text[keep], keyword[keep], begin[keep]
 
-    def counts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, topic, occurrences), without zeros."""
+    def hits(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, keyword, occurrences), by text and keyword, without zeros."""
         text, keyword, _ = self.places(data, bounds)
+        first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(keyword, prepend=-1) != 0))
+        return text[first], keyword[first], np.diff(first, append=len(text))
 
-        def summed(text: np.ndarray, what: np.ndarray, n: np.ndarray):
-            order = np.lexsort((what, text))
-            text, what, n = text[order], what[order], n[order]
-            first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(what, prepend=-1) != 0))
-            return text[first], what[first], np.add.reduceat(n, first) if len(first) else n
-
-        text, keyword, n = summed(text, keyword, np.ones(len(text), np.int64))
+    def _by_topic(self, text: np.ndarray, keyword: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """text * width + topic of each hit and each topic of its keyword, and its occurrences."""
         times = (self.topic_starts[1:] - self.topic_starts[:-1])[keyword]
         again = np.repeat(np.arange(len(keyword)), times)
-        topic = self.topics[np.repeat(self.topic_starts[keyword], times) + np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)]
-        return summed(text[again], topic, n[again])
+        topic = self.topics[np.repeat(self.topic_starts[keyword] - np.cumsum(times) + times, times) + np.arange(len(again))]
+        return text[again] * width + topic, n[again]
+
+    def summed(self, columns: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, topic, occurrences in each column), without rows of zeros, for a few texts at a time.
+
+        ``columns`` holds the letters and the starts of the same texts, column by column. A keyword of
+        many topics makes many of each hit, so only ``HITS`` of those are made before they are summed.
+        """
+        found = [self.hits(*c) for c in columns]
+        width = int(self.topics.max()) + 1 if len(self.topics) else 1
+        texts = len(columns[0][1]) - 1
+        size = np.zeros(texts, np.int64)
+        for text, keyword, _ in found:
+            size += np.bincount(text, (self.topic_starts[1:] - self.topic_starts[:-1])[keyword], texts).astype(np.int64)
+        part = np.cumsum(size) // HITS
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist() if texts else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            spread = []
+            for text, keyword, n in found:
+                low, high = np.searchsorted(text, (a, b))
+                spread.append(self._by_topic(text[low:high] - a, keyword[low:high], n[low:high], width))
+            every = np.concatenate([k for k, _ in spread])
+            if not len(every):
+                continue
+            if (b - a) * width <= 8 * len(every):  # dense enough to count in place
+                key = np.flatnonzero(np.bincount(every, minlength=(b - a) * width))
+                sums = [np.bincount(k, n, (b - a) * width)[key] for k, n in spread]
+            else:
+                key = np.unique(every)
+                sums = [np.bincount(np.searchsorted(key, k), n, len(key)) for k, n in spread]
+            yield key // width + a, key % width, np.array(sums).astype(np.int64)
+
+    def counts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, topic, occurrences), without zeros."""
+        some = [(text, topic, sums[0]) for text, topic, sums in self.summed([(data, bounds)])]
+        return tuple(np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.int64),) * 3
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -186,16 +220,19 @@ def keyword_counts(texts: DataFrame, columns: list[str], keywords: DataFrame) ->
     stay apart. The keywords are a table of any size: up to ``KEYWORDS`` of them travel with one pass.
     """
     reachable(texts.sparkSession)
-    clean = keywords.where("topic_id IS NOT NULL AND length(keyword) > 0").select("topic_id", F.lower("keyword").alias("keyword"))
+    clean = cut_lineage(keywords.where("topic_id IS NOT NULL AND length(keyword) > 0").select("topic_id", F.lower("keyword").alias("keyword")))
     passes = max(1, -(-clean.count() // KEYWORDS))
-    part = F.pmod(F.xxhash64("topic_id", "keyword"), F.lit(passes))
+    # a topic goes with one pass, so that it has one row for a text; only one of very many keywords is divided
+    share = F.pmod(F.xxhash64("keyword"), F.ceil(F.col("listed") * 4 / KEYWORDS))
+    clean = clean.join(clean.groupBy("topic_id").agg(F.count(F.lit(1)).alias("listed")), "topic_id")
+    part = F.pmod(F.xxhash64("topic_id", share), F.lit(passes))
     kind = texts.schema["video_id"].dataType
     schema = T.StructType([T.StructField("video_id", kind), T.StructField("topic_id", T.StringType()),
                            *(T.StructField(c, T.LongType()) for c in columns)])
     lowered = texts.select("video_id", *(F.lower(F.col(c)).alias(c) for c in columns))
     found = None
     for p in range(passes):
-        rows = clean.where(part == p).collect()
+        rows = clean.where(part == p).select("topic_id", "keyword").collect()
         names = sorted({r.topic_id for r in rows})
         number = {t: i for i, t in enumerate(names)}
         index = KeywordIndex([r.keyword for r in rows], [number[r.topic_id] for r in rows])
@@ -204,17 +241,11 @@ def keyword_counts(texts: DataFrame, columns: list[str], keywords: DataFrame) ->
             ids = pa.array(names, pa.string())
             for batch in parts:
                 for some in _slices(batch, columns):
-                    counted = [index.counts(*_bytes(some.column(c))) for c in columns]
-                    key, place = np.unique(np.concatenate([t * len(ids) + k for t, k, _ in counted]), return_inverse=True)
-                    sums = np.zeros((len(columns), len(key)), np.int64)
-                    done = 0
-                    for c, (t, _, n) in enumerate(counted):
-                        sums[c, place[done:done + len(t)]] = n
-                        done += len(t)
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("video_id").take(pa.array(key // max(len(ids), 1))), ids.take(pa.array(key % max(len(ids), 1))), *(pa.array(x) for x in sums)],
-                        ["video_id", "topic_id", *columns])
+                    for text, topic, sums in index.summed([_bytes(some.column(c)) for c in columns]):
+                        yield pa.RecordBatch.from_arrays(
+                            [some.column("video_id").take(pa.array(text)), ids.take(pa.array(topic)), *(pa.array(x) for x in sums)],
+                            ["video_id", "topic_id", *columns])
 
         one = lowered.mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
-    return found  # with several passes a topic can have several rows for a text
+    return found  # a topic of very many keywords can have several rows for a text
