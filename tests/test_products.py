@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import series
 from tidegauge.plans import campaigns, counting, daily, prices, speech, spikes, stories, topics
+from tidegauge.session import cut_lineage
+from tidegauge.sources import tables
 
 
 def _readings(spark, rows):
@@ -106,6 +108,21 @@ def test_bootstrap_draws_are_counted_over_several_tasks(spark, monkeypatch):
     assert all((r.low, r.high) == places(r.channel_id, r.side, r.size, r.replicate) for r in narrow)
 
 
+def test_backfill_works_names_out_once_over_several_tasks(spark):
+    raw = spark.createDataFrame([(1, "The Red Tea"), (2, "red tea saga"), (3, "Blue"), (4, "!!"), (5, "blue"), (6, "Green")], "video_id long, name string")
+    tags = spark.createDataFrame([(6, "green")], "video_id long, topic_id string")
+    t = spark.createDataFrame([("red-tea", "Red tea", "subject", None, None)], "topic_id string, name string, kind string, related array<string>, claims array<string>")
+    none = spark.createDataFrame([], "variant string, canonical string")
+    grouped = topics.survivors(t, tags, tags.limit(0))
+    filed = topics.backfill(raw, tags, t, none, grouped)
+    plan = topics.backfill(raw, tags, t, none, cut_lineage(grouped))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    assert {(r.video_id, r.topic_id, r.how) for r in filed.collect()} == {
+        (1, "red-tea", "folded"), (2, "red-tea", "folded"), (3, "blue", "created"), (5, "blue", "created")}
+    assert tables.spread(spark.range(105), rows=10).rdd.getNumPartitions() == 11
+    assert tables.spread(spark.range(105), rows=10).count() == 105
+
+
 def test_pooled_factor_is_view_weighted(spark):
     f = spark.createDataFrame([(3, 2.0, 10), (1, 3.0, 5)], "post_views long, factor double, n_post long")
     assert counting.pooled_factor(f).first().factor == 2.25

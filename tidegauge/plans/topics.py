@@ -81,14 +81,17 @@ def survivors(topics: DataFrame, tags: DataFrame, promoted: DataFrame) -> DataFr
     return subjects.select("topic_id", "key").join(best, "key")
 
 
-def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame) -> DataFrame:
+def canon_map(topics: DataFrame, tags: DataFrame, promoted: DataFrame, aliases: DataFrame, *, grouped: DataFrame | None = None) -> DataFrame:
     """Variant id -> canonical id: automatic name groups, overridden by the alias table, chains resolved.
 
+    `grouped` is the output of `survivors` if a caller has it already.
+
     A round joins the map with itself and so doubles its reach. While a chain of any length is
     unresolved, each round resolves some id of it; once a round resolves none, what still points at
     a variant lies on a cycle or leads into one, and is left alone.
     """
-    auto = survivors(topics, tags, promoted).where("topic_id <> best").select(
+    groups = survivors(topics, tags, promoted) if grouped is None else grouped
+    auto = groups.where("topic_id <> best").select(
         F.col("topic_id").alias("variant"), F.col("best").alias("target"), F.lit(0).alias("_v"))
     manual = (aliases.where("variant_id <> topic_id")
               .join(topics.select("topic_id"), "topic_id", "left_semi")
@@ -154,9 +157,9 @@ def backfill(raw: DataFrame, tags: DataFrame, topics: DataFrame, canon: DataFram
     rest become new topics, one per key, named by the lowest video id.
     """
     todo = (raw.where(usable_name(F.col("name"))).join(tags.where("topic_id IS NOT NULL").select("video_id"), "video_id", "left_anti")
-            .select("video_id", F.trim("name").alias("name"))
-            .withColumn("slug", slug(F.col("name"))).withColumn("key", name_key(F.col("name")))
-            .where(F.length("slug") > 0))
+            .select("video_id", F.trim("name").alias("name")))
+    # written before the filter and the three uses below, each of which would work the names out again
+    todo = cut_lineage(todo.withColumn("slug", slug(F.col("name"))).withColumn("key", name_key(F.col("name")))).where(F.length("slug") > 0)
     by_slug = canon.select(F.col("variant").alias("slug"), F.col("canonical").alias("c1"))
     kinds = topics.select(F.col("topic_id").alias("slug"), F.col("kind").alias("slug_kind"))
     by_key = (grouped.select("key", F.col("best").alias("variant")).distinct()

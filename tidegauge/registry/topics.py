@@ -23,7 +23,7 @@ def _slug(k: str):
 
 def topics(spark, sf):
     k = F.col("p_partkey")
-    return T.table(spark, sf, "part").select(
+    return T.spread(T.table(spark, sf, "part").select("p_partkey")).select(
         _slug("p_partkey").alias("topic_id"), k.alias("ord"), F.expr(topic_name("p_partkey")).alias("name"),
         F.when(k % 13 == 0, "theme").otherwise("subject").alias("kind"),
         F.when(k % 4 != 0, X.name_colour(F.expr(topic_name("p_partkey")))).alias("colour"),
@@ -33,7 +33,7 @@ def topics(spark, sf):
 
 def tags(spark, sf):
     """Every order is a video; those still in process carry no tag yet."""
-    return T.table(spark, sf, "orders").select(
+    return T.spread(T.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select(
         F.col("o_orderkey").alias("video_id"), F.when(F.col("o_orderstatus") != "P", _slug("o_custkey")).alias("topic_id"))
 
 
@@ -44,13 +44,15 @@ def promoted(spark, sf):
 def aliases(spark, sf):
     k = "p_partkey"
     target = (F.expr(f"CASE WHEN {k} % 40 = 20 THEN NULL WHEN {k} % 100 = 50 THEN {k} + 11 WHEN {k} % 100 = 61 THEN {k} - 11 ELSE {k} + 7 END"))
-    return (T.table(spark, sf, "part").where(f"{k} % 40 IN (0, 7, 20) OR {k} % 100 IN (50, 61)").withColumn("tk", target)
+    listed = T.table(spark, sf, "part").select(k).where(f"{k} % 40 IN (0, 7, 20) OR {k} % 100 IN (50, 61)")
+    return (T.spread(listed).withColumn("tk", target)
             .select(_slug(k).alias("variant_id"), F.coalesce(X.slug(F.expr(topic_name("tk"))), F.lit("no-such-topic")).alias("topic_id")))
 
 
 def raw_names(spark, sf):
     name = F.expr(f"CASE WHEN o_orderkey % 4 = 0 THEN {topic_name('o_custkey + 2')} ELSE concat('Story number ', o_custkey % 50, CASE WHEN o_orderkey % 8 = 2 THEN ' saga' ELSE '' END) END")
-    return T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("video_id"), F.when(~F.col("o_orderpriority").startswith("1"), name).alias("name"))
+    listed = T.spread(T.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    return listed.select(F.col("o_orderkey").alias("video_id"), F.when(~F.col("o_orderpriority").startswith("1"), name).alias("name"))
 
 
 def _inputs(spark, sf):
@@ -157,7 +159,8 @@ SELECT ends, topic_id FROM (SELECT *, count(*) OVER (PARTITION BY ends) AS n FRO
 def _backfilled(spark, sf):
     t, tg, pr = inputs = _inputs(spark, sf)
     grouped = cut_lineage(TP.survivors(t, tg, pr))
-    return cut_lineage(TP.backfill(raw_names(spark, sf), tg, t, _canon(spark, sf, inputs), grouped))
+    canon = TP.canon_map(t, tg, pr, aliases(spark, sf), grouped=grouped)
+    return cut_lineage(TP.backfill(raw_names(spark, sf), tg, t, canon, grouped))
 
 
 _RAWNAME = f"CASE WHEN o_orderkey % 4 = 0 THEN {_name('o_custkey + 2')} ELSE concat('Story number ', o_custkey % 50, CASE WHEN o_orderkey % 8 = 2 THEN ' saga' ELSE '' END) END"
