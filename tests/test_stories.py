@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidegauge.plans import stories
+from tidegauge.registry import text
 
 
 def one_by_one(spikes, videos, overlap):
@@ -53,3 +54,10 @@ def test_no_spikes_no_clusters(spark):
     frame = spark.createDataFrame([], "channel_id string, term string, recent long, base long, ratio double")
     postings = spark.createDataFrame([], "channel_id string, term string, video_id long, is_recent boolean")
     assert stories.cluster_terms(frame, postings).count() == 0
+
+
+def test_display_names_come_from_the_given_postings(spark):
+    postings = spark.createDataFrame([("c", 1, True, "storm"), ("d", 2, False, "storm"), ("c", 1, True, "storms"), ("c", 1, True, "sea")],
+                                     "channel_id string, video_id long, is_recent boolean, term string")
+    rows = text._labels(postings).collect()
+    assert sorted((r.term_id, r.display_name) for r in rows) == [("sea", "Story: sea"), ("storm", "Story: storm")]
