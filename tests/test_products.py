@@ -2,11 +2,13 @@
 
 import datetime as dt
 import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.functions.text import speech_tokens
 from tidegauge.operators import series
 from tidegauge.plans import campaigns, counting, daily, prices, speech, spikes, stories, topics
 from tidegauge.session import cut_lineage
@@ -141,6 +143,28 @@ def test_filler_overlaps_count_once(spark):
     assert (r.words, r.hard, r.rep_all, r.rep, r.hedge, r.filler_words) == (70, 2, 4, 3, 3, 2 + 2 + 2 + 1)
 
 
+def test_a_text_is_cut_into_tokens_once(spark):
+    schema = "video_id long, channel_id string, title string, published_at timestamp, segments array<struct<text: string, offset: long, duration: long>>"
+    when = dt.datetime(2021, 1, 5)
+    rows = [(1, "c", "t", when, [("Um [music] UM, it's ", 0, 1000), (None, 1000, 1000), ("word " * 60, 400_000, 5000)]),
+            (2, "c", "t", when, [("um " * 60, 0, 5000)]),  # too short
+            (3, "c", "t", when, [("um " * 10, 0, 500_000)]),  # too few words
+            (4, "c", "t", when, []), (5, "c", "t", when, None), (6, "c", "t", when, [(None, 400_000, None)])]
+    out = speech.token_totals(speech.qualifying(speech.filler_tally(spark.createDataFrame(rows, schema))))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+    assert [tuple(r) for r in out.collect()] == [("um", 2)]
+
+
+def test_speech_tokens_are_what_splitting_leaves(spark):
+    texts = ["", " ", "A-b  c'd [x] e[", "[[a]b] é1\u212a\tz\U0001f600q\r\n'", "[a\nb] 'it's' \u0130x", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(speech_tokens(F.col("t"))).collect()
+
+    def plain(t):
+        return [w for w in re.sub(r"[^a-z0-9' ]+", " ", re.sub(r"\[[^\]]*\]", " ", t.lower())).split(" ") if w]
+
+    assert [r[0] for r in got] == [None if t is None else plain(t) for t in texts]
+
+
 def test_prices_are_cleaned_on_one_side_only(spark):
     rows = [(f"s{s}", dt.date(2024, 1, d), d, 5, p, "ok") for s in range(6) for d in range(1, 31)
             for p in [30.0 if d == 5 else 8.0 if d in (9, 5) and s == 0 else 85.0 if s == 1 and 20 <= d <= 22 else 20.0]]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.numbers import half_up
-from tidegauge.functions.text import speech_tokens
+from tidegauge.functions.text import once, speech_tokens
 
 # Disfluencies, doubles that are ordinary English, and hedges.
 HARD = ["uh", "um", "umm", "uhh", "uhm", "erm", "mm", "mhm", "hmm", "uhhh", "ummm"]
@@ -35,15 +35,19 @@ def _pair_in(a: Column, b: Column, pairs: list[tuple[str, str]]) -> Column:
 def filler_tally(transcripts: DataFrame, *, hard: list[str] = HARD, hedge_uni: list[str] = HEDGE_UNI,
                  hedge_bi: list[tuple[str, str]] = HEDGE_BI, ok_double: list[str] = OK_DOUBLE,
                  min_tokens: int = 50) -> DataFrame:
-    """Counts and rates per transcript; filler words are counted once even where tallies overlap."""
+    """Counts and rates per transcript; filler words are counted once even where tallies overlap.
+
+    Segments are read once and a text is cut into tokens once; filters on the length of a video come before the latter.
+    """
     none = F.array(F.lit(None).cast("string"))
     n = F.col("words")
+    last = F.try_element_at("segments", F.lit(-1))
+    about = ["video_id", "channel_id", "title", "published_at"]
     base = (
-        transcripts.where(F.size("segments") > 0)
-        .withColumn("tokens", speech_tokens(transcript_text(F.col("segments"))))
+        transcripts.select(*about, once(text=transcript_text(F.col("segments")), parts=F.size("segments"),
+                                        dur=(last["offset"] + F.coalesce(last["duration"], F.lit(0))) / 1000.0))
+        .where(F.col("parts") > 0).select(*about, "dur", once(tokens=speech_tokens(F.col("text"))))
         .withColumn("words", F.size("tokens").cast("bigint")).where(n >= min_tokens)
-        .withColumn("dur", (F.element_at("segments", -1)["offset"]
-                            + F.coalesce(F.element_at("segments", -1)["duration"], F.lit(0))) / 1000.0)
         .withColumn("prev", F.concat(none, F.slice("tokens", 1, n.cast("int") - 1)))
         .withColumn("next", F.concat(F.slice("tokens", 2, n.cast("int") - 1), none))
         .withColumn("z", F.arrays_zip(F.col("tokens").alias("t"), F.col("prev").alias("p"), F.col("next").alias("n"))))
