@@ -1,5 +1,7 @@
 """Parallel greedy clusters against taking one seed after the other."""
 
+import collections
+import datetime as dt
 import random
 
 import pytest
@@ -61,3 +63,42 @@ def test_display_names_come_from_the_given_postings(spark):
                                      "channel_id string, video_id long, is_recent boolean, term string")
     rows = text._labels(postings).collect()
     assert sorted((r.term_id, r.display_name) for r in rows) == [("sea", "Story: sea"), ("storm", "Story: storm")]
+
+
+@pytest.mark.parametrize("few", [700_000, 0])
+def test_frequent_postings_come_from_one_reading_of_recent_texts(spark, few):
+    rng = random.Random(few)
+    words = ["storm", "flood", "harbour", "quay", "tide", "lamp", "buoy"]
+    rows = []
+    for k in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))
+        rows.append((k // 2 if k < 8 else k, rng.choice(["a", "b"]), text, dt.datetime(2024, 3, 1) - dt.timedelta(days=rng.randrange(0, 70)), False, False))
+    rows += [(90, "a", None, dt.datetime(2024, 2, 28), False, False), (91, None, "storm tide", dt.datetime(2024, 2, 28), False, False)]
+    rows += [(92, "a", "storm tide lamp", dt.datetime(2024, 2, 28), True, False), (93, "a", "storm", None, False, False)]
+    videos = spark.createDataFrame(rows, "video_id long, channel_id string, description string, published_at timestamp, is_short boolean, unavailable boolean")
+    at = {"as_of": "2024-03-01 00:00:00"}
+    recent = stories.recent_postings(videos, **at)
+    found = stories.frequent_postings(videos, recent, **at, few=few)
+    want, often = [], collections.Counter()
+    for video, channel, text, when, short, _ in rows:
+        age = None if when is None else (dt.datetime(2024, 3, 1) - when).days
+        if text and not short and age is not None and age <= 60 and channel is not None:
+            w = text.split()
+            for term in {*w, *(f"{x} {y}" for x, y in zip(w, w[1:]))}:
+                want.append((channel, term, video, age <= 7))
+                often[channel, term] += age <= 7
+    want = sorted(p for p in want if often[p[:2]] >= 3)
+    assert want and sorted(tuple(r) for r in found.select("channel_id", "term", "video_id", "is_recent").collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("ShuffledHashJoin" in plan) == (few == 0) and "SortMergeJoin" not in plan
+
+
+def test_suppressed_clusters_work_out_their_videos_once(spark):
+    matched = spark.createDataFrame([("a", 1, v, True) for v in (1, 2, 3)] + [("a", 2, 9, True), ("a", 1, 4, False)],
+                                    "channel_id string, cluster long, video_id long, is_recent boolean")
+    postings = spark.createDataFrame([("a", v, True, t) for v in (2, 3, 4) for t in ("tide", "lamp")] + [("a", 9, False, "tide")],
+                                     "channel_id string, video_id long, is_recent boolean, term string")
+    keywords = spark.createDataFrame([("a", "hand", "tide"), ("a", "hand", "lamp")], "channel_id string, tracker string, keyword string")
+    out = stories.suppressed_clusters(matched, keywords, postings)
+    assert [tuple(r) for r in out.collect()] == [("a", 1, "hand", 0.5)]
+    assert "LocalRelation" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "ExistingRDD" not in plan and "LogicalRDD" not in plan
