@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tidegauge.llm import hard_negatives, near_vectors, part_codes
+from tidegauge.llm import hard_negatives, near_vectors, part_codes, topk
 from tidegauge.llm.batches import ready
 
 ROWS = "label int, vec_id long, embedding array<double>, id long, v string, block int"
@@ -76,6 +76,42 @@ def test_score_bounds_hold_and_prune():
     assert pruned > 300
 
 
+def broadcast(frame):
+    """Lines of the plan that stand below a broadcast."""
+    out, depth = [], None
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        depth = depth if depth is not None and at > depth else at if "BroadcastExchange" in line else None
+        out += [line] * (depth is not None)
+    return out
+
+
+def test_blocks_of_queries_are_never_broadcast(spark):
+    """Their copies, one for each block of candidates, count once in Spark's estimate."""
+    got = topk.nearest(ready(spark).createDataFrame(clouds()[:200], ROWS), lambda x: x % 20 == 0)
+    assert not any("cells" in line for line in broadcast(got)) and len({r[0] for r in got.collect()}) == 10
+
+
+def test_topk_of_many_blocks_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(topk.V, "CELLS", 24 * 7)
+    rows = clouds()[:150]
+    kept = {i: [math.floor(x * 256) for x in v] for _, i, v, *_ in rows}
+    want = [(i, r, j, s) for i in kept if i % 5 == 0 for r, (s, j) in enumerate(
+        sorted(((sum(x * y for x, y in zip(kept[i], w, strict=True)), j) for j, w in kept.items() if j != i), key=lambda x: (-x[0], x[1]))[:5], 1)]
+    got = topk.nearest(ready(spark).createDataFrame(rows, ROWS), lambda x: x % 5 == 0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_blocks_grow_and_are_narrow():
+    V = topk.V
+    assert [V.block_size(n, 64, 4096) for n in (100, 300_000, 10 ** 9)] == [4096, 4688, 32768]
+    assert V.block_size(10 ** 6, 10 ** 9, 4096) == 1 and V.block_size(0, 0, 8192) == 8192
+    for most, kind in ((32767.0, "<i2"), (-32768.0, "<i4"), (2.0 ** 31 - 1, "<i4"), (2.0 ** 31, "<f8"), (1e300, "<f8")):
+        m = np.array([[most, 0.0, 1.0], [-1.0, 5.0, 2.0]])
+        cells, found = V.narrowed(m.T)
+        assert found == kind and (V.widened(topk.pa.scalar(cells), topk.pa.scalar(found)).reshape(3, 2) == m.T).all()
+
+
 def grouped(rows, cosine=0.9):
     """vec_id, links, component and kept of each row, by comparing all pairs."""
     width = max(len(r[2] or []) for r in rows)

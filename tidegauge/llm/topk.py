@@ -9,38 +9,34 @@ compacted. The best k of every meeting are merged per query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm import batches
+from tidegauge.llm import vectors as V
 from tidegauge.session import cut_lineage
 
-#: Vectors in a block, about, and dimensions accumulated between two compactions.
+#: Candidates in a block, about, while the table is small; dimensions accumulated between two compactions.
 BLOCK, STEP = 4096, 16
 
 
 def packed(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, cells, dims): the vectors of each block, dimension after dimension.
+    """(block, ids, cells, kind, dims): the vectors of each block, dimension after dimension, in the narrowest kind of number.
 
-    Blocks hold vectors by the hash of their row number, about ``BLOCK`` each, whatever their ids.
+    Blocks hold vectors by the hash of their row number, as many in each, about, whatever their ids.
     """
     def run(block: pa.Table) -> pa.Table:
         ids = np.asarray(block["id"])
-        rows = [np.asarray(v, np.int64) for v in block["v"].to_pylist()]
-        dims = max(1, *map(len, rows))
-        cells = np.zeros((dims, len(rows)), np.int64)  # a shorter vector ends in zeros
-        for i, row in enumerate(rows):
-            cells[:len(row), i] = row
+        dims = max(1, pc.max(pc.list_value_length(block["v"])).as_py())
         order = np.argsort(ids)
-        return pa.table({"block": block["block"][:1], "ids": pa.array([ids[order].tolist()], pa.list_(pa.int64())),
-                         "cells": pa.array([cells[:, order].tobytes()], pa.binary()), "dims": pa.array([dims], pa.int32())})
+        cells, kind = V.narrowed(V.matrix(block["v"], dims)[order].T)  # whole numbers below 2^31
+        return pa.table({"block": block["block"][:1], "ids": pa.array([ids[order]], pa.list_(pa.int64())), "cells": pa.array([cells], pa.binary()),
+                         "kind": pa.array([kind]), "dims": pa.array([dims], pa.int32())})
 
     return (vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-            .groupBy("block").applyInArrow(run, "block long, ids array<long>, cells binary, dims int"))
+            .groupBy("block").applyInArrow(run, "block long, ids array<long>, cells binary, kind string, dims int"))
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, ids: np.ndarray, k: int, step: int = STEP):
@@ -91,20 +87,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     n, dims, most = whole.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.greatest(*(F.abs(m("v").cast("decimal(20,0)")) for m in (F.array_max, F.array_min))))).first()
     if (dims or 0) * int(most or 0) ** 2 >= 1 << 62:
         raise ValueError(f"{dims} components of up to {most} give scores beyond 62 bits")
-    n_blocks, q_blocks = -(-max(n, 1) // BLOCK), -(-max(asking.count(), 1) // BLOCK)
-    here = cut_lineage(packed(whole, n_blocks))
-    asks = packed(asking, q_blocks).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dims").alias("q_dims"))
-    # each block of queries meets each block of candidates: the stated queries against all rows
-    met = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))).repartition("q_block", "block").join(here, "block")
+    n_blocks, q_blocks = -(-max(n, 1) // V.block_size(n, dims or 0, BLOCK)), -(-max(asking.count(), 1) // V.fitting(dims or 0))
+    here, asks = cut_lineage(packed(whole, n_blocks)), packed(asking, q_blocks).withColumnRenamed("block", "q_block")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in range(part.num_rows):
-                at = {c: part.column(c)[row] for c in part.schema.names}
-                queries, cells = (np.frombuffer(at[c].as_buffer(), np.int64).reshape(at[d].as_py(), -1) for c, d in (("q_cells", "q_dims"), ("cells", "dims")))
-                found = list(best(queries, np.asarray(at["q_ids"].values), cells, np.asarray(at["ids"].values), k))
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+    def run(ask: pa.Table, row: pa.Table) -> list:
+        queries, cells = (V.widened(t["cells"][0], t["kind"][0], np.int64).reshape(t["dims"][0].as_py(), -1) for t in (ask, row))
+        found = list(best(queries, np.asarray(ask["ids"][0].values), cells, np.asarray(row["ids"][0].values), k))
+        return [[f[i] for f in found] for i in range(3)]
 
-    found = met.select("q_ids", "q_cells", "q_dims", "ids", "cells", "dims").mapInArrow(run, "query_id long, vec_id long, score long")
+    # each block of queries meets each block of candidates: the stated queries against all rows
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    found = V.meetings(asks.withColumn("block", every(n_blocks)), here.withColumn("q_block", every(q_blocks)), ["q_block", "block"], run,
+                       ["query_id", "vec_id", "score"])
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,16 +1,20 @@
-"""Vectors inside a task: which rows count, matrices of a batch, whole-number components and scores."""
+"""Vectors inside a task: which rows count, matrices of a batch, blocks that meet, whole-number components and scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Whole numbers below this are exact in a double.
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
+#: Components in a block at most, and the blocks that rows are dealt into before blocks grow.
+CELLS, BLOCKS = 1 << 21, 64
 
 
 def sound(vector: str) -> Column:
@@ -77,6 +81,46 @@ def uncells(value: pa.Scalar, *shape: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind).reshape(shape)
 
 
+def fitting(dims: int) -> int:
+    """Vectors that a block has room for."""
+    return max(1, CELLS // max(1, dims))
+
+
+def block_size(count: int, dims: int, least: int) -> int:
+    """Vectors in a block, ``least`` at least if they fit.
+
+    Blocks grow with the table, so that what meets every block is copied to about ``BLOCKS`` of them.
+    """
+    return min(max(least, -(-count // BLOCKS)), fitting(dims))
+
+
+def narrowed(m: np.ndarray) -> tuple[bytes, str]:
+    """Whole numbers in the narrowest kind that holds them all, and that kind."""
+    most = np.abs(m).max(initial=0)
+    kind = next((k for k in ("<i2", "<i4") if most <= np.iinfo(k).max), m.dtype.str)
+    return cells(m.astype(kind)), kind
+
+
+def widened(value: pa.Scalar, kind: pa.Scalar, to: type = np.float64) -> np.ndarray:
+    """What ``narrowed`` gave, as one row of numbers."""
+    return np.frombuffer(value.as_buffer(), kind.as_py()).astype(to)
+
+
+def meetings(asks: DataFrame, rows: DataFrame, keys: list[str], run: Callable[[pa.Table, pa.Table], list], names: list[str]) -> DataFrame:
+    """Columns of longs: what ``run`` gives for the block of ``asks`` and the block of ``rows`` with the same keys.
+
+    Both sides are shuffled by the keys. A join would broadcast one of them where its estimate is small, and Spark's
+    estimate leaves out that a block is copied for each one it meets: all copies would pass through the driver.
+    """
+    def met(ask: pa.Table, row: pa.Table) -> pa.Table:
+        found = run(ask, row) if ask.num_rows and row.num_rows else [[]] * len(names)
+        return pa.table([pa.array(x, pa.int64()) for x in found], names)
+
+    own = {k: f"met_{k}" for k in keys}  # names of their own, as both sides may hold columns of the same table
+    return (asks.groupBy(*keys).cogroup(rows.withColumnsRenamed(own).groupBy(*own.values()))
+            .applyInArrow(met, ", ".join(f"{x} long" for x in names)))
+
+
 def records(m: np.ndarray) -> pa.Array:
     """Rows of bytes as a column of binaries."""
     m = np.ascontiguousarray(m)
