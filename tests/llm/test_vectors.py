@@ -92,6 +92,16 @@ def test_blocks_of_queries_are_never_broadcast(spark):
     assert not any("cells" in line for line in broadcast(got)) and len({r[0] for r in got.collect()}) == 10
 
 
+def test_blocks_of_anchors_are_never_broadcast(spark, monkeypatch):
+    """Nor do the tasks send their shares of the sample to the driver: every step is written, and its plan looked at."""
+    seen = []
+    monkeypatch.setattr(hard_negatives, "cut_lineage", lambda df, cut=hard_negatives.cut_lineage: (seen.append(df), cut(df))[1])
+    seen.append(hard_negatives.mine(ready(spark).createDataFrame(clouds()[:200], ROWS), lambda x: x % 20 == 0))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in seen]
+    assert not any("cells" in line for x in seen for line in broadcast(x)) and any("TakeOrdered" in x for x in plans)
+    assert len({r[0] for r in seen[-1].collect()}) == 10
+
+
 def test_topk_of_many_blocks_on_both_sides(spark, monkeypatch):
     monkeypatch.setattr(topk.V, "CELLS", 24 * 7)
     rows = clouds()[:150]

@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 from tidegauge.llm import vectors as V
 from tidegauge.session import cut_lineage
 
-#: Rows and anchors in a block, about.
-ROWS, ANCHORS = 8192, 1024
+#: Rows in a block, about, while the table is small, and anchors in a block at most.
+ROWS, ANCHORS = 8192, 32768
 #: Reference directions, and the rows (by hash of the id) they are picked from; both decide speed, never a result.
 REFERENCES, PICKED_FROM = 16, 1024
 #: Radians that rounding of an angle, and share of a score that rounding of a bound, stay below.
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 TOP = 2.0 ** 63
 
-BLOCK = "block long, ids array<long>, labels array<long>, cells binary, lengths binary, angles binary"
-MEETING = ("block", "ids", "labels", "cells", "lengths", "angles")
+BLOCK = "block long, ids array<long>, labels array<long>, cells binary, kind string"
+MEETING = ("block", "ids", "labels", "cells", "kind")
 
 
 def references(sample: np.ndarray, n: int = REFERENCES) -> np.ndarray:
@@ -118,7 +118,7 @@ def in_windows(one: np.ndarray, rows: np.ndarray, ids: np.ndarray, low: np.ndarr
         yield w, ids[top], score[top]
 
 
-def packed(rows: DataFrame, size: int, refs: np.ndarray, dims: int, count: int) -> DataFrame:
+def packed(rows: DataFrame, size: int, dims: int, count: int) -> DataFrame:
     """Blocks of about ``size`` rows, by label; ``rows`` has id, label and v, ``count`` of them.
 
     Rows are dealt by ranges of (label, hash), so a frequent label fills many blocks and rare ones share one.
@@ -129,20 +129,21 @@ def packed(rows: DataFrame, size: int, refs: np.ndarray, dims: int, count: int)
             return
         ids, labels, m = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((ids, labels))
-        ids, labels, m = ids[order], labels[order], V.whole(m[order], 256)
-        length = V.lengths(m)
+        cells, kind = V.narrowed(V.whole(m[order], 256))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([labels], pa.list_(pa.int64())),
-             *(pa.array([V.cells(x)], pa.binary()) for x in (m, length, angles(m, length, refs)))], MEETING)
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([ids[order]], pa.list_(pa.int64())), pa.array([labels[order]], pa.list_(pa.int64())),
+             pa.array([cells], pa.binary()), pa.array([kind])], MEETING)
 
     dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-count // size)), "label", F.xxhash64("id", "v"), "at")
     return cut_lineage(dealt.select("id", "label", "v").mapInArrow(run, BLOCK))
 
 
-def _opened(part: pa.RecordBatch, row: int, dims: int, refs: int, prefix: str = ""):
-    at = {c: part.column(prefix + c)[row] for c in MEETING[1:]}
-    ids = np.asarray(at["ids"].values)
-    return ids, np.asarray(at["labels"].values), V.uncells(at["cells"], -1, dims), V.uncells(at["lengths"], -1), V.uncells(at["angles"], refs, len(ids))
+def _opened(block: pa.Table, refs: np.ndarray, prefix: str = ""):
+    """ids, labels, components, lengths and angles of the rows of a block."""
+    at = {c: block[prefix + c][0] for c in MEETING[1:]}
+    m = V.widened(at["cells"], at["kind"]).reshape(-1, refs.shape[1])
+    length = V.lengths(m)
+    return np.asarray(at["ids"].values), np.asarray(at["labels"].values), m, length, angles(m, length, refs)
 
 
 def mine(rows: DataFrame, is_anchor: Callable[[Column], Column], positives: int = 5, negatives: int = 10,
@@ -166,42 +167,40 @@ def mine(rows: DataFrame, is_anchor: Callable[[Column], Column], positives: int
         F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), V.doubles("embedding").alias("v"))
     count, asked, dims = clean.agg(F.count(F.lit(1)), F.count(F.when(is_anchor(F.col("id")), 1)), F.max(F.size("v"))).first()
     dims = max(dims or 0, 1)
-    picked = clean.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PICKED_FROM).collect()  # a bounded sample
+    # a bounded sample, written first: else each task would send as many rows to the driver
+    picked = cut_lineage(clean.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PICKED_FROM)).collect()
     refs = references(V.whole(V.matrix(pa.array([r.v for r in picked], pa.list_(pa.float64())), dims), 256)) if picked else np.zeros((0, dims))
-    n_refs = len(refs)
 
-    here = packed(clean, ROWS, refs, dims, count)
-    asks = packed(clean.where(is_anchor(F.col("id"))).dropDuplicates(), ANCHORS, refs, dims, asked)
+    here = packed(clean, V.block_size(count, dims, ROWS), dims, count)
+    asks = packed(clean.where(is_anchor(F.col("id"))).dropDuplicates(), min(ANCHORS, V.fitting(dims)), dims, asked)
     asks = asks.select(*(F.col(c).alias(f"a_{c}") for c in MEETING))
 
-    def find_positives(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in range(part.num_rows):
-                block = part.column("a_block")[row].as_py()
-                a_ids, a_labels, a_cells, a_lengths, a_angles = _opened(part, row, dims, n_refs, "a_")
-                ids, labels, cells, lengths, angle = _opened(part, row, dims, n_refs)
-                out = [[], [], []]
-                for j in range(len(a_ids)):
-                    x, y = np.searchsorted(labels, a_labels[j], "left"), np.searchsorted(labels, a_labels[j], "right")
-                    if x == y:
-                        continue
-                    low, high, most = bounds(a_angles[:, j], a_lengths[j], angle[:, x:y], lengths[x:y])
-                    own = ids[x:y] == a_ids[j]
-                    some, among = cells[x:y], ids[x:y]
-                    if own.any():
-                        some, among, low, high, most = some[~own], among[~own], low[~own], high[~own], most[~own]
-                    found, score = first_of(a_cells[j], some, among, low, high, most, positives)
-                    out[0].append(np.full(len(found), (block << 32) + j))
-                    out[1].append(found)
-                    out[2].append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in out], ["asked", "positive_id", "positive_score"])
+    def find_positives(ask: pa.Table, row: pa.Table) -> list:
+        block = ask["a_block"][0].as_py()
+        a_ids, a_labels, a_cells, a_lengths, a_angles = _opened(ask, refs, "a_")
+        ids, labels, cells, lengths, angle = _opened(row, refs)
+        out = [[], [], []]
+        for j in range(len(a_ids)):
+            x, y = np.searchsorted(labels, a_labels[j], "left"), np.searchsorted(labels, a_labels[j], "right")
+            if x == y:
+                continue
+            low, high, most = bounds(a_angles[:, j], a_lengths[j], angle[:, x:y], lengths[x:y])
+            own = ids[x:y] == a_ids[j]
+            some, among = cells[x:y], ids[x:y]
+            if own.any():
+                some, among, low, high, most = some[~own], among[~own], low[~own], high[~own], most[~own]
+            found, score = first_of(a_cells[j], some, among, low, high, most, positives)
+            out[0].append(np.full(len(found), (block << 32) + j))
+            out[1].append(found)
+            out[2].append(score)
+        return [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
 
     def labelled(blocks: DataFrame, block: str, labels: str) -> DataFrame:
         return blocks.select(F.col(block), F.explode(F.array_distinct(labels)).alias("label"))
 
-    met = (labelled(asks, "a_block", "a_labels").join(labelled(here, "block", "labels"), "label").select("a_block", "block").distinct())
-    pairs = met.join(asks, "a_block").join(here, "block")
-    found = pairs.drop("block").mapInArrow(find_positives, "asked long, positive_id long, positive_score long")
+    # pairs of block numbers; the blocks themselves are never broadcast
+    met = F.broadcast(labelled(asks, "a_block", "a_labels").join(labelled(here, "block", "labels"), "label").select("a_block", "block").distinct())
+    found = V.meetings(asks.join(met, "a_block"), here.join(met, "block"), ["a_block", "block"], find_positives, ["asked", "positive_id", "positive_score"])
     ranked = Window.partitionBy("asked").orderBy(F.desc("positive_score"), "positive_id")
     chosen = cut_lineage(found.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= positives))
 
@@ -209,35 +208,31 @@ def mine(rows: DataFrame, is_anchor: Callable[[Column], Column], positives: int
     wanted = chosen.groupBy(F.shiftrightunsigned("asked", 32).alias("a_block")).agg(
         F.sort_array(F.collect_list(F.struct("asked", "place", "positive_score"))).alias("w"))
     wanted = wanted.select("a_block", *(F.col(f"w.{c}").alias(f"w_{c}") for c in ("asked", "place", "positive_score")))
-    last = here.agg(F.max("block")).first()[0]
-    if last is None:
-        last = 0
-
-    def find_negatives(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in range(part.num_rows):
-                a_ids, a_labels, a_cells, a_lengths, a_angles = _opened(part, row, dims, n_refs, "a_")
-                ids, labels, cells, lengths, angle = _opened(part, row, dims, n_refs)
-                asked, place, score = (np.asarray(part.column(f"w_{c}")[row].values) for c in ("asked", "place", "positive_score"))
-                out = [[], [], [], []]
-                edges = np.flatnonzero(np.diff(asked, prepend=-1, append=-1)) if len(asked) else np.zeros(1, np.int64)
-                for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    j = int(asked[s] & 0xFFFFFFFF)
-                    windows = [(-(-least * p // 100), greatest * p // 100) for p in score[s:e].tolist()]
-                    low, high, most = bounds(a_angles[:, j], a_lengths[j], angle, lengths)
-                    other = (labels != a_labels[j]) & (ids != a_ids[j])
-                    high = np.where(other, high, -np.inf)
-                    low = np.where(other, low, np.inf)
-                    for w, got, points in in_windows(a_cells[j], cells, ids, low, high, most, windows, negatives):
-                        for k, x in enumerate((np.full(len(got), asked[s]), np.full(len(got), place[s + w]), got, points)):
-                            out[k].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in out],
-                                                 ["asked", "place", "negative_id", "negative_score"])
+    a_last, last = (blocks.agg(F.max(block)).first()[0] or 0 for blocks, block in ((asks, "a_block"), (here, "block")))
+
+    def find_negatives(ask: pa.Table, row: pa.Table) -> list:
+        a_ids, a_labels, a_cells, a_lengths, a_angles = _opened(ask, refs, "a_")
+        ids, labels, cells, lengths, angle = _opened(row, refs)
+        asked, place, score = (np.asarray(ask[f"w_{c}"][0].values) for c in ("asked", "place", "positive_score"))
+        out = [[], [], [], []]
+        edges = np.flatnonzero(np.diff(asked, prepend=-1, append=-1)) if len(asked) else np.zeros(1, np.int64)
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            j = int(asked[s] & 0xFFFFFFFF)
+            windows = [(-(-least * p // 100), greatest * p // 100) for p in score[s:e].tolist()]
+            low, high, most = bounds(a_angles[:, j], a_lengths[j], angle, lengths)
+            other = (labels != a_labels[j]) & (ids != a_ids[j])
+            high = np.where(other, high, -np.inf)
+            low = np.where(other, low, np.inf)
+            for w, got, points in in_windows(a_cells[j], cells, ids, low, high, most, windows, negatives):
+                for k, x in enumerate((np.full(len(got), asked[s]), np.full(len(got), place[s + w]), got, points)):
+                    out[k].append(x)
+        return [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
 
     # each block of anchors meets each block of rows: the stated queries against all rows
-    everywhere = (asks.join(wanted, "a_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<long>")))
-                  .repartition("a_block", "block").join(here, "block"))
-    found = everywhere.drop("block", "a_block").mapInArrow(find_negatives, "asked long, place long, negative_id long, negative_score long")
+    every = lambda until: F.explode(F.sequence(F.lit(0), F.lit(until)).cast("array<long>"))
+    windowed = asks.hint("merge").join(wanted, "a_block").withColumn("block", every(last))
+    found = V.meetings(windowed, here.withColumn("a_block", every(a_last)), ["a_block", "block"], find_negatives,
+                       ["asked", "place", "negative_id", "negative_score"])
     ranked = Window.partitionBy("asked", "place").orderBy(F.desc("negative_score"), "negative_id")
     top = found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= negatives)
     names = asks.select(F.col("a_block"), F.posexplode("a_ids").alias("pos", "anchor_id")).select(
